@@ -65,11 +65,11 @@ plan AS (
   FROM ranked r LEFT JOIN level l ON true),
 placed AS (
   SELECT d.doc_id, d.size, p.source_size, p.target, p.slope, floor(p.target + 0.5)::BIGINT AS quota,
-         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at_
   FROM rows_ d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source),
 passes AS (
-  SELECT *, greatest(0, least(size, quota - at)) AS t1, greatest(0, least(size, quota - at - source_size)) AS t2 FROM placed),
-due AS (SELECT *, CASE WHEN t1 > 0 THEN at / target WHEN t2 > 0 THEN (at + source_size) / target END AS u FROM passes)
+  SELECT *, greatest(0, least(size, quota - at_)) AS t1, greatest(0, least(size, quota - at_ - source_size)) AS t2 FROM placed),
+due AS (SELECT *, CASE WHEN t1 > 0 THEN at_ / target WHEN t2 > 0 THEN (at_ + source_size) / target END AS u FROM passes)
 SELECT doc_id, size::BIGINT AS size, source_size, target, (t1 + t2)::BIGINT AS taken,
        round(CASE WHEN slope = 0 THEN u ELSE (sqrt(greatest(0.0, (1 - slope) * (1 - slope) + 4 * slope * u)) - (1 - slope)) / (2 * slope) + 0.0 END, 9) AS position
 FROM due
