@@ -97,3 +97,33 @@ def random_words(n: int, seed: int) -> np.ndarray:
     """n fixed pseudo-random 64-bit words; the first words are the same for every n."""
     with np.errstate(over="ignore"):
         return mix((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed << 32)) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def by_key(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """(key, rows) of each run of rows with the same first n_keys columns; rows come sorted by them."""
+    parts: list[pa.RecordBatch] = []
+    now: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        change = np.zeros(batch.num_rows, bool)
+        change[0] = True
+        for c in batch.columns[:n_keys]:
+            values = c.to_numpy(zero_copy_only=False)
+            change[1:] |= values[1:] != values[:-1]
+        starts = np.flatnonzero(change)
+        for s, e in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            key = tuple(batch.column(k)[int(s)].as_py() for k in range(n_keys))
+            if key != now:
+                if parts:
+                    yield now, pa.Table.from_batches(parts)
+                parts, now = [], key
+            parts.append(batch.slice(int(s), int(e - s)))
+    if parts:
+        yield now, pa.Table.from_batches(parts)
+
+
+def matrix(column: pa.ChunkedArray, dtype) -> np.ndarray:
+    """Rows of equally long binaries as a matrix."""
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), dtype).reshape(len(values), -1)
