@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.chunking import edited_neighbours
 from tessera.llm.histogram import length_histogram
+from tessera.llm.line_align import remove_aligned
 from tessera.llm.mixing import mix
 from tessera.llm.packing import pack_documents
+from tessera.llm.pivots import near_vectors
+from tessera.llm.quality import classify
 from tessera.llm.sharding import shard
 
 
@@ -17,6 +21,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.93)
+
+
 def op2_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_documents(spark, sf_dir), n_shards=40)
 
@@ -25,6 +33,14 @@ def op3_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir), context=2048, end_id=1)
 
 
+def op4_content_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_neighbours(_documents(spark, sf_dir))
+
+
+def op5_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
 
@@ -33,12 +49,22 @@ def op9_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(_documents(spark, sf_dir))
 
 
+def op10_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_aligned(_documents(spark, sf_dir))
+    text = F.coalesce("text", F.lit(""))
+    return out.select("doc_id", "lines_total", "lines_removed", "aligned_with", F.length(text).cast("long").alias("kept_chars"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pivot_permutation": op1_pivot_permutation,
         "op2_balanced_shards": op2_balanced_shards,
         "op3_cutting_stock_packing": op3_cutting_stock_packing,
+        "op4_content_chunks": op4_content_chunks,
+        "op5_quality_trees": op5_quality_trees,
         "op6_curriculum_mix": op6_curriculum_mix,
         "op9_token_histogram": op9_token_histogram,
+        "op10_line_alignment": op10_line_alignment,
     }
 
 
@@ -76,5 +102,25 @@ FROM due
 """
 
 
+#: All pairs of equal label by cosine in double precision, then the least vec_id within reach.
+_OP1 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e,
+         label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+         AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), false)
+         AND coalesce(list_bool_or(list_transform(embedding, lambda x: x <> 0)), false) AS ok
+  FROM embeddings),
+pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+  ON a.ok AND b.ok AND a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(vec_id, r) AS (SELECT vec_id, vec_id FROM v UNION SELECT p.a, reach.r FROM reach JOIN pairs p ON p.b = reach.vec_id),
+comp AS (SELECT vec_id, min(r) AS c FROM reach GROUP BY vec_id),
+deg AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+SELECT v.vec_id, coalesce(d.n, 0) AS n_links, c.c AS component_id, v.vec_id = c.c AS kept
+FROM v JOIN comp c USING (vec_id) LEFT JOIN deg d ON d.a = v.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_curriculum_mix": _OP6}
+    return {"op1_pivot_permutation": _OP1, "op6_curriculum_mix": _OP6}
