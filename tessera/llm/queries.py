@@ -15,6 +15,7 @@ from tessera.llm.packing import pack_documents
 from tessera.llm.pivots import near_vectors
 from tessera.llm.quality import classify
 from tessera.llm.sharding import shard
+from tessera.llm.shingle_join import ngram_groups
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +46,10 @@ def op6_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_groups(_documents(spark, sf_dir), n=5, percent=75)
+
+
 def op9_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(_documents(spark, sf_dir))
 
@@ -63,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_content_chunks": op4_content_chunks,
         "op5_quality_trees": op5_quality_trees,
         "op6_curriculum_mix": op6_curriculum_mix,
+        "op7_ngram_jaccard": op7_ngram_jaccard,
         "op9_token_histogram": op9_token_histogram,
         "op10_line_alignment": op10_line_alignment,
     }
@@ -122,5 +128,23 @@ FROM v JOIN comp c USING (vec_id) LEFT JOIN deg d ON d.a = v.vec_id
 """
 
 
+#: Shingle sets, overlaps by a join on shingles, then the least doc_id within reach.
+_OP7 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g
+  FROM w),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS t FROM s),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.t = b.t AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM s UNION SELECT p.a, reach.r FROM reach JOIN pairs p ON p.b = reach.doc_id),
+comp AS (SELECT doc_id, min(r) AS c FROM reach GROUP BY doc_id)
+SELECT s.doc_id, len(s.g) AS n_shingles, comp.c AS component_id FROM s JOIN comp USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pivot_permutation": _OP1, "op6_curriculum_mix": _OP6}
+    return {"op1_pivot_permutation": _OP1, "op7_ngram_jaccard": _OP7, "op6_curriculum_mix": _OP6}
