@@ -16,6 +16,7 @@ from tessera.llm.pivots import near_vectors
 from tessera.llm.quality import classify
 from tessera.llm.sharding import shard
 from tessera.llm.shingle_join import ngram_groups
+from tessera.llm.suffix import remove_repeats
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +51,11 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_groups(_documents(spark, sf_dir), n=5, percent=75)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(_documents(spark, sf_dir), length=400)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(_documents(spark, sf_dir))
 
@@ -69,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_trees": op5_quality_trees,
         "op6_curriculum_mix": op6_curriculum_mix,
         "op7_ngram_jaccard": op7_ngram_jaccard,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_token_histogram": op9_token_histogram,
         "op10_line_alignment": op10_line_alignment,
     }
