@@ -1,18 +1,46 @@
-"""Corpus pipeline: stages over documents, each one of the training-data operators."""
+"""Corpus pipeline: quality filter, line dedup, near-duplicate removal, source mixing, packing."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from tessera.llm.common import table
+from tessera.llm.line_align import remove_aligned
 from tessera.llm.mixing import curriculum
 from tessera.llm.packing import pack_documents
+from tessera.llm.quality import score, train
+from tessera.llm.shingle_join import ngram_groups
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    docs = docs.select(*COLUMNS)
+    trees = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score(docs, trees).filter("quality_score >= 0.5").select(*COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines aligned with an earlier document go; so does a document of which nothing is left."""
+    out = remove_aligned(docs.select(*COLUMNS))
+    kept = out.filter((F.col("lines_removed") == 0) | (F.length(F.trim("text")) > 0))
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document (the least doc_id) of each group of near duplicates stays; of equal rows one."""
+    docs = docs.select(*COLUMNS)
+    gone = ngram_groups(docs).filter("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti").withColumn("_x", F.xxhash64("text"))
+    equal = Window.partitionBy("doc_id", "_x").orderBy("_x")
+    first = kept.withColumn("_n", F.row_number().over(equal)).filter("_n = 1 or doc_id is null")
+    return first.select(*COLUMNS)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Source weights decide how often a document comes, its schedule where."""
+    """Source weights decide how often a document comes, its source's schedule where."""
     return curriculum(docs.select(*COLUMNS))
 
 
@@ -22,6 +50,9 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
+    ("quality_filter", quality_filter),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
     ("mix_sources", mix_sources),
     ("pack_sequences", pack_sequences),
 ]
