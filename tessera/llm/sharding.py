@@ -46,18 +46,23 @@ def shard(docs: DataFrame, n_shards: int = 40, text: str = "text", doc_id: str =
     base = base.withColumn("_b", F.pmod("_h", F.lit(n_buckets)))
     groups = table(base.filter("_g is not null").groupBy("_g").agg(F.count("*").alias("_members")).filter("_members > 1"), "shard-groups")
     linked = base.join(groups, "_g")
-    lots = _propagate(linked, rows, n_shards, max_rounds or 4 * n_shards + 16)
+    few = max(4, rows // 100_000)  # partitions of tables with a row per group
+    lots = _propagate(linked, rows, n_shards, max_rounds or 4 * n_shards + 16, few)
 
-    # members of a group take the places of its lots in hashed order
+    # members of a group with several lots take their places in hashed order
     ends = Window.partitionBy("_g").orderBy("shard")
-    lots = lots.withColumn("_hi", F.sum("n").over(ends)).select("_g", "shard", (F.col("_hi") - F.col("n")).alias("_lo"), "_hi")
-    settled = lots.groupBy("shard").agg(F.sum(F.col("_hi") - F.col("_lo")).alias("n")).collect()  # a row per shard
+    lots = lots.withColumns({"_hi": F.sum("n").over(ends), "_lots": F.count("*").over(Window.partitionBy("_g"))})
+    lots = table(lots.select("_g", "shard", (F.col("_hi") - F.col("n")).alias("_lo"), "_hi", "_lots").coalesce(few), "shard-lots")
     room = capacities(rows, n_shards)
-    for r in settled:
+    for r in lots.groupBy("shard").agg(F.sum(F.col("_hi") - F.col("_lo")).alias("n")).collect():  # a row per shard
         room[r["shard"]] -= r["n"]
     order = [F.col("_h"), F.col("doc_id"), F.col("size")]
-    ranked = running(linked, ["_g"], "_b", order, {"_rank": F.lit(1)})
-    placed = ranked.join(lots, "_g").filter("_rank >= _lo and _rank < _hi").select("doc_id", "size", "text_crc32", "_h", "_b", "shard")
+    columns = ["doc_id", "size", "text_crc32", "_h", "_b", "shard"]
+    placed = linked.join(lots.filter("_lots = 1"), "_g").select(*columns)
+    divided = lots.filter("_lots > 1")
+    if divided.head(1):
+        ranked = running(linked.join(divided.select("_g").distinct(), "_g"), ["_g"], "_b", order, {"_rank": F.lit(1)})
+        placed = placed.unionByName(ranked.join(divided, "_g").filter("_rank >= _lo and _rank < _hi").select(*columns))
 
     single = base.join(groups, "_g", "left_anti")
     bounds, total = [], 0
@@ -66,40 +71,55 @@ def shard(docs: DataFrame, n_shards: int = 40, text: str = "text", doc_id: str =
         bounds.append(total)
     alone = running(single, [], "_b", order, {"_rank": F.lit(1)})
     filled = alone.withColumn("shard", F.size(F.filter(_longs(bounds), lambda b: b <= F.col("_rank"))))
-    out = table(placed.unionByName(filled.select(*placed.columns)), "shard-placed")
+    out = table(placed.unionByName(filled.select(*columns)).coalesce(2 * few), "shard-placed")
     out = running(out, ["shard"], "_b", order, {"slot": F.lit(1)})
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
-def _propagate(linked: DataFrame, rows: int, n_shards: int, max_rounds: int) -> DataFrame:
+def _propagate(linked: DataFrame, rows: int, n_shards: int, max_rounds: int, few: int) -> DataFrame:
     """Lots (_g, shard, n) that hold all linked documents within the shards' capacities."""
     free = capacities(rows, n_shards)
     # lots not settled yet: the hashed shards are the first labels
-    moving = table(linked.groupBy("_g", F.pmod("_h", F.lit(n_shards)).cast("int").alias("shard")).agg(F.count("*").alias("n")), "shard-lots")
-    done = moving.limit(0)
+    moving = table(linked.groupBy("_g", F.pmod("_h", F.lit(n_shards)).cast("int").alias("shard")).agg(F.count("*").alias("n")).coalesce(few), "shard-labels")
+    done = []
     for k in range(max_rounds):
-        if not moving.head(1):
-            break
         room, most = _longs(free), max(free)
         votes = moving.groupBy("_g").agg(F.collect_list(F.struct("n", (-F.col("shard")).alias("s"))).alias("v"), F.sum("n").alias("m"))  # at most n_shards each
-        need = F.least(F.col("m"), F.lit(most))
-        votes = votes.withColumn("need", need)
+        votes = votes.withColumn("need", F.least(F.col("m"), F.lit(most)))
         best = F.array_max(F.filter("v", lambda x: F.get(room, -x["s"]) >= F.col("need")))
         others = F.filter(F.sequence(F.lit(0), F.lit(n_shards - 1)), lambda s: F.get(room, s) >= F.col("need"))
         any_other = F.get(others, F.pmod(F.xxhash64("_g", F.lit(k)), F.size(others).cast("long")).cast("int"))
-        wants = votes.withColumn("target", F.coalesce(-best["s"], any_other))
-        # quotas: in each target, larger groups first
-        wants = wants.withColumns({"_h": F.xxhash64("_g"), "_p": (F.lit(63) - F.floor(F.log2("m")).cast("long")) * 256 + F.pmod(F.xxhash64("_g"), F.lit(256))})
-        asked = running(table(wants.select("_g", "m", "need", "target", "_h", "_p"), "shard-wants"), ["target"], "_p", [F.desc("m"), F.col("_h"), F.col("_g")], {"_before": F.col("need")})
-        fits = F.get(room, F.col("target")) - F.col("_before")
-        got = F.when(fits >= F.col("need"), F.col("need")).otherwise(F.lit(0))
-        asked = table(asked.select("_g", "m", "target", got.alias("got")), "shard-moves")
-        admitted = asked.filter("got > 0").select("_g", F.col("target").cast("int").alias("shard"), F.col("got").alias("n"))
-        done = done.unionByName(admitted)
-        for r in admitted.groupBy("shard").agg(F.sum("n").alias("n")).collect():  # a row per shard
-            free[r["shard"]] -= r["n"]
-        # what a group could not place keeps the label it asked for, or the next free one
-        moving = asked.filter("m > got").select("_g", F.col("target").cast("int").alias("shard"), (F.col("m") - F.col("got")).alias("n"))
+        # larger groups come first: a class of sizes, then a hash
+        first = (F.lit(63) - F.floor(F.log2("m")).cast("int")) * 16 + F.pmod(F.xxhash64("_g", F.lit(1)), F.lit(16)).cast("int")
+        asked = table(votes.select("_g", "m", "need", F.coalesce(-best["s"], any_other).cast("int").alias("shard"), first.alias("_p")).coalesce(few), "shard-wants")
+        wanted = asked.groupBy("shard", "_p").agg(F.sum("need").alias("n")).orderBy("shard", "_p").collect()  # at most 1024 rows per shard
+        if not wanted:
+            break
+        until, left, full = [0] * n_shards, list(free), set()
+        for r in wanted:  # whole classes in order, as far as the quota goes
+            s = r["shard"]
+            if s not in full and r["n"] <= left[s]:
+                until[s], left[s] = r["_p"] + 1, left[s] - r["n"]
+            else:
+                full.add(s)
+        got = F.when(F.col("_p") < F.get(_longs(until), F.col("shard")), F.col("need")).otherwise(F.lit(0))
+        if left == free:  # not even a first class fits: group by group
+            asked = running(asked.withColumn("_h", F.xxhash64("_g")), ["shard"], "_p", [F.desc("m"), F.col("_h"), F.col("_g")], {"_before": F.col("need")})
+            got = F.when(F.col("_before") + F.col("need") <= F.get(room, F.col("shard")), F.col("need")).otherwise(F.lit(0))
+            asked = table(asked.withColumn("got", got).coalesce(few), "shard-moves")
+            got = F.col("got")
+            left = list(free)
+            for r in asked.groupBy("shard").agg(F.sum("got").alias("n")).collect():
+                left[r["shard"]] -= r["n"]
+        free = left
+        done.append(asked.filter(got > 0).select("_g", "shard", got.alias("n")))
+        # what a group could not place keeps the label it asked for
+        moving = asked.filter(F.col("m") > got).select("_g", "shard", (F.col("m") - got).alias("n"))
     else:
         raise RuntimeError("label propagation did not settle")
-    return table(done.groupBy("_g", "shard").agg(F.sum("n").alias("n")), "shard-settled")
+    if not done:
+        return moving
+    settled = done[0]
+    for d in done[1:]:
+        settled = settled.unionByName(d)
+    return settled.groupBy("_g", "shard").agg(F.sum("n").alias("n"))
