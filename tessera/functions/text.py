@@ -132,8 +132,8 @@ def snippet(lines: Column, start: Column, end: Column, most: int) -> Column:
 def fnv64(data: Column) -> Column:
     """FNV-1a of the bytes, as the signed 64-bit pattern; the state is two 32-bit halves, which never overflow."""
     digits = F.hex(data.cast("binary"))
-    places = F.sequence(F.lit(0), F.length(digits) / F.lit(2) - F.lit(1))
-    octets = F.when(F.length(digits) > 0, F.transform(places.cast("array<int>"), lambda i: F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("long"))).otherwise(F.array().cast("array<long>"))
+    places = F.sequence(F.lit(0), F.shiftright(F.length(digits), 1) - F.lit(1))
+    octets = F.when(F.length(digits) > 0, F.transform(places, lambda i: F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("long"))).otherwise(F.array().cast("array<long>"))
     start = F.struct(F.lit(0xCBF29CE4).cast("long").alias("hi"), F.lit(0x84222325).cast("long").alias("lo"))
 
     def step(s: Column, x: Column) -> Column:
