@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.config import SCHEMA_VERSION, EngineConfig
-from tessera.functions.text import fnv64, normalize_newlines
 from tessera.operators import fetch as fetching
 from tessera.operators import search as searching
+from tessera.operators.hashing import fnv64_bulk
 from tessera.operators.index import Index, assemble, load_index, load_meta, tokenized, write_index
 from tessera.operators.paths import indexable
 from tessera.plans.rules import EffectiveRules, config_hash, effective_rules
@@ -109,7 +109,7 @@ class Engine:
         kept = None
         if meta and not full and not purges(plan["why"]) and os.path.isdir(meta["version"] + "-tokens"):
             old = self.spark.read.parquet(meta["version"] + "-tokens")
-            hashed = files.withColumn("_h", fnv64(normalize_newlines(F.col("content"))))
+            hashed = fnv64_bulk(files).withColumnRenamed("hash64", "_h")
             same = (hashed["path"] == old["path"]) & (hashed["_h"] == old["hash64"])
             kept = old.join(hashed.select("path", F.col("_h").alias("hash64"), F.col("mtime").alias("_m"), F.col("size").alias("_s")), ["path", "hash64"])
             kept = kept.select("path", F.col("_m").alias("mtime"), F.col("_s").alias("size"), "hash64", "chunks")

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.config import SCHEMA_VERSION, EngineConfig
-from tessera.functions.text import fnv64, normalize_newlines, path_tokens, snippet, split_lines, text_tokens
+from tessera.functions.text import normalize_newlines, path_tokens, snippet, split_lines, text_tokens
 from tessera.operators.chunk import chunk_ranges
+from tessera.operators.hashing import fnv64_bulk
 
 
 @dataclass(frozen=True)
@@ -23,14 +24,28 @@ class Index:
     terms: DataFrame  # term, df, offset
 
 
+#: Rows of a range that is numbered in one task, ranges at most, and keys sampled for their bounds.
+RANGE_ROWS, MAX_RANGES, SAMPLED = 200_000, 1024, 20_000
+
+
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """rows with a dense 1-based number in the given order, without one task that sees all rows.
 
-    Rows are range-partitioned and numbered inside their partition; the counts of the partitions before are added.
+    Rows fall into ranges of the first column, are numbered inside their range, and the counts of the ranges before
+    are added. The bounds are values in the plan (from a sample of the keys by hash), so every evaluation sees the same
+    ranges, which a range partitioner's own sampling does not promise.
     """
-    ranged = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    key = F.col(order[0])
+    n = rows.count()
+    bounds: list = []
+    if n > RANGE_ROWS:
+        sample = rows.select(key.alias("k")).filter(F.pmod(F.xxhash64("k"), F.lit(max(1, n // SAMPLED))) == 0).distinct().limit(4 * SAMPLED).collect()
+        keys, ranges = sorted((r["k"] for r in sample), key=lambda k: k.encode()), min(MAX_RANGES, n // RANGE_ROWS + 1)
+        bounds = sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)}, key=lambda k: k.encode()) if keys else []
+    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= key)) if bounds else F.lit(0)
+    ranged = rows.withColumn("_part", part)
     inside = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    counts = inside.groupBy("_part").agg(F.count("*").alias("_n"))  # a row per partition
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # a row per range
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     return inside.join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_in") + F.col("_off")).cast("long")).drop("_part", "_in", "_off")
@@ -42,7 +57,8 @@ def tokenized(files: DataFrame, config: EngineConfig, content: str = "content")
     String literals are recognised over the whole file, tokens are those of a chunk's lines and of the path.
     """
     clean = normalize_newlines(F.col(content))
-    joined = files.join(chunk_ranges(files, config.chunk, content), "path").withColumns({"_lines": split_lines(clean), "_code": split_lines(clean if config.token.string_literals else _keep_lines(clean))})
+    hashes = fnv64_bulk(files.select("path", content), content).select("path", "hash64")
+    joined = files.join(chunk_ranges(files, config.chunk, content), "path").join(hashes, "path").withColumns({"_lines": split_lines(clean), "_code": split_lines(clean if config.token.string_literals else _keep_lines(clean))})
 
     def described(c: Column) -> Column:
         n = c["end"] - c["start"] + 1
@@ -50,7 +66,7 @@ def tokenized(files: DataFrame, config: EngineConfig, content: str = "content")
         tokens = F.array_sort(F.array_union(text_tokens(text, _literal_free(config)), path_tokens(F.col("path"), config.token)))
         return F.struct(c["start"].alias("start_line"), c["end"].alias("end_line"), snippet(F.col("_lines"), c["start"], c["end"], config.max_snippet_bytes).alias("snippet"), tokens.alias("tokens"))
 
-    return joined.select("path", "mtime", "size", fnv64(clean).alias("hash64"), F.transform("chunks", described).alias("chunks"))
+    return joined.select("path", "mtime", "size", "hash64", F.transform("chunks", described).alias("chunks"))
 
 
 def _literal_free(config: EngineConfig):
@@ -69,6 +85,12 @@ def _keep_lines(text: Column) -> Column:
 _TOKEN_OR_LITERAL = "(?s)" + "|".join(f"{q}[^{q}\\\\]*+(?:\\\\.[^{q}\\\\]*+)*+(?:{q}|\\\\?\\z)" for q in ("'", '"', "`")) + "|[^'\"`]++"
 
 
+def saved(tokens: DataFrame, path: str) -> DataFrame:
+    """tokens written to path and read back, so that the tables made from them don't cut the files again."""
+    tokens.write.parquet(path)
+    return tokens.sparkSession.read.schema(tokens.schema).parquet(path)
+
+
 def assemble(tokens: DataFrame) -> Index:
     """Ids by path, chunks by path and ordinal, postings and the term dictionary."""
     files = numbered(tokens.select("path", "mtime", "size", "hash64"), ["path"], "file_id")

@@ -43,7 +43,7 @@ def within_size(size: Column, limit: int) -> Column:
 
 
 def looks_binary(content: Column, sample: int = 4096) -> Column:
-    """Whether the first bytes hold a zero byte or are not valid UTF-8 (a character cut at the end is not)."""
+    """Whether the first bytes hold a zero byte or are not valid UTF-8; a character cut by the sample's end counts as invalid."""
     head = F.substring(content.cast("binary"), 1, sample).cast("string")
     return ~F.is_valid_utf8(head) | (F.instr(head, "\0") > 0)
 

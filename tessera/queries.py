@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -141,7 +143,11 @@ def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RULES = effective_rules(EngineConfig(), True, True, ("!build/keep.ts",))
 
 
-@_register("scan_corpus", f"SELECT path, octet_length(encode(content)) AS size, md5({_NL}) AS digest FROM ({_CODE}) WHERE octet_length(encode(content)) <= 1048576")
+# a zero byte in the first 4096, or a character that they cut
+_BINARY = "(contains(content, chr(0)) AND octet_length(encode(string_split(content, chr(0))[1])) < 4096 OR hex(encode(content)[4097:4097]) BETWEEN '80' AND 'BF')"
+
+
+@_register("scan_corpus", f"SELECT path, octet_length(encode(content)) AS size, md5({_NL}) AS digest FROM ({_CODE}) WHERE octet_length(encode(content)) <= 1048576 AND NOT {_BINARY}")
 def scan_corpus(spark, sf_dir):
     kept = scan.apply_filters(_code(spark, sf_dir), EngineConfig(), _RULES)
     return kept.select("path", "size", F.md5(T.normalize_newlines(F.col("content")).cast("binary")).alias("digest"))
@@ -167,7 +173,7 @@ def filter_size(spark, sf_dir):
     return _code(spark, sf_dir).filter(P.within_size(F.col("size"), 2000)).select("path", "size")
 
 
-@_register("filter_binary_sniff")
+@_register("filter_binary_sniff", f"SELECT path, {_BINARY} AS is_binary FROM ({_CODE})")
 def filter_binary_sniff(spark, sf_dir):
     return _code(spark, sf_dir).select("path", P.looks_binary(F.col("content")).alias("is_binary"))
 
@@ -441,18 +447,19 @@ def index_counts(spark, sf_dir):
 
 
 def _index(spark: SparkSession, sf_dir: str) -> I.Index:
-    """The index of the documents, cut by lines only where they are very long."""
+    """The index of the documents, each one chunk; tokens are written once and every table is made from them."""
     config = replace(EngineConfig(), token=TOKENS, chunk=ChunkConfig(1 << 30, 0, 1))
-    return I.assemble(I.tokenized(_files(spark, sf_dir), config))
+    return I.assemble(I.saved(I.tokenized(_files(spark, sf_dir), config), f"{_shared(spark)}/tokens-{uuid.uuid4().hex}"))
+
+
+def _shared(spark: SparkSession) -> str:
+    """The cluster's shared folder; a temporary one only where the session names none (tests)."""
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
 
 
 @_register("load_index_roundtrip", f"WITH {_CORPUS} SELECT term, chunk_id FROM postings")
 def load_index_roundtrip(spark, sf_dir):
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    root = f"{base}/index-{uuid.uuid4().hex}"
+    root = f"{_shared(spark)}/index-{uuid.uuid4().hex}"
     I.write_index(_index(spark, sf_dir), root)
     return I.load_index(spark, root).postings
 

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import os
 import subprocess
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,24 +126,6 @@ def paths_frame(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.createDataFrame([(p,) for p in paths], "path string")
 
 
-def fnv64_bulk(files: DataFrame, content: str = "content") -> DataFrame:
-    """files with hash64 of the normalised content, hashed in Arrow batches (for large files)."""
-    from tessera.plans.rules import fnv64_bytes
-
-    names = files.columns
-    at = names.index(content)
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = [fnv64_bytes((v.encode() if isinstance(v, str) else v or b"").replace(b"\r\n", b"\n").replace(b"\r", b"\n")) for v in batch.column(at).to_pylist()]
-            signed = pa.array([v - (1 << 64) if v >> 63 else v for v in values], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, signed], [*names, "hash64"])
-
-    from pyspark.sql.types import LongType, StructType
-
-    return files.mapInArrow(apply, StructType(files.schema.fields[:]).add("hash64", LongType()))
-
-
 def inside(root: str, path: str) -> bool:
     """Whether a relative path, links resolved, stays below root (local trees)."""
     base = os.path.realpath(root)
