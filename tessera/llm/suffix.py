@@ -4,7 +4,9 @@
    anchor. Consecutive strings with one anchor form a region; equal strings have equal anchors at equal places, so they
    lie in regions with equal anchor hashes. An anchor that occurs once holds no repeated string.
 2. Regions that occur in whole more than once are removed in whole; of each kind one stands for the others.
-3. Different regions with the same anchor hash meet in a shard. A shard's suffix array is made by induced sorting:
+3. An equal string reaches half its remaining bytes to the left or to the right of the anchor, so a region that shares
+   neither context with a different region of its anchor has no string of the others. Different regions with the same
+   anchor hash and a shared context meet in a shard. A shard's suffix array is made by induced sorting:
    suffixes are classified, the leftmost-smaller (LMS) substrings are sorted by two inducing sweeps and named, the
    string of names is sorted recursively, and two more sweeps induce the array from the sorted LMS suffixes. Its
    permuted common prefixes show the strings that start at two places.
@@ -13,13 +15,13 @@ Sweeps run in numpy over stretches of the array whose results don't depend on ea
 different regions is split by the strings' offset to it and by the bytes they have in common, so no shard holds them
 all. Strings are judged on the input; spans overlap freely and never cross documents.
 
-Null texts are empty, null ids are ids of their own; equal rows are two documents. An empty table gives no rows. Other
+Ids are integers. Null texts are empty, null ids are ids of their own; equal rows are two documents. An empty table gives no rows. Other
 columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -217,40 +219,86 @@ def _regions(raw: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tupl
         yield doc[first], start[first], start[last] + length, anchor[first] + p, h[anchor[first]]
 
 
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _window_hashes(raw: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function that gives 32-bit hashes of raw[low:high], from prefix sums of a polynomial."""
+    n = len(raw)
+    power = lambda b: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, b, np.uint64)]))
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power(_BASE)[:n])])
+        inverse = power(_INVERSE)
+
+    def of(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (mix((sums[high] - sums[low]) * inverse[low]) >> np.uint64(32)).astype(np.int64)
+
+    return of
+
+
 def _anchored(docs: DataFrame, length: int) -> DataFrame:
-    """id, x, start, end, anchor (in the document), h, digest of every region."""
+    """id, x, start, end, anchor (in the document), h, digest of every region; left, right: hashes of the anchor with its contexts."""
+    half = -(-(length - GRAM) // 2)
+
+    def context(of, low: np.ndarray, high: np.ndarray, has: np.ndarray) -> pa.Array:
+        found = of(np.where(has, low, 0), np.where(has, high, 0)).astype(np.uint32).view(np.int32)
+        return pa.array(found, mask=~has)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, raw, offsets in text_slices(batch.column(2)):
+                of = _window_hashes(raw)
                 for doc, start, end, anchor, h in _regions(raw, offsets, length):
                     base, view = offsets[doc], memoryview(np.ascontiguousarray(raw))
                     digest = np.array([xxhash.xxh3_64_intdigest(view[s:e]) for s, e in zip(start.tolist(), end.tolist(), strict=True)], np.uint64)
                     take = pa.array(doc + i)
+                    left = context(of, anchor - half, anchor + GRAM, start <= anchor - half)
+                    right = context(of, anchor, anchor + GRAM + half, end >= anchor + GRAM + half)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(take), batch.column(1).take(take), *(pa.array(v - base, pa.int32()) for v in (start, end, anchor)), pa.array(h.view(np.int64)), pa.array(digest.view(np.int64))],
-                        ["id", "x", "start", "end", "anchor", "h", "digest"],
+                        [batch.column(0).take(take), batch.column(1).take(take), *(pa.array(v - base, pa.int32()) for v in (start, end, anchor)), pa.array(h.view(np.int64)), pa.array(digest.view(np.int64)), left, right],
+                        ["id", "x", "start", "end", "anchor", "h", "digest", "left", "right"],
                     )
 
-    return docs.filter(F.octet_length("_t") >= length).select("id", "x", "_t").mapInArrow(scan, "id long, x long, start int, end int, anchor int, h long, digest long")
+    return docs.filter(F.octet_length("_t") >= length).select("id", "x", "_t").mapInArrow(scan, "id long, x long, start int, end int, anchor int, h long, digest long, left int, right int")
+
+
+def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """id, x (xxhash64 of the text), _t. Both joins of texts shuffle exactly this, so one shuffle serves both."""
+    return docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("x"), F.col(text).alias("_t"))
+
+
+def _with_text(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("x") == F.col("_x"))
+    return docs.join(rows.withColumnsRenamed({"id": "_id", "x": "_x"}), same, how)
+
+
+def _sharing_context(meet: DataFrame) -> DataFrame:
+    """The rows of meet whose left or right context another one with the same anchor has."""
+    sides = F.array_compact(F.array(F.col("left").cast("long"), F.col("right").cast("long") + (1 << 33)))
+    keys = meet.select("h", "digest", F.explode(sides).alias("side"))
+    twice = keys.groupBy("h", "side").agg(F.count("*").alias("_n")).filter("_n > 1").select("h", "side")
+    return meet.join(keys.join(twice, ["h", "side"]).select("h", "digest").distinct(), ["h", "digest"], "left_semi")
 
 
 def repeated_spans(docs: DataFrame, length: int = 400, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """id, x (xxhash64 of the text), start, end: byte spans that cover all repeated strings; they can overlap."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("x"), F.col(text).alias("_t"))
+    docs = _keyed(docs, text, doc_id)
     regions = table(_anchored(docs, length), "regions")
-    kinds = regions.groupBy("h", "digest").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull().alias("z"), "id", "x", "start", "end", "anchor")).alias("r"))
-    kinds = table(kinds, "region-kinds")
+    row = F.struct(F.col("id").isNull().alias("z"), "id", "x", "start", "end", "anchor", "left", "right")
+    kinds = table(regions.groupBy("h", "digest").agg(F.count("*").alias("n"), F.min(row).alias("r")), "region-kinds")
     anchors = kinds.groupBy("h").agg(F.sum("n").alias("total"), F.count("*").alias("different")).filter("total > 1")
     known = table(kinds.join(anchors, "h"), "repeated-anchors")
     whole = regions.join(known.filter("n > 1").select("h", "digest"), ["h", "digest"], "left_semi").select("id", "x", "start", "end")
-    meet = known.filter("different > 1").select("h", "different", "r.*").drop("z")
+    meet = known.filter("different > 1").select("h", "digest", "different", "r.*").drop("z")
+    meet = table(_sharing_context(meet).drop("digest", "left", "right"), "meeting-regions")
     total = meet.agg(F.sum(F.col("end") - F.col("start")).alias("s")).head()["s"] or 0
     shards = max(1, int(total) // SHARD_BYTES)
 
     # bytes of the regions that meet others; those of a crowded anchor in parts
     of_doc = meet.groupBy("id", "x").agg(F.collect_list(F.struct("h", "different", "start", "end", "anchor")).alias("_r"))  # a document's own regions
-    cut = docs.withColumnsRenamed({"id": "_id", "x": "_x"}).join(of_doc, F.col("id").eqNullSafe(F.col("_id")) & (F.col("x") == F.col("_x"))).select("id", "x", F.col("_t").cast("binary").alias("_t"), F.explode("_r").alias("_r")).select("id", "x", "_t", "_r.*")
+    cut = _with_text(docs, of_doc, "inner").select("id", "x", F.col("_t").cast("binary").alias("_t"), F.explode("_r").alias("_r")).select("id", "x", "_t", "_r.*")
     last_offset = F.col("anchor") - F.col("start")
     first_offset = F.greatest(F.lit(0), F.col("anchor") - F.col("end") + length)
     part = F.when(F.col("different") <= MANY, F.array(F.lit(-1))).otherwise(F.sequence(F.floor(first_offset / PART).cast("int"), F.floor(last_offset / PART).cast("int")))
@@ -283,9 +331,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, text: str = "text", doc_i
 def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary: the remaining bytes)."""
     spans = repeated_spans(docs, length, text, doc_id).groupBy("id", "x").agg(F.collect_list(F.struct("start", "end")).alias("_s"))  # a document's own spans
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_id).cast("long").alias("_id"), F.xxhash64(text).alias("_x"), F.col(text).alias("_t"))
-    joined = rows.join(spans, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_x") == F.col("x")), "left").select("doc_id", F.coalesce(F.col("_t"), F.lit("")).cast("binary").alias("_t"), F.col("_s.start").alias("_a"), F.col("_s.end").alias("_b"))
-    kind = dict(rows.dtypes)["doc_id"]
+    kind = dict(docs.select(F.col(doc_id).alias("doc_id")).dtypes)["doc_id"]
+    joined = _with_text(_keyed(docs, text, doc_id), spans, "left").select(F.col("id").cast(kind).alias("doc_id"), F.coalesce(F.col("_t"), F.lit("")).cast("binary").alias("_t"), F.col("_s.start").alias("_a"), F.col("_s.end").alias("_b"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
