@@ -10,21 +10,22 @@ percent * union, so a set of size s needs at least T(s) = ceil(percent * s / 100
    sent once, so a frequent shingle does not gather its documents in a bucket.
 3. The remaining sets are ordered rarest shingle first. Each inverted list of their short prefixes gathers around its
    least document; a group is the documents that meet at one such leader, dealt to blocks of bounded size.
-4. In a block, members are verified against the leader; only for those that do not link with it the T-occurrence search runs: lists of the block's inverted index are
-   divided, the longest L = T / (0.0085 log2(longest) + 1) are set aside, the short ones are merged (numpy's
-   run-merging sort of the concatenated sorted lists stands in for a heap), candidates with T - L hits are probed in
-   the long lists by binary search, and those that reach the exact overlap link. Documents of large groups that do not
+4. In a block, members are verified against the leader; only for those that do not link with it the T-occurrence search
+   runs: lists of the block's inverted index are divided, the longest L = T / (0.0085 log2(longest) + 1) are set aside,
+   the short ones are merged (numpy's run-merging sort of the concatenated sorted lists stands in for a heap),
+   candidates with T - L hits are probed in the long lists by binary search, and those that reach the exact overlap link. Documents of large groups that do not
    link with the leader are searched in the group's other blocks too.
 
-Blocks give links, never all pairs of a group: a member linked with the leader needs no further link to be in its
-component. Null texts, empty texts and texts without words have no set and link with nothing; null ids likewise. Equal
+Blocks give a spanning tree of the links they find, never all pairs of a group: a member linked with the leader needs
+no further link to be in its component. Null texts, empty texts and texts without words have no set and link with nothing; null ids likewise. Equal
 rows are members of a class each. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -220,6 +221,23 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * c >= percent * (len(a) + len(b) - c)
 
 
+def _trees(n: int, pairs: Iterable[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """(roots, members) of the components of n things with more than one member: one link for each member but the root."""
+    parent = list(range(n))
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    members = [k for k in range(n) if parent[k] != k]
+    return [root(k) for k in members], members
+
+
 def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
     c = column.combine_chunks()
     c = c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
@@ -241,23 +259,15 @@ def _group_links(members: DataFrame, percent: int, block: int) -> DataFrame:
             rep, arrays = rows.column("rep").to_numpy(), _lists(rows.column("toks"))
             if len(rep) < 2:
                 continue
-            ones, others, lone = [], [], []
-            for k in range(1, len(rep)):
-                if _linked(arrays[0], arrays[k], percent):
-                    ones.append(leader)
-                    others.append(rep[k])
-                else:
-                    lone.append(k)
+            close = [k for k in range(1, len(rep)) if _linked(arrays[0], arrays[k], percent)]
+            lone = sorted(set(range(1, len(rep))) - set(close))
+            pairs = [(0, k) for k in close]
             if lone and len(rep) > 2:
                 index = _index(arrays)
-                for k in lone:
-                    for m in t_occurrence(arrays[k], *index, percent):
-                        if m != k:
-                            ones.append(rep[k])
-                            others.append(rep[m])
-            kinds = [b] * len(ones)
+                pairs = chain(pairs, ((k, m) for k in lone for m in t_occurrence(arrays[k], *index, percent).tolist()))
+            roots, members = _trees(len(rep), pairs)
             far = lone if rows.column("_g")[0].as_py() > 1 else []
-            ones, others, kinds = [*ones, *([leader] * len(far))], [*others, *rep[far]], [*(-1 for _ in kinds), *([b] * len(far))]
+            ones, others, kinds = [*rep[roots], *([leader] * len(far))], [*rep[members], *rep[far]], [*([-1] * len(roots)), *([b] * len(far))]
             yield pa.RecordBatch.from_arrays([pa.array(ones, pa.int64()), pa.array(others, pa.int64()), pa.array(kinds, pa.int32())], ["a", "b", "block"])
 
     found = table(blocks.mapInArrow(star, "a long, b long, block int"), "star-links")
@@ -278,8 +288,8 @@ def _group_links(members: DataFrame, percent: int, block: int) -> DataFrame:
             if not len(there):
                 continue
             index = _index([arrays[k] for k in there])
-            pairs = [(rep[k], rep[there[m]]) for k in np.flatnonzero(~own) for m in t_occurrence(arrays[k], *index, percent)]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+            roots, members = _trees(len(rep), ((k, int(there[m])) for k in np.flatnonzero(~own).tolist() for m in t_occurrence(arrays[k], *index, percent)))
+            yield pa.RecordBatch.from_arrays([pa.array(rep[roots], pa.int64()), pa.array(rep[members], pa.int64())], ["a", "b"])
 
     return links.unionByName(cells.mapInArrow(across, "a long, b long"))
 
