@@ -25,7 +25,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines aligned with an earlier document go; so does a document of which nothing is left."""
     out = remove_aligned(docs.select(*COLUMNS))
-    kept = out.filter((F.col("lines_removed") == 0) | (F.length(F.trim("text")) > 0))
+    kept = out.filter((F.col("lines_removed") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
