@@ -101,7 +101,7 @@ def curriculum(docs: DataFrame, text: str = "text", source: str = "source", doc_
     mixed = mix(docs, text=text, source=source, doc_id=doc_id, **options)
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + F.lit(0.5))).otherwise(F.lit(0))
     # repeated ids must not multiply each other's rows: tied rows are told apart by their number
-    passes = mixed.select(F.col("doc_id").alias("_id"), "size", F.slice("passes", F.lit(1), copies.cast("int")).alias("_p"))
+    passes = mixed.select(F.col("doc_id").alias("_id"), F.col("size").alias("_words"), F.slice("passes", F.lit(1), copies.cast("int")).alias("_p"))
     return _with_passes(docs, passes, text, doc_id)
 
 
@@ -111,7 +111,7 @@ def _with_passes(docs: DataFrame, passes: DataFrame, text: str, doc_id: str) ->
     columns = docs.columns
     left = docs.withColumns({"_size": words(F.col(text))})
     left = left.withColumn("_n", F.row_number().over(Window.partitionBy(doc_id, "_size").orderBy(F.lit(0))))
-    right = passes.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "size").orderBy(F.lit(0))))
-    joined = left.join(right, left[doc_id].eqNullSafe(right["_id"]) & (left["_size"] == right["size"]) & (left["_n"] == right["_n"]))
+    right = passes.withColumn("_m", F.row_number().over(Window.partitionBy("_id", "_words").orderBy(F.lit(0))))
+    joined = left.join(right, F.col(f"`{doc_id}`").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_words")) & (F.col("_n") == F.col("_m")))
     out = joined.withColumn("_pass", F.explode("_p")).orderBy("_pass", doc_id)
     return out.select(*[F.col(f"`{c}`") for c in columns])
