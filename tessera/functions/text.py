@@ -12,8 +12,8 @@ from tessera.config import TokenConfig
 _SEPARATORS = "[^\\p{L}\\p{Nd}]+"
 _SPACE = "[\\s\\p{Z}\\x85]+"
 _LITERALS = "(?s)" + "|".join(f"{q}[^{q}\\\\]*+(?:\\\\.[^{q}\\\\]*+)*+(?:{q}|\\\\?\\z)" for q in ("'", '"', "`"))
-#: Places where an identifier is cut, in order of application.
-_CUTS = ("(\\p{Nd})([^\\p{Nd}])", "([^\\p{Nd}])(\\p{Nd})", "(\\p{Ll})(\\p{Lu})", "(\\p{Lu})(\\p{Lu}\\p{Ll})")
+#: Separators, and places inside a word where an identifier is cut: around digits and at camel-case humps.
+_CUTS = _SEPARATORS + "|(?<=\\p{Nd})(?=\\p{L})|(?<=\\p{L})(?=\\p{Nd})|(?<=\\p{Ll})(?=\\p{Lu})|(?<=\\p{Lu})(?=\\p{Lu}\\p{Ll})"
 
 
 def normalize_newlines(text: Column) -> Column:
@@ -42,9 +42,7 @@ def raw_words(text: Column) -> Column:
 
 def identifiers(text: Column) -> Column:
     """Words cut at digits and at camel-case humps."""
-    for cut in _CUTS:
-        text = F.regexp_replace(text, cut, "$1 $2")
-    return raw_words(text)
+    return F.filter(F.split(text, _CUTS), lambda x: x != "")
 
 
 def keep_token(token: Column, config: TokenConfig) -> Column:
@@ -60,8 +58,8 @@ def keep_token(token: Column, config: TokenConfig) -> Column:
 
 def normalize_tokens(tokens: Column, config: TokenConfig) -> Column:
     """Lower-cased, filtered, distinct and sorted by bytes."""
-    lowered = F.transform(tokens, lambda x: F.lower(x))
-    return F.array_sort(F.array_distinct(F.filter(lowered, lambda x: keep_token(x, config))))
+    lowered = F.array_distinct(F.transform(F.array_distinct(tokens), lambda x: F.lower(x)))
+    return F.array_sort(F.filter(lowered, lambda x: keep_token(x, config)))
 
 
 def text_tokens(text: Column, config: TokenConfig) -> Column:
