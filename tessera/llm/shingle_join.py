@@ -36,8 +36,9 @@ from tessera.llm.common import by_key, mix, table, text_slices
 from tessera.llm.components import components
 from tessera.llm.kernels import shingles
 
-#: Postings that a task packs at once, and aims at for a bucket.
-FLUSH, PER_BUCKET = 1_000_000, 500_000
+#: Postings that a task packs at once, and aims at for a bucket. Of fewer buckets a class would meet others several
+#: times in one, and its rows would grow with the number of buckets.
+FLUSH, PER_BUCKET, LEAST_BUCKETS = 1_000_000, 500_000, 512
 #: Documents of a block.
 BLOCK = 1500
 _D1, _D2 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -299,7 +300,7 @@ def ngram_groups(docs: DataFrame, n: int = 5, percent: int = 75, text: str = "te
     every = table(sets(docs, n, text, doc_id), "sets")
     classes = table(every.filter("size > 0 and doc_id is not null").groupBy("size", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult")), "set-classes")
     sums = classes.agg(F.sum(F.col("size") * F.col("mult")).alias("s")).head()["s"] or 0
-    n_buckets = 1 << min(20, max(4, (int(sums) * 3 // 8 // PER_BUCKET).bit_length()))
+    n_buckets = max(LEAST_BUCKETS, 1 << min(20, (int(sums) * 3 // 8 // PER_BUCKET).bit_length()))
     met = _meetings(docs, n, percent, n_buckets, text)
     partner = F.floor((F.lit(percent) * F.col("size") + 99) / 100)  # the least size of a partner
     alive = classes.join(met, classes["d1"] == met["cls"]).filter(F.col("n") >= F.greatest(F.lit(1), F.floor(partner / 8)))
