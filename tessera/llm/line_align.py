@@ -1,9 +1,8 @@
 """Line dedup by pairwise alignment.
 
-Documents overlap when they share a rare line: a line that is not blank and either occurs in at most `max_df`
-documents or is among the document's `least` rarest lines (so groups of near copies, whose lines are all frequent,
-are found too). Every rare line pairs a document with the first document (least doc_id) that has the line, which
-is linear in the lines however many documents share one, and leaves no later occurrence without an earlier partner.
+Documents overlap when they share a line that is not blank. Every shared line, however many documents have it, pairs a
+document with the first document (least doc_id) that has the line, which is linear in the lines and leaves no later
+occurrence without an earlier partner.
 Pairs are aligned by patience diff over line hashes; aligned blocks of consecutive lines with at least `min_chars`
 characters are deleted from the later document; a copy of the earlier document goes whole. All decisions are taken on the input texts.
 
@@ -19,7 +18,7 @@ from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table
@@ -90,7 +89,7 @@ def removable(a: Sequence[int], b: Sequence[int], sizes: Sequence[int], min_char
     return out
 
 
-def removals(docs: DataFrame, max_df: int = 100, least: int = 3, min_chars: int = 50, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def removals(docs: DataFrame, min_chars: int = 50, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """_id, _x (xxhash64 of the text), _lines (places of deleted lines), _partners (earlier documents aligned with deletions)."""
     kind = dict(docs.select(F.col(doc_id)).dtypes)[doc_id]
     lines = F.split(F.col("_t"), "\n", -1)
@@ -105,11 +104,9 @@ def removals(docs: DataFrame, max_df: int = 100, least: int = 3, min_chars: int
     base = table(base, "lines")
     hashes = F.array_distinct(F.transform(F.filter(F.arrays_zip("_h", "_full"), lambda z: z["_full"]), lambda z: z["_h"]))
     own = base.select("_id", "_x", F.explode(hashes).alias("_line"))
-    shared = own.groupBy("_line").agg(F.count("*").alias("_df"), F.min(F.struct("_id", "_x")).alias("_first")).filter("_df > 1")
-    known = own.join(shared, "_line", "left")
-    by_rarity = Window.partitionBy("_id", "_x").orderBy(F.coalesce("_df", F.lit(1)), "_line")
-    rare = known.withColumn("_rank", F.row_number().over(by_rarity)).filter((F.col("_df") <= max_df) | (F.col("_rank") <= least))
-    pairs = rare.filter(F.col("_first._id") < F.col("_id")).select("_id", "_x", F.col("_first._id").alias("_fid"), F.col("_first._x").alias("_fx")).distinct()
+    first = own.groupBy("_line").agg(F.count("*").alias("_df"), F.min(F.struct("_id", "_x")).alias("_first")).filter("_df > 1")
+    met = own.join(first, "_line").filter(F.col("_first._id") < F.col("_id"))
+    pairs = met.select("_id", "_x", F.col("_first._id").alias("_fid"), F.col("_first._x").alias("_fx")).distinct()
     content = base.select("_id", "_x", "_h", "_n").dropDuplicates(["_id", "_x"])
     first = content.select(F.col("_id").alias("_fid"), F.col("_x").alias("_fx"), F.col("_h").alias("_fh"))
     both = pairs.join(content, ["_id", "_x"]).join(first, ["_fid", "_fx"]).select("_id", "_x", "_h", "_n", "_fh")

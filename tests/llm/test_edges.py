@@ -317,6 +317,14 @@ def test_lines(spark, docs, none):
     assert {r["doc_id"]: r["text"] for r in line_align.remove_aligned(df).collect()} == {1: f"first\n{shared}\nend", 2: "second\nmore", 3: "third\n\nshort"}
 
 
+def test_passage_in_many_documents(spark):
+    passage = "one passage that more than a hundred documents have"
+    own = lambda d: [f"line {k} that only document {d} has" for k in range(6)]
+    df = spark.createDataFrame([(d, "\n".join([*own(d)[:3], passage, *own(d)[3:]])) for d in range(150)], "doc_id long, text string")
+    texts = {r["doc_id"]: r["text"] for r in line_align.remove_aligned(df).collect()}
+    assert texts == {d: "\n".join([*own(d)[:3], *([] if d else [passage]), *own(d)[3:]]) for d in range(150)}
+
+
 def test_patience():
     assert line_align.patience([1, 2, 3, 4], [1, 9, 3, 4]) == [(0, 0), (2, 2), (3, 3)]
     assert line_align.patience([1, 2, 3], [3, 1, 2]) == [(0, 1), (1, 2)]
