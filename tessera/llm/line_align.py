@@ -1,8 +1,16 @@
 """Line dedup by pairwise alignment.
 
-Documents overlap when they share a line that is not blank. Every shared line, however many documents have it, pairs a
-document with the first document (least doc_id) that has the line, which is linear in the lines and leaves no later
-occurrence without an earlier partner.
+Documents overlap when they share a line that is not blank. The result is what aligning every document with every
+earlier one gives, without forming all pairs:
+
+1. Every shared line pairs a document with the first document (least doc_id) that has the line, which is linear in
+   the lines however many documents share one.
+2. A block of at least `min_chars` characters holds, around each of its lines, a smallest window of as many: the
+   shortest from a line on or back to it. Windows with lines that are still present are looked up in all documents, and their
+   document is aligned with the window's other earlier holders in ascending order (of equal texts the first), in
+   rounds of FASTER times as many, until the window is gone or has no earlier holder left. A block of blank lines only has no window and
+   goes with a pair that other lines form.
+
 Pairs are aligned by patience diff over line hashes; aligned blocks of consecutive lines with at least `min_chars`
 characters are deleted from the later document; a copy of the earlier document goes whole. All decisions are taken on the input texts.
 
@@ -17,11 +25,16 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import mix, running, table
+
+#: So many times as many holders are tried in a round as in all before it; multiplier of the window hashes (odd).
+FASTER = 4
+_BASE = 0x9E3779B97F4A7C15
 
 
 def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
@@ -89,6 +102,68 @@ def removable(a: Sequence[int], b: Sequence[int], sizes: Sequence[int], min_char
     return out
 
 
+def windows(h: np.ndarray, n: np.ndarray, full: np.ndarray, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first line, last line) of the shortest windows of min_chars characters, not all blank, from and back to each line.
+
+    A text with fewer characters is one window, so that its copies meet.
+    """
+    size = len(h)
+    chars, some = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(full)])
+    if not some[-1]:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if chars[-1] < min_chars:
+        start, end = np.array([0]), np.array([size])
+    else:
+        at = np.arange(size + 1)
+        ahead = np.maximum(np.searchsorted(chars, chars + min_chars), np.searchsorted(some, some + 1))
+        back = np.minimum(np.searchsorted(chars, chars - min_chars, "right"), np.searchsorted(some, some - 1, "right")) - 1
+        start, end = np.concatenate([at[ahead <= size], back[back >= 0]]), np.concatenate([ahead[ahead <= size], at[back >= 0]])
+        start, end = np.divmod(np.unique(start * (size + 1) + end), size + 1)
+    with np.errstate(over="ignore"):
+        one = np.ones(1, np.uint64)
+        power = np.cumprod(np.concatenate([one, np.full(size, _BASE, np.uint64)]))
+        inverse = np.cumprod(np.concatenate([one, np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)]))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h.view(np.uint64)) * power[:-1])])
+        key = mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+    return key.view(np.int64), start, end - 1
+
+
+def _windows(base: DataFrame, kind: str, min_chars: int) -> DataFrame:
+    """_id, _x, _w, _s, _e: hash, first and last line of each document's windows."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [c.flatten().to_numpy(zero_copy_only=False) for c in batch.columns[2:]]
+            ends = np.cumsum(np.diff(batch.column(2).offsets.to_numpy()))
+            found = [windows(*(c[i:j] for c in columns), min_chars) for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+            row = pa.array(np.repeat(np.arange(len(found)), [len(w[0]) for w in found]))
+            key, start, end = (np.concatenate(c) if found else np.zeros(0, np.int64) for c in (zip(*found, strict=True) if found else [()] * 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(key, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["_id", "_x", "_w", "_s", "_e"])
+
+    return base.select("_id", "_x", "_h", "_n", "_full").mapInArrow(apply, f"_id {kind}, _x long, _w long, _s int, _e int")
+
+
+def _aligned(pairs: DataFrame, content: DataFrame, kind: str, min_chars: int) -> DataFrame:
+    """_id, _x, _fid, _fx, _l: places of lines that go from a document by its alignment with an earlier one."""
+    first = content.select(F.col("_id").alias("_fid"), F.col("_x").alias("_fx"), F.col("_h").alias("_fh"))
+    both = pairs.join(content, ["_id", "_x"]).join(first, ["_fid", "_fx"]).select("_id", "_x", "_fid", "_fx", "_h", "_n", "_fh")
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [removable(a, b, n, min_chars) for a, b, n in zip(*(batch.column(c).to_pylist() for c in (6, 4, 5)), strict=True)]
+            hit = pa.array([i for i, f in enumerate(found) if f], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(hit) for c in range(4)), pa.array([f for f in found if f], pa.list_(pa.int32()))], ["_id", "_x", "_fid", "_fx", "_l"])
+
+    return both.mapInArrow(align, f"_id {kind}, _x long, _fid {kind}, _fx long, _l array<int>")
+
+
+def _ranked(asked: DataFrame, holders: DataFrame) -> DataFrame:
+    """_w, _id, _x, _k, _r: a window's holders (_k 1) with their rank by id, and its askers (_k 0) with the number of holders before them."""
+    rows = holders.select("_w", "_id", "_x", F.lit(1).alias("_k")).unionByName(asked.select("_w", "_id", "_x", F.lit(0).alias("_k")).distinct())
+    dealt = rows.repartitionByRange("_w", "_id", "_k").withColumn("_b", F.spark_partition_id())
+    return running(table(dealt, "line-holders"), ["_w"], "_b", [F.col("_id"), F.col("_k"), F.col("_x")], {"_r": F.col("_k")}).select("_w", "_id", "_x", "_k", "_r")
+
+
 def removals(docs: DataFrame, min_chars: int = 50, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """_id, _x (xxhash64 of the text), _lines (places of deleted lines), _partners (earlier documents aligned with deletions)."""
     kind = dict(docs.select(F.col(doc_id)).dtypes)[doc_id]
@@ -102,23 +177,43 @@ def removals(docs: DataFrame, min_chars: int = 50, text: str = "text", doc_id: s
         F.transform(lines, lambda x: F.length(F.trim(x)) > 0).alias("_full"),
     )
     base = table(base, "lines")
+    content = base.select("_id", "_x", "_h", "_n").dropDuplicates(["_id", "_x"])
     hashes = F.array_distinct(F.transform(F.filter(F.arrays_zip("_h", "_full"), lambda z: z["_full"]), lambda z: z["_h"]))
     own = base.select("_id", "_x", F.explode(hashes).alias("_line"))
     first = own.groupBy("_line").agg(F.count("*").alias("_df"), F.min(F.struct("_id", "_x")).alias("_first")).filter("_df > 1")
     met = own.join(first, "_line").filter(F.col("_first._id") < F.col("_id"))
-    pairs = met.select("_id", "_x", F.col("_first._id").alias("_fid"), F.col("_first._x").alias("_fx")).distinct()
-    content = base.select("_id", "_x", "_h", "_n").dropDuplicates(["_id", "_x"])
-    first = content.select(F.col("_id").alias("_fid"), F.col("_x").alias("_fx"), F.col("_h").alias("_fh"))
-    both = pairs.join(content, ["_id", "_x"]).join(first, ["_fid", "_fx"]).select("_id", "_x", "_h", "_n", "_fh")
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [removable(a, b, n, min_chars) for a, b, n in zip(batch.column(4).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            hit = pa.array([i for i, f in enumerate(found) if f], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(hit), batch.column(1).take(hit), pa.array([f for f in found if f], pa.list_(pa.int32()))], ["_id", "_x", "_l"])
-
-    cut = both.mapInArrow(align, f"_id {kind}, _x long, _l array<int>")
-    return cut.groupBy("_id", "_x").agg(F.array_distinct(F.flatten(F.collect_list("_l"))).alias("_lines"), F.count("*").alias("_partners"))  # at most its lines' partners
+    tried = table(met.select("_id", "_x", F.col("_first._id").alias("_fid"), F.col("_first._x").alias("_fx")).distinct(), "line-pairs")
+    cut = table(_aligned(tried, content, kind, min_chars), "line-cuts")
+
+    places = _windows(base, kind, min_chars)
+    several = places.groupBy("_w").agg(F.min("_id").alias("_least"), F.max("_id").alias("_most")).filter("_least < _most").drop("_most")
+    shared = table(places.join(several, "_w"), "line-windows")
+    asked = table(_present(shared.filter("_least < _id").drop("_least"), cut), "line-asked")
+    if asked.head(1):
+        holders = shared.join(asked.select("_w").distinct(), "_w", "left_semi").groupBy("_w", "_x").agg(F.min("_id").alias("_id"))
+        ranked = table(_ranked(asked, holders), "line-ranks")
+        before = ranked.filter("_k = 0").select("_w", "_id", "_x", F.col("_r").alias("_before"))
+        asked = table(asked.join(before, ["_w", "_id", "_x"]), "line-asked")
+        holders = ranked.filter("_k = 1").select("_w", F.col("_id").alias("_fid"), F.col("_x").alias("_fx"), "_r")
+        some = ranked.select("_id", "_x").distinct()
+        content = table(content.join(some, ["_id", "_x"], "left_semi"), "line-content")
+        low, high = 0, 1
+        while asked.head(1):
+            ranks = asked.select("_w", "_id", "_x", F.explode(F.sequence(F.lit(low), F.least(F.lit(high), "_before").cast("int") - 1)).alias("_r")).distinct()
+            pairs = ranks.join(holders, ["_w", "_r"]).select("_id", "_x", "_fid", "_fx").distinct()
+            pairs = table(pairs.join(tried, ["_id", "_x", "_fid", "_fx"], "left_anti"), "line-pairs")
+            tried = tried.unionByName(pairs)
+            cut = cut.unionByName(table(_aligned(pairs, content, kind, min_chars), "line-cuts"))
+            asked = table(_present(asked.filter(F.col("_before") > high), cut), "line-asked")
+            low, high = high, high * FASTER
+    return cut.groupBy("_id", "_x").agg(F.array_distinct(F.flatten(F.collect_list("_l"))).alias("_lines"), F.count("*").alias("_partners"))
+
+
+def _present(asked: DataFrame, cut: DataFrame) -> DataFrame:
+    """The windows of asked with a line that no alignment of cut deletes."""
+    gone = cut.groupBy("_id", "_x").agg(F.array_distinct(F.flatten(F.collect_list("_l"))).alias("_gone"))
+    stays = F.exists(F.sequence("_s", "_e"), lambda k: ~F.array_contains("_gone", k))
+    return asked.join(gone, ["_id", "_x"], "left").filter(F.col("_gone").isNull() | stays).drop("_gone")
 
 
 def remove_aligned(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:

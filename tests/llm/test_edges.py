@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and extra columns, for every operator and stage."""
 
+import random
 import zlib
 from collections import Counter
 
@@ -325,6 +326,22 @@ def test_passage_in_many_documents(spark):
     assert texts == {d: "\n".join([*own(d)[:3], *([] if d else [passage]), *own(d)[3:]]) for d in range(150)}
 
 
+def test_every_earlier_partner(spark):
+    x, y = "a first passage that has more than fifty characters in it", "another passage that has more than fifty characters too"
+    rows = [(1, [x, "p", y]), (2, ["q", x, "r"]), (3, ["s", y, "t", x, "u"]), (4, ["v", x, "w", x]), (5, ["k", "l"]), (6, ["k", "m"]), (7, ["n", "l"]), (8, ["k", "l"]), (9, ["n", "l"])]
+    rng = random.Random(3)
+    pool = [f"{'line ' * rng.choice([1, 3, 6, 11])}{k}" for k in range(40)] + ["", "  "]
+    rows += [(d, [rng.choice(pool) for _ in range(rng.randint(1, 14))]) for d in range(10, 150)]
+    wanted = {}
+    for d, own in rows:
+        near = [b for e, b in rows if e < d and set(b) & {t for t in own if t.strip()}]
+        gone = {i for b in near for i in line_align.removable(b, own, [len(t) for t in own], 50)}
+        wanted[d] = (len(gone), "\n".join(t for i, t in enumerate(own) if i not in gone))
+    df = spark.createDataFrame([(d, "\n".join(own)) for d, own in rows], "doc_id long, text string")
+    assert {r["doc_id"]: (r["lines_removed"], r["text"]) for r in line_align.remove_aligned(df).collect()} == wanted
+    assert [wanted[d][0] for d in (3, 8, 9)] == [2, 2, 2]
+
+
 def test_patience():
     assert line_align.patience([1, 2, 3, 4], [1, 9, 3, 4]) == [(0, 0), (2, 2), (3, 3)]
     assert line_align.patience([1, 2, 3], [3, 1, 2]) == [(0, 1), (1, 2)]
