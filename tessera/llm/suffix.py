@@ -128,18 +128,18 @@ def suffix_array(t: np.ndarray, kinds: int) -> np.ndarray:
     return _induce(t, stype, counts, lms)
 
 
-def permuted_prefixes(raw: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def permuted_prefixes(raw: np.ndarray, t: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(phi, plcp): for each start the suffix before it in the array, and the length of their common prefix.
 
-    Where the characters before both starts are equal, the length is one less than that of the start before, so only
-    the other starts compare bytes, eight at a time.
+    Where the symbols of t (whose suffix array sa is) before both starts are equal, the length is one less than that of
+    the start before, so only the other starts compare bytes, eight at a time.
     """
     n = len(raw)
     phi = np.full(n, -1, np.int64)
     phi[sa[1:]] = sa[:-1]
     own = np.ones(n, bool)
     at = np.flatnonzero(phi[1:] > 0) + 1
-    own[at] = raw[at - 1] != raw[phi[at] - 1]
+    own[at] = t[at - 1] != t[phi[at] - 1]
     plcp = np.zeros(n, np.int64)
     heads = np.flatnonzero(own & (phi >= 0))
     words = np.ndarray((n,), "<u8", buffer=np.concatenate([raw, np.zeros(8, np.uint8)]), strides=(1,))
@@ -167,7 +167,7 @@ def repeated_starts(regions: list[bytes], length: int) -> list[np.ndarray]:
     t = raw.astype(np.int64) + 1
     t[ends[:-1]] = 0
     sa = suffix_array(t, 257)
-    phi, plcp = permuted_prefixes(raw, sa)
+    phi, plcp = permuted_prefixes(raw, t, sa)
     room = np.concatenate([np.arange(s, -1, -1) for s in sizes])[: len(raw)]
     hit = np.flatnonzero((plcp >= length) & (room >= length) & (phi >= 0))
     hit = hit[room[phi[hit]] >= length]

@@ -342,6 +342,14 @@ def test_every_earlier_partner(spark):
     assert [wanted[d][0] for d in (3, 8, 9)] == [2, 2, 2]
 
 
+def test_nul_before_a_repeated_passage():
+    passage = bytes(np.random.default_rng(5).integers(97, 123, 1000, np.uint8))
+    for regions in ([b"zz", passage, b"abc\0" + passage], [b"zz", b"abc\0" + passage, passage]):
+        found = dict(zip(regions, suffix.repeated_starts(regions, 400), strict=True))
+        assert found[passage].tolist() == list(range(601))
+        assert found[b"abc\0" + passage].tolist() == list(range(4, 605))
+
+
 def test_patience():
     assert line_align.patience([1, 2, 3, 4], [1, 9, 3, 4]) == [(0, 0), (2, 2), (3, 3)]
     assert line_align.patience([1, 2, 3], [3, 1, 2]) == [(0, 1), (1, 2)]
