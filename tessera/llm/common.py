@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Text handled at once by the numpy kernels; their temporaries take some tens of times as much.
 SLICE_BYTES = 1_500_000
+#: Rows of one key that `lookup` leaves together, and keys with more of them that it broadcasts (some 50 bytes each).
+HOT, HOT_KEYS = 5_000, 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,11 +27,46 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
+@dataclass(frozen=True)
+class Stored:
+    """A table in the shared folder; `drop` deletes it once everything made from it is a table of its own."""
+
+    rows: DataFrame
+    path: str
+
+    def drop(self) -> None:
+        context = self.rows.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored(df: DataFrame, name: str) -> Stored:
     """Cut the lineage: write df as Parquet in the shared folder and read it back."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Stored(df.sparkSession.read.schema(df.schema).parquet(path), path)
+
+
+def table(df: DataFrame, name: str) -> DataFrame:
+    """A stored table that stays: the result is read from it."""
+    return stored(df, name).rows
+
+
+def lookup(rows: DataFrame, values: DataFrame, keys: Sequence[str], n: str, how: str = "inner") -> DataFrame:
+    """rows joined with the one row that values has for their keys, however many rows share a key.
+
+    The column n of values, which goes, says how many rows have the key. The rows of a key with more than HOT are dealt to
+    parts by a hash of all their columns, and its row of values goes to each part. values is read twice: a stored table.
+    """
+    parts = F.ceil(F.col(n) / HOT).cast("int")
+    hot = values.filter(F.col(n) > HOT).select(*keys, parts.alias("_parts"))
+    number = hot.limit(HOT_KEYS + 1).count()
+    if not number:
+        return rows.join(values.drop(n), list(keys), how)
+    marked = rows.join(F.broadcast(hot) if number <= HOT_KEYS else hot, list(keys), "left")
+    part = F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("_parts")), F.lit(0)).cast("int")
+    spread = values.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).drop(n)
+    return marked.withColumn("_part", part).drop("_parts").join(spread, [*keys, "_part"], how).drop("_part")
 
 
 def running(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:

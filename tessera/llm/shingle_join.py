@@ -3,42 +3,48 @@
 A document's set holds its distinct n-word shingles (as 64-bit hashes); two sets link when 100 * common >=
 percent * union, so a set of size s needs at least T(s) = ceil(percent * s / 100) shingles in common with any partner.
 
-1. Equal sets form a class (by size and a 128-bit digest); one document stands for it.
+1. Equal sets form a class (by size and a 128-bit digest) with a number of its own; one document stands for it, the one
+   with the least doc_id and text hash.
 2. Count filter. If two sets have T common shingles, their prefixes of s - T(s) + k least hashes have k of those in
    common. Prefixes with k = s // 8 go, packed, to buckets of the hash space; a class of which fewer than k prefix
    shingles occur in any other class has no partner. Shingles shared inside one task's batch are counted there and
-   sent once, so a frequent shingle does not gather its documents in a bucket.
-3. The remaining sets are ordered rarest shingle first. Each inverted list of their short prefixes gathers around its
-   least document; a group is the documents that meet at one such leader, dealt to blocks of bounded size.
-4. In a block, members are verified against the leader; only for those that do not link with it the T-occurrence search
-   runs: lists of the block's inverted index are divided, the longest L = T / (0.0085 log2(longest) + 1) are set aside,
-   the short ones are merged (numpy's run-merging sort of the concatenated sorted lists stands in for a heap),
-   candidates with T - L hits are probed in the long lists by binary search, and those that reach the exact overlap link. Documents of large groups that do not
-   link with the leader are searched in the group's other blocks too.
+   sent once, so a frequent shingle does not gather its documents in a bucket, and a task adds up the counts of all its
+   buckets before they are shuffled.
+3. The remaining sets are ordered rarest shingle first (frequencies are counted in the same packed way). Each inverted
+   list of their short prefixes gathers around its least class; a group is the classes that meet at one such leader,
+   dealt to blocks of bounded size.
+4. In a block the T-occurrence search runs on its inverted index: first for the leader, then for each member that the
+   leader is not linked with. A query's lists are divided: the longest L = T / (0.0085 log2(longest) + 1) are set aside;
+   the short ones are merged by a heap that skips what cannot occur T - L times; the candidates are probed in the long
+   lists by binary search, and those that reach the exact overlap link. Members of large groups that do not link with
+   the leader are searched in the group's other blocks too.
 
 Blocks give a spanning tree of the links they find, never all pairs of a group: a member linked with the leader needs
-no further link to be in its component. Null texts, empty texts and texts without words have no set and link with nothing; null ids likewise. Equal
-rows are members of a class each. An empty table gives no rows. Other columns are not read.
+no further link to be in its component. Null texts, empty texts and texts without words have no set and link with
+nothing; null ids likewise. Equal rows are members of one class each, and rows that share an id but no text are documents of
+their own. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator, Sequence
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import by_key, mix, table, text_slices
+from tessera.llm.common import by_key, lookup, mix, stored, table, text_slices
 from tessera.llm.components import components
 from tessera.llm.kernels import shingles
 
-#: Postings that a task packs at once, and aims at for a bucket. Of fewer buckets a class would meet others several
-#: times in one, and its rows would grow with the number of buckets.
-FLUSH, PER_BUCKET, LEAST_BUCKETS = 1_000_000, 500_000, 512
+#: Postings that a task packs at once, and aims at for a bucket; counts that a task holds before it adds them up.
+FLUSH, PER_BUCKET, HELD = 1_000_000, 2_000_000, 4_000_000
 #: Documents of a block.
 BLOCK = 1500
 _D1, _D2 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -63,19 +69,37 @@ def _digests(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
 
 
 def sets(docs: DataFrame, n: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, size, d1, d2 of every document's shingle set."""
+    """doc_id, x (xxhash64 of the text), size, d1, d2 of every document's shingle set."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, raw, offsets in text_slices(batch.column(1)):
+            for i, j, raw, offsets in text_slices(batch.column(2)):
                 size, d1, d2 = _digests(*shingles(raw, offsets, n), j - i)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(size), pa.array(d1), pa.array(d2)], ["doc_id", "size", "d1", "d2"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(size), pa.array(d1), pa.array(d2)], ["doc_id", "x", "size", "d1", "d2"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_t")).mapInArrow(apply, "doc_id long, size long, d1 long, d2 long")
+    given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("x"), F.col(text).alias("_t"))
+    return given.mapInArrow(apply, "doc_id long, x long, size long, d1 long, d2 long")
 
 
-def _pack(h: np.ndarray, cls: np.ndarray, n_buckets: int, turn: int) -> Iterator[tuple]:
-    """Rows (bucket, shingles, places, classes) of one batch of postings; bucket < 0: classes with counts instead."""
+def _heads(values: np.ndarray) -> np.ndarray:
+    """Places where a run of equal values begins."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    heads = _heads(keys)
+    return keys[heads], np.add.reduceat(n, heads) if len(heads) else n
+
+
+def _place(h: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, 32 bits that tell a shingle from others in its bucket)."""
+    return (h & np.uint64(n_buckets - 1)).astype(np.int64), (h >> np.uint64(24)).astype("<u4")
+
+
+def _pack(h: np.ndarray, cls: np.ndarray, n_buckets: int) -> Iterator[tuple]:
+    """Rows (bucket, shingles by class, shingles of each class, classes) of one batch of postings; bucket -1: classes with counts instead."""
     order = np.lexsort((cls, h))
     h, cls = h[order], cls[order]
     keep = np.ones(len(h), bool)
@@ -87,33 +111,28 @@ def _pack(h: np.ndarray, cls: np.ndarray, n_buckets: int, turn: int) -> Iterator
     many = np.bincount(group)[group] > 1
     if many.any():
         kinds, counts = np.unique(cls[many], return_counts=True)
-        yield -1 - turn % 64, b"", counts.astype("<i8").tobytes(), kinds.astype("<i8").tobytes()
+        yield -1, b"", counts.astype("<u4").tobytes(), kinds.astype("<i8").tobytes()
     send = head | ~many
-    bucket = (h & np.uint64(n_buckets - 1)).astype(np.int64)
-    token = (h >> np.uint64(24)).astype("<u4")
-    cls = np.where(many, 0, cls)  # class 0: several of them
-    for b, at in _by_bucket(bucket[send], np.flatnonzero(send)):
-        kinds, place = np.unique(cls[at], return_inverse=True)
-        yield b, token[at].tobytes(), place.astype("<u4" if len(kinds) > 65535 else "<u2").tobytes(), kinds.astype("<i8").tobytes()
-
-
-def _by_bucket(bucket: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-    for part in np.split(order, cuts):
-        if len(part):
-            yield int(bucket[part[0]]), rows[part]
+    bucket, token = _place(h[send], n_buckets)
+    cls = np.where(many, 0, cls)[send]  # class 0: several of them
+    order = np.lexsort((cls, bucket))
+    bucket, token, cls = bucket[order], token[order], cls[order]
+    cuts = [*_heads(bucket), len(bucket)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        heads = _heads(cls[a:b])
+        counts = np.diff(np.append(heads, b - a))
+        yield int(bucket[a]), token[a:b].tobytes(), counts.astype("<u4").tobytes(), cls[a:b][heads].astype("<i8").tobytes()
 
 
 def _meetings(docs: DataFrame, n: int, percent: int, n_buckets: int, text: str) -> DataFrame:
     """cls, n: prefix shingles of a class that occur in another one (at least)."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hs, cs, held, turn = [], [], 0, 0
+        hs, cs, held = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            rows = list(zip(*_pack(np.concatenate(hs), np.concatenate(cs), n_buckets, turn), strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(c, pa.binary()) for c in rows[1:])], ["bucket", "toks", "place", "cls"])
+            rows = list(zip(*_pack(np.concatenate(hs), np.concatenate(cs), n_buckets), strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(c, pa.binary()) for c in rows[1:])], ["bucket", "toks", "counts", "cls"])
 
         for batch in batches:
             for i, j, raw, offsets in text_slices(batch.column(0)):
@@ -127,23 +146,28 @@ def _meetings(docs: DataFrame, n: int, percent: int, n_buckets: int, text: str)
                 held += len(hs[-1])
                 if held >= FLUSH:
                     yield flush()
-                    hs, cs, held, turn = [], [], 0, turn + 1
+                    hs, cs, held = [], [], 0
         if held:
             yield flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds, counts, held = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            cls, count = _summed(np.concatenate(kinds), np.concatenate(counts))
+            part = cls & (n_buckets - 1)
+            order = np.argsort(part, kind="stable")
+            cls, count, part = cls[order], count[order], part[order]
+            cuts = [*_heads(part), len(part)]
+            spans = list(zip(cuts, cuts[1:], strict=False))
+            return pa.RecordBatch.from_arrays([pa.array([int(part[a]) for a, _ in spans], pa.int32()), *(pa.array([c[a:b].astype(t).tobytes() for a, b in spans], pa.binary()) for c, t in ((cls, "<i8"), (count, "<u4")))], ["part", "cls", "counts"])
+
         for (bucket,), rows in by_key(batches, 1):
-            parts = list(zip(*(rows.column(c).to_pylist() for c in ("toks", "place", "cls")), strict=True))
-            if bucket < 0:
-                cls = np.concatenate([np.frombuffer(c, "<i8") for _, _, c in parts])
-                count = np.concatenate([np.frombuffer(p, "<i8") for _, p, _ in parts])
-            else:
-                tok, cls = [], []
-                for t, p, c in parts:
-                    kinds = np.frombuffer(c, "<i8")
-                    tok.append(np.frombuffer(t, "<u4"))
-                    cls.append(kinds[np.frombuffer(p, "<u4" if len(kinds) > 65535 else "<u2")])
-                tok, cls = np.concatenate(tok), np.concatenate(cls)
+            parts = list(zip(*(rows.column(c).to_pylist() for c in ("toks", "counts", "cls")), strict=True))
+            each = np.concatenate([np.frombuffer(c, "<u4") for _, c, _ in parts]).astype(np.int64)
+            cls = np.concatenate([np.frombuffer(k, "<i8") for _, _, k in parts])
+            if bucket >= 0:
+                tok, cls = np.concatenate([np.frombuffer(t, "<u4") for t, _, _ in parts]), np.repeat(cls, each)
                 order = np.lexsort((cls, tok))
                 tok, cls = tok[order], cls[order]
                 head = np.ones(len(tok), bool)
@@ -152,50 +176,166 @@ def _meetings(docs: DataFrame, n: int, percent: int, n_buckets: int, text: str)
                 new[1:] |= cls[1:] != cls[:-1]
                 group = np.cumsum(head) - 1
                 shared = (np.bincount(group, new) > 1) | (np.bincount(group, cls == 0) > 0)
-                hit = new & shared[group] & (cls != 0)
-                cls, count = np.unique(cls[hit], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(count, pa.int64())], ["cls", "n"])
+                cls = cls[new & shared[group] & (cls != 0)]
+                each = np.ones(len(cls), np.int64)
+            cls, each = _summed(cls, each)
+            kinds.append(cls)
+            counts.append(each)
+            held += len(cls)
+            if held >= HELD:
+                yield flush()
+                kinds, counts, held = [], [], 0
+        if held:
+            yield flush()
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in by_key(batches, 1):
+            cls, count = (np.concatenate([np.frombuffer(v, t) for v in rows.column(c).to_pylist()]) for c, t in (("cls", "<i8"), ("counts", "<u4")))
+            cls, count = _summed(cls, count.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(count)], ["cls", "n"])
 
-    sent = docs.select(F.col(text).alias("_t")).mapInArrow(send, "bucket int, toks binary, place binary, cls binary")
-    met = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "cls long, n long")
-    return met.groupBy("cls").agg(F.sum("n").alias("n"))
+    sent = docs.select(F.col(text).alias("_t")).mapInArrow(send, "bucket int, toks binary, counts binary, cls binary")
+    spread = F.when(F.col("bucket") < 0, -F.pmod(F.xxhash64("cls"), F.lit(n_buckets)).cast("int") - 1).otherwise(F.col("bucket"))
+    sent = sent.withColumn("bucket", spread)
+    met = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "part int, cls binary, counts binary")
+    return met.repartition("part").sortWithinPartitions("part").mapInArrow(total, "cls long, n long")
 
 
 def _arrays(docs: DataFrame, reps: DataFrame, n: int, text: str, doc_id: str) -> DataFrame:
-    """rep, size, toks: the sorted shingles of the classes' representatives."""
-    some = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("_t")).join(reps.select("rep", "size", "d1", "d2"), "rep")
+    """f, c, size, toks: the sorted shingles of the classes' representatives, in flocks f of about FLUSH shingles.
+
+    Equal rows that stand for one class come once per task; further copies do no harm but work.
+    """
+    given = docs.select(F.col(doc_id).cast("long").alias("rep"), F.xxhash64(text).alias("x"), F.col(text).alias("_t"))
+    some = given.join(reps.select("rep", "x", "c", "d1", "d2"), ["rep", "x"]).select("c", "d1", "d2", "_t")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        flock, held = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            for i, j, raw, offsets in text_slices(batch.column(1)):
+            for i, j, raw, offsets in text_slices(batch.column(3)):
                 h, doc = shingles(raw, offsets, n)
                 size, d1, d2 = _digests(h, doc, j - i)
-                # an id that repeats can bring another text
-                own = np.flatnonzero((size == batch.column(2)[i:j].to_numpy()) & (d1 == batch.column(3)[i:j].to_numpy()) & (d2 == batch.column(4)[i:j].to_numpy()))
+                c = batch.column(0)[i:j].to_numpy()
+                own = (d1 == batch.column(1)[i:j].to_numpy()) & (d2 == batch.column(2)[i:j].to_numpy())
+                own = [k for k in np.flatnonzero(own).tolist() if not (c[k] in seen or seen.add(c[k]))]
                 heads = np.cumsum(size) - size
-                toks = [np.sort(h[heads[k] : heads[k] + size[k]].view(np.int64)) for k in own]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(own)), pa.array(size[own]), pa.array(toks, pa.list_(pa.int64()))], ["rep", "size", "toks"])
+                toks = [h[heads[k] : heads[k] + size[k]].view(np.int64) for k in own]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), flock)), pa.array(c[own]), pa.array(size[own]), pa.array([np.sort(t) for t in toks], pa.list_(pa.int64()))], ["f", "c", "size", "toks"])
+                held += int(size[own].sum())
+                if held >= FLUSH:
+                    flock, held = flock + 1, 0
+
+    return some.mapInArrow(apply, "f long, c long, size long, toks array<long>")
 
-    return some.mapInArrow(apply, "rep long, size long, toks array<long>").dropDuplicates(["rep", "size"])
 
+def _prefixes(arrays: DataFrame, percent: int, n_buckets: int) -> DataFrame:
+    """c, tok: the shingles that other sets have too of each set's prefix, rarest shingle first."""
 
-def t_occurrence(query: np.ndarray, keys: np.ndarray, heads: np.ndarray, lists: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
-    """Documents of an inverted index (sorted keys, heads of their sorted lists) that link with the query set."""
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (flock,), rows in by_key(batches, 1):
+            h, count = np.unique(np.concatenate(_lists(rows.column("toks"))).view(np.uint64), return_counts=True)
+            bucket, token = _place(h, n_buckets)
+            order = np.argsort(bucket, kind="stable")
+            bucket, token, count = bucket[order], token[order], count[order].astype("<u4")
+            cuts = [*_heads(bucket), len(bucket)]
+            spans = list(zip(cuts, cuts[1:], strict=False))
+            yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a]) for a, _ in spans], pa.int32()), pa.array([flock] * len(spans), pa.int64()), *(pa.array([v[a:b].tobytes() for a, b in spans], pa.binary()) for v in (token, count))], ["bucket", "f", "tok", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (bucket,), rows in by_key(batches, 1):
+            tok = [np.frombuffer(v, "<u4") for v in rows.column("tok").to_pylist()]
+            known, df = _summed(np.concatenate(tok), np.concatenate([np.frombuffer(v, "<u4") for v in rows.column("n").to_pylist()]).astype(np.int64))
+            known, df = known[df > 1], np.minimum(df[df > 1], 2**32 - 1).astype("<u4")
+            there = [np.flatnonzero(np.isin(known, t)) for t in tok]
+            yield pa.RecordBatch.from_arrays([rows.column("f").combine_chunks(), pa.array([bucket] * len(tok), pa.int32()), *(pa.array([v[at].tobytes() for at in there], pa.binary()) for v in (known, df))], ["f", "bucket", "tok", "df"])
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in by_key(batches, 1):
+            kept = rows.filter(rows.column("c").is_valid())
+            told = rows.filter(rows.column("c").is_null())
+            if not kept.num_rows or not told.num_rows:
+                continue
+            place, df = [], []
+            for b, t, d in zip(*(told.column(k).to_pylist() for k in ("bucket", "tok", "df")), strict=True):
+                place.append(np.frombuffer(t, "<u4").astype(np.int64) | b << 32)
+                df.append(np.frombuffer(d, "<u4"))
+            place, df = np.concatenate(place), np.concatenate(df)
+            order = np.argsort(place)
+            place, df = place[order], df[order]
+            lists = _lists(kept.column("toks"))
+            size = np.array([len(x) for x in lists])
+            tok, doc = np.concatenate(lists), np.repeat(np.arange(len(lists)), size)
+            bucket, token = _place(tok.view(np.uint64), n_buckets)
+            key = token.astype(np.int64) | bucket << 32
+            at = np.searchsorted(place, key)
+            shared = np.flatnonzero(place[np.minimum(at, len(place) - 1)] == key) if len(place) else np.zeros(0, np.int64)
+            doc, tok, df = doc[shared], tok[shared], df[at[shared]]
+            order = np.lexsort((tok, df, doc))
+            doc, tok = doc[order], tok[order]
+            some = np.bincount(doc, minlength=len(lists))
+            # the shingles no other set has come before all shared ones
+            rest = some - least_overlap(size, percent) + 1
+            use = np.arange(len(doc)) - (np.cumsum(some) - some)[doc] < rest[doc]
+            yield pa.RecordBatch.from_arrays([pa.array(kept.column("c").to_numpy()[doc[use]], pa.int64()), pa.array(tok[use], pa.int64())], ["c", "tok"])
+
+    sent = arrays.select("f", "toks").mapInArrow(send, "bucket int, f long, tok binary, n binary")
+    told = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "f long, bucket int, tok binary, df binary")
+    null = lambda kind: F.lit(None).cast(kind)
+    both = arrays.select("f", "c", "toks", null("int").alias("bucket"), null("binary").alias("tok"), null("binary").alias("df"))
+    both = both.unionByName(told.select("f", null("long").alias("c"), null("array<long>").alias("toks"), "bucket", "tok", "df"))
+    return both.repartition("f").sortWithinPartitions("f").mapInArrow(pick, "c long, tok long")
+
+
+def merge_skip(lists: Sequence[Sequence[int]], least: int) -> tuple[list[int], list[int]]:
+    """(values, occurrences) of the values that occur in at least `least` of the sorted lists, by a heap of their heads.
+
+    A value at the top that does not occur often enough takes further heads with it, least - 1 in all: what lies before
+    the next head then occurs in those lists only, so they skip to it.
+    """
+    heap = [(x[0], k) for k, x in enumerate(lists) if len(x)]
+    heapify(heap)
+    at = [0] * len(lists)
+    found, hits = [], []
+    while len(heap) >= least and heap:
+        value, out = heap[0][0], []
+        while heap and heap[0][0] == value:
+            out.append(heappop(heap)[1])
+        if len(out) >= least:
+            found.append(value)
+            hits.append(len(out))
+            for k in out:
+                at[k] += 1
+        else:
+            while heap and len(out) < least - 1:
+                out.append(heappop(heap)[1])
+            if not heap:
+                break
+            following = heap[0][0]
+            for k in out:
+                at[k] = bisect_left(lists[k], following, at[k])
+        for k in out:
+            if at[k] < len(lists[k]):
+                heappush(heap, (lists[k][at[k]], k))
+    return found, hits
+
+
+def t_occurrence(query: np.ndarray, keys: np.ndarray, heads: np.ndarray, lists: np.ndarray, sizes: np.ndarray, percent: int, own: bool = False) -> np.ndarray:
+    """Documents of an inverted index (sorted keys, heads of their sorted lists) that link with the query set.
+
+    own: the query is one of them and needs no answer for itself, so lists that hold nothing else don't count.
+    """
     at = np.searchsorted(keys, query)
     at = at[(at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == query)]
     need = least_overlap(len(query), percent)
-    if len(at) < need:
-        return np.zeros(0, np.int64)
     length = heads[at + 1] - heads[at]
+    if len(at) < need or own and int((length > 1).sum()) < need:
+        return np.zeros(0, np.int64)
     order = np.argsort(length, kind="stable")
     at, length = at[order], length[order]
     aside = min(need - 1, int(need / (0.0085 * math.log2(max(2, int(length[-1]))) + 1)), len(at))
     short, long = at[: len(at) - aside], at[len(at) - aside :]
-    merged = np.sort(np.concatenate([lists[heads[k] : heads[k + 1]] for k in short]) if len(short) else lists[:0], kind="stable")
-    new = np.flatnonzero(np.concatenate([[True], merged[1:] != merged[:-1]])) if len(merged) else np.zeros(0, np.int64)
-    found, hits = merged[new], np.diff(np.append(new, len(merged)))
-    enough = hits >= need - aside
-    found, hits = found[enough], hits[enough]
+    found, hits = (np.array(v, np.int64) for v in merge_skip([lists[heads[k] : heads[k + 1]].tolist() for k in short], need - aside))
     for k in long:
         if not len(found):
             break
@@ -210,18 +350,10 @@ def _index(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     tok, doc = np.concatenate(arrays), np.repeat(np.arange(len(arrays)), sizes)
     order = np.argsort(tok, kind="stable")
     tok, doc = tok[order], doc[order]
-    heads = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
+    heads = _heads(tok)
     return tok[heads], np.append(heads, len(tok)), doc, sizes
 
 
-def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    p = np.minimum(np.searchsorted(b, a), len(b) - 1)
-    c = int((b[p] == a).sum())
-    return 100 * c >= percent * (len(a) + len(b) - c)
-
-
 def _trees(n: int, pairs: Iterable[tuple[int, int]]) -> tuple[list[int], list[int]]:
     """(roots, members) of the components of n things with more than one member: one link for each member but the root."""
     parent = list(range(n))
@@ -247,75 +379,91 @@ def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
 
 
 def _group_links(members: DataFrame, percent: int, block: int) -> DataFrame:
-    """a, b: links that connect what each group (leader, rep, size, toks) connects."""
-    sizes = members.groupBy("leader").agg(F.ceil(F.count("*") / block).cast("int").alias("_g")).filter("_g > 0")
-    dealt = members.join(sizes, "leader").withColumn("_b", F.when(F.col("rep") == F.col("leader"), F.lit(None)).otherwise(F.pmod(F.xxhash64("rep"), F.col("_g")).cast("int")))
+    """a, b: links that connect what each group (leader, c, toks) connects."""
+    sizes = members.groupBy("leader").agg(F.count("*").alias("n"), F.ceil(F.count("*") / block).cast("int").alias("_g"))
+    dealt = lookup(members, sizes, ["leader"], "n").withColumn("_b", F.when(F.col("c") == F.col("leader"), F.lit(None)).otherwise(F.pmod(F.xxhash64("c"), F.col("_g")).cast("int")))
     # the leader comes to every block of its group
     homes = F.when(F.col("_b").isNull(), F.sequence(F.lit(0), F.col("_g") - 1)).otherwise(F.array("_b"))
-    dealt = dealt.withColumn("_b", F.explode(homes)).select("leader", "_b", (F.col("rep") != F.col("leader")).alias("_o"), "rep", "toks", "_g")
+    dealt = dealt.withColumn("_b", F.explode(homes)).select("leader", "_b", (F.col("c") != F.col("leader")).alias("_o"), "c", "toks", "_g")
     blocks = dealt.repartition("leader", "_b").sortWithinPartitions("leader", "_b", "_o")
 
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (leader, b), rows in by_key(batches, 2):
-            rep, arrays = rows.column("rep").to_numpy(), _lists(rows.column("toks"))
-            if len(rep) < 2:
+            c, arrays = rows.column("c").to_numpy(), _lists(rows.column("toks"))
+            if len(c) < 2:
                 continue
-            close = [k for k in range(1, len(rep)) if _linked(arrays[0], arrays[k], percent)]
-            lone = sorted(set(range(1, len(rep))) - set(close))
-            pairs = [(0, k) for k in close]
-            if lone and len(rep) > 2:
-                index = _index(arrays)
-                pairs = chain(pairs, ((k, m) for k in lone for m in t_occurrence(arrays[k], *index, percent).tolist()))
-            roots, members = _trees(len(rep), pairs)
+            index = _index(arrays[1:])
+            close = (t_occurrence(arrays[0], *index, percent) + 1).tolist()
+            lone = sorted(set(range(1, len(c))) - set(close))
+            others = ((k, m + 1) for k in lone for m in t_occurrence(arrays[k], *index, percent, own=True).tolist())
+            roots, members = _trees(len(c), chain(((0, k) for k in close), others))
             far = lone if rows.column("_g")[0].as_py() > 1 else []
-            ones, others, kinds = [*rep[roots], *([leader] * len(far))], [*rep[members], *rep[far]], [*([-1] * len(roots)), *([b] * len(far))]
-            yield pa.RecordBatch.from_arrays([pa.array(ones, pa.int64()), pa.array(others, pa.int64()), pa.array(kinds, pa.int32())], ["a", "b", "block"])
+            ones, ends, kinds = [*c[roots], *([leader] * len(far))], [*c[members], *c[far]], [*([-1] * len(roots)), *([b] * len(far))]
+            yield pa.RecordBatch.from_arrays([pa.array(ones, pa.int64()), pa.array(ends, pa.int64()), pa.array(kinds, pa.int32())], ["a", "b", "block"])
 
     found = table(blocks.mapInArrow(star, "a long, b long, block int"), "star-links")
     links = found.filter("block < 0").select("a", "b")
-    lone = found.filter("block >= 0").select(F.col("a").alias("leader"), F.col("b").alias("rep"), F.col("block").alias("_from"))
+    lone = found.filter("block >= 0").select(F.col("a").alias("leader"), F.col("b").alias("c"), F.col("block").alias("_from"))
     if not lone.head(1):
         return links
     # members of large groups that are not linked with the leader: searched in the other blocks of the group
-    asked = lone.join(members.select("leader", "rep", "toks"), ["leader", "rep"]).join(sizes, "leader")
-    asked = asked.withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_g") - 1))).filter("_b <> _from").select("leader", "_b", "_from", F.lit(False).alias("_o"), "rep", "toks")
-    into = asked.select("leader", "_b", "_from").distinct().join(dealt.filter("_o").select("leader", "_b", "_o", "rep", "toks"), ["leader", "_b"]).select("leader", "_b", "_from", "_o", "rep", "toks")
+    asked = lone.join(members.select("leader", "c", "toks"), ["leader", "c"]).join(sizes.drop("n"), "leader")
+    asked = asked.withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_g") - 1))).filter("_b <> _from").select("leader", "_b", "_from", F.lit(False).alias("_o"), "c", "toks")
+    into = asked.select("leader", "_b", "_from").distinct().join(dealt.filter("_o").select("leader", "_b", "_o", "c", "toks"), ["leader", "_b"]).select("leader", "_b", "_from", "_o", "c", "toks")
     cells = asked.unionByName(into).repartition("leader", "_b", "_from").sortWithinPartitions("leader", "_b", "_from", "_o")
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_key(batches, 3):
-            rep, own, arrays = rows.column("rep").to_numpy(), rows.column("_o").to_numpy(zero_copy_only=False), _lists(rows.column("toks"))
+            c, own, arrays = rows.column("c").to_numpy(), rows.column("_o").to_numpy(zero_copy_only=False), _lists(rows.column("toks"))
             there = np.flatnonzero(own)
             if not len(there):
                 continue
             index = _index([arrays[k] for k in there])
-            roots, members = _trees(len(rep), ((k, int(there[m])) for k in np.flatnonzero(~own).tolist() for m in t_occurrence(arrays[k], *index, percent)))
-            yield pa.RecordBatch.from_arrays([pa.array(rep[roots], pa.int64()), pa.array(rep[members], pa.int64())], ["a", "b"])
+            roots, members = _trees(len(c), ((k, int(there[m])) for k in np.flatnonzero(~own).tolist() for m in t_occurrence(arrays[k], *index, percent)))
+            yield pa.RecordBatch.from_arrays([pa.array(c[roots], pa.int64()), pa.array(c[members], pa.int64())], ["a", "b"])
 
     return links.unionByName(cells.mapInArrow(across, "a long, b long"))
 
 
+def _buckets(shingles_sent: int) -> int:
+    return 1 << min(20, max(4, (shingles_sent // PER_BUCKET).bit_length()))
+
+
 def ngram_groups(docs: DataFrame, n: int = 5, percent: int = 75, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id that links reach)."""
+    """doc_id, n_shingles, component_id (the least doc_id that links reach) of every document; see the module for nulls, ties and repeats."""
+    return ngram_members(docs, n, percent, text, doc_id, block).select("doc_id", "n_shingles", "component_id")
+
+
+def ngram_members(docs: DataFrame, n: int = 5, percent: int = 75, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK) -> DataFrame:
+    """The columns of `ngram_groups`, then x (xxhash64 of the text) and kept.
+
+    kept: the row stands for its group, being the one with the least doc_id and x (equal rows all are), or links with nothing.
+    """
     every = table(sets(docs, n, text, doc_id), "sets")
-    classes = table(every.filter("size > 0 and doc_id is not null").groupBy("size", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult")), "set-classes")
+    usable = every.filter("size > 0 and doc_id is not null")
+    classes = usable.groupBy("size", "d1", "d2").agg(F.min(F.struct("doc_id", "x")).alias("r"), F.count("*").alias("mult"))
+    # two classes can have the same least id when ids repeat: a class is known by its number
+    classes = table(classes.select("size", "d1", "d2", "r.x", F.col("r.doc_id").alias("rep"), "mult", F.monotonically_increasing_id().alias("c")), "set-classes")
     sums = classes.agg(F.sum(F.col("size") * F.col("mult")).alias("s")).head()["s"] or 0
-    n_buckets = max(LEAST_BUCKETS, 1 << min(20, (int(sums) * 3 // 8 // PER_BUCKET).bit_length()))
-    met = _meetings(docs, n, percent, n_buckets, text)
+    met = _meetings(docs, n, percent, _buckets(int(sums) * 3 // 8), text)
     partner = F.floor((F.lit(percent) * F.col("size") + 99) / 100)  # the least size of a partner
     alive = classes.join(met, classes["d1"] == met["cls"]).filter(F.col("n") >= F.greatest(F.lit(1), F.floor(partner / 8)))
-    arrays = table(_arrays(docs, alive.select("rep", "size", "d1", "d2"), n, text, doc_id), "set-arrays")
-    own = arrays.select("rep", "size", F.explode("toks").alias("tok"))
-    df = own.groupBy("tok").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = own.join(df, "tok").groupBy("rep", "size").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("s"))
-    # rarest first; the shingles no other set has come before all shared ones
-    rest = F.col("size") - partner + 1 - (F.col("size") - F.size("s"))
-    prefix = shared.filter(rest > 0).select("rep", F.explode(F.slice("s", F.lit(1), rest.cast("int"))["tok"]).alias("tok"))
-    prefix = table(prefix, "prefixes")
-    leaders = prefix.groupBy("tok").agg(F.min("rep").alias("leader"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    meeting = prefix.join(leaders, "tok").select("leader", "rep").distinct()
-    members = table(meeting.join(arrays.select("rep", "toks"), "rep").select("leader", "rep", "toks"), "set-groups")
-    comp = components(_group_links(members, percent, block))
-    named = classes.join(comp, classes["rep"] == comp["id"], "left").select("size", "d1", "d2", F.coalesce("component", "rep").alias("_c"))
-    out = every.join(named, ["size", "d1", "d2"], "left")
-    return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("_c", "doc_id")).alias("component_id"))
+    arrays = stored(_arrays(docs, alive.select("rep", "x", "c", "d1", "d2"), n, text, doc_id), "set-arrays")
+    held = arrays.rows.agg(F.sum("size").alias("s")).head()["s"] or 0
+    prefix = stored(_prefixes(arrays.rows, percent, _buckets(int(held))), "prefixes")
+    leaders = stored(prefix.rows.groupBy("tok").agg(F.min("c").alias("leader"), F.count("*").alias("n")).filter("n > 1"), "leaders")
+    meeting = lookup(prefix.rows, leaders.rows, ["tok"], "n").select("leader", "c").distinct()
+    members = stored(meeting.join(arrays.rows.select("c", "toks"), "c").select("leader", "c", "toks"), "set-groups")
+    for used in (arrays, prefix, leaders):
+        used.drop()
+    comp = components(_group_links(members.rows, percent, block))
+    members.drop()
+    comp = comp.join(classes.select(F.col("c").alias("id"), F.struct(F.col("rep"), F.col("x")).alias("r")), "id")
+    least = table(comp.groupBy("component").agg(F.min("r").alias("_r"), F.count("*").alias("n")), "set-components")
+    named = lookup(comp.select("id", "component"), least, ["component"], "n").select(F.col("id").alias("c"), "_r")
+    own = F.struct(F.col("rep"), F.col("x"))
+    named = table(classes.join(named, "c", "left").select("size", "d1", "d2", "mult", F.coalesce("_r", own).alias("_r")), "set-names")
+    out = lookup(usable, named, ["size", "d1", "d2"], "mult").select("doc_id", "size", "x", F.col("_r.rep").alias("component_id"), F.col("_r.x").alias("_x"))
+    alone = every.filter("size = 0 or doc_id is null").select("doc_id", "size", "x", F.col("doc_id").alias("component_id"), F.col("x").alias("_x"))
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("x").eqNullSafe(F.col("_x"))
+    return out.unionByName(alone).select("doc_id", F.col("size").alias("n_shingles"), "component_id", "x", kept.alias("kept"))

@@ -236,6 +236,46 @@ def test_shingle_join(spark, block):
 def test_shingle_join_edges(docs, none):
     assert ids(shingle_join.ngram_groups(docs)) == EVERY
     assert shingle_join.ngram_groups(none).count() == 0
+    known = [(d, t) for d, t in ((r[0], r[1]) for r in nasty()) if d is not None]
+    found = shingle_join.ngram_groups(docs).collect()
+    assert {tuple(r) for r in found if r["doc_id"] is not None} == groups(shingle_sets(known))
+    assert {r["component_id"] for r in found if r["doc_id"] is None} == {None}
+
+
+def test_repeated_ids_keep_their_links(spark):
+    """Rows of one id whose texts have sets of equal size: each has a near copy of its own."""
+    a, b = prose(1, 120), prose(2, 120)
+    rows = [(5, a), (5, b), (4, a + " tail"), (6, b + " tail"), (7, prose(3, 120)), (7, prose(3, 120)), (8, prose(3, 120) + " end"), (8, prose(9, 50))]
+    sizes = {len(s) for _, s in shingle_sets(rows[:2])}
+    assert len(sizes) == 1
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = shingle_join.ngram_members(df).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == Counter([(5, 116, 4), (5, 116, 5), (4, 117, 4), (6, 117, 5), (7, 116, 7), (7, 116, 7), (8, 117, 7), (8, 46, 8)])
+    assert Counter(r["doc_id"] for r in out if r["kept"]) == Counter([4, 5, 7, 7, 8])
+
+
+def test_hot_keys_are_dealt(spark, monkeypatch):
+    """Joins and components give the same where hubs, lists and labels are split to parts."""
+    from tessera.llm import common
+
+    monkeypatch.setattr(common, "HOT", 3)
+    test_components(spark)
+    hub = [(0, i) for i in range(1, 40)] + [(40, i) for i in range(41, 60)] + [(39, 41)]
+    assert {r["component"] for r in components(spark.createDataFrame(hub, "a long, b long")).collect()} == {0}
+    test_shingle_join(spark, 4)
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate("aaaaaaaabbc")], "k string, i long")
+    values = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("i").alias("v")).filter("k <> 'c'")
+    assert Counter(map(tuple, common.lookup(rows, values, ["k"], "n").collect())) == Counter([("a", i, 0) for i in range(8)] + [("b", 8, 8), ("b", 9, 8)])
+    assert common.lookup(rows, values, ["k"], "n", "left").filter("v is null").count() == 1
+
+
+def test_merge_skip():
+    rng = np.random.default_rng(8)
+    for least in (1, 2, 5, 9):
+        lists = [np.unique(rng.integers(0, 50, rng.integers(0, 40))).tolist() for _ in range(12)]
+        count = Counter(v for x in lists for v in x)
+        wanted = sorted((v, n) for v, n in count.items() if n >= least)
+        assert list(zip(*shingle_join.merge_skip(lists, least), strict=True)) == wanted
 
 
 def test_t_occurrence():
