@@ -96,6 +96,39 @@ def test_pivots_blocks(spark):
     assert found >= 0.9 * there > 0
 
 
+@pytest.mark.parametrize("n_pivots", [64, 256, 2048])
+def test_pivots_recall(spark, n_pivots, monkeypatch):
+    """Planted pairs just above and below the threshold among several thousand other vectors, against all pairs."""
+    monkeypatch.setattr(pivots, "MIN_PIVOTS", n_pivots)
+    monkeypatch.setattr(pivots, "MAX_PIVOTS", n_pivots)
+    rng = np.random.default_rng(11)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = unit(rng.normal(size=(3000, 64)))
+    away = rng.normal(size=(600, 64))
+    away = unit(away - (away * x[:600]).sum(1, keepdims=True) * x[:600])
+    cos = np.concatenate([rng.uniform(0.9301, 0.94, 400), rng.uniform(0.92, 0.9299, 200)])[:, None]
+    every = np.concatenate([x, cos * x[:600] + np.sqrt(1 - cos * cos) * away]).astype(np.float32)
+    labels = np.concatenate([np.arange(3000), np.arange(600)]) % 3
+    df = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(every, labels, strict=True))], "vec_id long, embedding array<float>, label int").repartition(6)
+    u = unit(every.astype(float))
+    hit = (u @ u.T >= 0.93) & (labels[:, None] == labels)
+    np.fill_diagonal(hit, False)
+    assert hit.sum() >= 800
+    found = {r["vec_id"]: r["n_links"] for r in pivots.near_vectors(df).collect()}
+    assert all(found[i] <= hit[i].sum() for i in range(len(every)))
+    recall = sum(found.values()) / hit.sum()
+    print(n_pivots, "pivots: recall", recall)
+    assert recall >= 0.9
+
+
+def test_pivots_repeated_ids(spark):
+    """An id that repeats with another vector keeps each row's own links and component."""
+    rows = [(1, [1.0, 0.0, 0.0], 0), (2, [1.0, 0.01, 0.0], 0), (2, [0.0, 0.0, 1.0], 0), (3, [0.0, 0.01, 1.0], 1), (2, [0.0, 1.0, 0.0], 1), (4, [0.0, 1.0, 0.01], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    out = Counter(tuple(r) for r in pivots.near_vectors(df).collect())
+    assert out == Counter([(1, 1, 1, True), (2, 1, 1, False), (2, 0, 2, True), (3, 0, 3, True), (2, 1, 2, True), (4, 1, 2, False)])
+
+
 def test_components(spark):
     n = 60
     links = [(i, i + 1) for i in range(1, n)] + [(100, 101), (101, 100), (102, 101), (7, 7)]
