@@ -53,7 +53,8 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(_documents(spark, sf_dir), length=400)
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    kept_bytes = F.col("n_bytes") - F.col("n_removed")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), kept_bytes.alias("kept_bytes"), "kept_chars")
 
 
 def op9_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,5 +154,26 @@ SELECT s.doc_id, len(s.g) AS n_shingles, comp.c AS component_id FROM s JOIN comp
 """
 
 
+#: Every 400-byte window hashed; runs of covered bytes as gaps and islands of the repeated windows' starts.
+_OP8 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, unnest(range(0, octet_length(b) - 399)) AS s, b FROM d),
+k AS (SELECT r, s, md5(b[s + 1:s + 400]) AS h FROM w),
+twice AS (SELECT h FROM k GROUP BY h HAVING count(*) > 1),
+m AS (SELECT r, s, CASE WHEN s <= lag(s) OVER (PARTITION BY r ORDER BY s) + 400 THEN 0 ELSE 1 END AS new FROM k WHERE h IN (SELECT h FROM twice)),
+g AS (SELECT r, s, sum(new) OVER (PARTITION BY r ORDER BY s) AS run FROM m),
+runs AS (SELECT r, min(s) AS a, max(s) + 400 AS e FROM g GROUP BY r, run),
+gaps AS (
+  SELECT r, coalesce(lag(e) OVER (PARTITION BY r ORDER BY a), 0) AS f, a AS t FROM runs
+  UNION ALL SELECT d.r, coalesce(max(runs.e), 0), octet_length(d.b) FROM d LEFT JOIN runs ON runs.r = d.r GROUP BY d.r, d.b),
+kept AS (SELECT gaps.r, string_agg(hex(d.b[f + 1:t]), '' ORDER BY f) AS x FROM gaps JOIN d ON d.r = gaps.r WHERE t > f GROUP BY gaps.r),
+sums AS (SELECT r, sum(e - a) AS removed, count(*) AS n FROM runs GROUP BY r)
+SELECT d.doc_id, octet_length(d.b)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(x, ''))) AS kept_sha256, (octet_length(d.b) - coalesce(removed, 0))::BIGINT AS kept_bytes,
+       len(list_filter(regexp_extract_all(coalesce(x, ''), '..'), lambda p: p[1] NOT IN ('8', '9', 'A', 'B')))::BIGINT AS kept_chars
+FROM d LEFT JOIN sums ON sums.r = d.r LEFT JOIN kept ON kept.r = d.r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pivot_permutation": _OP1, "op7_ngram_jaccard": _OP7, "op6_curriculum_mix": _OP6}
+    return {"op1_pivot_permutation": _OP1, "op7_ngram_jaccard": _OP7, "op6_curriculum_mix": _OP6, "op8_suffix_dedup": _OP8}

@@ -2,7 +2,8 @@
 
 1. Winnowing: in every string of `length` bytes the 32-byte gram with the least hash (the leftmost on ties) is its
    anchor. Consecutive strings with one anchor form a region; equal strings have equal anchors at equal places, so they
-   lie in regions with equal anchor hashes. An anchor that occurs once holds no repeated string.
+   lie in regions with equal anchor hashes. An anchor that occurs once holds no repeated string. Equal regions that follow
+   each other (a periodic text) are one row with their number.
 2. Regions that occur in whole more than once are removed in whole; of each kind one stands for the others.
 3. An equal string reaches half its remaining bytes to the left or to the right of the anchor, so a region that shares
    neither context with a different region of its anchor has no string of the others. Different regions with the same
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import by_key, mix, random_words, table, text_slices
+from tessera.llm.common import by_key, lookup, mix, random_words, table, text_slices
 
 GRAM = 32
 #: Bytes of a shard, regions of an anchor beyond which it is split, and offsets of a part of it.
@@ -239,7 +240,10 @@ def _window_hashes(raw: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.nda
 
 
 def _anchored(docs: DataFrame, length: int) -> DataFrame:
-    """id, x, start, end, anchor (in the document), h, digest of every region; left, right: hashes of the anchor with its contexts."""
+    """id, x, start, end, anchor (in the document), h, digest of every region; left, right: hashes of the anchor with its contexts.
+
+    A run of equal regions is one row: its first region, their number k and the end of the last one, upto.
+    """
     half = -(-(length - GRAM) // 2)
 
     def context(of, low: np.ndarray, high: np.ndarray, has: np.ndarray) -> pa.Array:
@@ -253,15 +257,19 @@ def _anchored(docs: DataFrame, length: int) -> DataFrame:
                 for doc, start, end, anchor, h in _regions(raw, offsets, length):
                     base, view = offsets[doc], memoryview(np.ascontiguousarray(raw))
                     digest = np.array([xxhash.xxh3_64_intdigest(view[s:e]) for s, e in zip(start.tolist(), end.tolist(), strict=True)], np.uint64)
+                    first = np.flatnonzero(np.concatenate([[True], (digest[1:] != digest[:-1]) | (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]))
+                    number = np.diff(np.append(first, len(h)))
+                    upto = end[first + number - 1]
+                    doc, start, end, anchor, h, digest, base = (v[first] for v in (doc, start, end, anchor, h, digest, base))
                     take = pa.array(doc + i)
                     left = context(of, anchor - half, anchor + GRAM, start <= anchor - half)
                     right = context(of, anchor, anchor + GRAM + half, end >= anchor + GRAM + half)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(take), batch.column(1).take(take), *(pa.array(v - base, pa.int32()) for v in (start, end, anchor)), pa.array(h.view(np.int64)), pa.array(digest.view(np.int64)), left, right],
-                        ["id", "x", "start", "end", "anchor", "h", "digest", "left", "right"],
+                        [batch.column(0).take(take), batch.column(1).take(take), *(pa.array(v - base, pa.int32()) for v in (start, end, anchor)), pa.array(h.view(np.int64)), pa.array(digest.view(np.int64)), left, right, pa.array(upto - base, pa.int32()), pa.array(number, pa.int64())],
+                        ["id", "x", "start", "end", "anchor", "h", "digest", "left", "right", "upto", "k"],
                     )
 
-    return docs.filter(F.octet_length("_t") >= length).select("id", "x", "_t").mapInArrow(scan, "id long, x long, start int, end int, anchor int, h long, digest long, left int, right int")
+    return docs.filter(F.octet_length("_t") >= length).select("id", "x", "_t").mapInArrow(scan, "id long, x long, start int, end int, anchor int, h long, digest long, left int, right int, upto int, k long")
 
 
 def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -287,10 +295,10 @@ def repeated_spans(docs: DataFrame, length: int = 400, text: str = "text", doc_i
     docs = _keyed(docs, text, doc_id)
     regions = table(_anchored(docs, length), "regions")
     row = F.struct(F.col("id").isNull().alias("z"), "id", "x", "start", "end", "anchor", "left", "right")
-    kinds = table(regions.groupBy("h", "digest").agg(F.count("*").alias("n"), F.min(row).alias("r")), "region-kinds")
+    kinds = table(regions.groupBy("h", "digest").agg(F.sum("k").alias("n"), F.min(row).alias("r")), "region-kinds")
     anchors = kinds.groupBy("h").agg(F.sum("n").alias("total"), F.count("*").alias("different")).filter("total > 1")
     known = table(kinds.join(anchors, "h"), "repeated-anchors")
-    whole = regions.join(known.filter("n > 1").select("h", "digest"), ["h", "digest"], "left_semi").select("id", "x", "start", "end")
+    whole = lookup(regions, known.filter("n > 1").select("h", "digest", "n"), ["h", "digest"], "n").select("id", "x", "start", F.col("upto").alias("end"))
     meet = known.filter("different > 1").select("h", "digest", "different", "r.*").drop("z")
     meet = table(_sharing_context(meet).drop("digest", "left", "right"), "meeting-regions")
     total = meet.agg(F.sum(F.col("end") - F.col("start")).alias("s")).head()["s"] or 0
@@ -329,14 +337,14 @@ def repeated_spans(docs: DataFrame, length: int = 400, text: str = "text", doc_i
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (binary: the remaining bytes)."""
+    """doc_id, n_bytes, n_removed, n_spans, kept (binary: the remaining bytes), kept_chars (characters whose first byte remains)."""
     spans = repeated_spans(docs, length, text, doc_id).groupBy("id", "x").agg(F.collect_list(F.struct("start", "end")).alias("_s"))  # a document's own spans
     kind = dict(docs.select(F.col(doc_id).alias("doc_id")).dtypes)["doc_id"]
     joined = _with_text(_keyed(docs, text, doc_id), spans, "left").select(F.col("id").cast(kind).alias("doc_id"), F.coalesce(F.col("_t"), F.lit("")).cast("binary").alias("_t"), F.col("_s.start").alias("_a"), F.col("_s.end").alias("_b"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, removed, number, kept = [], [], [], []
+            size, removed, number, kept, chars = [], [], [], [], []
             for t, a, b in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
                 size.append(len(t))
                 runs: list[list[int]] = []
@@ -347,9 +355,10 @@ def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", doc_i
                         runs.append([s, e])
                 removed.append(sum(e - s for s, e in runs))
                 number.append(len(runs))
-                for s, e in reversed(runs):
-                    t = t[:s] + t[e:]
+                bounds = [0, *(v for run in runs for v in run), len(t)]
+                t = b"".join(t[s:e] for s, e in zip(bounds[::2], bounds[1::2], strict=True))
                 kept.append(t)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(number, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                chars.append(int((np.frombuffer(t, np.uint8) & 0xC0 != 0x80).sum()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, pa.int64()) for v in (size, removed, number)), pa.array(kept, pa.binary()), pa.array(chars, pa.int64())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_chars"])
 
-    return joined.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_chars long")

@@ -345,6 +345,16 @@ def test_suffix(spark, many, monkeypatch):
     assert out == brute_repeats(rows, 400)
 
 
+def test_periodic_text(spark):
+    """A run of equal regions is one row, and the whole text goes."""
+    rows = [(1, "ab" * 500_000), (2, "xyz" * 100_000 + prose(1, 20)), (3, prose(2, 20))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert suffix._anchored(suffix._keyed(df, "text", "doc_id"), 400).count() < 1000
+    out = {r["doc_id"]: (r["n_removed"], r["n_spans"], r["kept_chars"]) for r in suffix.remove_repeats(df).collect()}
+    assert out[1] == (1_000_000, 1, 0) and out[3] == (0, 0, len(rows[2][1]))
+    assert 0 <= out[2][0] - 300_000 <= 3 and out[2][1] == 1
+
+
 def test_suffix_array():
     rng = np.random.default_rng(4)
     for kinds, n in ((2, 300), (3, 1000), (200, 1000), (1, 50)):
