@@ -52,21 +52,25 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return stored(df, name).rows
 
 
-def lookup(rows: DataFrame, values: DataFrame, keys: Sequence[str], n: str, how: str = "inner") -> DataFrame:
+def lookup(rows: DataFrame, values: DataFrame, keys: Sequence[str], n: str = "n", how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """rows joined with the one row that values has for their keys, however many rows share a key.
 
-    The column n of values, which goes, says how many rows have the key. The rows of a key with more than HOT are dealt to
-    parts by a hash of all their columns, and its row of values goes to each part. values is read twice: a stored table.
+    The column n says how many rows have a key; values has it (then it goes from there), or counts does. The rows of a key
+    with more than HOT are dealt to parts by a hash of all their columns, and its row of values goes to each part. What
+    has n is read up to three times: a stored table or a small one.
     """
-    parts = F.ceil(F.col(n) / HOT).cast("int")
-    hot = values.filter(F.col(n) > HOT).select(*keys, parts.alias("_parts"))
+    keys = list(keys)
+    hot = (values if counts is None else counts).filter(F.col(n) > HOT).select(*keys, F.ceil(F.col(n) / HOT).cast("int").alias("_parts"))
+    values = values.drop(n) if counts is None else values
     number = hot.limit(HOT_KEYS + 1).count()
     if not number:
-        return rows.join(values.drop(n), list(keys), how)
-    marked = rows.join(F.broadcast(hot) if number <= HOT_KEYS else hot, list(keys), "left")
+        return rows.join(values, keys, how)
+    hot = F.broadcast(hot) if number <= HOT_KEYS else hot
     part = F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("_parts")), F.lit(0)).cast("int")
-    spread = values.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).drop(n)
-    return marked.withColumn("_part", part).drop("_parts").join(spread, [*keys, "_part"], how).drop("_part")
+    marked = rows.join(hot, keys, "left").withColumn("_part", part).drop("_parts")
+    parts = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
+    spread = values.join(hot, keys, "left").withColumn("_part", F.explode(parts)).drop("_parts")
+    return marked.join(spread, [*keys, "_part"], how).drop("_part")
 
 
 def running(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:

@@ -16,7 +16,8 @@ characters are deleted from the later document; a copy of the earlier document g
 
 Null ids take no part, null texts have no lines and stay null. Rows with equal ids are never compared with each other;
 equal rows get equal results. Empty texts and an empty table give the same back. Other columns are kept by
-`remove_aligned` and can have any name that does not start with an underscore.
+`remove_aligned` and can have any name that does not start with an underscore; those named like one that it adds
+(lines_total, lines_removed, aligned_with) are replaced.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix, running, table
+from tessera.llm.common import lookup, mix, running, stored, table
 
 #: So many times as many holders are tried in a round as in all before it; multiplier of the window hashes (odd).
 FASTER = 4
@@ -146,7 +147,8 @@ def _windows(base: DataFrame, kind: str, min_chars: int) -> DataFrame:
 def _aligned(pairs: DataFrame, content: DataFrame, kind: str, min_chars: int) -> DataFrame:
     """_id, _x, _fid, _fx, _l: places of lines that go from a document by its alignment with an earlier one."""
     first = content.select(F.col("_id").alias("_fid"), F.col("_x").alias("_fx"), F.col("_h").alias("_fh"))
-    both = pairs.join(content, ["_id", "_x"]).join(first, ["_fid", "_fx"]).select("_id", "_x", "_fid", "_fx", "_h", "_n", "_fh")
+    often = pairs.groupBy("_fid", "_fx").agg(F.count("*").alias("n"))  # a passage's first holder can be in very many pairs
+    both = lookup(pairs.join(content, ["_id", "_x"]), first, ["_fid", "_fx"], counts=often).select("_id", "_x", "_fid", "_fx", "_h", "_n", "_fh")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,9 +182,10 @@ def removals(docs: DataFrame, min_chars: int = 50, text: str = "text", doc_id: s
     content = base.select("_id", "_x", "_h", "_n").dropDuplicates(["_id", "_x"])
     hashes = F.array_distinct(F.transform(F.filter(F.arrays_zip("_h", "_full"), lambda z: z["_full"]), lambda z: z["_h"]))
     own = base.select("_id", "_x", F.explode(hashes).alias("_line"))
-    first = own.groupBy("_line").agg(F.count("*").alias("_df"), F.min(F.struct("_id", "_x")).alias("_first")).filter("_df > 1")
-    met = own.join(first, "_line").filter(F.col("_first._id") < F.col("_id"))
+    first = stored(own.groupBy("_line").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_x")).alias("_first")).filter("n > 1"), "line-firsts")
+    met = lookup(own, first.rows, ["_line"]).filter(F.col("_first._id") < F.col("_id"))
     tried = table(met.select("_id", "_x", F.col("_first._id").alias("_fid"), F.col("_first._x").alias("_fx")).distinct(), "line-pairs")
+    first.drop()
     cut = table(_aligned(tried, content, kind, min_chars), "line-cuts")
 
     places = _windows(base, kind, min_chars)
@@ -218,6 +221,7 @@ def _present(asked: DataFrame, cut: DataFrame) -> DataFrame:
 
 def remove_aligned(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """docs with aligned lines deleted from text; adds lines_total, lines_removed, aligned_with (earlier documents)."""
+    docs = docs.drop("lines_total", "lines_removed", "aligned_with")
     columns = docs.columns
     gone = removals(docs, text=text, doc_id=doc_id, **options).withColumnRenamed("_id", "_rid").withColumnRenamed("_x", "_rx")
     joined = docs.join(gone, docs[doc_id].eqNullSafe(F.col("_rid")) & (F.xxhash64(docs[text]) == F.col("_rx")), "left")

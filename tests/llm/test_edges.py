@@ -401,12 +401,22 @@ def test_lines(spark, docs, none):
     assert {r["doc_id"]: r["text"] for r in line_align.remove_aligned(df).collect()} == {1: f"first\n{shared}\nend", 2: "second\nmore", 3: "third\n\nshort"}
 
 
-def test_passage_in_many_documents(spark):
+@pytest.mark.parametrize("holders", [99, 101, 500])
+def test_passage_in_many_documents(spark, holders, monkeypatch):
+    from tessera.llm import common
+
+    monkeypatch.setattr(common, "HOT", 40)
     passage = "one passage that more than a hundred documents have"
     own = lambda d: [f"line {k} that only document {d} has" for k in range(6)]
-    df = spark.createDataFrame([(d, "\n".join([*own(d)[:3], passage, *own(d)[3:]])) for d in range(150)], "doc_id long, text string")
+    df = spark.createDataFrame([(d, "\n".join([*own(d)[:3], passage, *own(d)[3:]])) for d in range(holders)], "doc_id long, text string")
     texts = {r["doc_id"]: r["text"] for r in line_align.remove_aligned(df).collect()}
-    assert texts == {d: "\n".join([*own(d)[:3], *([] if d else [passage]), *own(d)[3:]]) for d in range(150)}
+    assert texts == {d: "\n".join([*own(d)[:3], *([] if d else [passage]), *own(d)[3:]]) for d in range(holders)}
+
+
+def test_clashing_names_of_lines(docs):
+    out = line_align.remove_aligned(docs)
+    assert sorted(out.columns) == sorted({*docs.columns, "lines_total", "lines_removed", "aligned_with"})
+    assert {r["lines_total"] for r in out.collect()} >= {0, 1, 1200}
 
 
 def test_every_earlier_partner(spark):
