@@ -13,14 +13,13 @@ percent * union, so a set of size s needs at least T(s) = ceil(percent * s / 100
 3. The remaining sets are ordered rarest shingle first (frequencies are counted in the same packed way). Each inverted
    list of their short prefixes gathers around its least class; a group is the classes that meet at one such leader,
    dealt to blocks of bounded size.
-4. In a block the T-occurrence search runs on its inverted index: first for the leader, then for each member that the
-   leader is not linked with. A query's lists are divided: the longest L = T / (0.0085 log2(longest) + 1) are set aside;
+4. In a block the T-occurrence search runs on its inverted index: for the leader, then for each member found, until its
+   component is complete, then for the next member; members found leave the index. A query's lists are divided: the longest L = T / (0.0085 log2(longest) + 1) are set aside;
    the short ones are merged by a heap that skips what cannot occur T - L times; the candidates are probed in the long
-   lists by binary search, and those that reach the exact overlap link. Members of large groups that do not link with
-   the leader are searched in the group's other blocks too.
+   lists by binary search, and those that reach the exact overlap link. Members of large groups that are not in the
+   leader's component are searched in the group's other blocks too.
 
-Blocks give a spanning tree of the links they find, never all pairs of a group: a member linked with the leader needs
-no further link to be in its component. Null texts, empty texts and texts without words have no set and link with
+Blocks give a spanning tree of the links in them, never all pairs of a group. Null texts, empty texts and texts without words have no set and link with
 nothing; null ids likewise. Equal rows are members of one class each, and rows that share an id but no text are documents of
 their own. An empty table gives no rows. Other columns are not read.
 """
@@ -31,7 +30,6 @@ import math
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator, Sequence
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -320,16 +318,13 @@ def merge_skip(lists: Sequence[Sequence[int]], least: int) -> tuple[list[int], l
     return found, hits
 
 
-def t_occurrence(query: np.ndarray, keys: np.ndarray, heads: np.ndarray, lists: np.ndarray, sizes: np.ndarray, percent: int, own: bool = False) -> np.ndarray:
-    """Documents of an inverted index (sorted keys, heads of their sorted lists) that link with the query set.
-
-    own: the query is one of them and needs no answer for itself, so lists that hold nothing else don't count.
-    """
+def t_occurrence(query: np.ndarray, keys: np.ndarray, heads: np.ndarray, lists: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Documents of an inverted index (sorted keys, heads of their sorted lists) that link with the query set."""
     at = np.searchsorted(keys, query)
     at = at[(at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == query)]
     need = least_overlap(len(query), percent)
     length = heads[at + 1] - heads[at]
-    if len(at) < need or own and int((length > 1).sum()) < need:
+    if len(at) < need:
         return np.zeros(0, np.int64)
     order = np.argsort(length, kind="stable")
     at, length = at[order], length[order]
@@ -378,6 +373,39 @@ def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
     return [values[offs[i] : offs[i + 1]] for i in range(len(c))]
 
 
+def _spanning(arrays: list[np.ndarray], percent: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """(links, members): a spanning tree of every component of the sets, and the members not connected with the first set.
+
+    A set found leaves the index (which is made anew when half of it is gone): it needs no other link.
+    """
+    links: list[tuple[int, int]] = []
+    apart: list[int] = []
+    found = np.zeros(len(arrays), bool)
+    known, index, live = np.zeros(0, np.int64), None, len(arrays)
+    for seed in range(len(arrays)):
+        if found[seed]:
+            continue
+        found[seed] = True
+        live -= 1
+        todo = [seed]
+        while todo:
+            k = todo.pop()
+            if seed:
+                apart.append(k)
+            if not live:
+                continue
+            if index is None or 2 * live <= len(known):
+                known = np.flatnonzero(~found)
+                index = _index([arrays[i] for i in known])
+            for m in known[t_occurrence(arrays[k], *index, percent)].tolist():
+                if not found[m]:
+                    found[m] = True
+                    live -= 1
+                    links.append((k, m))
+                    todo.append(m)
+    return links, sorted(apart)
+
+
 def _group_links(members: DataFrame, percent: int, block: int) -> DataFrame:
     """a, b: links that connect what each group (leader, c, toks) connects."""
     sizes = members.groupBy("leader").agg(F.count("*").alias("n"), F.ceil(F.count("*") / block).cast("int").alias("_g"))
@@ -392,13 +420,10 @@ def _group_links(members: DataFrame, percent: int, block: int) -> DataFrame:
             c, arrays = rows.column("c").to_numpy(), _lists(rows.column("toks"))
             if len(c) < 2:
                 continue
-            index = _index(arrays[1:])
-            close = (t_occurrence(arrays[0], *index, percent) + 1).tolist()
-            lone = sorted(set(range(1, len(c))) - set(close))
-            others = ((k, m + 1) for k in lone for m in t_occurrence(arrays[k], *index, percent, own=True).tolist())
-            roots, members = _trees(len(c), chain(((0, k) for k in close), others))
-            far = lone if rows.column("_g")[0].as_py() > 1 else []
-            ones, ends, kinds = [*c[roots], *([leader] * len(far))], [*c[members], *c[far]], [*([-1] * len(roots)), *([b] * len(far))]
+            links, apart = _spanning(arrays, percent)
+            far = apart if rows.column("_g")[0].as_py() > 1 else []
+            ones, ends = [*c[np.array([k for k, _ in links], np.int64)], *([leader] * len(far))], [*c[np.array([m for _, m in links], np.int64)], *c[np.array(far, np.int64)]]
+            kinds = [*([-1] * len(links)), *([b] * len(far))]
             yield pa.RecordBatch.from_arrays([pa.array(ones, pa.int64()), pa.array(ends, pa.int64()), pa.array(kinds, pa.int32())], ["a", "b", "block"])
 
     found = table(blocks.mapInArrow(star, "a long, b long, block int"), "star-links")
@@ -406,7 +431,7 @@ def _group_links(members: DataFrame, percent: int, block: int) -> DataFrame:
     lone = found.filter("block >= 0").select(F.col("a").alias("leader"), F.col("b").alias("c"), F.col("block").alias("_from"))
     if not lone.head(1):
         return links
-    # members of large groups that are not linked with the leader: searched in the other blocks of the group
+    # members of large groups that are not connected with the leader: searched in the other blocks of the group
     asked = lone.join(members.select("leader", "c", "toks"), ["leader", "c"]).join(sizes.drop("n"), "leader")
     asked = asked.withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_g") - 1))).filter("_b <> _from").select("leader", "_b", "_from", F.lit(False).alias("_o"), "c", "toks")
     into = asked.select("leader", "_b", "_from").distinct().join(dealt.filter("_o").select("leader", "_b", "_o", "c", "toks"), ["leader", "_b"]).select("leader", "_b", "_from", "_o", "c", "toks")
