@@ -31,7 +31,7 @@ LEAST, NORMAL, MOST = 16, 48, 256
 STRICT, LOOSE = 512, 4096
 GEAR = (random_words(256, 4) >> np.uint64(32)).astype(np.uint32)
 #: Documents of one segment; a segment is a unit of the shuffle. More segments than this make segments larger.
-SEGMENT_ROWS, MAX_SEGMENTS = 2000, 4096
+SEGMENT_ROWS, MAX_SEGMENTS = 2000, 65_536
 
 
 def _candidates(raw: np.ndarray) -> tuple[list[int], list[int]]:
@@ -89,26 +89,24 @@ def edit(text: str, following: str) -> str:
 def edited_neighbours(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    Documents are dealt to segments of consecutive ids; the first ones of a segment also go to the segment before
-    (that of the first segment is the last), so texts are shuffled once and each segment is walked in order.
+    Documents are dealt to segments of consecutive ids (of one id with very many texts: of consecutive text hashes); the
+    first ones of a segment also go to the segment before (that of the first segment is the last), so texts are shuffled
+    once and each segment is walked in order. Only rows equal in id and text always share a segment.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_t"))
-    order = F.coalesce("doc_id", F.lit(-(2**63)))
+    rows = rows.select("doc_id", "_t", F.coalesce("doc_id", F.lit(-(2**63))).alias("_o"), F.xxhash64("_t").alias("_x"))
     count = rows.count()
     n = min(MAX_SEGMENTS, max(1, count // SEGMENT_ROWS))
-    splits = np.zeros(0, np.int64)
+    cuts: list[int] = []
     if n > 1:
-        cuts = rows.agg(F.percentile_approx(order, F.array(*[F.lit(k / n) for k in range(1, n)]), F.lit(max(10_000, 40 * n))).alias("p")).head()["p"]
-        splits = np.unique(np.array(cuts, np.int64))
-    segment_of = F.pandas_udf(_segments(splits), "long")
-    firsts = {r["_s"]: r["_o"] for r in rows.select(order.alias("_o")).withColumn("_s", segment_of("_o")).groupBy("_s").agg(F.min("_o").alias("_o")).collect()}
-    taken = sorted(firsts)
-    before = {firsts[s]: taken[k - 1] for k, s in enumerate(taken)}  # first id of a segment: the segment before it
-    segment_before = F.pandas_udf(_before(before), "long")
-    dealt = rows.withColumn("_o", order).withColumn("_s", segment_of("_o")).withColumn("_p", segment_before("_o"))
+        cuts = rows.agg(F.percentile_approx("_o", F.array(*[F.lit(k / n) for k in range(1, n)]), F.lit(max(10_000, 40 * n))).alias("p")).head()["p"]
+    segment_of = F.pandas_udf(_segments(np.array(cuts, np.int64)), "long")
+    firsts = rows.select("_o", "_x").withColumn("_s", segment_of("_o", "_x")).groupBy("_s").agg(F.min(F.struct("_o", "_x")).alias("f")).orderBy("_s").collect()  # a row per segment
+    segment_before = F.pandas_udf(_before(*(np.array(v, np.int64) for v in ([r["_s"] for r in firsts], [r["f"]["_o"] for r in firsts], [r["f"]["_x"] for r in firsts]))), "long")
+    dealt = rows.withColumn("_s", segment_of("_o", "_x")).withColumn("_p", segment_before("_s", "_o", "_x"))
     homes = F.array_compact(F.array(F.struct(F.col("_s").alias("s"), F.lit(False).alias("tail")), F.when(F.col("_p") >= 0, F.struct(F.col("_p").alias("s"), F.lit(True).alias("tail")))))
-    dealt = dealt.select(F.explode(homes).alias("_h"), "doc_id", "_t", "_o").select("_h.s", "_h.tail", "doc_id", "_t", "_o")
-    dealt = dealt.repartition("s").sortWithinPartitions("s", "tail", "_o", F.xxhash64("_t")).select("s", "tail", "doc_id", "_t")
+    dealt = dealt.select(F.explode(homes).alias("_h"), "doc_id", "_t", "_o", "_x").select("_h.s", "_h.tail", "doc_id", "_t", "_o", "_x")
+    dealt = dealt.repartition("s").sortWithinPartitions("s", "tail", "_o", "_x").select("s", "tail", "doc_id", "_t")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _stretches(batches):
@@ -117,16 +115,29 @@ def edited_neighbours(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     return dealt.mapInArrow(walk, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def _segments(splits: np.ndarray):
-    def of(order: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(splits, order.to_numpy(), side="right"))
+def _segments(cuts: np.ndarray):
+    """Segments between cuts of the ids; an id that is r cuts at once has r segments of equal ranges of the text hash."""
+    ids, times = np.unique(cuts, return_counts=True)
+    upto = np.concatenate([[0], np.cumsum(times)])
+
+    def of(order: pd.Series, mark: pd.Series) -> pd.Series:
+        o, x = order.to_numpy(), mark.to_numpy()
+        if not len(ids):
+            return pd.Series(np.zeros(len(o), np.int64))
+        k = np.searchsorted(ids, o, side="right")
+        own = np.maximum(k - 1, 0)
+        inside = np.minimum((x.astype(float) / 2.0**64 + 0.5) * times[own], times[own] - 1).astype(np.int64)
+        return pd.Series(np.where((k > 0) & (ids[own] == o), upto[own] + 1 + inside, upto[k]))
 
     return of
 
 
-def _before(before: dict[int, int]):
-    def of(order: pd.Series) -> pd.Series:
-        return order.map(before).fillna(-1).astype("int64")
+def _before(segments: np.ndarray, first: np.ndarray, mark: np.ndarray):
+    """For the first rows of a segment the segment before it (before the first one: the last), for others -1."""
+
+    def of(segment: pd.Series, order: pd.Series, x: pd.Series) -> pd.Series:
+        at = np.searchsorted(segments, segment.to_numpy())
+        return pd.Series(np.where((first[at] == order.to_numpy()) & (mark[at] == x.to_numpy()), segments[at - 1], -1))
 
     return of
 
