@@ -45,11 +45,12 @@ def share_out(sizes: Sequence[int], weights: Sequence[float], total: float, most
         for i in over:
             target[i] = float(most * sizes[i])
         left -= math.fsum(target[i] for i in over)
-        free = [i for i in free if i not in set(over)]
+        capped = set(over)
+        free = [i for i in free if i not in capped]
     return target
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), total_share: float = 1.5, most: int = 2, slopes: Sequence[float] = (-0.5, 0.0, 0.5), text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), total_share: float = 1.5, most: int = 2, slopes: Sequence[float] = (-0.5, 0.0, 0.5), text: str = "text", source: str = "source", doc_id: str = "doc_id", with_text_hash: bool = False) -> DataFrame:
     """One row per document, sorted by first position.
 
     doc_id, size, source_size, target, taken (words, repeats counted), passes (array of training positions in [0, 1], one for each pass
@@ -73,8 +74,12 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), total_share
     rows = rows.join(F.broadcast(plan) if small else plan, rows["source"].eqNullSafe(plan["source"])).drop("source")
     n = buckets_for(sum(r["n"] for r in per))
     digits = max(1, (n.bit_length() - 1 + 3) // 4)
-    rows = rows.withColumn("_b", F.conv(F.substring("_k", 1, digits), 16, 10).cast("long"))
-    rows = running(rows, ["_s"], "_b", [F.col("_k"), F.col("doc_id"), F.col("_x")], {"_at": F.col("size")})
+    # rows without an id all have one key and follow each other by text hash: they get buckets of their own between the others'
+    nameless = F.md5(F.lit(""))
+    share = F.when(F.col("_k") < nameless, 0).when(F.col("_k") > nameless, n + 1).when(F.col("doc_id").isNull(), 1 + F.shiftright("_x", 64 - (n.bit_length() - 1)) + F.lit(n // 2)).otherwise(n + 1)
+    rows = rows.withColumn("_b", F.conv(F.substring("_k", 1, digits), 16, 10).cast("long") * (n + 2) + share)
+    empty = rows.filter("size = 0").withColumn("_at", F.lit(0).cast("long")).drop("_b")
+    rows = running(rows.filter("size > 0"), ["_s"], "_b", [F.col("_k"), F.col("doc_id"), F.col("_x")], {"_at": F.col("size")}).drop("_b").unionByName(empty)
     # pass k of a document begins at place k * source_size + at; it takes what lies below the target
     starts = [F.col("_at") + F.lit(k) * F.col("source_size") for k in range(most)]
     quota = F.floor(F.col("target") + F.lit(0.5))
@@ -84,7 +89,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), total_share
         taken = taken + t
     due = [F.when(t > 0, _position(s / F.col("target"), F.col("_slope"))) for s, t in zip(starts, takes, strict=True)]
     out = rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.array_compact(F.array(*due)).alias("passes"), F.col("_x").alias("_text"))
-    return out.withColumn("position", F.try_element_at("passes", F.lit(1))).orderBy(F.col("position").asc_nulls_last(), "doc_id", "_text").drop("_text")
+    return out.withColumn("position", F.try_element_at("passes", F.lit(1))).orderBy(F.col("position").asc_nulls_last(), "doc_id", "_text").drop(*([] if with_text_hash else ["_text"]))
 
 
 def _position(u: Column, slope: Column) -> Column:
@@ -98,10 +103,10 @@ def curriculum(docs: DataFrame, text: str = "text", source: str = "source", doc_
 
     A pass is kept whole: a document is given as often as the words it takes fill it, halves rounded up.
     """
-    mixed = mix(docs, text=text, source=source, doc_id=doc_id, **options)
+    mixed = mix(docs, text=text, source=source, doc_id=doc_id, with_text_hash=True, **options)
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + F.lit(0.5))).otherwise(F.lit(0))
-    # repeated ids must not multiply each other's rows: tied rows are told apart by their number
-    passes = mixed.select(F.col("doc_id").alias("_id"), F.col("size").alias("_words"), F.slice("passes", F.lit(1), copies.cast("int")).alias("_p"))
+    # repeated ids must not multiply each other's rows: they are told apart by their text, equal rows by a number
+    passes = mixed.select(F.col("doc_id").alias("_id"), F.col("size").alias("_words"), "_text", F.slice("passes", F.lit(1), copies.cast("int")).alias("_p"))
     return _with_passes(docs, passes, text, doc_id)
 
 
@@ -109,9 +114,9 @@ def _with_passes(docs: DataFrame, passes: DataFrame, text: str, doc_id: str) ->
     from pyspark.sql import Window
 
     columns = docs.columns
-    left = docs.withColumns({"_size": words(F.col(text))})
-    left = left.withColumn("_n", F.row_number().over(Window.partitionBy(doc_id, "_size").orderBy(F.lit(0))))
-    right = passes.withColumn("_m", F.row_number().over(Window.partitionBy("_id", "_words").orderBy(F.lit(0))))
-    joined = left.join(right, F.col(f"`{doc_id}`").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_words")) & (F.col("_n") == F.col("_m")))
+    left = docs.withColumns({"_size": words(F.col(text)), "_hash": F.xxhash64(text)}).filter("_size > 0")
+    left = left.withColumn("_n", F.row_number().over(Window.partitionBy(doc_id, "_hash").orderBy("_size")))
+    right = passes.filter("_words > 0").withColumn("_m", F.row_number().over(Window.partitionBy("_id", "_text").orderBy("_words", F.col("_p").desc())))
+    joined = left.join(right, F.col(f"`{doc_id}`").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text")) & (F.col("_n") == F.col("_m")))
     out = joined.withColumn("_pass", F.explode("_p")).orderBy("_pass", doc_id)
     return out.select(*[F.col(f"`{c}`") for c in columns])

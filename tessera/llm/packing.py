@@ -28,7 +28,8 @@ from tessera.llm.tokens import default_path, encode
 def pieces(docs: DataFrame, context: int = 2048, end_id: int = 1, text: str = "text", doc_id: str = "doc_id", tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
     """Encode documents and cut them at multiples of the context length.
 
-    doc_id, start, length, ids_crc32, doc_tokens; with_ids adds the ids themselves.
+    doc_id, start, length, ids_crc32, doc_tokens; with_ids adds the ids themselves. A null or empty text gives one piece,
+    its end token; repeated rows and null ids give pieces each; other columns are not read.
     """
     path = tokenizer or default_path()
     schema = f"doc_id {dict(docs.select(F.col(doc_id)).dtypes)[doc_id]}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<long>" * with_ids
@@ -136,7 +137,10 @@ def whole_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list
 
 
 def pack(cut: DataFrame, context: int = 2048, unit: int = 4) -> DataFrame:
-    """Assign pieces (doc_id, start, length, ...) to sequences: adds sequence_id and offset."""
+    """Assign pieces (doc_id, start, length, ids_crc32, ...) to sequences: adds sequence_id and offset.
+
+    Null ids are like others; equal pieces are placed each, in any order among themselves. No pieces give no rows.
+    """
     spark = cut.sparkSession
     units = context // unit
     cut = cut.withColumn("_c", F.ceil(F.col("length") / unit).cast("int"))
@@ -152,16 +156,24 @@ def pack(cut: DataFrame, context: int = 2048, unit: int = 4) -> DataFrame:
             taken[i] += n * times
             slot += n
         sequence += times
-    table_of_runs = spark.createDataFrame(runs, "_c int, _lo long, _hi long, _seq long, _n long, _slot long")
+    # the runs of a class as arrays in ascending order of _lo; a row looks its run up, so no row meets other runs
+    by_class = {}
+    for c, lo, _, seq, copies, slot in sorted(runs):
+        for column, v in zip(by_class.setdefault(c, ([], [], [], [])), (lo, seq, copies, slot), strict=True):
+            column.append(v)
+    table_of_runs = spark.createDataFrame([(c, *v) for c, v in by_class.items()], "_c int, _lo array<long>, _seq array<long>, _n array<long>, _slot array<long>")
     n = buckets_for(sum(hist.values()))
-    ranked = cut.withColumns({"_h": F.xxhash64("doc_id", "start"), "_b": F.pmod(F.xxhash64("doc_id", "start"), F.lit(n))})
+    mark = F.xxhash64("doc_id", "start", "ids_crc32")
+    ranked = cut.withColumns({"_h": mark, "_b": F.pmod(mark, F.lit(n))})
     ranked = running(ranked, ["_c"], "_b", [F.col("_h"), F.col("doc_id"), F.col("start"), F.col("ids_crc32")], {"_rank": F.lit(1)})
-    placed = ranked.join(F.broadcast(table_of_runs), "_c").filter((F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")))  # runs: a few per class
+    placed = ranked.join(F.broadcast(table_of_runs), "_c")  # at most `units` rows; runs are bounded by the patterns
+    at = F.size(F.filter("_lo", lambda lo: lo <= F.col("_rank"))) - 1
+    placed = placed.withColumn("_k", at).withColumns({name: F.get(F.col(name), F.col("_k")) for name in ("_lo", "_seq", "_n", "_slot")})
     at = F.col("_rank") - F.col("_lo")
     placed = placed.withColumns({"sequence_id": F.col("_seq") + F.floor(at / F.col("_n")), "_slot": F.col("_slot") + at % F.col("_n")})
     before = Window.partitionBy("sequence_id").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
-    return placed.drop("_c", "_h", "_b", "_rank", "_lo", "_hi", "_seq", "_n", "_slot")
+    return placed.drop("_c", "_h", "_b", "_rank", "_k", "_lo", "_seq", "_n", "_slot")
 
 
 def pack_documents(docs: DataFrame, context: int = 2048, end_id: int = 1, unit: int = 4, text: str = "text", doc_id: str = "doc_id", tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:

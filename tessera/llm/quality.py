@@ -144,15 +144,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
     known = labels.filter(F.col(label).isNotNull() & ~held_out(F.col(doc_id)))
     known = known.groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("double").alias("_y"))
     sample = known.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(sample), "_id").select("_y", "_text")
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(sample), "_id")
+    rows = rows.select("_y", "_text", "_id", F.xxhash64("_text").alias("_h"))
+    kind = dict(rows.dtypes)["_id"]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, raw, offsets in text_slices(batch.column(1)):
                 x = statistics(raw, offsets)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(list(x), pa.list_(pa.float64()))], ["y", "x"])
+                known = [batch.column(k).slice(i, j - i) for k in (0, 2, 3)]
+                yield pa.RecordBatch.from_arrays([*known, pa.array(list(x), pa.list_(pa.float64()))], ["y", "id", "h", "x"])
 
-    found = rows.mapInArrow(measure, "y double, x array<double>").toPandas()
+    # an id that repeats counts once, with the text of the least hash: at most max_labelled rows reach the driver
+    found = rows.mapInArrow(measure, f"y double, id {kind}, h long, x array<double>")
+    found = found.groupBy("id").agg(F.min(F.struct("h", "y", "x")).alias("r")).select("r.y", "r.x").toPandas()
     if not len(found):
         return grow(np.zeros((0, 1)), np.zeros(0))
     x, y = np.stack(found["x"].to_numpy()), found["y"].to_numpy()
@@ -161,7 +166,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
 
 
 def score(docs: DataFrame, trees: Trees, text: str = "text") -> DataFrame:
-    """docs with a column quality_score (0 to 1)."""
+    """docs with a column quality_score (0 to 1), the last one; a column of that name in docs is replaced."""
+    docs = docs.drop("quality_score")
     columns = docs.columns
     at = columns.index(text)
 

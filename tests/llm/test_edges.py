@@ -154,6 +154,25 @@ def test_sharding(spark, docs, none):
     assert len(sharding.shard(hot.limit(3), n_shards=7).collect()) == 3
 
 
+def test_propagation(spark):
+    """Rounds never cut more edges than before, and quotas hold back what has no room."""
+    rows = [(i, f"group {i % 37}" if i % 3 else f"alone {i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    cuts = []
+    out = sharding.shard(df, n_shards=8, cuts=cuts).collect()
+    assert cuts[0] > 1000 and cuts == sorted(cuts, reverse=True) and cuts[-1] == 0
+    per = Counter(r["shard"] for r in out)
+    assert max(per.values()) - min(per.values()) <= 1
+    where = {}
+    for r in out:
+        if r["doc_id"] % 3:
+            where.setdefault(r["doc_id"] % 37, set()).add(r["shard"])
+    assert all(len(s) == 1 for s in where.values())
+    tight, cuts = spark.createDataFrame([(i, f"group {i % 6}") for i in range(300)], "doc_id long, text string"), []
+    out = sharding.shard(tight, n_shards=6, cuts=cuts).collect()
+    assert len({(r["doc_id"] % 6, r["shard"]) for r in out}) == 6 and cuts == sorted(cuts, reverse=True)
+
+
 def test_packing(docs, none):
     out = packing.pack_documents(docs, context=256, with_ids=True).collect()
     assert Counter(r["doc_id"] for r in out if r["start"] == 0) == EVERY
@@ -201,6 +220,62 @@ def test_segments(spark, monkeypatch):
     assert {tuple(r) for r in chunking.edited_neighbours(df).collect()} == whole
 
 
+def test_segments_of_one_id(spark, monkeypatch):
+    """Many texts under one id, or under none, are dealt to segments too."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, prose(i, 5 + i % 20)) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = Counter(tuple(r) for r in chunking.edited_neighbours(df).collect())
+    monkeypatch.setattr(chunking, "SEGMENT_ROWS", 20)
+    parts = chunking.edited_neighbours(df)
+    assert Counter(tuple(r) for r in parts.collect()) == whole
+    cuts = np.array([5, 7, 7, 7, 9])
+    of = chunking._segments(cuts)
+    import pandas as pd
+
+    ids, marks = np.repeat([1, 5, 6, 7, 8, 9, 10], 50), np.sort(np.random.default_rng(1).integers(-(2**63), 2**63 - 1, (7, 50)), axis=1).ravel()
+    found = of(pd.Series(ids), pd.Series(marks)).to_numpy()
+    assert (np.diff(found) >= 0).all() and len(set(found[ids == 7])) == 3
+
+
+def chunks_by_hand(raw):
+    """Boundaries byte by byte: the gear hash of the last 16 bytes, seldom small enough before the normal size, often beyond it."""
+    out, start = [], 0
+    while start < len(raw):
+        cut = min(start + chunking.MOST, len(raw))
+        for end in range(start + chunking.LEAST, cut + 1):
+            h = 0
+            for b in raw[max(0, end - 16) : end]:
+                h = (h * 2 + int(chunking.GEAR[b])) % 2**32
+            z = h * 0x9E3779B1 % 2**32 >> 16
+            # a boundary at the normal size itself counts as beyond it
+            if z < (chunking.STRICT if end - 1 < start + chunking.NORMAL else chunking.LOOSE):
+                cut = end
+                break
+        out.append(raw[start:cut])
+        start = cut
+    return out
+
+
+def test_fingerprints_by_hand(spark):
+    import xxhash
+
+    texts = [LONG[:7000], "a" * 900, "é" * 300, "short", "", "".join(chr(33 + i * i % 90) for i in range(3000))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    entries = lambda t: sorted({xxhash.xxh3_64_intdigest(c) >> 16 << 16 | len(c) for c in chunks_by_hand(t.encode())})
+
+    def alike(a, b):
+        size = lambda e: sum(x & 0xFFFF for x in e)
+        return size(set(a) & set(b)) / min(size(a), size(b)) if a and b else float(len(a) == len(b))
+
+    for r in chunking.edited_neighbours(df).collect():
+        own, following = texts[r["doc_id"]], texts[(r["doc_id"] + 1) % len(texts)]
+        edited = chunking.edit(own, following)
+        assert r["fingerprint"] == "".join(f"{e:016x}" for e in entries(own))
+        assert r["edited_fingerprint"] == "".join(f"{e:016x}" for e in entries(edited))
+        assert r["near_edited"] == pytest.approx(alike(entries(own), entries(edited)))
+        assert r["near_next"] == pytest.approx(alike(entries(own), entries(following)))
+
+
 def test_quality(docs, none, labels):
     rows = quality.classify(docs, labels).collect()
     assert Counter(r["doc_id"] for r in rows) == EVERY
@@ -209,7 +284,39 @@ def test_quality(docs, none, labels):
     assert quality.classify(none, labels).count() == 0
     assert {r["score"] for r in quality.classify(docs, labels.limit(0)).collect()} == {0.5}
     kept = quality.score(docs, quality.train(docs, labels).__class__(0.0, 1, np.zeros((0, 1), int), np.zeros((0, 1)), np.zeros((0, 2)))).columns
-    assert kept.count("quality_score") == 2  # a clashing column of the input stays; the score comes last
+    assert kept == [*(c for c in docs.columns if c != "quality_score"), "quality_score"]  # a clashing column of the input is replaced
+
+
+def test_trees_node_by_node():
+    """Flattened trees against a walk from node to node, and the first tree's leaves against Newton steps."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(500, 6))
+    y = (x[:, 1] + x[:, 4] ** 2 > 0.7).astype(float)
+    trees = quality.grow(x, y, trees=7, depth=3)
+    for row, got in zip(x, trees.score(x), strict=True):
+        total = trees.base
+        for feature, threshold, value in zip(trees.feature, trees.threshold, trees.value, strict=True):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+            total += value[node - len(feature)]
+        assert got == pytest.approx(1 / (1 + np.exp(-total)))
+    assert ((trees.score(x) >= 0.5) == y).mean() > 0.9
+    first = quality.grow(x, y, trees=1, depth=1, rate=1.0)
+    f, at = first.feature[0][0], first.threshold[0][0]
+    for side, value in zip((x[:, f] <= at, x[:, f] > at), first.value[0], strict=True):
+        p = y.mean()
+        assert value == pytest.approx((y[side] - p).sum() / (side.sum() * p * (1 - p) + 1.0))
+
+
+def test_repeated_ids_count_once_in_training(spark):
+    rows = [(k % 40, prose(k, 20) if k % 2 else "!!! $$$ " * (k % 7 + 1)) for k in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(3, None)], "doc_id long, quality int")
+    one, other = (quality.train(d, labels) for d in (df, df.repartition(7)))
+    assert np.array_equal(one.feature, other.feature) and np.array_equal(one.value, other.value)
+    least = df.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("r")).select("doc_id", "r.text")
+    assert np.array_equal(quality.train(least, labels).value, one.value)
 
 
 def test_mixing(docs, none):
@@ -219,6 +326,9 @@ def test_mixing(docs, none):
     assert sorted(map(tuple, ((r["doc_id"] or 0, r["size"], r["taken"], r["position"] or 0.0) for r in mixing.mix(docs.repartition(5)).collect()))) == sorted((r["doc_id"] or 0, r["size"], r["taken"], r["position"] or 0.0) for r in rows)
     assert mixing.mix(none).count() == 0
     assert mixing.curriculum(docs).columns == docs.columns
+    tied = docs.sparkSession.createDataFrame([(1, f"{a} two three", "s") for a in "abcdef"] + [(1, "a two three", "s"), (2, "x y", "t"), (None, "p q", "t"), (None, "r s", "t")], "doc_id long, text string, source string")
+    passes = [Counter(tuple(r) for r in mixing.curriculum(tied.repartition(n), slopes=(0.5, -0.5)).collect()) for n in (1, 3, 5)]
+    assert passes[0] == passes[1] == passes[2] and sum(passes[0].values()) > 0
     assert mixing.share_out([10, 100, 50], [3, 1, 2], 240, 2) == [20.0, pytest.approx(120.0), 100.0]
 
 
