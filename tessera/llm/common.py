@@ -52,24 +52,30 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return stored(df, name).rows
 
 
-def lookup(rows: DataFrame, values: DataFrame, keys: Sequence[str], n: str = "n", how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
-    """rows joined with the one row that values has for their keys, however many rows share a key.
+def deal(rows: DataFrame, values: DataFrame, keys: Sequence[str], counts: DataFrame, n: str = "n") -> tuple[DataFrame, DataFrame]:
+    """rows and values with a column _part: rows of a key with more than HOT of them, which n of counts says, are dealt to
+    parts by a hash of all their columns, and the row that values has for the key goes to each part.
 
-    The column n says how many rows have a key; values has it (then it goes from there), or counts does. The rows of a key
-    with more than HOT are dealt to parts by a hash of all their columns, and its row of values goes to each part. What
-    has n is read up to three times: a stored table or a small one.
+    counts is read up to three times: a stored table or a small one.
     """
     keys = list(keys)
-    hot = (values if counts is None else counts).filter(F.col(n) > HOT).select(*keys, F.ceil(F.col(n) / HOT).cast("int").alias("_parts"))
-    values = values.drop(n) if counts is None else values
+    hot = counts.filter(F.col(n) > HOT).select(*keys, F.ceil(F.col(n) / HOT).cast("int").alias("_parts"))
     number = hot.limit(HOT_KEYS + 1).count()
     if not number:
-        return rows.join(values, keys, how)
+        return rows.withColumn("_part", F.lit(0)), values.withColumn("_part", F.lit(0))
     hot = F.broadcast(hot) if number <= HOT_KEYS else hot
     part = F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("_parts")), F.lit(0)).cast("int")
-    marked = rows.join(hot, keys, "left").withColumn("_part", part).drop("_parts")
     parts = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
-    spread = values.join(hot, keys, "left").withColumn("_part", F.explode(parts)).drop("_parts")
+    return rows.join(hot, keys, "left").withColumn("_part", part).drop("_parts"), values.join(hot, keys, "left").withColumn("_part", F.explode(parts)).drop("_parts")
+
+
+def lookup(rows: DataFrame, values: DataFrame, keys: Sequence[str], n: str = "n", how: str = "inner") -> DataFrame:
+    """rows joined with the one row that values has for their keys, however many rows share a key.
+
+    The column n of values, which goes, says how many rows have the key; hot ones are dealt to parts. values is read up
+    to three times: a stored table or a small one.
+    """
+    marked, spread = deal(rows, values.drop(n), keys, values, n)
     return marked.join(spread, [*keys, "_part"], how).drop("_part")
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import lookup, mix, running, stored, table
+from tessera.llm.common import deal, lookup, mix, running, stored, table
 
 #: So many times as many holders are tried in a round as in all before it; multiplier of the window hashes (odd).
 FASTER = 4
@@ -145,20 +145,41 @@ def _windows(base: DataFrame, kind: str, min_chars: int) -> DataFrame:
 
 
 def _aligned(pairs: DataFrame, content: DataFrame, kind: str, min_chars: int) -> DataFrame:
-    """_id, _x, _fid, _fx, _l: places of lines that go from a document by its alignment with an earlier one."""
-    first = content.select(F.col("_id").alias("_fid"), F.col("_x").alias("_fx"), F.col("_h").alias("_fh"))
-    often = pairs.groupBy("_fid", "_fx").agg(F.count("*").alias("n"))  # a passage's first holder can be in very many pairs
-    both = lookup(pairs.join(content, ["_id", "_x"]), first, ["_fid", "_fx"], counts=often).select("_id", "_x", "_fid", "_fx", "_h", "_n", "_fh")
+    """_id, _x, _fid, _fx, _l: places of lines that go from a document by its alignment with an earlier one.
+
+    The later documents of an earlier one follow it in a task, so its lines are there once; of a passage's first holder,
+    which can be in very many pairs, in several tasks.
+    """
+    key = ["_fid", "_fx"]
+    often = pairs.groupBy(*key).agg(F.count("*").alias("n"))
+    earlier = content.select(F.col("_id").alias("_fid"), F.col("_x").alias("_fx"), "_h", "_n").join(often.select(*key), key, "left_semi")
+    later, earlier = deal(pairs, earlier, key, often)
+    later = later.join(content, ["_id", "_x"]).select(*key, "_part", F.lit(True).alias("_later"), "_id", "_x", "_h", "_n")
+    earlier = earlier.select(*key, "_part", F.lit(False).alias("_later"), F.lit(None).cast(kind).alias("_id"), F.lit(None).cast("long").alias("_x"), "_h", "_n")
+    both = later.unionByName(earlier).repartition(*key, "_part").sortWithinPartitions(*key, "_part", "_later")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: list[int] = []
         for batch in batches:
-            found = [removable(a, b, n, min_chars) for a, b, n in zip(*(batch.column(c).to_pylist() for c in (6, 4, 5)), strict=True)]
+            own = batch.column(3).to_pylist()
+            (lines, at), (sizes, _) = (_values(batch.column(c)) for c in (6, 7))
+            found: list[list[int]] = []
+            for i in range(batch.num_rows):
+                these = lines[at[i] : at[i + 1]].tolist()
+                if not own[i]:
+                    first = these
+                found.append(removable(first, these, sizes[at[i] : at[i + 1]].tolist(), min_chars) if own[i] else [])
             hit = pa.array([i for i, f in enumerate(found) if f], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(hit) for c in range(4)), pa.array([f for f in found if f], pa.list_(pa.int32()))], ["_id", "_x", "_fid", "_fx", "_l"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(hit) for c in (4, 5, 0, 1)), pa.array([f for f in found if f], pa.list_(pa.int32()))], ["_id", "_x", "_fid", "_fx", "_l"])
 
     return both.mapInArrow(align, f"_id {kind}, _x long, _fid {kind}, _fx long, _l array<int>")
 
 
+def _values(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, offsets) of a column of lists."""
+    return column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+
+
 def _ranked(asked: DataFrame, holders: DataFrame) -> DataFrame:
     """_w, _id, _x, _k, _r: a window's holders (_k 1) with their rank by id, and its askers (_k 0) with the number of holders before them."""
     rows = holders.select("_w", "_id", "_x", F.lit(1).alias("_k")).unionByName(asked.select("_w", "_id", "_x", F.lit(0).alias("_k")).distinct())
