@@ -5,19 +5,21 @@ from __future__ import annotations
 import json
 import os
 import shutil
+import subprocess
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.config import SCHEMA_VERSION, EngineConfig
+from tessera.config import EXCLUDE_DIRS, SCHEMA_VERSION, EngineConfig
 from tessera.operators import fetch as fetching
 from tessera.operators import search as searching
 from tessera.operators.hashing import fnv64_bulk
 from tessera.operators.index import Index, assemble, load_index, load_meta, tokenized, write_index
-from tessera.operators.paths import indexable
+from tessera.operators.paths import looks_binary
 from tessera.plans.rules import EffectiveRules, config_hash, effective_rules
-from tessera.plans.sync import LISTED, purges, sync_decision
-from tessera.sources import scan
+from tessera.plans.sync import STATE, change_reason, change_summary, changed_paths, only_index_dir, purges, sync_decision
+from tessera.sources import cache, scan
 
 
 class Engine:
@@ -37,7 +39,7 @@ class Engine:
         with open(os.path.join(self.home, "config.json"), "w") as f:
             f.write(EngineConfig().to_json())
         with open(os.path.join(self.home, "ignore"), "w") as f:
-            f.write("# directories to leave out\n")
+            f.writelines(f"{d}/\n" for d in EXCLUDE_DIRS)
 
     def config(self) -> tuple[EngineConfig, bytes]:
         raw = scan.read_local(os.path.join(self.home, "config.json"))
@@ -55,7 +57,7 @@ class Engine:
         return load_meta(self.spark, self.home) if os.path.isdir(os.path.join(self.home, "meta")) else None
 
     def status(self) -> dict:
-        """The state of the index and what a sync would do."""
+        """The state of the index and of the working tree, and what a sync would do."""
         config, raw = self.config()
         listing = scan.scan_tree(self.spark, self.root, with_content=False)
         rules = self.rules(config, listing)
@@ -64,32 +66,48 @@ class Engine:
         head = scan.git_head(self.root) if repo else ""
         dirty = scan.git_dirty(self.root) if repo else []
         base = meta["repo_head"] if meta else ""
-        moved = bool(meta) and repo and head != base
-        paths = set(dirty)
-        known = True
-        if moved and base:
+        moved = bool(base and head) and head != base
+        matches = bool(base and head) and head == base
+        known, between = True, []
+        if moved:
             try:
-                paths |= set(scan.git_diff(self.root, base, head))
-            except Exception:
+                between = scan.git_diff(self.root, base, head)
+            except subprocess.CalledProcessError:
                 known = False
-        changed = []
-        if paths:
-            frame = scan.paths_frame(self.spark, sorted(paths))
-            changed = [r["path"] for r in frame.filter(indexable(F.col("path"))).orderBy("path").collect()]
-        own = [p for p in dirty if p == os.path.basename(self.home) or p.startswith(os.path.basename(self.home) + "/")]
+        frame = lambda paths: scan.paths_frame(self.spark, paths)
+        changed = change_summary(changed_paths(frame(dirty), frame(between))).head()
+        reason = F.when(~F.lit(known), "unknown").otherwise(change_reason(F.lit(bool(dirty)), F.lit(moved)))
+        only_own = only_index_dir(frame(dirty)).head()["dirty_index_only"]
         state = {
             "missing_index": meta is None,
             "is_repo": repo,
             "known": known,
             "schema_changed": bool(meta) and meta["schema_version"] != SCHEMA_VERSION,
             "config_changed": bool(meta) and meta["config_hash"] != config_hash(raw, rules.rules_hash),
-            "dirty": bool(dirty) and len(own) < len(dirty),
-            "dirty_index_only": bool(dirty) and len(own) == len(dirty),
-            "heads_differ": moved,
-            "changed_path_count": len(changed),
+            "dirty": bool(dirty),
+            "dirty_index_only": only_own,
+            "heads_differ": bool(meta) and repo and not matches,
+            "changed_path_count": changed["changed_path_count"],
+        }
+        plan = sync_decision(self.spark.createDataFrame([state], STATE).withColumn("reason", reason)).head()
+        out = {
+            "indexed": meta is not None,
+            "dirty": plan["mode"] != "noop",
+            "changed_files": changed["changed_path_count"],
+            "profiles": list(rules.profiles),
+            "schema_version": SCHEMA_VERSION,
+            "git_repo": repo,
+            "git_base_head": base,
+            "git_current_head": head,
+            "head_matches": matches,
+            "git_worktree_clean": not dirty,
+            "git_dirty_path_count": len(dirty),
+            "git_dirty_index_only": only_own,
+            "git_changed_reason": plan["reason"] if repo else "",
+            "git_changed_paths": changed["changed_paths"],
+            "git_changed_path_count": changed["changed_path_count"],
+            "sync_plan": {"mode": plan["mode"], "why": plan["why"], "base_head": base, "current_head": head, "worktree_clean": not dirty, "changed_paths": changed["changed_paths"], "changed_path_count": changed["changed_path_count"]},
         }
-        plan = sync_decision(self.spark.createDataFrame([state], "missing_index boolean, is_repo boolean, known boolean, schema_changed boolean, config_changed boolean, dirty boolean, dirty_index_only boolean, heads_differ boolean, changed_path_count int")).head()
-        out = {"indexed": meta is not None, "dirty": plan["mode"] != "noop", "changed_files": len(changed), "sync_plan": {"mode": plan["mode"], "why": plan["why"], "base_head": base, "current_head": head, "changed_paths": changed[:LISTED], "changed_path_count": len(changed)}}
         if meta:
             out |= {k: meta[k] for k in ("indexed_at_unix", "file_count", "chunk_count", "term_count")}
         return out
@@ -100,22 +118,22 @@ class Engine:
         if plan["mode"] == "noop" and not full:
             return plan
         config, raw = self.config()
-        files = scan.scan_tree(self.spark, self.root)
-        rules = self.rules(config, files.select("path"))
-        files = scan.decoded(scan.apply_filters(files, config, rules))
+        listing = scan.scan_tree(self.spark, self.root, with_content=False)
+        rules = self.rules(config, listing)
+        kept = scan.with_contents(scan.apply_filters(listing, config, rules), self.root)  # only files that pass are read
+        files = scan.decoded(kept.filter(~looks_binary(F.col("content"))))
         store = os.path.join(self.home, "tokens")
         meta = self._meta()
+        purged = cache.ensure_meta(self.home, config_hash(raw, rules.rules_hash), config.project_type)
         fresh = files
         kept = None
-        if meta and not full and not purges(plan["why"]) and os.path.isdir(meta["version"] + "-tokens"):
+        if meta and not full and not purged and not purges(plan["why"]) and os.path.isdir(meta["version"] + "-tokens"):
             old = self.spark.read.parquet(meta["version"] + "-tokens")
             hashed = fnv64_bulk(files).withColumnRenamed("hash64", "_h")
             same = (hashed["path"] == old["path"]) & (hashed["_h"] == old["hash64"])
             kept = old.join(hashed.select("path", F.col("_h").alias("hash64"), F.col("mtime").alias("_m"), F.col("size").alias("_s")), ["path", "hash64"])
             kept = kept.select("path", F.col("_m").alias("mtime"), F.col("_s").alias("size"), "hash64", "chunks")
             fresh = hashed.join(old, same, "left_anti").drop("_h")
-        from dataclasses import replace
-
         made = tokenized(fresh, replace(config, token=rules.token))
         rows = made.unionByName(kept) if kept is not None else made
         stamp = f"{store}-new-{os.getpid()}-{os.urandom(4).hex()}"
@@ -125,7 +143,7 @@ class Engine:
         meta = write_index(assemble(saved), self.home, config_hash(raw, rules.rules_hash), head)
         os.rename(stamp, meta["version"] + "-tokens")
         self._index = None
-        return plan | {k: meta[k] for k in ("file_count", "chunk_count", "term_count")}
+        return plan | {"cache_purged": purged} | {k: meta[k] for k in ("file_count", "chunk_count", "term_count")}
 
     def index(self) -> tuple[Index, int]:
         """The current index, loaded once, with its number of chunks."""

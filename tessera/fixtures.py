@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 CODE: tuple[tuple[str, str], ...] = (
-    ("src/app.ts", "// app\nimport a from 'a';\nimport { b } from \"b\";\n\nconst one = 1;\nlet two = 2;\n\nfunction foo() {\n  const inner = { x: 1 };\n  return inner;\n}\n\nexport { foo };\n"),
-    ("src/api/user_service.ts", "const HTTPRequest = getUserID(snake_case);\nexport class UserService {\n  getUserByID(id: number) {\n    return fetch(`/users/${id}`);\n  }\n}\nexport default UserService;\n"),
+    ("src/app.ts", "// app\nimport a from 'a';\nimport { b } from \"b\";\n\nconst one = 1;\nlet two = 2;\n\nfunction measure(width) {\n  const box = { width };\n  return box;\n}\n\nexport { measure };\n"),
+    ("src/api/user_service.ts", "const XMLReader2 = loadOrderURL(order_key, JSONValue);\nexport class UserService {\n  getUserByID(id: number) {\n    return fetch(`/users/${id}`);\n  }\n}\nexport default UserService;\n"),
     ("src/comment.ts", "/* header with { (\n still open */\nfunction a() { return 1; }\n/* const hidden = 1;\n*/ const shown = 2;\ninterface Box {\n  width: number;\n}\ntype Id = string;\n"),
     ("src/strings.js", "const s = \"a { b\";\nconst t = 'it\\'s (';\nfunction open() {\n  if (s) {\n    call(\"}\");\n  }\n}\nenum Colour {\n  Red,\n}\n"),
     ("src/export_first.ts", "export { x } from './x';\nconst y = 1;\nexport { y };\nexport const z = 2;\nexport function q(\n  a: number,\n) {\n  return a;\n}\n"),

@@ -13,7 +13,10 @@ _SEPARATORS = "[^\\p{L}\\p{Nd}]+"
 _SPACE = "[\\s\\p{Z}\\x85]+"
 _LITERALS = "(?s)" + "|".join(f"{q}[^{q}\\\\]*+(?:\\\\.[^{q}\\\\]*+)*+(?:{q}|\\\\?\\z)" for q in ("'", '"', "`"))
 #: Separators, and places inside a word where an identifier is cut: around digits and at camel-case humps.
-_CUTS = _SEPARATORS + "|(?<=\\p{Nd})(?=\\p{L})|(?<=\\p{L})(?=\\p{Nd})|(?<=\\p{Ll})(?=\\p{Lu})|(?<=\\p{Lu})(?=\\p{Lu}\\p{Ll})"
+_INNER = "(?<=\\p{Nd})(?=\\p{L})|(?<=\\p{L})(?=\\p{Nd})|(?<=\\p{Ll})(?=\\p{Lu})|(?<=\\p{Lu})(?=\\p{Lu}\\p{Ll})"
+_CUTS = _SEPARATORS + "|" + _INNER
+#: A word without these has no cut.
+_HUMPS = "\\p{Nd}|.\\p{Lu}"
 
 
 def normalize_newlines(text: Column) -> Column:
@@ -56,15 +59,23 @@ def keep_token(token: Column, config: TokenConfig) -> Column:
     return keep & (token != "")
 
 
+def lower_each(text: Column) -> Column:
+    """Lower case character by character: no final sigma, and a dotted capital I becomes a plain i."""
+    return F.lower(F.translate(text, "\u03a3\u0130", "\u03c3i"))
+
+
 def normalize_tokens(tokens: Column, config: TokenConfig) -> Column:
     """Lower-cased, filtered, distinct and sorted by bytes."""
-    lowered = F.array_distinct(F.transform(F.array_distinct(tokens), lambda x: F.lower(x)))
+    lowered = F.array_distinct(F.transform(F.array_distinct(tokens), lower_each))
     return F.array_sort(F.filter(lowered, lambda x: keep_token(x, config)))
 
 
 def text_tokens(text: Column, config: TokenConfig) -> Column:
+    """The tokens of a text; identifiers are cut after words are made distinct, since only the set counts."""
     source = text if config.string_literals else drop_string_literals(text)
-    return normalize_tokens(identifiers(source), config)
+    words = F.array_distinct(F.split(source, _SEPARATORS))
+    parts = F.transform(words, lambda w: F.when(w.rlike(_HUMPS), F.split(w, _INNER)).otherwise(F.array(w)))
+    return normalize_tokens(F.flatten(parts), config)
 
 
 def _cut_end(text: Column, n: Column) -> Column:
@@ -100,13 +111,6 @@ def tokens_with_path(path: Column, text: Column, config: TokenConfig) -> Column:
     return F.array_sort(F.array_union(text_tokens(text, config), path_tokens(path, config)))
 
 
-def chunk_text(lines: Column, start: Column, end: Column) -> Column:
-    """Lines start..end, clamped to the file, joined by newlines."""
-    s = F.greatest(start, F.lit(1))
-    n = F.least(end, F.size(lines)) - s + 1
-    return F.when(n > 0, F.array_join(F.slice(lines, s, F.greatest(n, F.lit(1))), "\n")).otherwise(F.lit(""))
-
-
 def cut_bytes(text: Column, most: int) -> Column:
     """At most `most` bytes of text, ending with a whole character."""
     if most <= 0:

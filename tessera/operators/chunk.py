@@ -39,10 +39,6 @@ def _starts(line: Column, prefixes: tuple[str, ...]) -> Column:
     return out
 
 
-def is_boundary(line: Column) -> Column:
-    return _starts(F.lower(trim_space(line)), BOUNDARIES)
-
-
 def line_kind(line: Column) -> Column:
     """'import', 'constlet' or 'other' for a boundary line, null for any other line."""
     low = F.lower(trim_space(line))
@@ -98,28 +94,46 @@ def line_state(lines: DataFrame) -> DataFrame:
         facts = facts.withColumn(f"_s_{name}", F.coalesce(F.sum(f"_n_{name}").over(before), F.lit(0)))
         least = F.least(F.lit(0), F.coalesce(F.min(F.col(f"_s_{name}") + F.col(f"_l_{name}")).over(before), F.lit(0)))
         depths[f"{name}_depth"] = (F.col(f"_s_{name}") - least).cast("int")
-    return facts.withColumns(depths).select("path", "line", "text", "brace_depth", "paren_depth", "in_comment")
+    return facts.withColumns(depths).select(*lines.columns, "brace_depth", "paren_depth", "in_comment")
 
 
-def blocks(lines: DataFrame) -> DataFrame:
-    """path, start, end of the declaration blocks of each file; a file without any is one block."""
+def declared(lines: DataFrame) -> DataFrame:
+    """lines with begins: whether a declaration block of its file begins there; a file without any is one block."""
     state = line_state(lines)
     top = (F.col("brace_depth") == 0) & (F.col("paren_depth") == 0) & ~F.col("in_comment")
     brace = F.startswith(trim_space(F.col("text")), F.lit("export {"))
-    kind = F.when(top & brace, "export").when(top, line_kind(F.col("text")))
-    facts = state.select("path", "line", kind.alias("_kind"))
+    facts = state.select(*lines.columns, F.when(top & brace, "export").when(top, line_kind(F.col("text"))).alias("_kind"))
     whole = Window.partitionBy("path")
-    order = whole.orderBy("line")
-    facts = facts.withColumns({"_n": F.max("line").over(whole), "_first": F.min(F.when(F.col("_kind").isNotNull(), F.col("line"))).over(whole)})
+    before = whole.orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    facts = facts.withColumn("_first", F.min(F.when(F.col("_kind").isNotNull(), F.col("line"))).over(whole))
     # "export {" begins a block only as the first event of a file
     event = F.when(F.col("_kind") == "export", F.when(F.col("line") == F.col("_first"), "other")).otherwise(F.col("_kind"))
-    facts = facts.withColumn("_event", event)
-    events = facts.filter(F.col("_event").isNotNull() | (F.col("_first").isNull() & (F.col("line") == 1)))
-    begins = F.col("_event").isNull() | (F.col("_event") == "other") | ~F.lag("_event").over(order).eqNullSafe(F.col("_event"))
-    found = events.withColumn("_b", begins).filter("_b")
+    facts = facts.withColumn("_event", event).withColumn("_previous", F.last("_event", ignorenulls=True).over(before))
+    begins = F.when(F.col("_first").isNull(), F.col("line") == 1).otherwise(F.col("_event").isNotNull() & ((F.col("_event") == "other") | ~F.col("_previous").eqNullSafe(F.col("_event"))))
+    return facts.select(*lines.columns, begins.alias("begins"))
+
+
+def blocks(lines: DataFrame) -> DataFrame:
+    """path, start, end of the declaration blocks of each file."""
+    order = Window.partitionBy("path").orderBy("line")
+    found = declared(lines).withColumn("_n", F.max("line").over(Window.partitionBy("path"))).filter("begins")
     return found.select("path", F.col("line").alias("start"), F.coalesce(F.lead("line").over(order) - 1, "_n").alias("end"))
 
 
+def chunked_lines(lines: DataFrame, config: ChunkConfig, *first: str) -> DataFrame:
+    """path, lines (array), chunks (array of (start, end)) of each file, made from its lines in one shuffle.
+
+    first: columns that the first line of each file carries and that the file gets.
+    """
+    per = declared(lines).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", "text", "begins"))).alias("_l"), *[F.max(c).alias(c) for c in first])  # a file's own lines
+    starts = F.transform(F.filter("_l", lambda x: x["begins"]), lambda x: x["line"])
+    per = per.select("path", *first, F.transform("_l", lambda x: x["text"]).alias("lines"), starts.alias("_s"))
+    end = lambda i: F.coalesce(F.get(F.col("_s"), i + 1) - 1, F.size("lines"))
+    found = F.transform("_s", lambda s, i: F.struct(s.alias("start"), end(i).alias("end")))
+    per = per.withColumn("_b", merge_short(found, config.min_lines))
+    return per.select("path", *first, "lines", F.flatten(F.transform("_b", lambda b: windows(b["start"], b["end"], config))).alias("chunks"))
+
+
 def merge_short(found: Column, min_lines: int) -> Column:
     """Fold an ordered array of (start, end): a block absorbs the following ones until it has min_lines."""
     empty = F.slice(found, 1, 0)
@@ -144,14 +158,10 @@ def windows(start: Column, end: Column, config: ChunkConfig) -> Column:
 
 def chunk_ranges(files: DataFrame, config: ChunkConfig, content: str = "content") -> DataFrame:
     """path, chunks: array of (start, end) per file."""
-    per = blocks(lines_of(files, content)).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_b"))  # a file's own blocks
-    merged = merge_short(F.col("_b"), config.min_lines)
-    return per.select("path", F.flatten(F.transform(merged, lambda b: windows(b["start"], b["end"], config))).alias("chunks"))
+    return chunked_lines(lines_of(files, content), config).select("path", "chunks")
 
 
 def chunk_files(files: DataFrame, config: ChunkConfig, max_snippet_bytes: int = 800, content: str = "content") -> DataFrame:
-    """files joined with their chunks: path, ordinal (from 0), start_line, end_line, snippet, lines."""
-    ranges = chunk_ranges(files, config, content)
-    joined = files.join(ranges, "path").withColumn("_lines", split_lines(normalize_newlines(F.col(content))))
-    rows = joined.select("path", "_lines", F.posexplode("chunks").alias("ordinal", "_c"))
-    return rows.select("path", "ordinal", F.col("_c.start").alias("start_line"), F.col("_c.end").alias("end_line"), snippet(F.col("_lines"), F.col("_c.start"), F.col("_c.end"), max_snippet_bytes).alias("snippet"), F.slice("_lines", F.col("_c.start"), F.col("_c.end") - F.col("_c.start") + 1).alias("lines"))
+    """path, ordinal (from 0), start_line, end_line, snippet, lines of every chunk."""
+    rows = chunked_lines(lines_of(files, content), config).select("path", "lines", F.posexplode("chunks").alias("ordinal", "_c"))
+    return rows.select("path", "ordinal", F.col("_c.start").alias("start_line"), F.col("_c.end").alias("end_line"), snippet(F.col("lines"), F.col("_c.start"), F.col("_c.end"), max_snippet_bytes).alias("snippet"), F.slice("lines", F.col("_c.start"), F.col("_c.end") - F.col("_c.start") + 1).alias("lines"))

@@ -5,14 +5,14 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.config import SCHEMA_VERSION, EngineConfig
 from tessera.functions.text import normalize_newlines, path_tokens, snippet, split_lines, text_tokens
-from tessera.operators.chunk import chunk_ranges
+from tessera.operators.chunk import chunked_lines
 from tessera.operators.hashing import fnv64_bulk
 
 
@@ -54,24 +54,26 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
 def tokenized(files: DataFrame, config: EngineConfig, content: str = "content") -> DataFrame:
     """path, mtime, size, hash64, chunks: array of (start_line, end_line, snippet, tokens) per file.
 
-    String literals are recognised over the whole file, tokens are those of a chunk's lines and of the path.
+    String literals are recognised over the whole file, tokens are those of a chunk's lines and of the path. Contents are
+    hashed where they are read and then shuffled once, as lines.
     """
-    clean = normalize_newlines(F.col(content))
-    hashes = fnv64_bulk(files.select("path", content), content).select("path", "hash64")
-    joined = files.join(chunk_ranges(files, config.chunk, content), "path").join(hashes, "path").withColumns({"_lines": split_lines(clean), "_code": split_lines(clean if config.token.string_literals else _keep_lines(clean))})
+    hashed = fnv64_bulk(files.select("path", "mtime", "size", content), content)
+    lines = hashed.select("path", F.struct("mtime", "size", "hash64").alias("_f"), F.posexplode(split_lines(normalize_newlines(F.col(content)))).alias("_p", "text"))
+    lines = lines.select("path", (F.col("_p") + 1).alias("line"), "text", F.when(F.col("_p") == 0, F.col("_f")).alias("_f"))
+    per = chunked_lines(lines, config.chunk, "_f")
+    per = per.withColumn("_code", F.col("lines") if config.token.string_literals else split_lines(_keep_lines(F.array_join("lines", "\n"))))
+    per = per.withColumn("_own", path_tokens(F.col("path"), config.token))
 
     def described(c: Column) -> Column:
         n = c["end"] - c["start"] + 1
         text = F.array_join(F.slice("_code", c["start"], n), "\n")
-        tokens = F.array_sort(F.array_union(text_tokens(text, _literal_free(config)), path_tokens(F.col("path"), config.token)))
-        return F.struct(c["start"].alias("start_line"), c["end"].alias("end_line"), snippet(F.col("_lines"), c["start"], c["end"], config.max_snippet_bytes).alias("snippet"), tokens.alias("tokens"))
+        tokens = F.array_sort(F.array_union(text_tokens(text, _literal_free(config)), F.col("_own")))
+        return F.struct(c["start"].alias("start_line"), c["end"].alias("end_line"), snippet(F.col("lines"), c["start"], c["end"], config.max_snippet_bytes).alias("snippet"), tokens.alias("tokens"))
 
-    return joined.select("path", "mtime", "size", "hash64", F.transform("chunks", described).alias("chunks"))
+    return per.select("path", "_f.mtime", "_f.size", "_f.hash64", F.transform("chunks", described).alias("chunks"))
 
 
 def _literal_free(config: EngineConfig):
-    from dataclasses import replace
-
     return replace(config.token, string_literals=True)  # literals are gone already where they must not count
 
 
@@ -111,7 +113,8 @@ def packed(postings: DataFrame) -> DataFrame:
 
 
 def document_frequency(postings: DataFrame) -> DataFrame:
-    return postings.distinct().groupBy("term").agg(F.count("*").alias("df"))
+    """term, df of postings, which hold a term once per chunk."""
+    return postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def terms(postings: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +49,3 @@ def search(index: Index, q: str, config: TokenConfig | None = None, top_k: int =
     checked = found.withColumn("path", F.when(F.col("path").isNotNull(), F.col("path")).otherwise(F.raise_error(F.concat(F.lit("missing chunk "), F.col("chunk_id").cast("string"))).cast("string")))
     return top(checked, top_k, max_per_file).select("chunk_id", "path", "start_line", "end_line", "score", "snippet", "why")
 
-
-def expected_score(n_chunks: int, frequencies: list[int]) -> float:
-    return sum(math.log1p(n_chunks / f) for f in frequencies)

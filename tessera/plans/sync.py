@@ -8,11 +8,31 @@ from pyspark.sql import functions as F
 from tessera.config import INDEX_DIR
 from tessera.operators.paths import indexable
 
+# Modes and reasons of a sync, reasons of a change.
 MODES = ("full", "noop", "incremental")
+WHYS = ("up_to_date", "missing_index", "not_git_repo", "schema_changed", "config_changed", "git_head_changed", "git_worktree_changed", "git_head_and_worktree_changed", "git_changed_non_indexable", "unknown")
+CHANGES = ("none", "worktree", "head", "head+worktree", "unknown")
 #: Changed paths listed in a status.
 LISTED = 200
 
 
+def valid_mode(mode: Column) -> Column:
+    return F.coalesce(mode.isin(*MODES), F.lit(False))
+
+
+def valid_why(why: Column) -> Column:
+    """A known reason, or none."""
+    return F.coalesce(why.isin("", *WHYS), F.lit(False))
+
+
+def valid_change(reason: Column) -> Column:
+    return F.coalesce(reason.isin("", *CHANGES), F.lit(False))
+
+
+#: The state that a sync is decided on.
+STATE = "missing_index boolean, is_repo boolean, known boolean, schema_changed boolean, config_changed boolean, dirty boolean, dirty_index_only boolean, heads_differ boolean, changed_path_count long"
+
+
 def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """path, change (added, removed, modified, same) of two manifests with path and hash64."""
     o = old.select("path", F.col("hash64").alias("_old"), F.lit(True).alias("_o"))
@@ -28,7 +48,7 @@ def changed_paths(worktree: DataFrame, head: DataFrame) -> DataFrame:
 
 def change_summary(changed: DataFrame) -> DataFrame:
     """changed_path_count and the first paths in byte order."""
-    first = changed.orderBy("path").limit(LISTED).agg(F.array_sort(F.collect_list("path")).alias("changed_paths"))  # at most LISTED
+    first = changed.orderBy("path").limit(LISTED).agg(F.coalesce(F.array_sort(F.collect_list("path")), F.array().cast("array<string>")).alias("changed_paths"))  # at most LISTED
     return changed.agg(F.count("*").alias("changed_path_count")).crossJoin(first)  # one row each
 
 

@@ -19,6 +19,7 @@ from tessera.operators import fetch as fetching
 from tessera.operators import index as I
 from tessera.operators import paths as P
 from tessera.operators import search as S
+from tessera.operators.hashing import fnv64_bulk
 from tessera.plans import sync as Y
 from tessera.plans.rules import effective_rules
 from tessera.sources import scan
@@ -128,14 +129,27 @@ corpus AS (
 postings AS (SELECT unnest(tokens) AS term, chunk_id FROM corpus)"""
 
 
+#: Indexes that this process wrote: one for each application and set of input files.
+_WRITTEN: dict[tuple, str] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> I.Index:
+    """The saved index of the documents, each one chunk; the first query that needs it writes it, all of them read it."""
+    key = (spark.sparkContext.applicationId, *sorted(spark.read.parquet(f"{sf_dir}/documents.parquet").inputFiles()))
+    if key not in _WRITTEN:
+        root = f"{_shared(spark)}/index-{uuid.uuid4().hex}"
+        I.write_index(_index(spark, sf_dir), root)
+        _WRITTEN[key] = root
+    return I.load_index(spark, _WRITTEN[key])
+
+
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as one chunk: path, content, chunk_id, tokens."""
-    rows = I.numbered(_files(spark, sf_dir).select("path", "content"), ["path"], "chunk_id")
-    return rows.withColumn("tokens", T.tokens_with_path(F.col("path"), F.col("content"), TOKENS))
+    """Each document as one chunk: path, content, chunk_id."""
+    return _files(spark, sf_dir).select("path", "content").join(_stored(spark, sf_dir).chunks.select("path", "chunk_id"), "path")
 
 
 def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _corpus(spark, sf_dir).select(F.explode("tokens").alias("term"), "chunk_id")
+    return _stored(spark, sf_dir).postings
 
 
 # Scans and filters
@@ -343,6 +357,10 @@ chunked AS (SELECT w.*, row_number() OVER (PARTITION BY w.path ORDER BY w."start
 _SNIPPET = rf"array_to_string(list_filter(list_transform(lines[\"start\":\"end\"], lambda t: {_TRIM.format('t')}), lambda t: t <> '')[1:3], chr(10))".replace('\\"', '"')
 
 
+# the longest prefix with at most 120 bytes
+_CUT = "left(s, list_max(list_filter(range(0, 121), lambda n: octet_length(encode(left(s, n))) <= 120)))"
+
+
 @_register("classify_lines", f"WITH lines AS (SELECT path, unnest(string_split({_NL}, chr(10))) AS text, unnest(range(1, len(string_split({_NL}, chr(10))) + 1))::INT AS line FROM ({_CODE})) SELECT path, line, {_KIND} AS kind FROM lines")
 def classify_lines(spark, sf_dir):
     return C.lines_of(_code(spark, sf_dir)).select("path", "line", C.line_kind(F.col("text")).alias("kind"))
@@ -387,11 +405,9 @@ def chunk_text(spark, sf_dir):
     return _chunked(spark, sf_dir).select("path", F.col("ordinal").cast("int").alias("ordinal"), F.array_join("lines", "\n").alias("text"))
 
 
-@_register("snippet", f'WITH RECURSIVE {_WINDOWS} SELECT path, ordinal::INT AS ordinal, left({_SNIPPET}, 40) AS head, octet_length(encode({_SNIPPET})) <= 800 AS whole FROM chunked')
+@_register("snippet", f'WITH RECURSIVE {_WINDOWS} SELECT path, ordinal::INT AS ordinal, {_CUT} AS snippet FROM (SELECT path, ordinal, {_SNIPPET} AS s FROM chunked)')
 def snippet(spark, sf_dir):
-    rows = C.chunk_files(_code(spark, sf_dir), SMALL, 1 << 30)
-    cut = T.cut_bytes(F.col("snippet"), 800)
-    return rows.select("path", F.col("ordinal").cast("int").alias("ordinal"), F.substring("snippet", 1, 40).alias("head"), (cut == F.col("snippet")).alias("whole"))
+    return C.chunk_files(_code(spark, sf_dir), SMALL, 120).select("path", F.col("ordinal").cast("int").alias("ordinal"), "snippet")
 
 
 @_register("chunk_tokens", f"""WITH RECURSIVE {_WINDOWS}, per AS (SELECT path, ordinal, array_to_string(lines["start":"end"], chr(10)) AS content FROM chunked)
@@ -400,8 +416,30 @@ def chunk_tokens(spark, sf_dir):
     return _chunked(spark, sf_dir).select("path", F.col("ordinal").cast("int").alias("ordinal"), F.array_join(T.text_tokens(F.array_join("lines", "\n"), TOKENS), " ").alias("tokens"))
 
 
+_PARTS = "(?s)" + "|".join(f"{q}(?:[^{q}\\\\]|\\\\.)*(?:{q}|\\\\?\\z)" for q in ("''", '"', "`")) + "|[^''\"`]+"
+_BLANKED = f"array_to_string(list_transform(regexp_extract_all({_NL}, '{_PARTS}'), lambda p: CASE WHEN p[1] IN ('''', '\"', '`') THEN ' ' || regexp_replace(p, '[^' || chr(10) || ']', '', 'g') ELSE p END), '')"
+
+
+@_register("file_tokens", f"""WITH RECURSIVE {_WINDOWS}, src AS (SELECT path, content FROM ({_CODE})), {_STRIPPED},
+bare AS (SELECT path, clean, string_split({_BLANKED}, chr(10)) AS code FROM stripped),
+per AS (SELECT c.path, c.ordinal, b.clean, array_to_string(b.code[c."start":c."end"], chr(10)) AS content FROM chunked c JOIN bare b ON b.path = c.path)
+SELECT path, ordinal::INT AS ordinal, array_to_string(list_sort(list_distinct(list_concat({_sql_tokens(_sql_idents("content"))}, {_sql_tokens(_sql_idents("clean"))}))), ' ') AS tokens FROM per""")
+def file_tokens(spark, sf_dir):
+    """Chunks' tokens as the index gets them: literals are recognised from the file's start, the path's tokens are added."""
+    rows = I.tokenized(_code(spark, sf_dir), replace(EngineConfig(), token=NO_STRINGS, chunk=SMALL))
+    return rows.select("path", F.posexplode("chunks").alias("ordinal", "c")).select("path", "ordinal", F.array_join("c.tokens", " ").alias("tokens"))
+
+
+@_register("content_hashes")
+def content_hashes(spark, sf_dir):
+    """FNV-1a of the contents, with normalised newlines and of the bytes as they are (SQL would take a step for each byte)."""
+    plain = fnv64_bulk(_code(spark, sf_dir).select("path", "content")).withColumnRenamed("hash64", "normalised")
+    return fnv64_bulk(plain, normalize=False).select("path", "normalised", F.col("hash64").alias("raw"))
+
+
 # Index
 
+
 @_register("file_ids", f"SELECT path, row_number() OVER (ORDER BY path) AS file_id FROM ({_CODE})")
 def file_ids(spark, sf_dir):
     return I.numbered(_code(spark, sf_dir).select("path"), ["path"], "file_id")
@@ -436,14 +474,13 @@ def terms_dictionary(spark, sf_dir):
 @_register("idf", f"""WITH {_CORPUS}, d AS (SELECT term, count(DISTINCT chunk_id) AS df FROM postings GROUP BY term)
 SELECT term, round(ln(1 + (SELECT count(*) FROM corpus) / df), 9) AS idf FROM d""")
 def idf(spark, sf_dir):
-    rows = _postings(spark, sf_dir)
-    n = _files(spark, sf_dir).count()
-    return I.document_frequency(rows).select("term", F.round(S.idf(n, F.col("df")), 9).alias("idf"))
+    n = _stored(spark, sf_dir).chunks.count()
+    return I.document_frequency(_postings(spark, sf_dir)).select("term", F.round(S.idf(n, F.col("df")), 9).alias("idf"))
 
 
 @_register("index_counts", f"WITH {_CORPUS} SELECT (SELECT count(*) FROM corpus) AS file_count, (SELECT count(*) FROM corpus) AS chunk_count, (SELECT count(DISTINCT term) FROM postings) AS term_count")
 def index_counts(spark, sf_dir):
-    return I.counts(_index(spark, sf_dir))
+    return I.counts(_stored(spark, sf_dir))
 
 
 def _index(spark: SparkSession, sf_dir: str) -> I.Index:
@@ -453,8 +490,11 @@ def _index(spark: SparkSession, sf_dir: str) -> I.Index:
 
 
 def _shared(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
+    """The cluster's shared folder; a temporary one only in a local session that names none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+    return folder or tempfile.mkdtemp(prefix="tessera-")
 
 
 @_register("load_index_roundtrip", f"WITH {_CORPUS} SELECT term, chunk_id FROM postings")
@@ -490,8 +530,8 @@ def query_terms(spark, sf_dir):
 
 
 def _scored(spark, sf_dir) -> DataFrame:
-    terms = S.query_terms(spark, QUERY, TOKENS)
-    return S.scores(_postings(spark, sf_dir), _files(spark, sf_dir).count(), terms)
+    index = _stored(spark, sf_dir)
+    return S.scores(index.postings, index.chunks.count(), S.query_terms(spark, QUERY, TOKENS))
 
 
 @_register("search_scores", f"WITH {_SCORES} SELECT chunk_id, round(score, 9) AS score, why FROM scored")
@@ -507,14 +547,14 @@ SELECT chunk_id, path, round(score, 9) AS score, why FROM capped WHERE r <= 2 OR
 @_register("search_topk", _SQL_TOP)
 def search_topk(spark, sf_dir):
     """The best 20 documents, at most two of a source and language."""
-    corpus = _corpus(spark, sf_dir).select("chunk_id", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("path"))
+    corpus = _stored(spark, sf_dir).chunks.select("chunk_id", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("path"))
     ranked = S.top(_scored(spark, sf_dir).withColumn("score", F.round("score", 9)).join(corpus, "chunk_id"))
     return ranked.select("chunk_id", "path", "score", F.array_join("why", " ").alias("why"))
 
 
 @_register("results_json")
 def results_json(spark, sf_dir):
-    index = _index(spark, sf_dir)
+    index = _stored(spark, sf_dir)
     found = S.search(index, QUERY, TOKENS)
     return found.select(F.to_json(F.struct("*")).alias("result"))
 
@@ -581,6 +621,29 @@ def dirty_index_only(spark, sf_dir):
     return named[0].union(named[1]).union(named[2])
 
 
+@_register("change_summary", f"""WITH p AS (SELECT DISTINCT path FROM ({_PATHS}) WHERE {_SQL_INDEXABLE})
+SELECT count(*) AS changed_path_count, (SELECT string_agg(path, ' ' ORDER BY path) FROM (SELECT path FROM p ORDER BY path LIMIT 200)) AS changed_paths FROM p""")
+def change_summary(spark, sf_dir):
+    """The number of changed paths, and the first 200."""
+    out = Y.change_summary(Y.changed_paths(_paths(spark, sf_dir), _paths(spark, sf_dir).limit(0)))
+    return out.select("changed_path_count", F.array_join("changed_paths", " ").alias("changed_paths"))
+
+
+@_register("change_reasons", "SELECT n::INT AS n, CASE n WHEN 0 THEN 'none' WHEN 1 THEN 'worktree' WHEN 2 THEN 'head' ELSE 'head+worktree' END AS reason FROM range(4) t(n)")
+def change_reasons(spark, sf_dir):
+    n = F.col("id")
+    return spark.range(4).select(n.cast("int").alias("n"), Y.change_reason(n % 2 == 1, n >= 2).alias("reason"))
+
+
+_WORDS = ("", "full", "noop", "incremental", "up_to_date", "missing_index", "not_git_repo", "schema_changed", "config_changed", "git_head_changed", "git_worktree_changed", "git_head_and_worktree_changed", "git_changed_non_indexable", "unknown", "none", "worktree", "head", "head+worktree", "other", "FULL")
+
+
+@_register("valid_enums", "SELECT word, word IN ('full', 'noop', 'incremental') AS mode, word IN ('', 'unknown', 'up_to_date', 'missing_index', 'not_git_repo', 'schema_changed', 'config_changed') OR starts_with(word, 'git_') AS why, word IN ('', 'unknown', 'none', 'worktree', 'head', 'head+worktree') AS change FROM (VALUES " + ", ".join(f"({_quote(w)})" for w in _WORDS) + ") v(word)")
+def valid_enums(spark, sf_dir):
+    word = F.col("word")
+    return spark.createDataFrame([(w,) for w in _WORDS], "word string").select(word, Y.valid_mode(word).alias("mode"), Y.valid_why(word).alias("why"), Y.valid_change(word).alias("change"))
+
+
 _FLAGS = ("missing_index", "is_repo", "known", "schema_changed", "config_changed", "dirty", "dirty_index_only", "heads_differ")
 
 

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import stat
 import subprocess
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,30 +16,61 @@ from tessera.operators.paths import has_extension, ignored_with_parents, known_b
 from tessera.plans.rules import UNSEEN_DIRS, EffectiveRules
 
 
+LISTING = "path string, mtime long, size long"
+
+
 def scan_tree(spark: SparkSession, root: str, with_content: bool = True) -> DataFrame:
-    """path, mtime, size (and content as binary) of a tree read by Spark's file source; symlinked files are left out on local trees.
+    """path, mtime, size (and content as binary) of the files of a tree.
 
-    Listing and reading are Spark's, so the tree can be in any store it opens.
+    A local tree is listed here, hidden names too, and its files are read in the tasks; what cannot be listed or read is an
+    error. Symlinked files and folders are left out. A tree in another store is listed and read by Spark's file source,
+    which leaves out names that begin with a dot or an underscore.
     """
-    base = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    plain = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + _quoted(base.removeprefix("file://")) + "/", "")
-    out = raw.select(plain.alias("path"), F.col("modificationTime").cast("long").alias("mtime"), F.col("length").alias("size"), *(["content"] if with_content else []))
-    links = local_symlinks(base.removeprefix("file://"))
-    return out.filter(~F.col("path").isin(links)) if links else out
+    base = root.rstrip("/") or "/"
+    if "://" in base and not base.startswith("file://"):
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
+        plain = F.regexp_replace("path", "^" + _quoted(base) + "/", "")
+        return raw.select(plain.alias("path"), F.col("modificationTime").cast("long").alias("mtime"), F.col("length").alias("size"), *(["content"] if with_content else []))
+    listing = spark.createDataFrame(list_tree(base), LISTING)
+    return with_contents(listing, base) if with_content else listing
+
+
+def list_tree(root: str) -> list[tuple[str, int, int]]:
+    """(path, mtime, size) of every regular file below a local folder, by path; links are not followed."""
+    base = root.removeprefix("file://")
+    out = []
 
+    def fail(e: OSError) -> None:
+        raise e
 
-def _quoted(text: str) -> str:
-    return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+    for folder, _, names in os.walk(base, onerror=fail, followlinks=False):
+        for name in names:
+            full = os.path.join(folder, name)
+            info = os.lstat(full)
+            if stat.S_ISREG(info.st_mode):
+                out.append((os.path.relpath(full, base).replace(os.sep, "/"), int(info.st_mtime), info.st_size))
+    return sorted(out)
 
 
-def local_symlinks(root: str) -> list[str]:
-    """Relative paths of symlinked files below a local folder, without following links."""
-    out = []
-    if os.path.isdir(root):
-        for folder, _, names in os.walk(root):
-            out += [os.path.relpath(os.path.join(folder, n), root) for n in names if os.path.islink(os.path.join(folder, n))]
-    return out
+def with_contents(listing: DataFrame, root: str, batch_bytes: int = 32_000_000) -> DataFrame:
+    """The files of a listing of a local tree (path, mtime, size first) with their content, read where the task runs."""
+    base = root.removeprefix("file://")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start, held = 0, []
+            for i, path in enumerate(batch.column(0).to_pylist()):
+                with open(os.path.join(base, path), "rb") as f:
+                    held.append(f.read())
+                if sum(map(len, held)) >= batch_bytes or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(start, len(held)).columns, pa.array(held, pa.binary())], ["path", "mtime", "size", "content"])
+                    start, held = i + 1, []
+
+    return listing.select("path", "mtime", "size").mapInArrow(read, LISTING + ", content binary")
+
+
+def _quoted(text: str) -> str:
+    return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
 def scan_table(docs: DataFrame) -> DataFrame:
@@ -72,7 +106,8 @@ def ignore_lines(text: str) -> list[str]:
 
 
 def ignore_dirs(text: str) -> list[str]:
-    return [s.removesuffix("/") for s in ignore_lines(text)]
+    """Folders of an ignore file, for `in_ignored_dir`."""
+    return [d for d in (s.removesuffix("/") for s in ignore_lines(text)) if d]
 
 
 def read_local(path: str) -> bytes | None:
