@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -192,22 +191,41 @@ def filter_binary_sniff(spark, sf_dir):
     return _code(spark, sf_dir).select("path", P.looks_binary(F.col("content")).alias("is_binary"))
 
 
+#: Each pattern of the fixtures as a condition of its own in SQL, independent of the translation that the filters use.
+_GLOB_SQL = {
+    "**/*.ts": "ends_with({p}, '.ts')",
+    "src/*": "regexp_full_match({p}, 'src/[^/]*')",
+    "*": "NOT contains({p}, '/')",
+    "**": "true",
+    "a/**/deep.ts": "starts_with({p}, 'a/') AND ends_with({p}, '/deep.ts')",
+    "src/[a-c]*.ts": "regexp_full_match({p}, 'src/[a-c][^/]*[.]ts')",
+    "src/[^i]*.ts": "regexp_full_match({p}, 'src/[^i/][^/]*[.]ts')",
+    "src/b\\.test.ts": "{p} = 'src/b.test.ts'",
+    "lib/?.js*": "regexp_full_match({p}, 'lib/[^/][.]js[^/]*')",
+    "[": "false",
+    "**/*.svg": "ends_with({p}, '.svg')",
+    ".git/": "list_contains(string_split({p}, '/'), '.git')",
+    ".tessera/": "list_contains(string_split({p}, '/'), '.tessera')",
+    "package-lock.json": "{p} = 'package-lock.json'",
+    "node_modules/": "list_contains(string_split({p}, '/'), 'node_modules')",
+    "dist/": "list_contains(string_split({p}, '/'), 'dist')",
+    "build/": "list_contains(string_split({p}, '/'), 'build')",
+    "build/keep.ts": "{p} = 'build/keep.ts'",
+    "npm-debug.log*": "starts_with({p}, 'npm-debug.log') AND NOT contains({p}, '/')",
+    "**/*.map": "ends_with({p}, '.map')",
+    "x.map": "{p} = 'x.map'",
+    "src/[a-c]?.ts": "regexp_full_match({p}, 'src/[a-c][^/][.]ts')",
+}
+
+
 def _sql_glob(path: str, pattern: str) -> str:
-    regex = P.glob_to_regex(pattern)
-    if regex is None:
-        return "false"
-    regex = re.sub(r"\(\?:\(\?!/\)\[(\^?)([^\]]*)\]\)", lambda m: f"[{m[1]}{m[2]}/]" if m[1] else f"[{m[2]}]", regex)
-    return f"regexp_full_match('/' || {path}, {_quote(regex[1:-1])})"
+    return f"({_GLOB_SQL[pattern].format(p=path)})"
 
 
 def _sql_ignored(path: str) -> str:
     """The verdict of the last matching pattern."""
-    out = []
-    for raw in reversed(fixtures.IGNORE):
-        pattern = raw.removeprefix("!")
-        pattern = f"**/{pattern.rstrip('/')}/**" if pattern.endswith("/") else pattern
-        out.append(f"WHEN {_sql_glob(path, pattern)} THEN {'false' if raw.startswith('!') else 'true'}")
-    return "CASE " + " ".join(out) + " ELSE false END"
+    rules = [f"WHEN {_sql_glob(path, raw.removeprefix('!'))} THEN {'false' if raw.startswith('!') else 'true'}" for raw in reversed(fixtures.IGNORE)]
+    return "CASE " + " ".join(rules) + " ELSE false END"
 
 
 @_register("filter_ignore", f"""

@@ -21,12 +21,31 @@ def test_without_sql(name, spark, sf_dir):
     assert queries.queries()[name](spark, sf_dir).count() > 0
 
 
-def test_entry_without_llm(tmp_path):
+@pytest.mark.parametrize("script", [False, True])
+def test_entry_without_llm(tmp_path, script):
+    """The folders of the training-data operators deleted, the pipeline's script deleted too or still there."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    os.symlink(f"{root}/__spark_entry__.py", tmp_path / "__spark_entry__.py")
-    os.mkdir(tmp_path / "tessera")
+    for name in ("__spark_entry__.py", *(["corpus_pipeline.py"] if script else [])):
+        with open(tmp_path / name, "w") as f:
+            f.write(open(f"{root}/{name}").read() if os.path.exists(f"{root}/{name}") else "import tessera.llm.common")
+    os.makedirs(tmp_path / "tessera/llm/__pycache__")
     for name in os.listdir(f"{root}/tessera"):
         if name not in ("llm", "__pycache__"):
             os.symlink(f"{root}/tessera/{name}", tmp_path / "tessera" / name)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op1') or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, check=True)
+
+
+def test_broken_operators_are_an_error(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    with open(tmp_path / "__spark_entry__.py", "w") as f:
+        f.write(open(f"{root}/__spark_entry__.py").read())
+    os.makedirs(tmp_path / "tessera/llm")
+    for name in os.listdir(f"{root}/tessera"):
+        if name not in ("llm", "__pycache__"):
+            os.symlink(f"{root}/tessera/{name}", tmp_path / "tessera" / name)
+    for name in ("__init__.py", "queries.py"):
+        with open(tmp_path / "tessera/llm" / name, "w") as f:
+            f.write("import no_such_module_at_all\n" if name == "queries.py" else "")
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    assert done.returncode and "no_such_module_at_all" in done.stderr
