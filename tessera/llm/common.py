@@ -14,14 +14,17 @@ from pyspark.sql import functions as F
 
 #: Text handled at once by the numpy kernels; their temporaries take some tens of times as much.
 SLICE_BYTES = 1_500_000
-#: Rows of one key that `lookup` leaves together, and keys with more of them that it broadcasts (some 50 bytes each).
-HOT, HOT_KEYS = 5_000, 100_000
+#: Rows of one key that are left together, keys with more of them that are broadcast (some 50 bytes each), and parts of a key
+#: at most (more rows than HOT times that make larger parts).
+HOT, HOT_KEYS, MOST_PARTS = 5_000, 100_000, 4096
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none (tests)."""
+    """The cluster's shared folder; a temporary one only in a local session that names none (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         base = tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -59,7 +62,7 @@ def deal(rows: DataFrame, values: DataFrame, keys: Sequence[str], counts: DataFr
     counts is read up to three times: a stored table or a small one.
     """
     keys = list(keys)
-    hot = counts.filter(F.col(n) > HOT).select(*keys, F.ceil(F.col(n) / HOT).cast("int").alias("_parts"))
+    hot = counts.filter(F.col(n) > HOT).select(*keys, F.least(F.ceil(F.col(n) / HOT), F.lit(MOST_PARTS)).cast("int").alias("_parts"))
     number = hot.limit(HOT_KEYS + 1).count()
     if not number:
         return rows.withColumn("_part", F.lit(0)), values.withColumn("_part", F.lit(0))

@@ -18,10 +18,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import buckets_for, running, table
+from tessera.llm.common import buckets_for, lookup, running, table
+from tessera.operators.index import numbered
 
-#: Sources are listed on the driver to share out the words; beyond this many the job refuses.
-MAX_SOURCES = 1_000_000
+#: So many sources are listed on the driver to share out the words; more are shared out in Spark, by the same rule.
+MAX_LISTED = 10_000
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -60,19 +61,24 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), total_share
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size"), F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).alias("_k"), F.xxhash64(text).alias("_x"))
     rows = table(rows, "sizes")
-    per = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(per) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    per.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8")))
-    sizes = [r["size"] for r in per]
-    targets = share_out(sizes, [weights[i % len(weights)] for i in range(len(per))], total_share * sum(sizes), most)
-    plan = spark.createDataFrame(
-        [(i, r["source"], s, float(t), float(slopes[i % len(slopes)])) for i, (r, s, t) in enumerate(zip(per, sizes, targets, strict=True))],
-        "_s long, source string, source_size long, target double, _slope double",
-    )
-    small = len(per) <= 10_000  # some hundred bytes each
-    rows = rows.join(F.broadcast(plan) if small else plan, rows["source"].eqNullSafe(plan["source"])).drop("source")
-    n = buckets_for(sum(r["n"] for r in per))
+    per = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    listed = per.limit(MAX_LISTED + 1).collect()
+    if len(listed) <= MAX_LISTED:
+        listed.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8")))
+        sizes = [r["size"] for r in listed]
+        targets = share_out(sizes, [weights[i % len(weights)] for i in range(len(listed))], total_share * sum(sizes), most)
+        plan = spark.createDataFrame(
+            [(i, r["source"], r["n"], s, float(t), float(slopes[i % len(slopes)])) for i, (r, s, t) in enumerate(zip(listed, sizes, targets, strict=True))],
+            "_s long, source string, n long, source_size long, target double, _slope double",
+        )
+    else:
+        plan = _many_sources(per, weights, total_share, most, slopes)
+    n = buckets_for(rows.count())
+    name = [F.coalesce("source", F.lit("")).alias("_name"), F.col("source").isNull().alias("_none")]
+    rows, plan = (d.select("*", *name).drop("source") for d in (rows, plan))
+    key = ["_name", "_none"]
+    rows = rows.join(F.broadcast(plan.drop("n")), key) if len(listed) <= MAX_LISTED else lookup(rows, plan, key)
+    rows = rows.drop(*key)
     digits = max(1, (n.bit_length() - 1 + 3) // 4)
     # rows without an id all have one key and follow each other by text hash: they get buckets of their own between the others'
     nameless = F.md5(F.lit(""))
@@ -92,6 +98,29 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), total_share
     return out.withColumn("position", F.try_element_at("passes", F.lit(1))).orderBy(F.col("position").asc_nulls_last(), "doc_id", "_text").drop(*([] if with_text_hash else ["_text"]))
 
 
+def _many_sources(per: DataFrame, weights: Sequence[float], total_share: float, most: int, slopes: Sequence[float]) -> DataFrame:
+    """_s, source, n, source_size, target, _slope: `share_out` as rounds over a table of sources."""
+    named = numbered(per.filter("source is not null"), ["source"], "_s").withColumn("_s", F.col("_s") - 1)
+    last = named.count()
+    every = named.unionByName(per.filter("source is null").withColumn("_s", F.lit(last).cast("long")))
+    pick = lambda values: F.get(F.array(*[F.lit(float(v)) for v in values]), (F.col("_s") % len(values)).cast("int"))
+    every = table(every.select("_s", "source", "n", F.col("size").alias("source_size"), pick(weights).alias("_w"), pick(slopes).alias("_slope"), F.lit(None).cast("double").alias("target")), "sources")
+    left = total_share * (every.agg(F.sum("source_size").alias("s")).head()["s"] or 0)
+    while True:
+        free = F.col("target").isNull() & (F.col("_w") > 0)
+        weight = every.filter(free).agg(F.sum("_w").alias("w")).head()["w"]
+        if not weight:
+            break
+        over = free & (F.lit(left) * F.col("_w") / F.lit(weight) > F.col("source_size") * most)
+        capped = every.filter(over).agg(F.sum("source_size").alias("s")).head()["s"]
+        now = F.when(over, (F.col("source_size") * most).cast("double")) if capped is not None else F.when(free, F.lit(left) * F.col("_w") / F.lit(weight))
+        every = table(every.withColumn("target", F.coalesce("target", now)), "sources")
+        if capped is None:
+            break
+        left -= capped * most
+    return every.withColumn("target", F.coalesce("target", F.lit(0.0))).drop("_w")
+
+
 def _position(u: Column, slope: Column) -> Column:
     """The time t at which the integral t + slope * (t * t - t) of a source's demand reaches u."""
     root = F.sqrt(F.greatest(F.lit(0.0), F.pow(F.lit(1.0) - slope, F.lit(2.0)) + F.lit(4.0) * slope * u))

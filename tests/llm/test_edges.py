@@ -319,13 +319,17 @@ def test_repeated_ids_count_once_in_training(spark):
     assert np.array_equal(quality.train(least, labels).value, one.value)
 
 
-def test_mixing(docs, none):
+def test_mixing(docs, none, monkeypatch):
     rows = mixing.mix(docs).collect()
     assert Counter(r["doc_id"] for r in rows) == EVERY
     assert all(r["taken"] <= 2 * r["size"] for r in rows)
     assert sorted(map(tuple, ((r["doc_id"] or 0, r["size"], r["taken"], r["position"] or 0.0) for r in mixing.mix(docs.repartition(5)).collect()))) == sorted((r["doc_id"] or 0, r["size"], r["taken"], r["position"] or 0.0) for r in rows)
     assert mixing.mix(none).count() == 0
     assert mixing.curriculum(docs).columns == docs.columns
+    few = sorted(map(str, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "MAX_LISTED", 1)
+    assert sorted(map(str, mixing.mix(docs).collect())) == few
+    monkeypatch.undo()
     tied = docs.sparkSession.createDataFrame([(1, f"{a} two three", "s") for a in "abcdef"] + [(1, "a two three", "s"), (2, "x y", "t"), (None, "p q", "t"), (None, "r s", "t")], "doc_id long, text string, source string")
     passes = [Counter(tuple(r) for r in mixing.curriculum(tied.repartition(n), slopes=(0.5, -0.5)).collect()) for n in (1, 3, 5)]
     assert passes[0] == passes[1] == passes[2] and sum(passes[0].values()) > 0
