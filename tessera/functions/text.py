@@ -64,9 +64,14 @@ def lower_each(text: Column) -> Column:
     return F.lower(F.translate(text, "\u03a3\u0130", "\u03c3i"))
 
 
-def normalize_tokens(tokens: Column, config: TokenConfig) -> Column:
-    """Lower-cased, filtered, distinct and sorted by bytes."""
-    lowered = F.array_distinct(F.transform(F.array_distinct(tokens), lower_each))
+def normalize_tokens(tokens: Column, config: TokenConfig, text: Column | None = None) -> Column:
+    """Lower-cased, filtered, distinct and sorted by bytes. text, if given, holds all the tokens: few texts need `lower_each`."""
+    kinds = F.array_distinct(tokens)
+    lowered = F.transform(kinds, lower_each)
+    if text is not None:
+        special = F.contains(text, F.lit("\u03a3")) | F.contains(text, F.lit("\u0130"))
+        lowered = F.when(special, lowered).otherwise(F.transform(kinds, lambda x: F.lower(x)))
+    lowered = F.array_distinct(lowered)
     return F.array_sort(F.filter(lowered, lambda x: keep_token(x, config)))
 
 
@@ -75,7 +80,7 @@ def text_tokens(text: Column, config: TokenConfig) -> Column:
     source = text if config.string_literals else drop_string_literals(text)
     words = F.array_distinct(F.split(source, _SEPARATORS))
     parts = F.transform(words, lambda w: F.when(w.rlike(_HUMPS), F.split(w, _INNER)).otherwise(F.array(w)))
-    return normalize_tokens(F.flatten(parts), config)
+    return normalize_tokens(F.flatten(parts), config, source)
 
 
 def _cut_end(text: Column, n: Column) -> Column:

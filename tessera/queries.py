@@ -522,6 +522,27 @@ def load_index_roundtrip(spark, sf_dir):
     return I.load_index(spark, root).postings
 
 
+@_register("load_files", f"SELECT row_number() OVER (ORDER BY path) AS file_id, path, octet_length(encode(content))::BIGINT AS size FROM ({_FILES})")
+def load_files(spark, sf_dir):
+    return _stored(spark, sf_dir).files.select("file_id", "path", "size")
+
+
+_LINES = f"string_split({_NL}, chr(10))"
+_HEAD = f"array_to_string(list_filter(list_transform({_LINES}, lambda t: {_TRIM.format('t')}), lambda t: t <> '')[1:3], chr(10))"
+
+
+@_register("load_chunks", f"""WITH c AS (SELECT row_number() OVER (ORDER BY path) AS chunk_id, path, len({_LINES})::INT AS end_line, {_HEAD} AS s FROM ({_FILES}))
+SELECT chunk_id, chunk_id AS file_id, path, 1::INT AS start_line, end_line, {_CUT.replace("120", "800").replace("121", "801")} AS snippet FROM c""")
+def load_chunks(spark, sf_dir):
+    line = lambda c: F.col(c).cast("int").alias(c)
+    return _stored(spark, sf_dir).chunks.select("chunk_id", "file_id", "path", line("start_line"), line("end_line"), "snippet")
+
+
+@_register("load_terms", _SQL["terms_dictionary"])
+def load_terms(spark, sf_dir):
+    return _stored(spark, sf_dir).terms.select("term", "df", "offset")
+
+
 @_register("cache_validate", f"""WITH RECURSIVE {_WINDOWS} SELECT path, count(*) AS n_chunks, true AS valid FROM chunked GROUP BY path
 UNION ALL SELECT * FROM (VALUES ('bad/start', 1::BIGINT, false), ('bad/end', 1::BIGINT, false), ('bad/count', 1::BIGINT, false)) v(path, n_chunks, valid)""")
 def cache_validate(spark, sf_dir):

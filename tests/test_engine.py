@@ -102,6 +102,19 @@ def test_cap_per_file(spark):
     assert [r["chunk_id"] for r in S.search(index, "alpha", TOKENS).collect()] == [1, 2, 4]
 
 
+def test_option_clamps(spark):
+    """Limits that are not positive or too large become the fixed ones: 20 results, 2 of a file; 5 ids, 120 lines."""
+    rows = spark.createDataFrame([(i, f"{i // 3}.ts", float(i)) for i in range(90)], "chunk_id long, path string, score double")
+    assert [S.top(rows, k).count() for k in (0, -3, 7, 20, 500)] == [20, 20, 7, 20, 20]
+    assert [S.top(rows.filter("path = '1.ts'"), 9, per).count() for per in (0, -1, 1, 3)] == [2, 2, 1, 3]
+    text = "\n".join(map(str, range(1, 301)))
+    got = lambda most: spark.createDataFrame([(text,)], "t string").select(fetching.fetched(F.col("t"), F.lit(1), F.lit(300), most).alias("f")).head()["f"]["returned_to"]
+    assert [got(n) for n in (0, -5, 30, 120, 5000)] == [120, 120, 30, 120, 120]
+    chunks = spark.createDataFrame([(i, "a.ts", i, i) for i in range(1, 9)], "chunk_id long, path string, start_line int, end_line int")
+    content = spark.createDataFrame([("a.ts", text)], "path string, content string")
+    assert [r["chunk_id"] for r in fetching.fetch(chunks, content, [7, 3, 1, 2, 8, 4, 5]).collect()] == [7, 3, 1, 2, 8]
+
+
 def test_numbered_ranges(spark, monkeypatch):
     monkeypatch.setattr(I, "RANGE_ROWS", 50)
     rows = spark.range(1000).select(F.concat(F.lit("p"), (F.col("id") % 337).cast("string")).alias("path"), F.col("id").alias("ordinal"))
@@ -139,10 +152,13 @@ def test_engine(spark, tmp_path):
     assert found[0]["path"] == "a.ts"
     lines = engine.fetch([found[0]["chunk_id"]])[0]["lines"]
     assert lines[0] == "1| import x from 'x';"
+    loaded = engine.index()[0]
+    assert engine.index()[0] is loaded  # the same tables until another version is current
     (root / "b.ts").write_text("export const delta = 3;\n")
     state = engine.status()
     assert state["sync_plan"]["mode"] == "full" and state["git_changed_reason"] == "worktree" and state["git_changed_paths"] == ["b.ts"]
     assert engine.sync()["cache_purged"] is False
+    assert engine.index()[0] is not loaded
     assert engine.search("gamma") == [] and engine.search("delta")[0]["path"] == "b.ts"
     sink = io.BytesIO()
     requests = [b"nonsense\n", b'{"op": "other"}\n', b"x" * (MAX_REQUEST + 9) + b"\n", b'{"op": "search", "q": "delta"}\n', json.dumps({"op": "fetch", "ids": [found[0]["chunk_id"]]}).encode()]
