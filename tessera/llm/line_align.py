@@ -209,9 +209,12 @@ def removals(docs: DataFrame, min_chars: int = 50, text: str = "text", doc_id: s
     first.drop()
     cut = table(_aligned(tried, content, kind, min_chars), "line-cuts")
 
-    places = _windows(base, kind, min_chars)
-    several = places.groupBy("_w").agg(F.min("_id").alias("_least"), F.max("_id").alias("_most")).filter("_least < _most").drop("_most")
-    shared = table(places.join(several, "_w"), "line-windows")
+    places = stored(_windows(base, kind, min_chars), "line-places")
+    several = places.rows.groupBy("_w").agg(F.min("_id").alias("_least"), F.max("_id").alias("_most"), F.count("*").alias("n"))
+    several = stored(several.filter("_least < _most").drop("_most"), "line-several")
+    shared = table(lookup(places.rows, several.rows, ["_w"]), "line-windows")
+    places.drop()
+    several.drop()
     asked = table(_present(shared.filter("_least < _id").drop("_least"), cut), "line-asked")
     if asked.head(1):
         holders = shared.join(asked.select("_w").distinct(), "_w", "left_semi").groupBy("_w", "_x").agg(F.min("_id").alias("_id"))
