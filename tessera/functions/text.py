@@ -83,6 +83,10 @@ def text_tokens(text: Column, config: TokenConfig) -> Column:
     return normalize_tokens(F.flatten(parts), config, source)
 
 
+def to_slash(path: Column) -> Column:
+    return F.replace(path, F.lit("\\"), F.lit("/"))
+
+
 def _cut_end(text: Column, n: Column) -> Column:
     return F.substring(text, F.lit(1), F.char_length(text) - n)
 
@@ -108,7 +112,7 @@ def stripped_path(path: Column, suffixes: Sequence[str], exts: Sequence[str]) ->
 
 
 def path_tokens(path: Column, config: TokenConfig) -> Column:
-    clean = stripped_path(F.replace(path, F.lit("\\"), F.lit("/")), config.strip_suffixes, config.strip_exts)
+    clean = stripped_path(to_slash(path), config.strip_suffixes, config.strip_exts)
     return normalize_tokens(identifiers(clean), config)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.config import INCLUDE_EXT, INDEX_DIR
+from tessera.functions.text import to_slash
 
 # Extensions and suffixes of files that are never read as text.
 BINARY_EXT = (
@@ -131,7 +132,7 @@ def ignored_with_parents(path: Column, patterns: Sequence[str]) -> Column:
 
 def indexable(path: Column) -> Column:
     """Changed paths that concern the index: not inside the index folder, no declaration file, a source extension."""
-    p = F.replace(path, F.lit("\\"), F.lit("/"))
+    p = to_slash(path)
     own = (p == INDEX_DIR) | F.startswith(p, F.lit(f"{INDEX_DIR}/"))
     source = F.lit(False)
     for e in INCLUDE_EXT:

@@ -265,6 +265,11 @@ def path_safety(spark, sf_dir):
     return _paths(spark, sf_dir).select("path", P.safe_path(F.col("path")).alias("safe"))
 
 
+@_register("to_slash", f"SELECT path, replace(path, chr(92), '/') AS slashed FROM ({_PATHS})")
+def to_slash(spark, sf_dir):
+    return _paths(spark, sf_dir).select("path", T.to_slash(F.col("path")).alias("slashed"))
+
+
 # Text
 
 def _by_path(expr: Callable[[], F.Column], name: str, separator: str = " ") -> Query:
@@ -291,10 +296,9 @@ _register("tokens_text", f"SELECT path, array_to_string({_sql_tokens(_sql_idents
 _register("tokens_no_strings", f"SELECT path, array_to_string({_sql_tokens(_sql_idents(_BARE))}, ' ') AS tokens FROM ({_CODE})")(_by_path(lambda: T.text_tokens(F.col("content"), NO_STRINGS), "tokens"))
 
 
-@_register("tokens_path", f"WITH src AS ({_PATHS}), {_STRIPPED} SELECT path, array_to_string({_sql_tokens(_sql_idents('replace(clean, chr(92), chr(47))'))}, ' ') AS tokens FROM stripped WHERE NOT contains(path, chr(92))")
+@_register("tokens_path", f"WITH src AS (SELECT path AS raw, replace(path, chr(92), chr(47)) AS path FROM ({_PATHS})), {_STRIPPED} SELECT raw AS path, array_to_string({_sql_tokens(_sql_idents('clean'))}, ' ') AS tokens FROM stripped")
 def tokens_path(spark, sf_dir):
-    rows = _paths(spark, sf_dir).filter(~F.contains("path", F.lit("\\")))
-    return rows.select("path", F.array_join(T.path_tokens(F.col("path"), TOKENS), " ").alias("tokens"))
+    return _paths(spark, sf_dir).select("path", F.array_join(T.path_tokens(F.col("path"), TOKENS), " ").alias("tokens"))
 
 
 @_register("tokens_with_path", f"WITH {_CORPUS} SELECT path, array_to_string(tokens, ' ') AS tokens FROM corpus")
