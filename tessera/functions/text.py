@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tessera.config import TokenConfig
 
 _SEPARATORS = "[^\\p{L}\\p{Nd}]+"
-_SPACE = "[\\s\\p{Z}\\x85]+"
+#: Unicode white space: the control characters, then the characters of category Z.
+_SPACE = "\t\n\x0b\x0c\r\x85 \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _LITERALS = "(?s)" + "|".join(f"{q}[^{q}\\\\]*+(?:\\\\.[^{q}\\\\]*+)*+(?:{q}|\\\\?\\z)" for q in ("'", '"', "`"))
 #: Separators, and places inside a word where an identifier is cut: around digits and at camel-case humps.
 _INNER = "(?<=\\p{Nd})(?=\\p{L})|(?<=\\p{L})(?=\\p{Nd})|(?<=\\p{Ll})(?=\\p{Lu})|(?<=\\p{Lu})(?=\\p{Lu}\\p{Ll})"
@@ -30,7 +31,7 @@ def split_lines(text: Column) -> Column:
 
 def trim_space(text: Column) -> Column:
     """Both ends without Unicode white space."""
-    return F.regexp_replace(text, f"^{_SPACE}|{_SPACE}\\z", "")
+    return F.trim(text, F.lit(_SPACE))
 
 
 def drop_string_literals(text: Column) -> Column:

@@ -27,6 +27,7 @@ BOUNDARIES = (
     "let ",
 )
 CONST_LET = ("export const ", "const ", "let ")
+_LONGEST = max(map(len, BOUNDARIES))
 
 _COMPLETE = "(?s)\"[^\"]*(?:\"|\\z)|'[^']*(?:'|\\z)|`[^`]*(?:`|\\z)|//.*|/\\*.*?\\*/"
 _OPEN = "(?s)/\\*.*\\z"
@@ -41,7 +42,7 @@ def _starts(line: Column, prefixes: tuple[str, ...]) -> Column:
 
 def line_kind(line: Column) -> Column:
     """'import', 'constlet' or 'other' for a boundary line, null for any other line."""
-    low = F.lower(trim_space(line))
+    low = F.lower(F.substring(trim_space(line), 1, _LONGEST))
     return F.when(F.startswith(low, F.lit("import ")), "import").when(_starts(low, CONST_LET), "constlet").when(_starts(low, BOUNDARIES), "other")
 
 
@@ -52,7 +53,8 @@ def lines_of(files: DataFrame, content: str = "content") -> DataFrame:
 
 def _balance(code: Column, up: str, down: str) -> tuple[Column, Column]:
     """(net change, least running value) of a bracket pair along a line."""
-    only = F.regexp_replace(code, f"[^\\{up}\\{down}]", "")
+    some = F.contains(code, F.lit(up)) | F.contains(code, F.lit(down))
+    only = F.when(some, F.regexp_replace(code, f"[^\\{up}\\{down}]", "")).otherwise("")
     net = (F.length(only) - 2 * F.length(F.replace(only, F.lit(up), F.lit("")))).cast("int")
     zero = F.struct(F.lit(0).alias("s"), F.lit(0).alias("m"))
 
@@ -70,12 +72,13 @@ def line_state(lines: DataFrame) -> DataFrame:
     Each line maps the comment flag to a new one; constant and swapping maps compose as a last value and a parity.
     Depth that never falls below zero is the running sum less its least value so far.
     """
-    closed = F.regexp_replace("text", _COMPLETE, " ")
+    marks = F.contains("text", F.lit('"')) | F.contains("text", F.lit("'")) | F.contains("text", F.lit("`")) | F.contains("text", F.lit("/"))
+    closed = F.when(marks, F.regexp_replace("text", _COMPLETE, " ")).otherwise(F.col("text"))
     inside = F.instr("text", "*/")
     rest = F.regexp_replace(F.expr("substring(text, instr(text, '*/') + 2)"), _COMPLETE, " ")
     out0 = F.contains(closed, F.lit("/*"))
     out1 = F.when(inside == 0, F.lit(True)).otherwise(F.contains(rest, F.lit("/*")))
-    facts = lines.withColumns({"_c0": F.regexp_replace(closed, _OPEN, ""), "_c1": F.when(inside == 0, "").otherwise(F.regexp_replace(rest, _OPEN, "")), "_o0": out0, "_o1": out1})
+    facts = lines.withColumns({"_c0": F.when(out0, F.regexp_replace(closed, _OPEN, "")).otherwise(closed), "_c1": F.when(inside == 0, "").otherwise(F.regexp_replace(rest, _OPEN, "")), "_o0": out0, "_o1": out1})
     order = Window.partitionBy("path").orderBy("line")
     upto, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
     constant = F.when(F.col("_o0") == F.col("_o1"), F.col("_o0"))
