@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.bpe import round_trip
 from tessera.llm.chunking import edited_neighbours
 from tessera.llm.histogram import length_histogram
 from tessera.llm.line_align import remove_aligned
@@ -17,6 +18,7 @@ from tessera.llm.quality import classify
 from tessera.llm.sharding import shard
 from tessera.llm.shingle_join import ngram_groups
 from tessera.llm.suffix import remove_repeats
+from tessera.llm.token_alignment import align_documents
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +69,18 @@ def op10_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "lines_total", "lines_removed", "aligned_with", F.length(text).cast("long").alias("kept_chars"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = round_trip(_documents(spark, sf_dir))
+    n_tokens = F.floor(F.octet_length("ids") / 4).cast("long")
+    return out.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = align_documents(_documents(spark, sf_dir))
+    digest = F.when(F.col("n_a") == 0, "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pivot_permutation": op1_pivot_permutation,
@@ -79,6 +93,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_token_histogram": op9_token_histogram,
         "op10_line_alignment": op10_line_alignment,
+        "op11_speculative_bpe": op11_speculative_bpe,
+        "op12_token_alignment": op12_token_alignment,
     }
 
 
