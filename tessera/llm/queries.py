@@ -11,6 +11,7 @@ from tessera.llm.bpe import round_trip
 from tessera.llm.chunking import edited_neighbours
 from tessera.llm.histogram import length_histogram
 from tessera.llm.line_align import remove_aligned
+from tessera.llm.merkle import document_manifest, fold, proof_digest
 from tessera.llm.mixing import mix
 from tessera.llm.packing import pack_documents
 from tessera.llm.pivots import near_vectors
@@ -81,6 +82,14 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh document (by its id's checksum) claims a character more than it has."""
+    told = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    out = document_manifest(_documents(spark, sf_dir), changed={"n_chars": F.when(told, F.col("n_chars") + 1).otherwise(F.col("n_chars"))})
+    out = out.withColumn("folded_root", fold(F.col("changed_leaf"), F.col("path")))
+    return out.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pivot_permutation": op1_pivot_permutation,
@@ -95,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_line_alignment": op10_line_alignment,
         "op11_speculative_bpe": op11_speculative_bpe,
         "op12_token_alignment": op12_token_alignment,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
@@ -191,5 +201,40 @@ FROM d LEFT JOIN sums ON sums.r = d.r LEFT JOIN kept ON kept.r = d.r
 """
 
 
+#: Levels of each language's tree, then of the tree over their roots; siblings of a node are those that share its place's half.
+_OP13 = """
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, source, lang, n_chars, text FROM documents),
+f AS (
+  SELECT *, coalesce('1' || lang, '0') AS g,
+         list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT),
+           lambda a, b: list_reduce([xor(a, b)] || range(8), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)) AS c,
+         list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR), text, CAST(n_chars + 1 AS VARCHAR)],
+           lambda x: coalesce(octet_length(encode(x)) || ':' || x, '-')) AS x
+  FROM d),
+l AS (
+  SELECT r, doc_id, g, sha256(x[1] || x[2] || x[3] || x[4] || x[5]) AS leaf,
+         CASE WHEN xor(c, 4294967295) % 7 = 0 THEN sha256(x[1] || x[2] || x[3] || x[6] || x[5]) ELSE sha256(x[1] || x[2] || x[3] || x[4] || x[5]) END AS told
+  FROM f),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS p, count(*) OVER (PARTITION BY g) AS n FROM l),
+nodes(g, k, p, n, h) AS (
+  SELECT g, 0, p, n, leaf FROM placed
+  UNION ALL SELECT g, k + 1, p // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY p)) FROM nodes WHERE n > 1 GROUP BY g, k, p // 2, n),
+subs AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY encode(g)) - 1 AS p, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops(k, p, n, h) AS (
+  SELECT 0, p, n, subroot FROM subs
+  UNION ALL SELECT k + 1, p // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY p)) FROM tops WHERE n > 1 GROUP BY k, p // 2, n),
+low(r, g, k, p, n, h, s) AS (
+  SELECT r, g, 0, p, n, told, '' FROM placed
+  UNION ALL SELECT a.r, a.g, a.k + 1, a.p // 2, (a.n + 1) // 2, sha256(CASE WHEN a.p % 2 = 1 THEN coalesce(b.h, '') || a.h ELSE a.h || coalesce(b.h, '') END), a.s || coalesce(b.h, '')
+  FROM low a LEFT JOIN nodes b ON b.g = a.g AND b.k = a.k AND b.p = xor(a.p, 1) WHERE a.n > 1),
+high(r, k, p, n, h, s) AS (
+  SELECT low.r, 0, subs.p, subs.n, low.h, low.s FROM low JOIN subs USING (g) WHERE low.n = 1
+  UNION ALL SELECT a.r, a.k + 1, a.p // 2, (a.n + 1) // 2, sha256(CASE WHEN a.p % 2 = 1 THEN coalesce(b.h, '') || a.h ELSE a.h || coalesce(b.h, '') END), a.s || coalesce(b.h, '')
+  FROM high a LEFT JOIN tops b ON b.k = a.k AND b.p = xor(a.p, 1) WHERE a.n > 1)
+SELECT doc_id, leaf, subroot, root.h AS root, sha256(high.s) AS proof_sha256, high.h AS folded_root, high.h = root.h AS verified
+FROM l JOIN subs USING (g) JOIN high ON high.r = l.r AND high.n = 1 CROSS JOIN (SELECT h FROM tops WHERE n = 1) root
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pivot_permutation": _OP1, "op7_ngram_jaccard": _OP7, "op6_curriculum_mix": _OP6, "op8_suffix_dedup": _OP8}
+    return {"op1_pivot_permutation": _OP1, "op7_ngram_jaccard": _OP7, "op6_curriculum_mix": _OP6, "op8_suffix_dedup": _OP8, "op13_merkle_manifest": _OP13}

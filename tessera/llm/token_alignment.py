@@ -5,8 +5,8 @@ number, punctuation or symbol), and each distinct segment is encoded and aligned
 
 1. posexplode gives its tokens, a windowed sum of their lengths where each ends.
 2. An equi-join on segment and end finds the ends of both: the cuts. Running cut counts are the group ids.
-3. Two tokens overlap between two neighbouring ends of either side, so with a full outer join on the end a link is a row:
-   its tokens are the nearest that end there or later. No group's tokens are paired with each other.
+3. Two tokens overlap between two neighbouring ends of either side, so a link is a row of the (outer) join on the end: its
+   tokens are the nearest that end there or later. No group's tokens are paired with each other.
 4. Links weigh as often as their segment occurs; counts of id pairs and their maximum by B id follow by grouping.
 
 Documents then gather their segments' figures. They are dealt to parts of some megabytes; a part's distinct segments meet
@@ -25,16 +25,20 @@ import os
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import vocabulary
-from tessera.llm.common import lookup, stored, table
+from tessera.llm.common import by_key, lookup, stored, table
 from tessera.llm.tokens import default_path
 
 #: Bytes of text in a part, and parts at least.
-PART_BYTES, LEAST_PARTS = 4_000_000, 64
+PART_BYTES, LEAST_PARTS = 16_000_000, 8
+#: Distinct pairs of ids that are broadcast; more are joined by their key.
+LISTED_PAIRS = 1_000_000
+COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 #: A border between segments: a space after a character that is no space in any Unicode version.
 BORDER = "(?= )(?<=[\\p{L}\\p{M}\\p{N}\\p{P}\\p{S}])"
 
@@ -78,61 +82,69 @@ def encode_segments(rows: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, (second, b_bytes, lead), a_bytes = _byte_level(a_path), _pieces(b_path), vocabulary(a_path).bytes
-        kind = pa.list_(pa.struct([("id", pa.int32()), ("size", pa.int32())]))
+        sizes = [np.array([len(x) for x in t], np.int32) for t in (a_bytes, b_bytes)]
         for batch in batches:
             segs = batch.column(0).to_pylist()
             a = [e.ids for e in first.encode_batch(segs, add_special_tokens=False)]
             b = [ids[lead:] for ids in second.encode(["x" + s for s in segs], num_threads=1)]
-            whole = [s.encode() for s in segs]
-            ok = [b"".join(map(a_bytes.__getitem__, x)) == s == b"".join(map(b_bytes.__getitem__, y)) for x, y, s in zip(a, b, whole, strict=True)]
-            sides = [pa.array([[{"id": i, "size": len(t[i])} for i in ids] for ids in side], kind) for side, t in ((a, a_bytes), (b, b_bytes))]
+            ok = [b"".join(map(a_bytes.__getitem__, x)) == s.encode() == b"".join(map(b_bytes.__getitem__, y)) for x, y, s in zip(a, b, segs, strict=True)]
+            sides = []
+            for side, size in zip((a, b), sizes, strict=True):
+                ids = np.fromiter((i for x in side for i in x), np.int32)
+                both = pa.StructArray.from_arrays([pa.array(ids), pa.array(size[ids])], ["id", "size"])
+                sides.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, side)]), pa.int32()), both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *sides, pa.array(ok, pa.bool_())], ["seg", "n", "a", "b", "ok"])
 
     side = "array<struct<id: int, size: int>>"
     return rows.select("seg", "n").mapInArrow(encode, f"seg string, n long, a {side}, b {side}, ok boolean")
 
 
-def _ends(segs: DataFrame, side: str) -> DataFrame:
-    """sid, n, end, and the id of the token that ends there."""
-    rows = segs.select("sid", "n", F.posexplode(side).alias("pos", "t"))
-    order = Window.partitionBy("sid").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("sid", "n", F.sum("t.size").over(order).alias("end"), F.col("t.id").alias(side))
-
-
 def align_segments(segs: DataFrame) -> DataFrame:
-    """One row for each link of each segment (sid, n, a, b): sid, n, end, a, b, group (from 0), and ends_a, ends_b, whether the tokens end here."""
-    segs = segs.repartition("sid")
-    a, b = _ends(segs, "a"), _ends(segs, "b")
-    both = a.join(b.withColumnRenamed("n", "_n"), ["sid", "end"], "full").select("sid", "end", F.coalesce("n", "_n").alias("n"), "a", "b")
+    """A row for each link of each segment (sid, n, a, b): sid, n, end, a, b, group (from 0), and ends_a, ends_b, whether the tokens end here.
+
+    The join on the end is a grouping of both sides' rows, which keeps a segment where it is; Spark's full outer join
+    would shuffle all rows again.
+    """
+    sides = F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("tokens")) for c in "ab"])).alias("s")
+    rows = segs.repartition("sid").select("sid", "n", sides).select("sid", "n", "s.side", F.posexplode("s.tokens").alias("pos", "t"))
+    order = Window.partitionBy("sid", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.select("sid", "n", F.sum("t.size").over(order).alias("end"), *[F.when(F.col("side") == c, F.col("t.id")).alias(c) for c in "ab"])
+    met = ends.groupBy("sid", "n", "end").agg(F.max("a").alias("a"), F.max("b").alias("b"))  # a token of each side at most
     back = Window.partitionBy("sid").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
     cut = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)
-    links = both.select("sid", "n", "end", *[F.last(c, True).over(back).alias(c) for c in "ab"], *[F.col(c).isNotNull().alias(f"ends_{c}") for c in "ab"], F.count(cut).over(back).alias("_later"))
+    links = met.select("sid", "n", "end", *[F.last(c, True).over(back).alias(c) for c in "ab"], *[F.col(c).isNotNull().alias(f"ends_{c}") for c in "ab"], F.count(cut).over(back).alias("_later"))
     return links.withColumn("group", F.max("_later").over(Window.partitionBy("sid")) - F.col("_later")).drop("_later")
 
 
 def _ids(side: str) -> Column:
     """The ids of a side's tokens that end in a group, in order, as text."""
-    here = F.array_sort(F.collect_list(F.when(F.col(f"ends_{side}"), F.struct("end", side))))
-    return F.array_join(F.transform(here, lambda x: x[side].cast("string")), ",")
+    return F.array_join(F.transform(F.filter("_l", lambda x: x[f"ends_{side}"]), lambda x: x[side].cast("string")), ",")
+
 
+def by_segment(links: DataFrame) -> DataFrame:
+    """sid, n, n_groups, n_links, groups (as text), links (array of (a, b)) of each segment."""
+    here = F.array_sort(F.collect_list(F.struct("end", "a", "b", "ends_a", "ends_b")))
+    groups = links.groupBy("sid", "n", "group").agg(here.alias("_l"))
+    pairs = F.transform("_l", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))
+    groups = groups.select("sid", "n", F.struct("group", F.concat(_ids("a"), F.lit("|"), _ids("b")).alias("g"), pairs.alias("links")).alias("_g"))
+    per = groups.groupBy("sid", "n").agg(F.array_sort(F.collect_list("_g")).alias("_g"))
+    per = per.withColumn("links", F.flatten(F.transform("_g", lambda x: x["links"])))
+    return per.select("sid", "n", F.size("_g").cast("long").alias("n_groups"), F.size("links").cast("long").alias("n_links"), F.array_join(F.transform("_g", lambda x: x["g"]), ";").alias("groups"), "links")
 
-def segment_figures(segs: DataFrame, links: DataFrame) -> DataFrame:
-    """seg, n, n_a, n_b, n_groups, n_links, n_best, count_sum, groups (text) of each segment; links: stored."""
-    groups = links.groupBy("sid", "group").agg(F.concat(_ids("a"), F.lit("|"), _ids("b")).alias("g"))
-    texts = groups.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("group", "g"))).alias("g"), F.count("*").alias("n_groups"))
-    texts = texts.select("sid", "n_groups", F.array_join(F.transform("g", lambda x: x["g"]), ";").alias("groups"))
+
+def segment_figures(segs: DataFrame, aligned: DataFrame) -> DataFrame:
+    """seg, n, n_a, n_b, n_groups, n_links, n_best, count_sum, groups of each segment; aligned: stored."""
+    links = aligned.select("sid", "n", F.explode("links").alias("l")).select("sid", "n", "l.a", "l.b")
     counts = stored(links.groupBy("a", "b").agg(F.sum("n").alias("pair_count"), F.count("*").alias("n")), "token-pairs")
     best = counts.rows.groupBy("b").agg(F.max("pair_count").alias("_most"))  # a row per id of the second vocabulary
     weighed = counts.rows.join(F.broadcast(best), "b").select("a", "b", "pair_count", (F.col("pair_count") == F.col("_most")).cast("long").alias("_best"), "n")
-    sums = lookup(links.select("sid", "a", "b"), weighed, ["a", "b"]).groupBy("sid")
-    sums = sums.agg(F.count("*").alias("n_links"), F.sum("_best").alias("n_best"), F.sum("pair_count").alias("count_sum"))
-    sizes = segs.select("sid", "seg", "n", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"))
-    return sizes.join(texts, "sid").join(sums, "sid").drop("sid")
-
-
-def pair_counts(links: DataFrame) -> DataFrame:
-    """a, b, pair_count: how many links of the whole corpus hold two ids linked."""
-    return links.groupBy("a", "b").agg(F.sum("n").alias("pair_count"))
+    if counts.rows.count() <= LISTED_PAIRS:
+        met = links.select("sid", "a", "b").join(F.broadcast(weighed.drop("n")), ["a", "b"])  # LISTED_PAIRS rows at most
+    else:
+        met = lookup(links.select("sid", "a", "b"), weighed, ["a", "b"])
+    sums = met.groupBy("sid").agg(F.sum("_best").alias("n_best"), F.sum("pair_count").alias("count_sum"))
+    sizes = segs.select("sid", "seg", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"))
+    return sizes.join(aligned.drop("links"), "sid").join(sums, "sid").drop("sid")
 
 
 def _bad_texts(rows: DataFrame, bad: DataFrame) -> DataFrame:
@@ -140,8 +152,47 @@ def _bad_texts(rows: DataFrame, bad: DataFrame) -> DataFrame:
     return rows.select(F.md5("_t").alias("_m"), F.explode(segments(F.col("_t"))).alias("seg")).join(bad.select("seg"), "seg", "left_semi").select("_m").distinct()
 
 
+def _gathered(docs: DataFrame, figures: DataFrame, kind: str) -> DataFrame:
+    """doc_id, COUNTS, groups of each document (doc_id, _t), from its segments' figures.
+
+    The documents of a part follow its distinct segments in a task.
+    """
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("_t").cast("long")), F.lit(0)).alias("n")).head()["n"]
+    parts = int(size // PART_BYTES) + LEAST_PARTS
+    part = F.pmod(F.xxhash64("doc_id", "_t"), F.lit(parts)).cast("int").alias("part")
+    own = docs.select(part, "_t").repartition(parts, "part").select("part", F.explode(segments(F.col("_t"))).alias("seg")).groupBy("part", "seg").agg(F.count("*").alias("_n"))
+    met = lookup(own.drop("_n"), figures.withColumn("n", F.least("n", F.lit(parts))), ["seg"])  # a segment is in a part once
+    first = met.select("part", F.lit(0).alias("_k"), "seg", *COUNTS, "groups", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("array<string>").alias("segs"))
+    later = docs.select(part, F.lit(1).alias("_k"), F.lit(None).cast("string").alias("seg"), *[F.lit(None).cast("long").alias(c) for c in COUNTS], F.lit(None).cast("string").alias("groups"), "doc_id", segments(F.col("_t")).alias("segs"))
+    both = first.unionByName(later).repartition(parts, "part").sortWithinPartitions("part", "_k")
+    width = len(COUNTS)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, place, texts, rows = None, {}, [], []
+        for _, part in by_key(batches, 2):
+            k = part.column("_k")[0].as_py()
+            if part.column("part")[0].as_py() != now:
+                now, place, texts, rows = part.column("part")[0].as_py(), {}, [], []
+            if not k:
+                place = {s: i for i, s in enumerate(part.column("seg").to_pylist())}
+                texts = part.column("groups").to_pylist()
+                rows = np.column_stack([part.column(c).to_numpy() for c in COUNTS])
+                continue
+            for batch in part.to_batches():
+                sums, groups = [], []
+                for segs in batch.column("segs").to_pylist():
+                    at = [place[s] for s in segs]
+                    sums.append(rows[at].sum(axis=0))
+                    groups.append(";".join([texts[i] for i in at]))
+                sums = np.array(sums).reshape(-1, width)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(sums[:, c]) for c in range(width)], pa.array(groups, pa.string())], ["doc_id", *COUNTS, "groups"])
+
+    return both.mapInArrow(gather, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in COUNTS) + ", groups string")
+
+
 def align_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", a_path: str | None = None, b_path: str | None = None) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups (as `a1,a2|b1;a3|b2,b3`) of each document."""
+    kind = dict(docs.select(F.col(doc_id)).dtypes)[doc_id]
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t"))
     some = rows.filter("_t <> ''")
     found = some.select(F.explode(segments(F.col("_t"))).alias("seg")).groupBy("seg").agg(F.count("*").alias("n"))
@@ -155,19 +206,8 @@ def align_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         less = out.select(F.explode(segments(F.col("_t"))).alias("seg")).groupBy("seg").agg(F.count("*").alias("_less"))
         good, without = some.join(gone, F.md5("_t") == F.col("_m"), "left_anti"), without.unionByName(out)
         fine = fine.join(less, "seg", "left").withColumn("n", F.col("n") - F.coalesce("_less", F.lit(0))).drop("_less").filter("n > 0")
-    links = stored(align_segments(fine.select("sid", "n", "a", "b")), "segment-links")
-    figures = stored(segment_figures(fine, links.rows), "segment-figures")
-    links.drop()
+    aligned = stored(by_segment(align_segments(fine.select("sid", "n", "a", "b"))), "segments-aligned")
+    figures = stored(segment_figures(fine, aligned.rows), "segment-figures")
+    aligned.drop()
     segs.drop()
-    size = good.agg(F.coalesce(F.sum(F.octet_length("_t").cast("long")), F.lit(0)).alias("n")).head()["n"]
-    parts = max(LEAST_PARTS, size // PART_BYTES)
-    part = F.pmod(F.xxhash64("doc_id", "_t"), F.lit(parts)).cast("int").alias("part")
-    dealt = good.select("doc_id", "_t", F.monotonically_increasing_id().alias("rid"), part).repartition(parts, "part")
-    occurs = dealt.select("part", "rid", "doc_id", F.posexplode(segments(F.col("_t"))).alias("pos", "seg"))
-    own = good.select(part, "_t").repartition(parts, "part").select("part", F.explode(segments(F.col("_t"))).alias("seg")).groupBy("part", "seg").agg(F.lit(1).alias("_one")).drop("_one")
-    of_part = lookup(own, figures.rows.withColumn("n", F.least("n", F.lit(parts))), ["seg"]).repartition(parts, "part")  # a segment is in a part once
-    names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    per = occurs.join(of_part.hint("shuffle_hash"), ["part", "seg"]).groupBy("part", "rid", "doc_id")
-    full = per.agg(*[F.sum(c).alias(c) for c in names], F.array_sort(F.collect_list(F.struct("pos", "groups"))).alias("_g"))
-    full = full.select("doc_id", *names, F.array_join(F.transform("_g", lambda x: x["groups"]), ";").alias("groups"))
-    return full.unionByName(without.select("doc_id", *[F.lit(0).cast("long").alias(c) for c in names], F.lit("").alias("groups")))
+    return _gathered(good, figures.rows, kind).unionByName(without.select("doc_id", *[F.lit(0).cast("long").alias(c) for c in COUNTS], F.lit("").alias("groups")))
