@@ -35,7 +35,9 @@ from tessera.llm.common import by_key, lookup, stored, table
 from tessera.llm.tokens import default_path
 
 #: Bytes of text in a part, and parts at least.
-PART_BYTES, LEAST_PARTS = 16_000_000, 8
+PART_BYTES, LEAST_PARTS = 32_000_000, 6
+#: A token in an array is its id times this much, plus its size; a link is the id of A times 2^32, plus the id of B.
+SIZES = 1 << 14
 #: Distinct pairs of ids that are broadcast; more are joined by their key.
 LISTED_PAIRS = 1_000_000
 COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
@@ -78,7 +80,7 @@ def segments(text: Column) -> Column:
 
 
 def encode_segments(rows: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """rows (seg, n) with the tokens of both sides as arrays of (id, size), and whether both join to the segment."""
+    """rows (seg, n) with the tokens of both sides as arrays (id and size in one number), and whether both join to the segment."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, (second, b_bytes, lead), a_bytes = _byte_level(a_path), _pieces(b_path), vocabulary(a_path).bytes
@@ -91,12 +93,10 @@ def encode_segments(rows: DataFrame, a_path: str, b_path: str) -> DataFrame:
             sides = []
             for side, size in zip((a, b), sizes, strict=True):
                 ids = np.fromiter((i for x in side for i in x), np.int32)
-                both = pa.StructArray.from_arrays([pa.array(ids), pa.array(size[ids])], ["id", "size"])
-                sides.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, side)]), pa.int32()), both))
+                sides.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, side)]), pa.int32()), pa.array(ids * np.int32(SIZES) + size[ids])))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *sides, pa.array(ok, pa.bool_())], ["seg", "n", "a", "b", "ok"])
 
-    side = "array<struct<id: int, size: int>>"
-    return rows.select("seg", "n").mapInArrow(encode, f"seg string, n long, a {side}, b {side}, ok boolean")
+    return rows.select("seg", "n").mapInArrow(encode, "seg string, n long, a array<int>, b array<int>, ok boolean")
 
 
 def align_segments(segs: DataFrame) -> DataFrame:
@@ -108,7 +108,7 @@ def align_segments(segs: DataFrame) -> DataFrame:
     sides = F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("tokens")) for c in "ab"])).alias("s")
     rows = segs.repartition("sid").select("sid", "n", sides).select("sid", "n", "s.side", F.posexplode("s.tokens").alias("pos", "t"))
     order = Window.partitionBy("sid", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    ends = rows.select("sid", "n", F.sum("t.size").over(order).alias("end"), *[F.when(F.col("side") == c, F.col("t.id")).alias(c) for c in "ab"])
+    ends = rows.select("sid", "n", F.sum(F.col("t") % SIZES).over(order).alias("end"), *[F.when(F.col("side") == c, F.floor(F.col("t") / SIZES).cast("int")).alias(c) for c in "ab"])
     met = ends.groupBy("sid", "n", "end").agg(F.max("a").alias("a"), F.max("b").alias("b"))  # a token of each side at most
     back = Window.partitionBy("sid").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
     cut = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)
@@ -122,10 +122,10 @@ def _ids(side: str) -> Column:
 
 
 def by_segment(links: DataFrame) -> DataFrame:
-    """sid, n, n_groups, n_links, groups (as text), links (array of (a, b)) of each segment."""
+    """sid, n, n_groups, n_links, groups (as text), links (array of both ids in one number) of each segment."""
     here = F.array_sort(F.collect_list(F.struct("end", "a", "b", "ends_a", "ends_b")))
     groups = links.groupBy("sid", "n", "group").agg(here.alias("_l"))
-    pairs = F.transform("_l", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))
+    pairs = F.transform("_l", lambda x: F.shiftleft(x["a"].cast("long"), 32) + x["b"])
     groups = groups.select("sid", "n", F.struct("group", F.concat(_ids("a"), F.lit("|"), _ids("b")).alias("g"), pairs.alias("links")).alias("_g"))
     per = groups.groupBy("sid", "n").agg(F.array_sort(F.collect_list("_g")).alias("_g"))
     per = per.withColumn("links", F.flatten(F.transform("_g", lambda x: x["links"])))
@@ -134,14 +134,14 @@ def by_segment(links: DataFrame) -> DataFrame:
 
 def segment_figures(segs: DataFrame, aligned: DataFrame) -> DataFrame:
     """seg, n, n_a, n_b, n_groups, n_links, n_best, count_sum, groups of each segment; aligned: stored."""
-    links = aligned.select("sid", "n", F.explode("links").alias("l")).select("sid", "n", "l.a", "l.b")
-    counts = stored(links.groupBy("a", "b").agg(F.sum("n").alias("pair_count"), F.count("*").alias("n")), "token-pairs")
+    links = aligned.select("sid", "n", F.explode("links").alias("pair"))
+    counts = stored(links.groupBy("pair").agg(F.sum("n").alias("pair_count"), F.count("*").alias("n")).withColumn("b", F.col("pair") % (1 << 32)), "token-pairs")
     best = counts.rows.groupBy("b").agg(F.max("pair_count").alias("_most"))  # a row per id of the second vocabulary
-    weighed = counts.rows.join(F.broadcast(best), "b").select("a", "b", "pair_count", (F.col("pair_count") == F.col("_most")).cast("long").alias("_best"), "n")
+    weighed = counts.rows.join(F.broadcast(best), "b").select("pair", "pair_count", (F.col("pair_count") == F.col("_most")).cast("long").alias("_best"), "n")
     if counts.rows.count() <= LISTED_PAIRS:
-        met = links.select("sid", "a", "b").join(F.broadcast(weighed.drop("n")), ["a", "b"])  # LISTED_PAIRS rows at most
+        met = links.select("sid", "pair").join(F.broadcast(weighed.drop("n")), "pair")  # LISTED_PAIRS rows at most
     else:
-        met = lookup(links.select("sid", "a", "b"), weighed, ["a", "b"])
+        met = lookup(links.select("sid", "pair"), weighed, ["pair"])
     sums = met.groupBy("sid").agg(F.sum("_best").alias("n_best"), F.sum("pair_count").alias("count_sum"))
     sizes = segs.select("sid", "seg", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"))
     return sizes.join(aligned.drop("links"), "sid").join(sums, "sid").drop("sid")
@@ -162,9 +162,9 @@ def _gathered(docs: DataFrame, figures: DataFrame, kind: str) -> DataFrame:
     part = F.pmod(F.xxhash64("doc_id", "_t"), F.lit(parts)).cast("int").alias("part")
     own = docs.select(part, "_t").repartition(parts, "part").select("part", F.explode(segments(F.col("_t"))).alias("seg")).groupBy("part", "seg").agg(F.count("*").alias("_n"))
     met = lookup(own.drop("_n"), figures.withColumn("n", F.least("n", F.lit(parts))), ["seg"])  # a segment is in a part once
-    first = met.select("part", F.lit(0).alias("_k"), "seg", *COUNTS, "groups", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("array<string>").alias("segs"))
-    later = docs.select(part, F.lit(1).alias("_k"), F.lit(None).cast("string").alias("seg"), *[F.lit(None).cast("long").alias(c) for c in COUNTS], F.lit(None).cast("string").alias("groups"), "doc_id", segments(F.col("_t")).alias("segs"))
-    both = first.unionByName(later).repartition(parts, "part").sortWithinPartitions("part", "_k")
+    first = met.select("part", F.lit(0).alias("_k"), "seg", *COUNTS, "groups", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("string").alias("_t"))
+    later = docs.select(part, F.lit(1).alias("_k"), F.lit(None).cast("string").alias("seg"), *[F.lit(None).cast("long").alias(c) for c in COUNTS], F.lit(None).cast("string").alias("groups"), "doc_id", "_t")
+    both = first.unionByName(later).repartition(parts, "part").sortWithinPartitions("part", "_k").withColumn("segs", segments(F.col("_t"))).drop("_t")
     width = len(COUNTS)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
