@@ -8,27 +8,31 @@ import shutil
 import subprocess
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tessera.config import EXCLUDE_DIRS, SCHEMA_VERSION, EngineConfig
 from tessera.operators import fetch as fetching
 from tessera.operators import search as searching
 from tessera.operators.hashing import fnv64_bulk
-from tessera.operators.index import Index, assemble, load_index, load_meta, tokenized, write_index
+from tessera.operators.index import Index, assemble, load_meta, load_version, tokenized, write_index
 from tessera.operators.paths import looks_binary
+from tessera.operators.ranges import saved
 from tessera.plans.rules import EffectiveRules, config_hash, effective_rules
 from tessera.plans.sync import STATE, change_reason, change_summary, changed_paths, only_index_dir, purges, sync_decision
-from tessera.sources import cache, scan
+from tessera.sources import cache, scan, store
+from tessera.sources.tokens import TokenStore
 
 
 class Engine:
     """Commands over the tree at root; the index is in its index folder."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, os.path.abspath(root)
+    def __init__(self, spark: SparkSession, root: str, served: bool = False):
+        self.spark, self.root, self.served = spark, os.path.abspath(root), served
         self.home = scan.index_root(self.root)
         self._index: tuple[str, Index, int] | None = None
+        self._lease: str | None = None
 
     def init(self, force: bool = False) -> None:
         if os.path.isdir(self.home):
@@ -47,20 +51,19 @@ class Engine:
             raw = EngineConfig().to_json().encode()
         return EngineConfig.from_json(raw), raw
 
-    def rules(self, config: EngineConfig, listing: DataFrame) -> EffectiveRules:
-        facts = scan.project_facts(listing).head()
+    def rules(self, config: EngineConfig) -> EffectiveRules:
+        package, typescript = scan.tree_facts(self.spark, self.root)
         user = scan.read_local(os.path.join(self.root, ".scanignore")) or b""
         override = json.loads(scan.read_local(os.path.join(self.home, "tokenize.json")) or b"{}")
-        return effective_rules(config, facts["has_package_json"], facts["is_typescript"], scan.ignore_lines(user.decode()), override)
+        return effective_rules(config, package, typescript, scan.ignore_lines(user.decode()), override)
 
     def _meta(self) -> dict | None:
-        return load_meta(self.spark, self.home) if os.path.isdir(os.path.join(self.home, "meta")) else None
+        return load_meta(self.spark, self.home) if os.path.exists(os.path.join(self.home, "meta")) else None
 
     def status(self) -> dict:
         """The state of the index and of the working tree, and what a sync would do."""
         config, raw = self.config()
-        listing = scan.scan_tree(self.spark, self.root, with_content=False)
-        rules = self.rules(config, listing)
+        rules = self.rules(config)
         meta = self._meta()
         repo = scan.is_repo(self.root)
         head = scan.git_head(self.root) if repo else ""
@@ -113,52 +116,83 @@ class Engine:
         return out
 
     def sync(self, full: bool = False) -> dict:
-        """Bring the index up to date: files whose content hash is known keep their tokens, others are cut anew."""
-        plan = self.status()["sync_plan"]
+        """Bring the index up to date.
+
+        A file with the path, time and size of its entry, and not among git's changed paths, is not read. Of the others,
+        which are read and hashed once, those with the hash of their entry keep their tokens. Only what changed is
+        written to the store of tokens; the index is a new version made from the store.
+        """
+        status = self.status()
+        plan = status["sync_plan"]
         if plan["mode"] == "noop" and not full:
             return plan
         config, raw = self.config()
-        listing = scan.scan_tree(self.spark, self.root, with_content=False)
-        rules = self.rules(config, listing)
-        kept = scan.with_contents(scan.apply_filters(listing, config, rules), self.root)  # only files that pass are read
-        files = scan.decoded(kept.filter(~looks_binary(F.col("content"))))
-        store = os.path.join(self.home, "tokens")
-        meta = self._meta()
+        rules = self.rules(config)
+        listing = scan.apply_filters(scan.scan_tree(self.spark, self.root, False, rules.scan_ignore), config, rules)
         purged = cache.ensure_meta(self.home, config_hash(raw, rules.rules_hash), config.project_type)
-        fresh = files
-        kept = None
-        if meta and not full and not purged and not purges(plan["why"]) and os.path.isdir(meta["version"] + "-tokens"):
-            old = self.spark.read.parquet(meta["version"] + "-tokens")
-            hashed = fnv64_bulk(files).withColumnRenamed("hash64", "_h")
-            same = (hashed["path"] == old["path"]) & (hashed["_h"] == old["hash64"])
-            kept = old.join(hashed.select("path", F.col("_h").alias("hash64"), F.col("mtime").alias("_m"), F.col("size").alias("_s")), ["path", "hash64"])
-            kept = kept.select("path", F.col("_m").alias("mtime"), F.col("_s").alias("size"), "hash64", "chunks")
-            fresh = hashed.join(old, same, "left_anti").drop("_h")
-        made = tokenized(fresh, replace(config, token=rules.token))
-        rows = made.unionByName(kept) if kept is not None else made
-        stamp = f"{store}-new-{os.getpid()}-{os.urandom(4).hex()}"
-        rows.write.parquet(stamp)
-        saved = self.spark.read.parquet(stamp)
+        if full or purged or purges(plan["why"]):
+            cache.purge(self.home)
+        entries = TokenStore(self.spark, cache.store_path(self.home))
+        known = entries.manifest().select("path", F.col("mtime").alias("_m"), F.col("size").alias("_s"), F.col("hash64").alias("_h"))
+        unchanged = (F.col("mtime") == F.col("_m")) & (F.col("size") == F.col("_s"))
+        doubtful = scan.paths_frame(self.spark, self._changed_paths(status))
+        same = listing.join(known, "path").filter(unchanged).join(doubtful, "path", "left_anti").select("path")
+        read = fnv64_bulk(scan.decoded(scan.with_contents(listing.join(same, "path", "left_anti"), self.root), "_text"), "_text")
+        read = saved(read.join(known.select("path", "_h"), "path", "left"), "read")
+        text = read.rows.filter(~looks_binary(F.col("content")))
+        other = read.rows.filter(looks_binary(F.col("content"))).select("path", "mtime", "size", "hash64", F.lit(None).cast("string").alias("chunks"))
+        hit = text.filter(F.col("hash64") == F.col("_h")).select("path", "mtime", "size", "hash64")
+        kept = hit.join(entries.entries().select("path", "chunks"), "path")
+        fresh = tokenized(text.filter(~F.col("hash64").eqNullSafe(F.col("_h"))).select("path", "mtime", "size", "hash64", F.col("_text").alias("content")), replace(config, token=rules.token))
+        changed = kept.unionByName(fresh).unionByName(other.withColumn("chunks", F.lit(None).cast(kept.schema["chunks"].dataType)))
+        written = entries.apply(changed, known.select("path").join(listing, "path", "left_anti"))
+        read.drop()
         head = scan.git_head(self.root) if scan.is_repo(self.root) else ""
-        meta = write_index(assemble(saved), self.home, config_hash(raw, rules.rules_hash), head)
-        os.rename(stamp, meta["version"] + "-tokens")
-        self._index = None
-        return plan | {"cache_purged": purged} | {k: meta[k] for k in ("file_count", "chunk_count", "term_count")}
+        meta = write_index(assemble(entries.tokens()), self.home, config_hash(raw, rules.rules_hash), head)
+        return plan | {"cache_purged": purged, "entries_written": written} | {k: meta[k] for k in ("file_count", "chunk_count", "term_count")}
+
+    def _changed_paths(self, status: dict) -> list[str]:
+        """Paths that git calls changed in the working tree or since the index's commit."""
+        if not status["git_repo"]:
+            return []
+        base, head = status["git_base_head"], status["git_current_head"]
+        try:
+            return [*scan.git_dirty(self.root), *(scan.git_diff(self.root, base, head) if base and head and base != head else [])]
+        except subprocess.CalledProcessError:
+            return scan.git_dirty(self.root)  # an unknown commit: time and size decide
 
     def index(self) -> tuple[Index, int]:
-        """The current index, loaded once, with its number of chunks."""
+        """The current index with its number of chunks: the same tables until another version is current.
+
+        The version is leased, so no sync deletes it; a served engine also keeps its tables in memory, or on disk beyond it.
+        """
         meta = self._meta()
         if meta is None:
             raise FileNotFoundError("index not found; run sync")
         if self._index is None or self._index[0] != meta["version"]:
-            self._index = (meta["version"], load_index(self.spark, self.home), meta["chunk_count"])
+            lease = store.lease(self.spark, self.home, meta["version"])
+            self.close()
+            self._lease = lease
+            self._index = (meta["version"], load_version(self.spark, meta["version"]), meta["chunk_count"])
+            if self.served:
+                for table in (self._index[1].chunks, self._index[1].blocks, self._index[1].terms):
+                    table.persist(StorageLevel.MEMORY_AND_DISK)
         return self._index[1:]
 
+    def close(self) -> None:
+        """Let go of the loaded version."""
+        if self._index is not None and self.served:
+            for table in (self._index[1].chunks, self._index[1].blocks, self._index[1].terms):
+                table.unpersist()
+        if self._lease is not None:
+            store.release(self.spark, self._lease)
+        self._index = self._lease = None
+
     def search(self, q: str, top_k: int = 0, query_rules: str = "config") -> list[dict] | None:
         """Ranked results; the query is cut by the configuration's token rules, or by the effective ones."""
         index, n = self.index()
         config, _ = self.config()
-        token = config.token if query_rules == "config" else self.rules(config, scan.scan_tree(self.spark, self.root, False)).token
+        token = config.token if query_rules == "config" else self.rules(config).token
         found = searching.search(index, q, token, top_k, n_chunks=n)
         return None if found is None else [r.asDict() for r in found.collect()]  # at most 20 rows
 

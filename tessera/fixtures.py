@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 CODE: tuple[tuple[str, str], ...] = (
-    ("src/app.ts", "// app\nimport a from 'a';\nimport { b } from \"b\";\n\nconst one = 1;\nlet two = 2;\n\nfunction measure(width) {\n  const box = { width };\n  return box;\n}\n\nexport { measure };\n"),
-    ("src/api/user_service.ts", "const XMLReader2 = loadOrderURL(order_key, JSONValue);\nexport class UserService {\n  getUserByID(id: number) {\n    return fetch(`/users/${id}`);\n  }\n}\nexport default UserService;\n"),
+    ("src/app.ts", "import { read } from \"./disk\";\nimport './side';\n// start up\nlet started = false, retries = 3;\nconst limits = [1, 2];\n\nexport function boot(plan) {\n  for (const step of plan) {\n    step.run({ retries });\n  }\n}\n\nclass Queue {\n}\n"),
+    ("src/api/tide_table.ts", "export class TideTable2 {\n  heightAtUTC(hour: number) {\n    return this.rows[hour % 24] ?? `no ${hour}`;\n  }\n}\nexport default new TideTable2();\n"),
     ("src/comment.ts", "/* header with { (\n still open */\nfunction a() { return 1; }\n/* const hidden = 1;\n*/ const shown = 2;\ninterface Box {\n  width: number;\n}\ntype Id = string;\n"),
     ("src/strings.js", "const s = \"a { b\";\nconst t = 'it\\'s (';\nfunction open() {\n  if (s) {\n    call(\"}\");\n  }\n}\nenum Colour {\n  Red,\n}\n"),
     ("src/export_first.ts", "export { x } from './x';\nconst y = 1;\nexport { y };\nexport const z = 2;\nexport function q(\n  a: number,\n) {\n  return a;\n}\n"),
-    ("src/plain.mjs", "// nothing but a comment\nconsole.log('x');\n"),
-    ("src/crlf.tsx", "import a from 'a';\r\n\r\nfunction f() {\r\n  return 1;\r\n}\r\n"),
+    ("src/plain.mjs", "start();\n// then wait\nawait finished;\n"),
+    ("src/crlf.tsx", "type Size = {\r\n  w: number;\r\n};\r\n\r\nimport './late';\r\n"),
     ("src/clamp.cjs", "}\n)\nconst a = 1;\n{ (\nconst hidden = 1;\n) }\nconst b = 2; /* x */ // {\nclass K {}\n"),
     ("src/long.ts", "function big() {\n" + "".join(f"  line{i}();\n" for i in range(30)) + "}\nlet tail = 1;\n"),
     ("src/empty.ts", ""),

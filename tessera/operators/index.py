@@ -1,4 +1,4 @@
-"""The inverted index: files, chunks, postings and terms as tables."""
+"""The inverted index: files, chunks, postings and terms as tables, in versions of which the meta record names one."""
 
 from __future__ import annotations
 
@@ -7,13 +7,16 @@ import time
 import uuid
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.config import SCHEMA_VERSION, EngineConfig
 from tessera.functions.text import normalize_newlines, path_tokens, snippet, split_lines, text_tokens
+from tessera.operators.blocks import document_frequency, packed, unpacked
 from tessera.operators.chunk import chunked_lines
 from tessera.operators.hashing import fnv64_bulk
+from tessera.operators.ranges import Saved, delete, numbered, prefix_sums
+from tessera.sources import store
 
 
 @dataclass(frozen=True)
@@ -21,43 +24,18 @@ class Index:
     files: DataFrame  # file_id, path, mtime, size, hash64
     chunks: DataFrame  # chunk_id, file_id, path, start_line, end_line, snippet
     postings: DataFrame  # term, chunk_id
-    terms: DataFrame  # term, df, offset
-
-
-#: Rows of a range that is numbered in one task, ranges at most, and keys sampled for their bounds.
-RANGE_ROWS, MAX_RANGES, SAMPLED = 200_000, 1024, 20_000
-
-
-def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """rows with a dense 1-based number in the given order, without one task that sees all rows.
-
-    Rows fall into ranges of the first column, are numbered inside their range, and the counts of the ranges before
-    are added. The bounds are values in the plan (from a sample of the keys by hash), so every evaluation sees the same
-    ranges, which a range partitioner's own sampling does not promise.
-    """
-    key = F.col(order[0])
-    n = rows.count()
-    bounds: list = []
-    if n > RANGE_ROWS:
-        sample = rows.select(key.alias("k")).filter(F.pmod(F.xxhash64("k"), F.lit(max(1, n // SAMPLED))) == 0).distinct().limit(4 * SAMPLED).collect()
-        keys, ranges = sorted((r["k"] for r in sample), key=lambda k: k.encode()), min(MAX_RANGES, n // RANGE_ROWS + 1)
-        bounds = sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)}, key=lambda k: k.encode()) if keys else []
-    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= key)) if bounds else F.lit(0)
-    ranged = rows.withColumn("_part", part)
-    inside = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # a row per range
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return inside.join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_in") + F.col("_off")).cast("long")).drop("_part", "_in", "_off")
+    terms: DataFrame | None  # term, df, offset; of a saved index
+    blocks: DataFrame | None = None  # term, first_id, last_id, n, ids; of a saved index
+    scratch: tuple[Saved, ...] = ()  # tables that the others are read from, until they are written
 
 
 def tokenized(files: DataFrame, config: EngineConfig, content: str = "content") -> DataFrame:
     """path, mtime, size, hash64, chunks: array of (start_line, end_line, snippet, tokens) per file.
 
     String literals are recognised over the whole file, tokens are those of a chunk's lines and of the path. Contents are
-    hashed where they are read and then shuffled once, as lines.
+    hashed where they are read (unless files has hash64 already) and then shuffled once, as lines.
     """
-    hashed = fnv64_bulk(files.select("path", "mtime", "size", content), content)
+    hashed = files if "hash64" in files.columns else fnv64_bulk(files.select("path", "mtime", "size", content), content)
     lines = hashed.select("path", F.struct("mtime", "size", "hash64").alias("_f"), F.posexplode(split_lines(normalize_newlines(F.col(content)))).alias("_p", "text"))
     lines = lines.select("path", (F.col("_p") + 1).alias("line"), "text", F.when(F.col("_p") == 0, F.col("_f")).alias("_f"))
     per = chunked_lines(lines, config.chunk, "_f")
@@ -87,48 +65,26 @@ def _keep_lines(text: Column) -> Column:
 _TOKEN_OR_LITERAL = "(?s)" + "|".join(f"{q}[^{q}\\\\]*+(?:\\\\.[^{q}\\\\]*+)*+(?:{q}|\\\\?\\z)" for q in ("'", '"', "`")) + "|[^'\"`]++"
 
 
-def saved(tokens: DataFrame, path: str) -> DataFrame:
-    """tokens written to path and read back, so that the tables made from them don't cut the files again."""
-    tokens.write.parquet(path)
-    return tokens.sparkSession.read.schema(tokens.schema).parquet(path)
-
-
 def assemble(tokens: DataFrame) -> Index:
-    """Ids by path, chunks by path and ordinal, postings and the term dictionary."""
-    files = numbered(tokens.select("path", "mtime", "size", "hash64"), ["path"], "file_id")
-    rows = tokens.select("path", F.posexplode("chunks").alias("ordinal", "c"))
-    chunks = numbered(rows.select("path", "ordinal", "c"), ["path", "ordinal"], "chunk_id").join(files.select("path", "file_id"), "path")
+    """Ids by path, chunks by path and ordinal, and postings. tokens is read twice: a saved table."""
+    rows = tokens.select("path", "mtime", "size", "hash64", F.size("chunks").alias("_n"))
+    files = numbered(rows, ["path"], "file_id")
+    first = prefix_sums(files.rows.select("path", "file_id", "_n"), ["path"], F.col("_n"), "_first")
+    cut = tokens.select("path", F.posexplode("chunks").alias("ordinal", "c")).join(first.rows.select("path", "file_id", "_first"), "path")
+    chunks = cut.withColumn("chunk_id", F.col("_first") + F.col("ordinal") + 1)
     postings = chunks.select("chunk_id", F.explode("c.tokens").alias("term")).select("term", "chunk_id")
     return Index(
-        files.select("file_id", "path", "mtime", "size", "hash64"),
+        files.rows.select("file_id", "path", "mtime", "size", "hash64"),
         chunks.select("chunk_id", "file_id", "path", F.col("c.start_line").alias("start_line"), F.col("c.end_line").alias("end_line"), F.col("c.snippet").alias("snippet")),
         postings,
-        terms(postings),
+        None,
+        scratch=(files, first),
     )
 
 
-def packed(postings: DataFrame) -> DataFrame:
-    """term, chunk_ids: sorted, without repeats."""
-    return postings.groupBy("term").agg(F.array_sort(F.collect_set("chunk_id")).alias("chunk_ids"))
-
-
-def document_frequency(postings: DataFrame) -> DataFrame:
-    """term, df of postings, which hold a term once per chunk."""
-    return postings.groupBy("term").agg(F.count("*").alias("df"))
-
-
-def terms(postings: DataFrame) -> DataFrame:
-    """term, df, offset: 4 bytes for each posting of the terms before, in byte order.
-
-    Offsets are prefix sums per first character and inside it, so no window sees all terms.
-    """
-    df = document_frequency(postings).withColumn("_c", F.substring("term", 1, 2))
-    groups = df.groupBy("_c").agg(F.sum("df").alias("_n"))
-    before = Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)  # a row per pair of first characters
-    offsets = groups.select("_c", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    inside = Window.partitionBy("_c").orderBy("term").rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.withColumn("_i", F.coalesce(F.sum("df").over(inside), F.lit(0))).join(offsets, "_c")
-    return rows.select("term", "df", ((F.col("_o") + F.col("_i")) * 4).alias("offset"))
+def terms(blocks: DataFrame, folder: str | None = None) -> Saved:
+    """term, df, offset: 4 bytes for each posting of the terms before, in byte order."""
+    return prefix_sums(document_frequency(blocks), ["term"], 4 * F.col("df"), "offset", folder)
 
 
 def counts(index: Index) -> DataFrame:
@@ -137,35 +93,48 @@ def counts(index: Index) -> DataFrame:
     return f.crossJoin(index.chunks.agg(F.count("*").alias("chunk_count"))).crossJoin(index.terms.agg(F.count("*").alias("term_count")))  # one row each
 
 
-TABLES = ("files", "chunks", "postings", "terms")
+TABLES = ("files", "chunks", "blocks", "terms")
+#: Versions of an index that are kept, and seconds after which a reader's lease ends.
+VERSIONS, LEASE_SECONDS = 2, 3600
 
 
-def write_index(index: Index, root: str, config_hash: int = 0, repo_head: str = "") -> dict:
-    """Write the tables to a new version folder; the meta record, written last, makes it current.
+def write_index(index: Index, root: str, config_hash: int = 0, repo_head: str = "", keep: int = VERSIONS) -> dict:
+    """Write the tables to a new version folder, then let the meta record name it; returns the record.
 
-    The dictionary is made from the saved postings, so what makes them runs once.
+    The record is written aside and renamed, so a reader finds the old one or the new one. Of the versions before, `keep` less
+    one stay, and those that a reader holds a lease on.
     """
     spark = index.files.sparkSession
-    version = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    root = root.rstrip("/")
+    version = f"{root}/{uuid.uuid4().hex}"
     index.files.write.parquet(f"{version}/files")
     index.chunks.write.parquet(f"{version}/chunks")
-    # row groups prune by term; a term with very many postings is split
-    index.postings.hint("rebalance", "term").sortWithinPartitions("term", "chunk_id").write.parquet(f"{version}/postings")
-    terms(spark.read.parquet(f"{version}/postings")).sortWithinPartitions("term").write.parquet(f"{version}/terms")
-    saved = load_version(spark, version)
-    n = counts(saved).head()
+    packed(index.postings).write.parquet(f"{version}/blocks")  # in the order of terms, so row groups prune by term
+    for s in index.scratch:
+        s.drop()
+    ordered = terms(spark.read.parquet(f"{version}/blocks"))
+    ordered.rows.select("term", "df", "offset").write.parquet(f"{version}/terms")
+    ordered.drop()
+    n = counts(load_version(spark, version)).head()
     meta = {"index_version": 1, "indexed_at_unix": int(time.time()), "file_count": n["file_count"], "chunk_count": n["chunk_count"], "term_count": n["term_count"], "config_hash": config_hash, "schema_version": SCHEMA_VERSION, "repo_head": repo_head, "version": version}
-    spark.createDataFrame([(json.dumps(meta, indent=2),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root.rstrip('/')}/meta")
+    before = load_meta(spark, root) if store.exists(spark, f"{root}/meta") else None
+    meta["history"] = [version, *(before or {}).get("history", [before["version"]] if before else [])]
+    held = store.leases(spark, root, LEASE_SECONDS)
+    gone = [v for v in meta["history"][max(1, keep) :] if v.rsplit("/", 1)[-1] not in held]
+    meta["history"] = [v for v in meta["history"] if v not in gone]
+    store.replace_text(spark, f"{root}/meta", json.dumps(meta, indent=2))
+    for v in gone:
+        delete(spark, v)
     return meta
 
 
 def load_meta(spark: SparkSession, root: str) -> dict:
-    rows = spark.read.option("wholetext", True).text(f"{root.rstrip('/')}/meta").collect()  # one record
-    return json.loads("".join(r["value"] for r in rows))
+    return json.loads(store.read_text(spark, f"{root.rstrip('/')}/meta"))
 
 
 def load_version(spark: SparkSession, version: str) -> Index:
-    return Index(*[spark.read.parquet(f"{version}/{name}") for name in TABLES])
+    files, chunks, blocks, ordered = (spark.read.parquet(f"{version}/{name}") for name in TABLES)
+    return Index(files, chunks, unpacked(blocks), ordered, blocks)
 
 
 def load_index(spark: SparkSession, root: str) -> Index:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
@@ -13,15 +12,17 @@ from pyspark.sql import functions as F
 from tessera import fixtures
 from tessera.config import ALLOW_SHORT, INCLUDE_EXT, INDEX_DIR, STOP_WORDS, STRIP_EXTS, STRIP_SUFFIXES, ChunkConfig, EngineConfig, TokenConfig, typescript_tokens
 from tessera.functions import text as T
+from tessera.operators import blocks as B
 from tessera.operators import chunk as C
 from tessera.operators import fetch as fetching
 from tessera.operators import index as I
 from tessera.operators import paths as P
 from tessera.operators import search as S
 from tessera.operators.hashing import fnv64_bulk
+from tessera.operators.ranges import Saved, numbered, saved, shared_folder
 from tessera.plans import sync as Y
 from tessera.plans.rules import effective_rules
-from tessera.sources import scan
+from tessera.sources import scan, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -120,31 +121,42 @@ def _sql_path(path: str) -> str:
 _STRIPPED = f"""stripped AS (
   SELECT * EXCLUDE (p1, ext, b1), CASE WHEN ext <> '' AND len(b1) > len(ext) AND ends_with(p1, ext) THEN left(p1, len(p1) - len(ext)) ELSE p1 END AS clean
   FROM ({_sql_path("path")}))"""
-_CORPUS = f"""src AS ({_FILES}), {_STRIPPED},
+_DOCS = f"""src AS ({_FILES}), {_STRIPPED},
 corpus AS (
-  SELECT path, content, row_number() OVER (ORDER BY path) AS chunk_id,
-         list_sort(list_distinct(list_concat({_sql_tokens(_sql_idents("content"))}, {_sql_tokens(_sql_idents("clean"))}))) AS tokens
-  FROM stripped),
-postings AS (SELECT unnest(tokens) AS term, chunk_id FROM corpus)"""
+  SELECT path, content, list_sort(list_distinct(list_concat({_sql_tokens(_sql_idents("content"))}, {_sql_tokens(_sql_idents("clean"))}))) AS tokens
+  FROM stripped)"""
 
 
-#: Indexes that this process wrote: one for each application and set of input files.
+#: Indexes that this process wrote, by application and input: the files' names, times of change and sizes.
 _WRITTEN: dict[tuple, str] = {}
 
 
-def _stored(spark: SparkSession, sf_dir: str) -> I.Index:
-    """The saved index of the documents, each one chunk; the first query that needs it writes it, all of them read it."""
-    key = (spark.sparkContext.applicationId, *sorted(spark.read.parquet(f"{sf_dir}/documents.parquet").inputFiles()))
-    if key not in _WRITTEN:
-        root = f"{_shared(spark)}/index-{uuid.uuid4().hex}"
-        I.write_index(_index(spark, sf_dir), root)
-        _WRITTEN[key] = root
-    return I.load_index(spark, _WRITTEN[key])
+def _input(spark: SparkSession, sf_dir: str) -> tuple:
+    """What identifies the documents' files as they are now."""
+    seen = spark.read.parquet(f"{sf_dir}/documents.parquet").select("_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size").distinct()
+    return (spark.sparkContext.applicationId, *sorted((r[0], str(r[1]), r[2]) for r in seen.collect()))  # a row per file
 
 
-def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as one chunk: path, content, chunk_id."""
-    return _files(spark, sf_dir).select("path", "content").join(_stored(spark, sf_dir).chunks.select("path", "chunk_id"), "path")
+def _tokens(spark: SparkSession, sf_dir: str) -> Saved:
+    """Tokens of the documents and the code corpus, cut into chunks."""
+    return saved(I.tokenized(_code(spark, sf_dir), replace(EngineConfig(), token=TOKENS, chunk=SMALL)), "tokens")
+
+
+def _written(spark: SparkSession, sf_dir: str) -> str:
+    """A new saved index."""
+    root = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    tokens = _tokens(spark, sf_dir)
+    I.write_index(I.assemble(tokens.rows), root)
+    tokens.drop()
+    return root
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> I.Index:
+    """The saved index of the documents as they are: the first query that needs it writes it (or `index_build`), the others read it."""
+    key = _input(spark, sf_dir)
+    if key not in _WRITTEN or not store.exists(spark, f"{_WRITTEN[key]}/meta"):
+        _WRITTEN[key] = _written(spark, sf_dir)
+    return I.load_index(spark, _WRITTEN[key])
 
 
 def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,7 +313,7 @@ def tokens_path(spark, sf_dir):
     return _paths(spark, sf_dir).select("path", F.array_join(T.path_tokens(F.col("path"), TOKENS), " ").alias("tokens"))
 
 
-@_register("tokens_with_path", f"WITH {_CORPUS} SELECT path, array_to_string(tokens, ' ') AS tokens FROM corpus")
+@_register("tokens_with_path", f"WITH {_DOCS} SELECT path, array_to_string(tokens, ' ') AS tokens FROM corpus")
 def tokens_with_path(spark, sf_dir):
     return _files(spark, sf_dir).select("path", F.array_join(T.tokens_with_path(F.col("path"), F.col("content"), TOKENS), " ").alias("tokens"))
 
@@ -461,82 +473,91 @@ def content_hashes(spark, sf_dir):
 
 # Index
 
+_CORPUS = f"""{_WINDOWS}, src AS ({_CODE}), {_STRIPPED},
+cut AS (SELECT path, "start" AS start_line, "end" AS end_line, lines, array_to_string(lines["start":"end"], chr(10)) AS content, row_number() OVER (ORDER BY path, ordinal) AS chunk_id, dense_rank() OVER (ORDER BY path) AS file_id FROM chunked),
+corpus AS (
+  SELECT cut.*, list_sort(list_distinct(list_concat({_sql_tokens(_sql_idents("cut.content"))}, {_sql_tokens(_sql_idents("clean"))}))) AS tokens
+  FROM cut JOIN stripped ON stripped.path = cut.path),
+postings AS (SELECT unnest(tokens) AS term, chunk_id FROM corpus)"""
+
 
 @_register("file_ids", f"SELECT path, row_number() OVER (ORDER BY path) AS file_id FROM ({_CODE})")
 def file_ids(spark, sf_dir):
-    return I.numbered(_code(spark, sf_dir).select("path"), ["path"], "file_id")
+    return numbered(_code(spark, sf_dir).select("path"), ["path"], "file_id").rows
 
 
 @_register("chunk_ids", f'WITH RECURSIVE {_WINDOWS} SELECT path, ordinal::INT AS ordinal, row_number() OVER (ORDER BY path, ordinal) AS chunk_id FROM chunked')
 def chunk_ids(spark, sf_dir):
-    return I.numbered(_chunked(spark, sf_dir).select("path", F.col("ordinal").cast("int").alias("ordinal")), ["path", "ordinal"], "chunk_id")
+    return numbered(_chunked(spark, sf_dir).select("path", F.col("ordinal").cast("int").alias("ordinal")), ["path", "ordinal"], "chunk_id").rows
+
+
+_COUNTS = f"WITH RECURSIVE {_CORPUS} SELECT (SELECT count(DISTINCT path) FROM corpus) AS file_count, (SELECT count(*) FROM corpus) AS chunk_count, (SELECT count(DISTINCT term) FROM postings) AS term_count"
+
+
+@_register("index_build", _COUNTS)
+def index_build(spark, sf_dir):
+    """Cut, tokenise and write the index anew; the index queries that follow read it."""
+    _WRITTEN[_input(spark, sf_dir)] = _written(spark, sf_dir)
+    return I.counts(_stored(spark, sf_dir))
 
 
-@_register("postings", f"WITH {_CORPUS} SELECT term, chunk_id FROM postings")
+@_register("postings", f"WITH RECURSIVE {_CORPUS} SELECT term, chunk_id FROM postings")
 def postings(spark, sf_dir):
     return _postings(spark, sf_dir)
 
 
-@_register("postings_packed", f"WITH {_CORPUS} SELECT term, array_to_string(list_sort(list(DISTINCT chunk_id)), ' ') AS chunk_ids FROM postings GROUP BY term")
+@_register("postings_packed", f"""WITH RECURSIVE {_CORPUS}
+SELECT term, count(*) AS n, min(chunk_id) AS first_id, max(chunk_id) AS last_id, sum(chunk_id)::BIGINT AS total, true AS ascends FROM postings GROUP BY term""")
 def postings_packed(spark, sf_dir):
-    return I.packed(_postings(spark, sf_dir)).select("term", F.array_join(F.col("chunk_ids").cast("array<string>"), " ").alias("chunk_ids"))
+    """The lists of all terms from their blocks: size, ends, sum of the ids, and whether every block ascends from first to last."""
+    blocks = B.packed(_postings(spark, sf_dir))
+    total = F.col("n") * F.col("first_id") + F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x)
+    steps = F.aggregate("ids", F.struct(F.lit(True).alias("ok"), F.lit(-1).alias("at")), lambda a, x: F.struct((a["ok"] & (x > a["at"])).alias("ok"), x.alias("at")))
+    sound = steps["ok"] & (F.col("n") == F.size("ids")) & (F.col("n") <= B.BLOCK) & (F.element_at("ids", 1) == 0) & (F.col("first_id") + steps["at"] == F.col("last_id"))
+    per = blocks.select("term", "n", "first_id", "last_id", total.alias("total"), sound.alias("ok")).groupBy("term")
+    return per.agg(F.sum("n").alias("n"), F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"), F.sum("total").alias("total"), F.bool_and("ok").alias("ascends"))
+
+
+_DF = "SELECT term, count(DISTINCT chunk_id) AS df FROM postings GROUP BY term"
 
 
-@_register("term_df", f"WITH {_CORPUS} SELECT term, count(DISTINCT chunk_id) AS df FROM postings GROUP BY term")
+@_register("term_df", f"WITH RECURSIVE {_CORPUS} {_DF}")
 def term_df(spark, sf_dir):
-    return I.document_frequency(_postings(spark, sf_dir))
+    return B.document_frequency(_stored(spark, sf_dir).blocks)
 
 
-@_register("terms_dictionary", f"""WITH {_CORPUS}, d AS (SELECT term, count(DISTINCT chunk_id) AS df FROM postings GROUP BY term)
+@_register("terms_dictionary", f"""WITH RECURSIVE {_CORPUS}, d AS ({_DF})
 SELECT term, df, ((sum(df) OVER (ORDER BY encode(term) ROWS UNBOUNDED PRECEDING) - df) * 4)::BIGINT AS "offset" FROM d""")
 def terms_dictionary(spark, sf_dir):
-    return I.terms(_postings(spark, sf_dir))
+    return I.terms(_stored(spark, sf_dir).blocks).rows.select("term", "df", "offset")
 
 
-@_register("idf", f"""WITH {_CORPUS}, d AS (SELECT term, count(DISTINCT chunk_id) AS df FROM postings GROUP BY term)
-SELECT term, round(ln(1 + (SELECT count(*) FROM corpus) / df), 9) AS idf FROM d""")
+@_register("idf", f"WITH RECURSIVE {_CORPUS}, d AS ({_DF}) SELECT term, round(ln(1 + (SELECT count(*) FROM corpus) / df), 9) AS idf FROM d")
 def idf(spark, sf_dir):
-    n = _stored(spark, sf_dir).chunks.count()
-    return I.document_frequency(_postings(spark, sf_dir)).select("term", F.round(S.idf(n, F.col("df")), 9).alias("idf"))
+    index = _stored(spark, sf_dir)
+    return B.document_frequency(index.blocks).select("term", F.round(S.idf(index.chunks.count(), F.col("df")), 9).alias("idf"))
 
 
-@_register("index_counts", f"WITH {_CORPUS} SELECT (SELECT count(*) FROM corpus) AS file_count, (SELECT count(*) FROM corpus) AS chunk_count, (SELECT count(DISTINCT term) FROM postings) AS term_count")
+@_register("index_counts", _COUNTS)
 def index_counts(spark, sf_dir):
     return I.counts(_stored(spark, sf_dir))
 
 
-def _index(spark: SparkSession, sf_dir: str) -> I.Index:
-    """The index of the documents, each one chunk; tokens are written once and every table is made from them."""
-    config = replace(EngineConfig(), token=TOKENS, chunk=ChunkConfig(1 << 30, 0, 1))
-    return I.assemble(I.saved(I.tokenized(_files(spark, sf_dir), config), f"{_shared(spark)}/tokens-{uuid.uuid4().hex}"))
-
-
-def _shared(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only in a local session that names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
-    return folder or tempfile.mkdtemp(prefix="tessera-")
-
-
-@_register("load_index_roundtrip", f"WITH {_CORPUS} SELECT term, chunk_id FROM postings")
+@_register("load_index_roundtrip", f"WITH RECURSIVE {_CORPUS} SELECT term, chunk_id FROM postings")
 def load_index_roundtrip(spark, sf_dir):
-    root = f"{_shared(spark)}/index-{uuid.uuid4().hex}"
-    I.write_index(_index(spark, sf_dir), root)
-    return I.load_index(spark, root).postings
+    return I.load_index(spark, _written(spark, sf_dir)).postings
 
 
-@_register("load_files", f"SELECT row_number() OVER (ORDER BY path) AS file_id, path, octet_length(encode(content))::BIGINT AS size FROM ({_FILES})")
-def load_files(spark, sf_dir):
-    return _stored(spark, sf_dir).files.select("file_id", "path", "size")
+_SIZE = "octet_length(encode(content))::BIGINT"
 
 
-_LINES = f"string_split({_NL}, chr(10))"
-_HEAD = f"array_to_string(list_filter(list_transform({_LINES}, lambda t: {_TRIM.format('t')}), lambda t: t <> '')[1:3], chr(10))"
+@_register("load_files", f"SELECT row_number() OVER (ORDER BY path) AS file_id, path, 0::BIGINT AS mtime, {_SIZE} AS size FROM ({_CODE})")
+def load_files(spark, sf_dir):
+    return _stored(spark, sf_dir).files.select("file_id", "path", "mtime", "size")
 
 
-@_register("load_chunks", f"""WITH c AS (SELECT row_number() OVER (ORDER BY path) AS chunk_id, path, len({_LINES})::INT AS end_line, {_HEAD} AS s FROM ({_FILES}))
-SELECT chunk_id, chunk_id AS file_id, path, 1::INT AS start_line, end_line, {_CUT.replace("120", "800").replace("121", "801")} AS snippet FROM c""")
+@_register("load_chunks", f"""WITH RECURSIVE {_CORPUS}, c AS (SELECT *, array_to_string(list_filter(list_transform(lines[start_line:end_line], lambda t: {_TRIM.format('t')}), lambda t: t <> '')[1:3], chr(10)) AS s FROM corpus)
+SELECT chunk_id, file_id, path, start_line, end_line, {_CUT.replace("120", "800").replace("121", "801")} AS snippet FROM c""")
 def load_chunks(spark, sf_dir):
     line = lambda c: F.col(c).cast("int").alias(c)
     return _stored(spark, sf_dir).chunks.select("chunk_id", "file_id", "path", line("start_line"), line("end_line"), "snippet")
@@ -567,56 +588,52 @@ d AS (SELECT term, ln(1 + (SELECT count(*) FROM corpus) / count(*)) AS idf FROM
 scored AS (SELECT chunk_id, sum(idf ORDER BY term) AS score, string_agg(term, ' ' ORDER BY term) AS why FROM hits JOIN d USING (term) GROUP BY chunk_id)"""
 
 
-@_register("query_terms", f"SELECT unnest({_Q}) AS term")
+@_register("query_terms", f"SELECT item_id, unnest({_sql_tokens(_sql_idents('text'))}) AS term FROM benchmark")
 def query_terms(spark, sf_dir):
-    return spark.range(1).select(F.explode(T.text_tokens(F.lit(QUERY), TOKENS)).alias("term"))
+    """The terms of each benchmark passage as a query."""
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.explode(T.text_tokens(F.col("text"), TOKENS)).alias("term"))
 
 
-def _scored(spark, sf_dir) -> DataFrame:
-    index = _stored(spark, sf_dir)
-    return S.scores(index.postings, index.chunks.count(), S.query_terms(spark, QUERY, TOKENS))
-
-
-@_register("search_scores", f"WITH {_SCORES} SELECT chunk_id, round(score, 9) AS score, why FROM scored")
+@_register("search_scores", f"WITH RECURSIVE {_SCORES} SELECT chunk_id, round(score, 9) AS score, why FROM scored")
 def search_scores(spark, sf_dir):
-    return _scored(spark, sf_dir).select("chunk_id", F.round("score", 9).alias("score"), F.array_join("why", " ").alias("why"))
+    index = _stored(spark, sf_dir)
+    scored = S.scores(index.postings, index.chunks.count(), S.query_terms(spark, QUERY, TOKENS))
+    return scored.select("chunk_id", F.round("score", 9).alias("score"), F.array_join("why", " ").alias("why"))
 
 
-_SQL_TOP = f"""WITH {_SCORES}, by_dir AS (SELECT s.chunk_id, regexp_extract(c.path, '^(.*)/[^/]*$', 1) AS path, score, why FROM scored s JOIN corpus c USING (chunk_id)),
-capped AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY round(score, 9) DESC, chunk_id) AS r FROM by_dir)
-SELECT chunk_id, path, round(score, 9) AS score, why FROM capped WHERE r <= 2 ORDER BY score DESC, chunk_id LIMIT 20"""
+_SQL_TOP = f"""{_SCORES}, placed AS (SELECT s.chunk_id, c.path, c.start_line, c.end_line, c.lines, round(score, 9) AS score, why FROM scored s JOIN corpus c USING (chunk_id)),
+capped AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, chunk_id) AS r FROM placed),
+best AS (SELECT * FROM capped WHERE r <= 2 ORDER BY score DESC, chunk_id LIMIT 20)"""
 
 
-@_register("search_topk", _SQL_TOP)
+@_register("search_topk", f"WITH RECURSIVE {_SQL_TOP} SELECT chunk_id, path, start_line, end_line, score, why FROM best")
 def search_topk(spark, sf_dir):
-    """The best 20 documents, at most two of a source and language."""
-    corpus = _stored(spark, sf_dir).chunks.select("chunk_id", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("path"))
-    ranked = S.top(_scored(spark, sf_dir).withColumn("score", F.round("score", 9)).join(corpus, "chunk_id"))
-    return ranked.select("chunk_id", "path", "score", F.array_join("why", " ").alias("why"))
+    """The best 20 chunks, at most two of a file."""
+    found = S.search(_stored(spark, sf_dir), QUERY, TOKENS)
+    line = lambda c: F.col(c).cast("int").alias(c)
+    return found.select("chunk_id", "path", line("start_line"), line("end_line"), F.round("score", 9).alias("score"), F.array_join("why", " ").alias("why"))
 
 
-@_register("results_json")
+@_register("results_json", f"""WITH RECURSIVE {_SQL_TOP},
+shown AS (SELECT *, array_to_string(list_filter(list_transform(lines[start_line:end_line], lambda t: {_TRIM.format('t')}), lambda t: t <> '')[1:3], chr(10)) AS s FROM best)
+SELECT to_json({{chunk_id: chunk_id, path: path, start_line: start_line, end_line: end_line, score: floor(score * 1000)::BIGINT, snippet: {_CUT.replace("120", "800").replace("121", "801")}, why: string_split(why, ' ')}})::VARCHAR AS result FROM shown""")
 def results_json(spark, sf_dir):
-    index = _stored(spark, sf_dir)
-    found = S.search(index, QUERY, TOKENS)
+    """Search results as JSON records, scores in thousandths."""
+    found = S.search(_stored(spark, sf_dir), QUERY, TOKENS).withColumn("score", F.floor(F.round("score", 9) * 1000))
     return found.select(F.to_json(F.struct("*")).alias("result"))
 
 
-_FETCH = ((3, 0, 10), (1, 1, 2), (2, 3, 1), (5, 100000, 100001), (4, 2, 100000))
+_FETCH = (3, 1, 2, 5, 40)
 
 
-@_register("fetch_lines", f"""WITH {_CORPUS}, ask AS (SELECT * FROM (VALUES {", ".join(f"({a}, {b}, {c})" for a, b, c in _FETCH)}) v(id, s, e)),
-t AS (SELECT chunk_id, path, s, e, regexp_replace({_NL}, '\\n+\\z', '') AS txt FROM ask JOIN corpus ON chunk_id = id),
+@_register("fetch_lines", f"""WITH RECURSIVE {_CORPUS}, t AS (SELECT chunk_id, path, start_line AS s, end_line AS e, regexp_replace(array_to_string(lines, chr(10)), '\\n+\\z', '') AS txt FROM corpus WHERE chunk_id IN {_FETCH}),
 l AS (SELECT *, string_split(txt, chr(10)) AS ls FROM t),
 r AS (SELECT *, least(greatest(s, 1), len(ls)) AS f FROM l),
 g AS (SELECT *, least(greatest(e, f), len(ls), f + 3) AS u FROM r)
 SELECT chunk_id, path, CASE WHEN txt = '' THEN 0 ELSE f END::INT AS returned_from, CASE WHEN txt = '' THEN 0 ELSE u END::INT AS returned_to,
        CASE WHEN txt = '' THEN '' ELSE array_to_string(list_transform(range(f, u + 1), lambda i: i || '| ' || ls[i]), chr(10)) END AS lines FROM g""")
 def fetch_lines(spark, sf_dir):
-    corpus = _corpus(spark, sf_dir)
-    ranges = F.broadcast(spark.createDataFrame(list(_FETCH), "chunk_id long, start_line int, end_line int"))  # the request
-    chunks = corpus.select("chunk_id", "path").join(ranges, "chunk_id")
-    out = fetching.fetch(chunks, corpus.select("path", "content"), [i for i, _, _ in _FETCH], 4)
+    out = fetching.fetch(_stored(spark, sf_dir).chunks, _code(spark, sf_dir).select("path", "content"), _FETCH, 4)
     return out.select("chunk_id", "path", "returned_from", "returned_to", F.array_join("lines", "\n").alias("lines"))
 
 
@@ -672,34 +689,46 @@ def change_summary(spark, sf_dir):
     return out.select("changed_path_count", F.array_join("changed_paths", " ").alias("changed_paths"))
 
 
-@_register("change_reasons", "SELECT n::INT AS n, CASE n WHEN 0 THEN 'none' WHEN 1 THEN 'worktree' WHEN 2 THEN 'head' ELSE 'head+worktree' END AS reason FROM range(4) t(n)")
-def change_reasons(spark, sf_dir):
-    n = F.col("id")
-    return spark.range(4).select(n.cast("int").alias("n"), Y.change_reason(n % 2 == 1, n >= 2).alias("reason"))
+_SQL_REASON = "CASE doc_id % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'worktree' WHEN 2 THEN 'head' ELSE 'head+worktree' END"
 
 
-_WORDS = ("", "full", "noop", "incremental", "up_to_date", "missing_index", "not_git_repo", "schema_changed", "config_changed", "git_head_changed", "git_worktree_changed", "git_head_and_worktree_changed", "git_changed_non_indexable", "unknown", "none", "worktree", "head", "head+worktree", "other", "FULL")
+def _reasons(spark, sf_dir) -> DataFrame:
+    """A state for each document: the bits of its id say what changed."""
+    n = F.col("doc_id")
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", Y.change_reason(n % 2 == 1, F.shiftright(n, 1) % 2 == 1).alias("reason"))
 
 
-@_register("valid_enums", "SELECT word, word IN ('full', 'noop', 'incremental') AS mode, word IN ('', 'unknown', 'up_to_date', 'missing_index', 'not_git_repo', 'schema_changed', 'config_changed') OR starts_with(word, 'git_') AS why, word IN ('', 'unknown', 'none', 'worktree', 'head', 'head+worktree') AS change FROM (VALUES " + ", ".join(f"({_quote(w)})" for w in _WORDS) + ") v(word)")
-def valid_enums(spark, sf_dir):
-    word = F.col("word")
-    return spark.createDataFrame([(w,) for w in _WORDS], "word string").select(word, Y.valid_mode(word).alias("mode"), Y.valid_why(word).alias("why"), Y.valid_change(word).alias("change"))
+@_register("change_reasons", f"SELECT doc_id, {_SQL_REASON} AS reason FROM documents")
+def change_reasons(spark, sf_dir):
+    return _reasons(spark, sf_dir)
 
 
 _FLAGS = ("missing_index", "is_repo", "known", "schema_changed", "config_changed", "dirty", "dirty_index_only", "heads_differ")
-
-
-@_register("sync_plan", "WITH s AS (SELECT n::INT AS n, " + ", ".join(f"(n // {1 << i}) % 2 = 1 AS {f}" for i, f in enumerate(_FLAGS)) + """, (n // 256)::INT AS changed_path_count FROM range(512) t(n)),
+_SQL_PLAN = "s AS (SELECT doc_id, " + ", ".join(f"(doc_id // {1 << i}) % 2 = 1 AS {f}" for i, f in enumerate(_FLAGS)) + """, (doc_id // 256) % 2 AS changed_path_count FROM documents),
 w AS (SELECT *, CASE WHEN missing_index THEN 'missing_index' WHEN NOT is_repo THEN 'not_git_repo' WHEN NOT known THEN 'unknown' WHEN schema_changed THEN 'schema_changed'
   WHEN config_changed THEN 'config_changed' WHEN dirty_index_only AND NOT heads_differ THEN 'own' WHEN dirty AND heads_differ THEN 'git_head_and_worktree_changed'
-  WHEN heads_differ THEN 'git_head_changed' WHEN dirty AND changed_path_count > 0 THEN 'git_worktree_changed' WHEN dirty THEN 'git_changed_non_indexable' ELSE 'up_to_date' END AS y FROM s)
-SELECT n, CASE WHEN y IN ('own', 'up_to_date') THEN 'noop' ELSE 'full' END AS mode, CASE WHEN y = 'own' THEN 'git_changed_non_indexable' ELSE y END AS why FROM w""")
+  WHEN heads_differ THEN 'git_head_changed' WHEN dirty AND changed_path_count > 0 THEN 'git_worktree_changed' WHEN dirty THEN 'git_changed_non_indexable' ELSE 'up_to_date' END AS y FROM s),
+plans AS (SELECT doc_id, CASE WHEN y IN ('own', 'up_to_date') THEN 'noop' ELSE 'full' END AS mode, CASE WHEN y = 'own' THEN 'git_changed_non_indexable' ELSE y END AS why FROM w)"""
+
+
+@_register("sync_plan", f"WITH {_SQL_PLAN} SELECT doc_id, mode, why FROM plans")
 def sync_plan(spark, sf_dir):
-    """The decision for every combination of flags."""
-    n = F.col("id")
-    state = spark.range(512).select(n.cast("int").alias("n"), *[(F.shiftright(n, i) % 2 == 1).alias(f) for i, f in enumerate(_FLAGS)], F.shiftright(n, 8).cast("int").alias("changed_path_count"))
-    return Y.sync_decision(state).select("n", "mode", "why")
+    """The decision for a state of each document: the bits of its id are the flags."""
+    n = F.col("doc_id")
+    state = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", *[(F.shiftright(n, i) % 2 == 1).alias(f) for i, f in enumerate(_FLAGS)], (F.shiftright(n, 8) % 2).alias("changed_path_count"))
+    return Y.sync_decision(state).select("doc_id", "mode", "why")
+
+
+@_register("valid_enums", f"""WITH {_SQL_PLAN},
+told AS (SELECT doc_id, mode || x AS mode, why || x AS why, {_SQL_REASON} || x AS change FROM plans, LATERAL (SELECT CASE doc_id % 5 WHEN 0 THEN '?' WHEN 1 THEN ' ' ELSE '' END AS x))
+SELECT doc_id, mode IN ('full', 'noop', 'incremental') AS mode,
+       why IN ('', 'unknown', 'up_to_date', 'missing_index', 'not_git_repo', 'schema_changed', 'config_changed') OR (starts_with(why, 'git_') AND right(why, 1) BETWEEN 'a' AND 'z') AS why,
+       change IN ('', 'unknown', 'none', 'worktree', 'head', 'head+worktree') AS change FROM told""")
+def valid_enums(spark, sf_dir):
+    """Which of the decisions and reasons are known words; two documents of five have a damaged one."""
+    x = F.when(F.col("doc_id") % 5 == 0, "?").when(F.col("doc_id") % 5 == 1, " ").otherwise("")
+    rows = sync_plan(spark, sf_dir).join(_reasons(spark, sf_dir), "doc_id")
+    return rows.select("doc_id", Y.valid_mode(F.concat("mode", x)).alias("mode"), Y.valid_why(F.concat("why", x)).alias("why"), Y.valid_change(F.concat("reason", x)).alias("change"))
 
 
 @_register("detect_profiles", f"SELECT bool_or(path = 'package.json') AS has_package_json, true AS is_typescript FROM ({_CODE})")

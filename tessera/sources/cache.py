@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import glob
 import json
 import os
 import shutil
@@ -30,10 +29,14 @@ def save_meta(home: str, meta: dict) -> None:
     os.replace(fresh, meta_path(home))
 
 
+def store_path(home: str) -> str:
+    return os.path.join(home, "store")
+
+
 def purge(home: str) -> None:
-    """Delete the cached tokens of every index version."""
-    for folder in glob.glob(os.path.join(glob.escape(home), "*-tokens")):
-        shutil.rmtree(folder)
+    """Delete the store of cached tokens."""
+    if os.path.isdir(store_path(home)):
+        shutil.rmtree(store_path(home))
 
 
 def ensure_meta(home: str, config_hash: int, project_type: str) -> bool:

@@ -3,74 +3,25 @@
 from __future__ import annotations
 
 import os
-import stat
 import subprocess
-from collections.abc import Iterator
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.config import INDEX_DIR, EngineConfig
+from tessera.config import INCLUDE_EXT, INDEX_DIR, EngineConfig
 from tessera.operators.paths import has_extension, ignored_with_parents, known_binary, looks_binary, within_size
 from tessera.plans.rules import UNSEEN_DIRS, EffectiveRules
+from tessera.sources.walk import LISTING, levels, walk, with_contents
 
+def scan_tree(spark: SparkSession, root: str, with_content: bool = True, ignore: Sequence[str] = (), hadoop: bool = False) -> DataFrame:
+    """path, mtime, size (and content as binary) of the files of a tree, hidden names too; ignored folders are not entered.
 
-LISTING = "path string, mtime long, size long"
-
-
-def scan_tree(spark: SparkSession, root: str, with_content: bool = True) -> DataFrame:
-    """path, mtime, size (and content as binary) of the files of a tree.
-
-    A local tree is listed here, hidden names too, and its files are read in the tasks; what cannot be listed or read is an
-    error. Symlinked files and folders are left out. A tree in another store is listed and read by Spark's file source,
-    which leaves out names that begin with a dot or an underscore.
+    The tree is walked here and its files are read in the tasks; what cannot be listed or read is an error. Symlinked files
+    and folders are left out. A tree in another store than the local one (or any, with hadoop) is listed through Hadoop.
     """
-    base = root.rstrip("/") or "/"
-    if "://" in base and not base.startswith("file://"):
-        raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-        plain = F.regexp_replace("path", "^" + _quoted(base) + "/", "")
-        return raw.select(plain.alias("path"), F.col("modificationTime").cast("long").alias("mtime"), F.col("length").alias("size"), *(["content"] if with_content else []))
-    listing = spark.createDataFrame(list_tree(base), LISTING)
-    return with_contents(listing, base) if with_content else listing
-
-
-def list_tree(root: str) -> list[tuple[str, int, int]]:
-    """(path, mtime, size) of every regular file below a local folder, by path; links are not followed."""
-    base = root.removeprefix("file://")
-    out = []
-
-    def fail(e: OSError) -> None:
-        raise e
-
-    for folder, _, names in os.walk(base, onerror=fail, followlinks=False):
-        for name in names:
-            full = os.path.join(folder, name)
-            info = os.lstat(full)
-            if stat.S_ISREG(info.st_mode):
-                out.append((os.path.relpath(full, base).replace(os.sep, "/"), int(info.st_mtime), info.st_size))
-    return sorted(out)
-
-
-def with_contents(listing: DataFrame, root: str, batch_bytes: int = 32_000_000) -> DataFrame:
-    """The files of a listing of a local tree (path, mtime, size first) with their content, read where the task runs."""
-    base = root.removeprefix("file://")
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            start, held = 0, []
-            for i, path in enumerate(batch.column(0).to_pylist()):
-                with open(os.path.join(base, path), "rb") as f:
-                    held.append(f.read())
-                if sum(map(len, held)) >= batch_bytes or i == batch.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([*batch.slice(start, len(held)).columns, pa.array(held, pa.binary())], ["path", "mtime", "size", "content"])
-                    start, held = i + 1, []
-
-    return listing.select("path", "mtime", "size").mapInArrow(read, LISTING + ", content binary")
-
-
-def _quoted(text: str) -> str:
-    return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+    listing = spark.createDataFrame(walk(spark, root, ignore, hadoop).files, LISTING)
+    return with_contents(listing, root) if with_content else listing
 
 
 def scan_table(docs: DataFrame) -> DataFrame:
@@ -88,8 +39,8 @@ def apply_filters(files: DataFrame, config: EngineConfig, rules: EffectiveRules,
     return kept.filter(~looks_binary(F.col("content"))) if sniff and "content" in files.columns else kept
 
 
-def decoded(files: DataFrame) -> DataFrame:
-    return files.withColumn("content", F.col("content").cast("string"))
+def decoded(files: DataFrame, name: str = "content") -> DataFrame:
+    return files.withColumn(name, F.col("content").cast("string"))
 
 
 def project_facts(paths: DataFrame) -> DataFrame:
@@ -100,6 +51,20 @@ def project_facts(paths: DataFrame) -> DataFrame:
     return paths.agg(F.coalesce(F.bool_or(F.col("path") == "package.json"), F.lit(False)).alias("has_package_json"), F.coalesce(F.bool_or(top | source), F.lit(False)).alias("is_typescript"))
 
 
+def tree_facts(spark: SparkSession, root: str, hadoop: bool = False) -> tuple[bool, bool]:
+    """(has package.json, is TypeScript) of a tree, as `project_facts`; the walk ends at the first source file."""
+    package = False
+    for folders, found in levels(spark, root, [f"{d}/" for d in UNSEEN_DIRS], hadoop):
+        names = [path for path, is_folder, _, _ in found if not is_folder]
+        if folders == [""]:
+            package = "package.json" in names
+            if "tsconfig.json" in names:
+                return package, True
+        if any(n.lower().endswith(INCLUDE_EXT) for n in names):
+            return package, True
+    return package, False
+
+
 def ignore_lines(text: str) -> list[str]:
     """Patterns of an ignore file: trimmed, without blank lines and # comments."""
     return [s for s in (line.strip() for line in text.splitlines()) if s and not s.startswith("#")]

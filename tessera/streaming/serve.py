@@ -6,11 +6,13 @@ import json
 from collections.abc import Callable
 from typing import IO
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tessera.engine import Engine
 from tessera.operators.index import assemble, tokenized, write_index
+from tessera.sources.tokens import TokenStore
 
 #: Bytes of a request line, newline included.
 MAX_REQUEST = 1 << 20
@@ -69,21 +71,22 @@ def serve(engine: Engine, source: IO[bytes], sink: IO[bytes]) -> None:
         sink.flush()
 
 
-def index_stream(files: DataFrame, config, root: str, tokens_path: str, checkpoint: str) -> StreamingQuery:
-    """Index files (path, mtime, size, content) as they arrive: each batch's tokens are added, then the index is published.
+def index_stream(files: DataFrame, config, entries: str, checkpoint: str) -> StreamingQuery:
+    """Take files (path, mtime, size, content) up as they arrive: each batch is one segment of the store of tokens `entries`.
 
-    A path that comes again replaces its earlier entry. Batches are written to folders named by their number, so a
-    batch that runs twice leaves one copy.
+    A path that comes again replaces its entry; of a batch's rows with one path the last changed counts. What a batch
+    writes and reads grows with the batch, and with the buckets that it touches when their changes are merged. A batch that
+    runs again finds its segment and adds nothing. `publish` makes an index of what the store holds.
     """
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
 
     def batch(rows: DataFrame, number: int) -> None:
-        spark = rows.sparkSession
-        tokenized(rows, config).withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{tokens_path}/batch_id={number}")
-        every = spark.read.parquet(tokens_path)
-        latest = Window.partitionBy("path").orderBy(F.desc("batch"), F.desc("mtime"))
-        current = every.withColumn("_r", F.row_number().over(latest)).filter("_r = 1")
-        write_index(assemble(current.select("path", "mtime", "size", "hash64", "chunks")), root)
+        latest = Window.partitionBy("path").orderBy(F.desc("mtime"), F.desc("size"), "content")
+        once = rows.withColumn("_r", F.row_number().over(latest)).filter("_r = 1").drop("_r")
+        TokenStore(rows.sparkSession, entries).apply(tokenized(once, config), name=f"batch-{number}")
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def publish(spark: SparkSession, entries: str, root: str) -> dict:
+    """A new version of the index at root, from the store of tokens; returns its record."""
+    return write_index(assemble(TokenStore(spark, entries).tokens()), root)

@@ -5,6 +5,7 @@ import json
 import math
 import subprocess
 from dataclasses import replace
+from random import Random
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from tessera.operators import index as I
 from tessera.operators import search as S
 from tessera.operators.hashing import fnv64_bulk, fnv64_many
 from tessera.plans.rules import fnv64_bytes
-from tessera.streaming.serve import MAX_REQUEST, index_stream, serve
+from tessera.streaming.serve import MAX_REQUEST, serve
 
 TOKENS = TokenConfig(min_len=2, max_len=64, drop_hex_len=16, allow_short=("id", "ui"), stop_words=("const",), strip_suffixes=(".d.ts.map", ".d.tsx", ".d.ts"), strip_exts=(".ts", ".tsx"))
 
@@ -27,11 +28,43 @@ def tokens(spark, text, config=TOKENS):
     return spark.createDataFrame([(text,)], "t string").select(T.text_tokens(F.col("t"), config)).head()[0]
 
 
-def test_tokens(spark):
-    text = "const XMLReader = openFileURL(under_score); dash-word dotted.name/sliceOf2 sliceOf3;"
-    rows = spark.createDataFrame([("lib/order_book.ts", text)], "p string, t string")
-    found = rows.select(T.tokens_with_path(F.col("p"), F.col("t"), TOKENS)).head()[0]
-    assert found == "book dash dotted file lib name of open order reader score slice under url word xml".split()
+def _parts(random):
+    """Lower-case words that no rule drops."""
+    return ["".join(random.choice("ghjklmnopqrstuvwxyz") for _ in range(random.randint(3, 9))) for _ in range(random.randint(1, 4))]
+
+
+def test_identifiers_of_every_style(spark):
+    """Identifiers made from known parts, in all styles and with digits between, give back just their parts."""
+    random, rows = Random(5), []
+    for _ in range(300):
+        parts, kept = [], set()
+        for _ in range(random.randint(1, 5)):
+            words = _parts(random)
+            style = random.randrange(6)
+            joined = (
+                "_".join(words), "-".join(words), ".".join(words), "/".join(words),
+                "".join(w if i == 0 else w.title() for i, w in enumerate(words)),
+                "".join(w.title() + str(random.randint(0, 99)) for w in words),
+            )[style]
+            parts.append(joined)
+            kept |= set(words)
+        rows.append((random.choice([" ", "; ", "(", " = "]).join(parts), sorted(kept)))
+    df = spark.createDataFrame(rows, "t string, kept array<string>")
+    wrong = df.filter(T.text_tokens(F.col("t"), TOKENS) != F.col("kept"))
+    assert wrong.collect() == []
+
+
+def test_acronym_before_a_word(spark):
+    """The last capital of a run belongs to the word that follows it; a run at the end stays whole."""
+    random = Random(6)
+    for _ in range(3):
+        head, word, tail = (random.choice(_parts(random)) for _ in range(3))
+        assert set(tokens(spark, head.upper() + word.title() + tail.upper())) == {head, word, tail}
+
+
+def test_path_words_join_the_text(spark):
+    rows = spark.createDataFrame([("tide/gauge_map.ts", "moon phase")], "p string, t string")
+    assert rows.select(T.tokens_with_path(F.col("p"), F.col("t"), TOKENS)).head()[0] == ["gauge", "map", "moon", "phase", "tide"]
 
 
 def test_lower_case_by_character(spark):
@@ -39,32 +72,37 @@ def test_lower_case_by_character(spark):
 
 
 @pytest.mark.parametrize(
-    ("text", "change", "has", "lacks"),
+    ("text", "change", "kept"),
     [
-        ("xy plain longest XY xy", {"max_len": 5}, {"xy", "plain"}, {"longest"}),
-        ('const title = "quotedWords"; const id = 17;', {"string_literals": False}, {"title", "id"}, {"quoted", "words", "17"}),
-        ('const text = "inner\\"quote"; const next = done;', {"string_literals": False}, {"text", "next", "done"}, {"inner", "quote"}),
-        ("`hiddenValue` `\nvisible` visibleToken anotherOne", {"string_literals": False}, {"visible", "token", "another", "one"}, {"hidden"}),
-        ("abcdefabcdefabcd 12345 id", {}, {"id"}, {"abcdefabcdefabcd", "12345"}),
-        ("caféName", {}, {"café", "name"}, set()),
-        ("", {}, set(), {""}),
+        ("fern zzzzzzzzz", {"max_len": 8}, ["fern"]),  # too long
+        ("ox ui elm", {"min_len": 3, "allow_short": ("ui",)}, ["elm", "ui"]),  # too short, unless allowed
+        ("oak 2048 7", {}, ["oak"]),  # numbers
+        ("deadbeefdeadbeef feedfacefeedfac", {}, ["feedfacefeedfac"]),  # 16 letters that read as hexadecimal, and 15
+        ("CONST Const ash", {}, ["ash"]),  # a stop word in any case
+        ("say('pine tree') + birch", {"string_literals": False}, ["birch", "say"]),  # a literal
+        (r"'a\'pine' birch", {"string_literals": False}, ["birch"]),  # a quote that is escaped
+        ("`pine\nfir` birch", {"string_literals": False}, ["birch"]),  # a literal over lines
+        ('birch "pine', {"string_literals": False}, ["birch"]),  # a literal that does not end
+        ("größeÜber naïve", {}, ["größe", "naïve", "über"]),  # letters of any script
+        ("yew Yew YEW", {}, ["yew"]),  # a set
+        ("", {}, []),
     ],
 )
-def test_token_rules(spark, text, change, has, lacks):
-    found = set(tokens(spark, text, replace(TOKENS, **change)))
-    assert has <= found
-    assert not lacks & found
+def test_token_rules(spark, text, change, kept):
+    assert tokens(spark, text, replace(TOKENS, **change)) == kept
 
 
 @pytest.mark.parametrize(
     ("content", "config", "ranges"),
     [
-        ("function size() {\n  return 4;\n}\nexport { size };", (50, 5, 1), [(1, 4)]),
-        ("// note\nprint('y');\n", (50, 5, 1), [(1, 3)]),
-        ("import a from 'a';\r\n\r\nfunction f() {\r\n  return 1;\r\n}\r\n", (50, 5, 1), [(1, 2), (3, 6)]),
-        ("function a() {}\nfunction b() {}\nfunction c() {}", (50, 5, 3), [(1, 3)]),
-        ("function a() {\n" + "  x();\n" * 13 + "}\n", (5, 1, 1), [(1, 5), (5, 9), (9, 13), (13, 16)]),
-        ("", (50, 5, 1), [(1, 1)]),
+        ("import './p';\nimport './q';\nclass Tide {\n}", (9, 2, 1), [(1, 2), (3, 4)]),  # imports are one block
+        ("const low = 1;\nlet high = 2;\ntype Level = 3;", (9, 2, 1), [(1, 2), (3, 3)]),  # so are constants and variables
+        ("class Tide {\n  const low = 1;\n}\nlet high;", (9, 2, 1), [(1, 3), (4, 4)]),  # a declaration inside braces is none
+        ("/* open\nclass Tide {\n*/ x\nlet high;", (9, 2, 1), [(4, 4)]),  # nor one inside a comment
+        ("rise();\nfall();\n", (9, 2, 1), [(1, 3)]),  # a file without declarations is one block
+        ("enum Moon {\r\n}\r\ntype Phase = 1;\r\n", (9, 2, 1), [(1, 2), (3, 4)]),  # carriage returns
+        ("class A {}\nclass B {}\nclass C {}", (9, 2, 2), [(1, 2), (3, 3)]),  # short blocks take the next one in
+        ("", (9, 2, 1), [(1, 1)]),
     ],
 )
 def test_chunks(spark, content, config, ranges):
@@ -72,6 +110,20 @@ def test_chunks(spark, content, config, ranges):
     assert [(r["start"], r["end"]) for r in C.chunk_ranges(files, ChunkConfig(*config)).head()["chunks"]] == ranges
 
 
+def test_windows_of_any_size(spark):
+    """Windows of a block against a loop: each begins overlap lines before the last one's end, the last ends with the block."""
+    for most, overlap in ((4, 1), (7, 3), (5, 0), (3, 3)):
+        rows = spark.range(1, 40).select(F.col("id").cast("int").alias("n")).select("n", C.windows(F.lit(1), F.col("n"), ChunkConfig(most, overlap, 1)).alias("w")).collect()
+        for r in rows:
+            stride, at, wanted = (most - overlap) or most, 1, []
+            while True:
+                wanted.append((at, min(r["n"], at + most - 1)))
+                if wanted[-1][1] == r["n"]:
+                    break
+                at += stride
+            assert [tuple(w) for w in r["w"]] == wanted
+
+
 def test_hash(spark):
     rows = spark.createDataFrame([("a\r\nb",), ("",), (None,)], "content string")
     found = [r["hash64"] % (1 << 64) for r in fnv64_bulk(rows).collect()]
@@ -88,6 +140,9 @@ def index_of(spark, chunks, postings):
     return I.Index(None, spark.createDataFrame([(i, f, p, 1, 1, "") for i, f, p in chunks], "chunk_id long, file_id long, path string, start_line int, end_line int, snippet string"), spark.createDataFrame(postings, "term string, chunk_id long"), None)
 
 
+# The small indexes of the next two tests and the line ranges of test_fetch are vectors on which engines of this kind must agree.
+
+
 def test_ranking(spark):
     index = index_of(spark, [(1, 1, "a.ts"), (2, 2, "b.ts"), (3, 3, "c.ts")], [("alpha", 1), ("alpha", 2), ("beta", 2), ("beta", 3)])
     found = S.search(index, "alpha beta", TOKENS).collect()
@@ -115,13 +170,6 @@ def test_option_clamps(spark):
     assert [r["chunk_id"] for r in fetching.fetch(chunks, content, [7, 3, 1, 2, 8, 4, 5]).collect()] == [7, 3, 1, 2, 8]
 
 
-def test_numbered_ranges(spark, monkeypatch):
-    monkeypatch.setattr(I, "RANGE_ROWS", 50)
-    rows = spark.range(1000).select(F.concat(F.lit("p"), (F.col("id") % 337).cast("string")).alias("path"), F.col("id").alias("ordinal"))
-    found = I.numbered(rows, ["path", "ordinal"], "n").collect()
-    assert [r["n"] for r in sorted(found, key=lambda r: (r["path"], r["ordinal"]))] == list(range(1, 1001))
-
-
 @pytest.mark.parametrize(("content", "start", "end", "most", "got"), [("\n".join(f"line {i}" for i in range(1, 151)), 1, 150, 10, (1, 10)), ("", 1, 9, 0, (0, 0)), ("a\nb\nc\n", 0, 10, 0, (1, 3)), ("a\r\nb\r\nc\r\n", 0, 10, 0, (1, 3))])
 def test_fetch(spark, content, start, end, most, got):
     row = spark.createDataFrame([(content,)], "t string").select(fetching.fetched(F.col("t"), F.lit(start), F.lit(end), most).alias("f")).head()["f"]
@@ -166,17 +214,3 @@ def test_engine(spark, tmp_path):
     replies = [json.loads(x) for x in sink.getvalue().splitlines()]
     assert [r["ok"] for r in replies] == [False, False, False, True, True]
     assert replies[3]["data"][0]["path"] == "b.ts"
-
-
-def test_stream(spark, tmp_path):
-    source, config = tmp_path / "in", I.EngineConfig()
-    rows = lambda *r: spark.createDataFrame(r, "path string, mtime long, size long, content string")
-    rows(("a.ts", 1, 5, "alphaOne"), ("b.ts", 1, 5, "betaOne")).write.parquet(str(source))
-    files = spark.readStream.schema("path string, mtime long, size long, content string").parquet(str(source))
-    for more in (None, ("a.ts", 2, 5, "alphaTwo")):
-        if more:
-            rows(more).write.mode("append").parquet(str(source))
-        index_stream(files, config, str(tmp_path / "index"), str(tmp_path / "tokens"), str(tmp_path / "state")).awaitTermination()
-    index = I.load_index(spark, str(tmp_path / "index"))
-    assert {r["term"] for r in index.postings.collect()} >= {"alpha", "two", "beta", "one"}
-    assert index.files.count() == 2

@@ -88,9 +88,9 @@ def test_cache_record(tmp_path):
     home = str(tmp_path / "home")
     assert cache.ensure_meta(home, 7, "ts") is False
     assert cache.load_meta(home) == {"cache_version": "v2", "schema_version": SCHEMA_VERSION, "config_hash": 7, "project_type": "ts"}
-    os.mkdir(f"{home}/abc-tokens")
-    assert cache.ensure_meta(home, 7, "ts") is False and os.path.isdir(f"{home}/abc-tokens")
-    assert cache.ensure_meta(home, 8, "ts") is True and not os.path.exists(f"{home}/abc-tokens")
+    os.mkdir(f"{home}/store")
+    assert cache.ensure_meta(home, 7, "ts") is False and os.path.isdir(f"{home}/store")
+    assert cache.ensure_meta(home, 8, "ts") is True and not os.path.exists(f"{home}/store")
     cache.save_meta(home, {**cache.load_meta(home), "schema_version": SCHEMA_VERSION - 1})
     assert cache.ensure_meta(home, 8, "ts") is True and cache.load_meta(home)["schema_version"] == SCHEMA_VERSION
     with open(cache.meta_path(home), "w") as f:
