@@ -1,15 +1,15 @@
 """Line dedup by pairwise alignment.
 
-Documents overlap when they share a line that is not blank. The result is what aligning every document with every
-earlier one gives, without forming all pairs:
+A document is aligned with these earlier ones, and no others:
 
-1. Every shared line pairs a document with the first document (least doc_id) that has the line, which is linear in
-   the lines however many documents share one.
-2. A block of at least `min_chars` characters holds, around each of its lines, a smallest window of as many: the
-   shortest from a line on or back to it. Windows with lines that are still present are looked up in all documents, and their
-   document is aligned with the window's other earlier holders in ascending order (of equal texts the first), in
-   rounds of FASTER times as many, until the window is gone or has no earlier holder left. A block of blank lines only has no window and
-   goes with a pair that other lines form.
+1. the first document (least doc_id) that has one of its lines, for each line that is not blank;
+2. the first document that has one of its windows: a window is the shortest run of consecutive lines, from a line on or
+   back to it, with at least `min_chars` characters and a line that is not blank (a shorter text is one window);
+3. every earlier document that shares a rare line with it, one that at most RARE documents have.
+
+So the pairs of a document are bounded by its own lines, however many documents share one: a divider in a million pages
+makes a million pairs, all with the first page. Pairs are not made in rounds, and what one alignment deletes does not change
+another.
 
 Pairs are aligned by patience diff over line hashes; aligned blocks of consecutive lines with at least `min_chars`
 characters are deleted from the later document; a copy of the earlier document goes whole. All decisions are taken on the input texts.
@@ -31,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import deal, lookup, mix, running, stored, table
+from tessera.llm.common import Stored, deal, lookup, mix, stored, table
 
-#: So many times as many holders are tried in a round as in all before it; multiplier of the window hashes (odd).
-FASTER = 4
+#: Documents that a rare line has at most; multiplier of the window hashes (odd).
+RARE = 8
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -106,7 +106,7 @@ def removable(a: Sequence[int], b: Sequence[int], sizes: Sequence[int], min_char
 def windows(h: np.ndarray, n: np.ndarray, full: np.ndarray, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first line, last line) of the shortest windows of min_chars characters, not all blank, from and back to each line.
 
-    A text with fewer characters is one window, so that its copies meet.
+    A text with fewer characters is one window.
     """
     size = len(h)
     chars, some = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(full)])
@@ -180,11 +180,25 @@ def _values(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
 
 
-def _ranked(asked: DataFrame, holders: DataFrame) -> DataFrame:
-    """_w, _id, _x, _k, _r: a window's holders (_k 1) with their rank by id, and its askers (_k 0) with the number of holders before them."""
-    rows = holders.select("_w", "_id", "_x", F.lit(1).alias("_k")).unionByName(asked.select("_w", "_id", "_x", F.lit(0).alias("_k")).distinct())
-    dealt = rows.repartitionByRange("_w", "_id", "_k").withColumn("_b", F.spark_partition_id())
-    return running(table(dealt, "line-holders"), ["_w"], "_b", [F.col("_id"), F.col("_k"), F.col("_x")], {"_r": F.col("_k")}).select("_w", "_id", "_x", "_k", "_r")
+def _pairs(content: DataFrame, kind: str, min_chars: int) -> Stored:
+    """_id, _x, _fid, _fx: the pairs of documents (rows of content) that are aligned."""
+    hashes = F.array_distinct(F.transform(F.filter(F.arrays_zip("_h", "_full"), lambda z: z["_full"]), lambda z: z["_h"]))
+    own = content.select("_id", "_x", F.explode(hashes).alias("_key"))
+    first = lambda rows: rows.groupBy("_key").agg(F.min(F.struct("_id", "_x")).alias("_first"), F.max("_id").alias("_most"), F.count("*").alias("n")).filter("_first._id < _most")
+    lines = stored(first(own).withColumn("_holders", F.col("n")), "line-firsts")
+    met = stored(lookup(own, lines.rows, ["_key"]), "line-met")
+    places = stored(_windows(content, kind, min_chars).select("_id", "_x", F.col("_w").alias("_key")).distinct(), "line-places")
+    several = stored(first(places.rows), "line-several")
+    shared = lookup(places.rows, several.rows, ["_key"])
+    firsts = met.rows.select("_id", "_x", "_first").unionByName(shared.select("_id", "_x", "_first")).filter(F.col("_first._id") < F.col("_id"))
+    rare = met.rows.filter(F.col("_holders") <= RARE).select("_key", "_id", "_x")
+    earlier = rare.select("_key", F.col("_id").alias("_fid"), F.col("_x").alias("_fx"))
+    among = rare.join(earlier, "_key").filter("_fid < _id")  # RARE rows of a key at most
+    pairs = firsts.select("_id", "_x", F.col("_first._id").alias("_fid"), F.col("_first._x").alias("_fx")).unionByName(among.select("_id", "_x", "_fid", "_fx"))
+    out = stored(pairs.distinct(), "line-pairs")
+    for t in (lines, met, places, several):
+        t.drop()
+    return out
 
 
 def removals(docs: DataFrame, min_chars: int = 50, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -199,48 +213,14 @@ def removals(docs: DataFrame, min_chars: int = 50, text: str = "text", doc_id: s
         F.transform(lines, lambda x: F.length(x)).alias("_n"),
         F.transform(lines, lambda x: F.length(F.trim(x)) > 0).alias("_full"),
     )
-    base = table(base, "lines")
-    content = base.select("_id", "_x", "_h", "_n").dropDuplicates(["_id", "_x"])
-    hashes = F.array_distinct(F.transform(F.filter(F.arrays_zip("_h", "_full"), lambda z: z["_full"]), lambda z: z["_h"]))
-    own = base.select("_id", "_x", F.explode(hashes).alias("_line"))
-    first = stored(own.groupBy("_line").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_x")).alias("_first")).filter("n > 1"), "line-firsts")
-    met = lookup(own, first.rows, ["_line"]).filter(F.col("_first._id") < F.col("_id"))
-    tried = table(met.select("_id", "_x", F.col("_first._id").alias("_fid"), F.col("_first._x").alias("_fx")).distinct(), "line-pairs")
-    first.drop()
-    cut = table(_aligned(tried, content, kind, min_chars), "line-cuts")
-
-    places = stored(_windows(base, kind, min_chars), "line-places")
-    several = places.rows.groupBy("_w").agg(F.min("_id").alias("_least"), F.max("_id").alias("_most"), F.count("*").alias("n"))
-    several = stored(several.filter("_least < _most").drop("_most"), "line-several")
-    shared = table(lookup(places.rows, several.rows, ["_w"]), "line-windows")
-    places.drop()
-    several.drop()
-    asked = table(_present(shared.filter("_least < _id").drop("_least"), cut), "line-asked")
-    if asked.head(1):
-        holders = shared.join(asked.select("_w").distinct(), "_w", "left_semi").groupBy("_w", "_x").agg(F.min("_id").alias("_id"))
-        ranked = table(_ranked(asked, holders), "line-ranks")
-        before = ranked.filter("_k = 0").select("_w", "_id", "_x", F.col("_r").alias("_before"))
-        asked = table(asked.join(before, ["_w", "_id", "_x"]), "line-asked")
-        holders = ranked.filter("_k = 1").select("_w", F.col("_id").alias("_fid"), F.col("_x").alias("_fx"), "_r")
-        some = ranked.select("_id", "_x").distinct()
-        content = table(content.join(some, ["_id", "_x"], "left_semi"), "line-content")
-        low, high = 0, 1
-        while asked.head(1):
-            ranks = asked.select("_w", "_id", "_x", F.explode(F.sequence(F.lit(low), F.least(F.lit(high), "_before").cast("int") - 1)).alias("_r")).distinct()
-            pairs = ranks.join(holders, ["_w", "_r"]).select("_id", "_x", "_fid", "_fx").distinct()
-            pairs = table(pairs.join(tried, ["_id", "_x", "_fid", "_fx"], "left_anti"), "line-pairs")
-            tried = tried.unionByName(pairs)
-            cut = cut.unionByName(table(_aligned(pairs, content, kind, min_chars), "line-cuts"))
-            asked = table(_present(asked.filter(F.col("_before") > high), cut), "line-asked")
-            low, high = high, high * FASTER
-    return cut.groupBy("_id", "_x").agg(F.array_distinct(F.flatten(F.collect_list("_l"))).alias("_lines"), F.count("*").alias("_partners"))
-
-
-def _present(asked: DataFrame, cut: DataFrame) -> DataFrame:
-    """The windows of asked with a line that no alignment of cut deletes."""
-    gone = cut.groupBy("_id", "_x").agg(F.array_distinct(F.flatten(F.collect_list("_l"))).alias("_gone"))
-    stays = F.exists(F.sequence("_s", "_e"), lambda k: ~F.array_contains("_gone", k))
-    return asked.join(gone, ["_id", "_x"], "left").filter(F.col("_gone").isNull() | stays).drop("_gone")
+    content = stored(base.dropDuplicates(["_id", "_x"]), "lines")
+    pairs = _pairs(content.rows, kind, min_chars)
+    cut = _aligned(pairs.rows, content.rows.select("_id", "_x", "_h", "_n"), kind, min_chars)
+    gone = cut.groupBy("_id", "_x").agg(F.array_distinct(F.flatten(F.collect_list("_l"))).alias("_lines"), F.count("*").alias("_partners"))
+    out = table(gone, "line-removals")
+    content.drop()
+    pairs.drop()
+    return out
 
 
 def remove_aligned(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:

@@ -533,22 +533,30 @@ def test_clashing_names_of_lines(docs):
     assert {r["lines_total"] for r in out.collect()} >= {0, 1, 1200}
 
 
-def test_every_earlier_partner(spark):
+def test_partners_by_definition(spark):
+    from test_contracts import aligned
+
     x, y = "a first passage that has more than fifty characters in it", "another passage that has more than fifty characters too"
     rows = [(1, [x, "p", y]), (2, ["q", x, "r"]), (3, ["s", y, "t", x, "u"]), (4, ["v", x, "w", x]), (5, ["k", "l"]), (6, ["k", "m"]), (7, ["n", "l"]), (8, ["k", "l"]), (9, ["n", "l"])]
     rng = random.Random(3)
     pool = [f"{'line ' * rng.choice([1, 3, 6, 11])}{k}" for k in range(40)] + ["", "  "]
     rows += [(d, [rng.choice(pool) for _ in range(rng.randint(1, 14))]) for d in range(10, 150)]
-    wanted = {}
-    for d, own in rows:
-        near = [b for e, b in rows if e < d and set(b) & {t for t in own if t.strip()}]
-        gone = {i for b in near for i in line_align.removable(b, own, [len(t) for t in own], 50)}
-        wanted[d] = (len(gone), "\n".join(t for i, t in enumerate(own) if i not in gone))
+    wanted = {d: (n, p, text) for d, (text, n, p) in aligned([{"doc_id": d, "text": "\n".join(own)} for d, own in rows]).items()}
     df = spark.createDataFrame([(d, "\n".join(own)) for d, own in rows], "doc_id long, text string")
-    assert {r["doc_id"]: (r["lines_removed"], r["text"]) for r in line_align.remove_aligned(df).collect()} == wanted
+    assert {r["doc_id"]: (r["lines_removed"], r["aligned_with"], r["text"]) for r in line_align.remove_aligned(df).collect()} == wanted
     assert [wanted[d][0] for d in (3, 8, 9)] == [2, 2, 2]
 
 
+@pytest.mark.parametrize("documents", [100, 400])
+def test_a_common_line_makes_linear_pairs(spark, documents):
+    """A divider of 76 characters, twice in every document, pairs each with the first document only."""
+    text = lambda d: "\n".join([f"opening of {d}", "-" * 76, f"middle of {d}", "-" * 76, f"end of {d}"])
+    df = spark.createDataFrame([(d, text(d)) for d in range(documents)], "doc_id long, text string")
+    base = df.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_x"), F.split("text", "\n").alias("_l"))
+    hashed = base.select("_id", "_x", F.transform("_l", lambda x: F.xxhash64(x)).alias("_h"), F.transform("_l", lambda x: F.length(x)).alias("_n"), F.transform("_l", lambda x: F.length(x) > 0).alias("_full"))
+    assert line_align._pairs(hashed, "long", 50).rows.count() == documents - 1
+
+
 def test_nul_before_a_repeated_passage():
     passage = bytes(np.random.default_rng(5).integers(97, 123, 1000, np.uint8))
     for regions in ([b"zz", passage, b"abc\0" + passage], [b"zz", b"abc\0" + passage, passage]):
