@@ -27,19 +27,22 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import vocabulary
-from tessera.llm.common import by_key, lookup, stored, table
+from tessera.llm.common import lookup, slices, stored, table
 from tessera.llm.tokens import default_path
 
 #: Bytes of text in a part, and parts at least.
-PART_BYTES, LEAST_PARTS = 32_000_000, 6
+PART_BYTES, LEAST_PARTS = 16_000_000, 6
 #: A token in an array is its id times this much, plus its size; a link is the id of A times 2^32, plus the id of B.
 SIZES = 1 << 14
 #: Distinct pairs of ids that are broadcast; more are joined by their key.
 LISTED_PAIRS = 1_000_000
+#: Segments whose figures a task gathers at once.
+GATHERED = 200_000
 COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 #: A border between segments: a space after a character that is no space in any Unicode version.
 BORDER = "(?= )(?<=[\\p{L}\\p{M}\\p{N}\\p{P}\\p{S}])"
@@ -168,24 +171,29 @@ def _gathered(docs: DataFrame, figures: DataFrame, kind: str) -> DataFrame:
     width = len(COUNTS)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, place, texts, rows = None, {}, [], []
-        for _, part in by_key(batches, 2):
-            k = part.column("_k")[0].as_py()
-            if part.column("part")[0].as_py() != now:
-                now, place, texts, rows = part.column("part")[0].as_py(), {}, [], []
-            if not k:
-                place = {s: i for i, s in enumerate(part.column("seg").to_pylist())}
-                texts = part.column("groups").to_pylist()
-                rows = np.column_stack([part.column(c).to_numpy() for c in COUNTS])
-                continue
-            for batch in part.to_batches():
-                sums, groups = [], []
-                for segs in batch.column("segs").to_pylist():
-                    at = [place[s] for s in segs]
-                    sums.append(rows[at].sum(axis=0))
-                    groups.append(";".join([texts[i] for i in at]))
-                sums = np.array(sums).reshape(-1, width)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(sums[:, c]) for c in range(width)], pa.array(groups, pa.string())], ["doc_id", *COUNTS, "groups"])
+        now, place, texts, rows = None, {}, [], np.zeros((0, width), np.int64)
+        for batch in batches:
+            at, kind_of = batch.column("part").to_numpy(), batch.column("_k").to_numpy()
+            cuts = [0, *(np.flatnonzero((np.diff(at) != 0) | (np.diff(kind_of) != 0)) + 1).tolist(), batch.num_rows]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if i == j:
+                    continue
+                run = batch.slice(i, j - i)
+                if at[i] != now:
+                    now, place, texts, rows = at[i], {}, [], np.zeros((0, width), np.int64)
+                if not kind_of[i]:
+                    place |= {s: k for k, s in enumerate(run.column("seg").to_pylist(), len(texts))}
+                    texts += run.column("groups").to_pylist()
+                    rows = np.concatenate([rows, np.column_stack([run.column(c).to_numpy() for c in COUNTS])])
+                    continue
+                for a, b in slices(pc.list_value_length(run.column("segs")).to_pylist(), GATHERED):
+                    sums, groups = [], []
+                    for segs in run.column("segs").slice(a, b - a).to_pylist():
+                        found = [place[s] for s in segs]
+                        sums.append(rows[found].sum(axis=0))
+                        groups.append(";".join([texts[k] for k in found]))
+                    sums = np.array(sums).reshape(-1, width)
+                    yield pa.RecordBatch.from_arrays([run.column("doc_id").slice(a, b - a), *[pa.array(sums[:, c]) for c in range(width)], pa.array(groups, pa.string())], ["doc_id", *COUNTS, "groups"])
 
     return both.mapInArrow(gather, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in COUNTS) + ", groups string")
 
