@@ -14,7 +14,9 @@ percent * union, so a set of size s needs at least T(s) = ceil(percent * s / 100
    list of their short prefixes gathers around its least class; a group is the classes that meet at one such leader,
    dealt to blocks of bounded size.
 4. In a block the T-occurrence search runs on its inverted index: for the leader, then for each member found, until its
-   component is complete, then for the next member; members found leave the index. A query's lists are divided: the longest L = T / (0.0085 log2(longest) + 1) are set aside;
+   component is complete, then for the next member; members found leave the index. The index is kept by bands of sizes, since
+   a partner of about the same size needs a larger overlap T than the smallest partner. A query's lists are divided: the
+   longest L = T / (0.0085 log2(longest) + 1) are set aside;
    the short ones are merged by a heap that skips what cannot occur T - L times; the candidates are probed in the long
    lists by binary search, and those that reach the exact overlap link. Members of large groups that are not in the
    leader's component are searched in the group's other blocks too.
@@ -322,7 +324,9 @@ def t_occurrence(query: np.ndarray, keys: np.ndarray, heads: np.ndarray, lists:
     """Documents of an inverted index (sorted keys, heads of their sorted lists) that link with the query set."""
     at = np.searchsorted(keys, query)
     at = at[(at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == query)]
-    need = least_overlap(len(query), percent)
+    # a partner is not smaller than the index's least set: the overlap of two sets is percent / (100 + percent) of both sizes
+    smallest = max(int(sizes.min()), least_overlap(len(query), percent))
+    need = -(-percent * (len(query) + smallest) // (100 + percent))
     length = heads[at + 1] - heads[at]
     if len(at) < need:
         return np.zeros(0, np.int64)
@@ -349,6 +353,29 @@ def _index(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return tok[heads], np.append(heads, len(tok)), doc, sizes
 
 
+def _bands(arrays: list[np.ndarray], ids: np.ndarray) -> list[tuple[np.ndarray, tuple]]:
+    """(their ids, inverted index) of the sets of each band of sizes, which differ by a tenth at most."""
+    sizes = np.array([len(arrays[k]) for k in ids], np.int64)
+    order = np.argsort(sizes, kind="stable")
+    out, start = [], 0
+    while start < len(order):
+        end = int(np.searchsorted(sizes[order], sizes[order[start]] * 11 // 10, "right"))
+        own = np.sort(ids[order[start:end]])
+        out.append((own, _index([arrays[k] for k in own])))
+        start = end
+    return out
+
+
+def _partners(query: np.ndarray, bands: list[tuple[np.ndarray, tuple]], percent: int) -> list[int]:
+    """The ids of the sets in the bands that link with the query set."""
+    out: list[int] = []
+    for own, index in bands:
+        sizes = index[3]
+        if 100 * int(sizes.max()) >= percent * len(query) and percent * int(sizes.min()) <= 100 * len(query):
+            out += own[t_occurrence(query, *index, percent)].tolist()
+    return out
+
+
 def _trees(n: int, pairs: Iterable[tuple[int, int]]) -> tuple[list[int], list[int]]:
     """(roots, members) of the components of n things with more than one member: one link for each member but the root."""
     parent = list(range(n))
@@ -381,7 +408,7 @@ def _spanning(arrays: list[np.ndarray], percent: int) -> tuple[list[tuple[int, i
     links: list[tuple[int, int]] = []
     apart: list[int] = []
     found = np.zeros(len(arrays), bool)
-    known, index, live = np.zeros(0, np.int64), None, len(arrays)
+    indexed, bands, live = 0, None, len(arrays)
     for seed in range(len(arrays)):
         if found[seed]:
             continue
@@ -394,10 +421,9 @@ def _spanning(arrays: list[np.ndarray], percent: int) -> tuple[list[tuple[int, i
                 apart.append(k)
             if not live:
                 continue
-            if index is None or 2 * live <= len(known):
-                known = np.flatnonzero(~found)
-                index = _index([arrays[i] for i in known])
-            for m in known[t_occurrence(arrays[k], *index, percent)].tolist():
+            if bands is None or 2 * live <= indexed:
+                indexed, bands = live, _bands(arrays, np.flatnonzero(~found))
+            for m in _partners(arrays[k], bands, percent):
                 if not found[m]:
                     found[m] = True
                     live -= 1
@@ -443,8 +469,8 @@ def _group_links(members: DataFrame, percent: int, block: int) -> DataFrame:
             there = np.flatnonzero(own)
             if not len(there):
                 continue
-            index = _index([arrays[k] for k in there])
-            roots, members = _trees(len(c), ((k, int(there[m])) for k in np.flatnonzero(~own).tolist() for m in t_occurrence(arrays[k], *index, percent)))
+            bands = _bands(arrays, there)
+            roots, members = _trees(len(c), ((k, m) for k in np.flatnonzero(~own).tolist() for m in _partners(arrays[k], bands, percent)))
             yield pa.RecordBatch.from_arrays([pa.array(c[roots], pa.int64()), pa.array(c[members], pa.int64())], ["a", "b"])
 
     return links.unionByName(cells.mapInArrow(across, "a long, b long"))
