@@ -11,10 +11,10 @@
    suffixes are classified, the leftmost-smaller (LMS) substrings are sorted by two inducing sweeps and named, the
    string of names is sorted recursively, and two more sweeps induce the array from the sorted LMS suffixes. Its
    permuted common prefixes show the strings that start at two places.
+4. Of an anchor with very many different regions (a passage with other words around it in each document) no shard could hold
+   all: their strings are counted by digest instead.
 
-Sweeps run in numpy over stretches of the array whose results don't depend on each other. An anchor with very many
-different regions is split by the strings' offset to it and by the bytes they have in common, so no shard holds them
-all. Strings are judged on the input; spans overlap freely and never cross documents.
+Sweeps run in numpy over stretches of the array whose results don't depend on each other. Strings are judged on the input; spans overlap freely and never cross documents.
 
 Ids are integers. Null texts are empty, null ids are ids of their own; equal rows are two documents. An empty table gives no rows. Other
 columns are not read.
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import by_key, lookup, mix, random_words, table, text_slices
 
 GRAM = 32
-#: Bytes of a shard, regions of an anchor beyond which it is split, and offsets of a part of it.
-SHARD_BYTES, MANY, PART = 1_000_000, 1000, 64
+#: Bytes of a shard, and regions of an anchor beyond which its strings are counted by digest.
+SHARD_BYTES, MANY = 1_000_000, 1000
 #: Starts handled at once; a place must fit in 24 bits.
 PIECE = 8_000_000
 _BYTES = random_words(256, 5)
@@ -290,6 +290,17 @@ def _sharing_context(meet: DataFrame) -> DataFrame:
     return meet.join(keys.join(twice, ["h", "side"]).select("h", "digest").distinct(), ["h", "digest"], "left_semi")
 
 
+def _crowded_spans(held: DataFrame, length: int) -> DataFrame:
+    """id, x, start, end of the strings that occur twice among regions (id, x, _t, start, end) of crowded anchors.
+
+    Strings are counted by their digests, so no task gets the bytes of an anchor's regions; sums are formed before the shuffle.
+    """
+    each = F.transform(F.sequence(F.col("start"), F.col("end") - length), lambda s: F.struct(s.alias("start"), F.unhex(F.md5(F.substring(F.col("_t"), s + 1, F.lit(length)))).alias("w")))
+    strings = table(held.select("id", "x", F.explode(each).alias("s")).select("id", "x", "s.*").distinct(), "crowded-strings")
+    several = table(strings.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1"), "crowded-repeats")
+    return lookup(strings, several, ["w"]).select("id", "x", "start", (F.col("start") + length).cast("int").alias("end"))
+
+
 def repeated_spans(docs: DataFrame, length: int = 400, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """id, x (xxhash64 of the text), start, end: byte spans that cover all repeated strings; they can overlap."""
     docs = _keyed(docs, text, doc_id)
@@ -301,22 +312,15 @@ def repeated_spans(docs: DataFrame, length: int = 400, text: str = "text", doc_i
     whole = lookup(regions, known.filter("n > 1").select("h", "digest", "n"), ["h", "digest"], "n").select("id", "x", "start", F.col("upto").alias("end"))
     meet = known.filter("different > 1").select("h", "digest", "different", "r.*").drop("z")
     meet = table(_sharing_context(meet).drop("digest", "left", "right"), "meeting-regions")
-    total = meet.agg(F.sum(F.col("end") - F.col("start")).alias("s")).head()["s"] or 0
+    total = meet.filter(F.col("different") <= MANY).agg(F.sum(F.col("end") - F.col("start")).alias("s")).head()["s"] or 0
     shards = max(1, int(total) // SHARD_BYTES)
 
-    # bytes of the regions that meet others; those of a crowded anchor in parts
-    of_doc = meet.groupBy("id", "x").agg(F.collect_list(F.struct("h", "different", "start", "end", "anchor")).alias("_r"))  # a document's own regions
-    cut = _with_text(docs, of_doc, "inner").select("id", "x", F.col("_t").cast("binary").alias("_t"), F.explode("_r").alias("_r")).select("id", "x", "_t", "_r.*")
-    last_offset = F.col("anchor") - F.col("start")
-    first_offset = F.greatest(F.lit(0), F.col("anchor") - F.col("end") + length)
-    part = F.when(F.col("different") <= MANY, F.array(F.lit(-1))).otherwise(F.sequence(F.floor(first_offset / PART).cast("int"), F.floor(last_offset / PART).cast("int")))
-    cut = cut.withColumn("_p", F.explode(part))
-    low = F.when(F.col("_p") < 0, F.col("start")).otherwise(F.greatest("start", F.col("anchor") - (F.col("_p") + 1) * PART + 1))
-    high = F.when(F.col("_p") < 0, F.col("end")).otherwise(F.least("end", F.col("anchor") - F.col("_p") * PART + length))
-    core = F.when(F.col("_p") < 0, F.lit(b"")).otherwise(F.expr(f"substring(_t, anchor - _p * {PART} + 1, {length - PART + 1})"))
-    cut = cut.withColumns({"_low": low, "_high": high, "_key": F.xxhash64("h", "_p", core)})
-    cut = cut.select(F.pmod("_key", F.lit(shards)).alias("shard"), "id", "x", F.col("_low").alias("start"), F.expr("substring(_t, _low + 1, _high - _low)").alias("bytes"), "_key").dropDuplicates(["id", "x", "start", "_key"])
-    cut = cut.drop("_key").repartition("shard").sortWithinPartitions("shard")
+    # bytes of the regions that meet others
+    of_doc = meet.groupBy("id", "x").agg(F.collect_list(F.struct("h", "different", "start", "end")).alias("_r"))  # a document's own regions
+    held = _with_text(docs, of_doc, "inner").select("id", "x", F.col("_t").cast("binary").alias("_t"), F.explode("_r").alias("_r")).select("id", "x", "_t", "_r.*")
+    cut = held.filter(F.col("different") <= MANY)
+    cut = cut.select(F.pmod("h", F.lit(shards)).alias("shard"), "id", "x", "start", F.expr("substring(_t, start + 1, end - start)").alias("bytes")).dropDuplicates(["id", "x", "start"])
+    cut = cut.repartition("shard").sortWithinPartitions("shard")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_key(batches, 1):
@@ -333,7 +337,10 @@ def repeated_spans(docs: DataFrame, length: int = 400, text: str = "text", doc_i
             take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([rows.column("id").take(take).combine_chunks(), rows.column("x").take(take).combine_chunks(), pa.array(low, pa.int32()), pa.array(high, pa.int32())], ["id", "x", "start", "end"])
 
-    return whole.unionByName(cut.mapInArrow(sort, "id long, x long, start int, end int"))
+    spans = whole.unionByName(cut.mapInArrow(sort, "id long, x long, start int, end int"))
+    if not meet.filter(F.col("different") > MANY).head(1):
+        return spans
+    return spans.unionByName(_crowded_spans(held.filter(F.col("different") > MANY), length))
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
