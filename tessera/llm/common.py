@@ -76,7 +76,8 @@ def lookup(rows: DataFrame, values: DataFrame, keys: Sequence[str], n: str = "n"
     """rows joined with the one row that values has for their keys, however many rows share a key.
 
     The column n of values, which goes, says how many rows have the key; hot ones are dealt to parts. values is read up
-    to three times: a stored table or a small one.
+    to three times: a stored table or a small one. A null key meets nothing, as in any join: callers split such rows off or
+    use keys that are never null.
     """
     marked, spread = deal(rows, values.drop(n), keys, values, n)
     return marked.join(spread, [*keys, "_part"], how).drop("_part")

@@ -59,12 +59,13 @@ def length_histogram(docs: DataFrame, text: str = "text", tokenizer: str | None
 
 
 def at_limits(hist: DataFrame, limits: Iterable[int]) -> DataFrame:
-    """context_limit, truncated_tokens, docs_cut (documents longer than the limit) for each stated limit."""
-    rows = [hist.agg(
+    """context_limit, truncated_tokens, docs_cut (documents longer than the limit) for each stated limit; no limits give no rows."""
+    none = hist.sparkSession.createDataFrame([], "context_limit long, truncated_tokens long, docs_cut long")
+    rows = [none, *(hist.agg(
         F.lit(int(n)).cast("long").alias("context_limit"),
         F.coalesce(F.sum(F.least("length", F.lit(n)) * F.col("n_docs")), F.lit(0)).alias("truncated_tokens"),
         F.coalesce(F.sum(F.when(F.col("length") > n, F.col("n_docs"))), F.lit(0)).alias("docs_cut"),
-    ) for n in limits]
+    ) for n in limits)]
     out = rows[0]
     for r in rows[1:]:
         out = out.union(r)
@@ -72,10 +73,10 @@ def at_limits(hist: DataFrame, limits: Iterable[int]) -> DataFrame:
 
 
 def quantiles(hist: DataFrame, probs: Iterable[float]) -> DataFrame:
-    """prob, length: the least length that at least ceil(prob * documents) documents don't exceed."""
-    out = None
+    """prob, length: the least length that at least ceil(prob * documents) documents don't exceed; no probabilities give no rows."""
+    out = hist.sparkSession.createDataFrame([], "prob double, length long")
     for p in probs:
         need = F.ceil(F.lit(float(p)) * (F.col("docs_below") + F.col("docs_at_least")))
         row = hist.filter(F.col("docs_below") + F.col("n_docs") >= need).agg(F.lit(float(p)).alias("prob"), F.min("length").alias("length"))
-        out = row if out is None else out.union(row)
+        out = out.union(row)
     return out

@@ -73,7 +73,7 @@ def _apart(points: np.ndarray, most: int, close: float = 0.7) -> np.ndarray:
 
 
 def near_vectors(rows: DataFrame, threshold: float = 0.93, nearest: int = 8, shared: int = 2, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", block: int = BLOCK) -> DataFrame:
-    """vec_id, n_links, component_id, kept: one row per row of the input."""
+    """vec_id, n_links, component_id, kept: one row per row of the input. A null vec_id has a null component_id and kept."""
     single = rows.schema[embedding].dataType.simpleString() == "array<float>"  # floats travel as they are, the cosine is taken in double precision
     v = F.col("_v")
     base = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<float>" if single else "array<double>").alias("_v"), F.xxhash64(F.col(label).cast("string")).alias("_label"), F.col(label).isNotNull().alias("_has"))

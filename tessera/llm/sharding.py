@@ -16,6 +16,8 @@ documents of their own. An empty table gives no rows. Other columns are not read
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -129,7 +131,7 @@ def _settle(moving: DataFrame, rows: int, n_shards: int, max_rounds: int, few: i
     """Lots (_g, shard, n) that hold all linked documents within the shards' capacities, from labels of the same form."""
     free = capacities(rows, n_shards)
     done = []
-    for k in range(max_rounds):
+    for k in count():
         room, most = _longs(free), max(free)
         votes = moving.groupBy("_g").agg(F.collect_list(F.struct("n", (-F.col("shard")).alias("s"))).alias("v"), F.sum("n").alias("m"))  # at most n_shards each
         votes = votes.withColumn("need", F.least(F.col("m"), F.lit(most)))
@@ -142,7 +144,7 @@ def _settle(moving: DataFrame, rows: int, n_shards: int, max_rounds: int, few: i
             break
         until, left = _admitted(wanted, free)
         got = F.when(F.col("_p") < F.get(_longs(until), F.col("shard")), F.col("need")).otherwise(F.lit(0))
-        if left == free:  # not even a first class fits: group by group
+        if left == free or k >= max_rounds:  # not even a first class fits, or it takes long: group by group, which places a group at least
             asked = running(asked.withColumn("_h", F.xxhash64("_g")), ["shard"], "_p", [F.desc("m"), F.col("_h"), F.col("_g")], {"_before": F.col("need")})
             got = F.when(F.col("_before") + F.col("need") <= F.get(room, F.col("shard")), F.col("need")).otherwise(F.lit(0))
             asked = table(asked.withColumn("got", got).coalesce(few), "shard-moves")
@@ -154,8 +156,6 @@ def _settle(moving: DataFrame, rows: int, n_shards: int, max_rounds: int, few: i
         done.append(asked.filter(got > 0).select("_g", "shard", got.alias("n")))
         # what a group could not place keeps the label it asked for
         moving = asked.filter(F.col("m") > got).select("_g", "shard", (F.col("m") - got).alias("n"))
-    else:
-        raise RuntimeError("label propagation did not settle")
     if not done:
         return moving
     settled = done[0]

@@ -490,6 +490,7 @@ def test_histogram(docs, none):
     for r in histogram.at_limits(hist, [0, 5, 1000, 10**6]).collect():
         assert r["truncated_tokens"] == np.minimum(lengths, r["context_limit"]).sum()
         assert r["docs_cut"] == (lengths > r["context_limit"]).sum()
+    assert histogram.at_limits(hist, []).count() == 0 == histogram.quantiles(hist, []).count()
     found = {r["prob"]: r["length"] for r in histogram.quantiles(hist, [0.5, 1.0]).collect()}
     assert found == {0.5: sorted(lengths)[-(-len(lengths) // 2) - 1], 1.0: lengths.max()}
     assert histogram.length_histogram(none).count() == 0
@@ -579,7 +580,12 @@ def test_pipeline_stages(spark, docs, none, labels, tmp_path, empty):
     for name, stage in P.STAGES[:-1]:
         out = stage(spark, given, str(tmp_path))
         assert out.columns == list(P.COLUMNS), name
-        assert (out.count() == 0) if empty else out.count() >= 0
+        rows = ids(out)
+        assert not rows if empty else rows and set(rows) <= set(EVERY), name
+        if name == "quality_filter" and not empty:
+            assert rows == EVERY
+        if name in ("line_dedup", "near_dedup") and not empty:
+            assert rows[None] == 2 and rows[4] == rows[8] == rows[9] == 1 and rows[5] + rows[6] < 4
     result = P.run(spark, str(tmp_path))
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(result.columns)
     assert (result.count() == 0) == empty
