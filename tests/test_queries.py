@@ -7,6 +7,7 @@ import sys
 import pytest
 
 from tessera import queries
+from tessera.operators import ranges
 
 SQL = queries.oracle_sql()
 
@@ -49,3 +50,16 @@ def test_broken_operators_are_an_error(tmp_path):
             f.write("import no_such_module_at_all\n" if name == "queries.py" else "")
     done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
     assert done.returncode and "no_such_module_at_all" in done.stderr
+
+
+def test_a_rewritten_table_gets_a_new_index(spark, tmp_path):
+    """The index queries answer from the table as it is, also when a file is replaced under its name or the index is gone."""
+    write = lambda *texts: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    terms = lambda: {r["term"] for r in queries.queries()["term_df"](spark, str(tmp_path)).collect()}
+    write("alpha beta", "gamma")
+    first = terms()
+    write("omega sigma", "zeta", "theta")
+    assert {"alpha", "beta", "gamma"} <= first and {"omega", "sigma", "zeta", "theta"} <= terms() and not {"alpha", "gamma"} & terms()
+    key = queries._input(spark, str(tmp_path))
+    ranges.delete(spark, queries._WRITTEN[key])
+    assert "omega" in terms()
