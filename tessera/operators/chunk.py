@@ -123,13 +123,15 @@ def blocks(lines: DataFrame) -> DataFrame:
     return found.select("path", F.col("line").alias("start"), F.coalesce(F.lead("line").over(order) - 1, "_n").alias("end"))
 
 
-def chunked_lines(lines: DataFrame, config: ChunkConfig, *first: str) -> DataFrame:
+def chunked_lines(lines: DataFrame, config: ChunkConfig, *first: str, each: tuple[str, ...] = ()) -> DataFrame:
     """path, lines (array), chunks (array of (start, end)) of each file, made from its lines in one shuffle.
 
-    first: columns that the first line of each file carries and that the file gets.
+    first: columns that the first line of each file carries and that the file gets; each: columns of lines that the file gets as arrays.
     """
-    per = declared(lines).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", "text", "begins"))).alias("_l"), *[F.max(c).alias(c) for c in first])  # a file's own lines
+    per = declared(lines).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", "text", "begins", *each))).alias("_l"), *[F.max(c).alias(c) for c in first])  # a file's own lines
     starts = F.transform(F.filter("_l", lambda x: x["begins"]), lambda x: x["line"])
+    first = (*first, *each)
+    per = per.withColumns({c: F.transform("_l", lambda x: x[c]) for c in each})  # noqa: B023
     per = per.select("path", *first, F.transform("_l", lambda x: x["text"]).alias("lines"), starts.alias("_s"))
     end = lambda i: F.coalesce(F.get(F.col("_s"), i + 1) - 1, F.size("lines"))
     found = F.transform("_s", lambda s, i: F.struct(s.alias("start"), end(i).alias("end")))

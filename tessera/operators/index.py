@@ -15,6 +15,7 @@ from tessera.functions.text import normalize_newlines, path_tokens, snippet, spl
 from tessera.operators.blocks import document_frequency, packed, unpacked
 from tessera.operators.chunk import chunked_lines
 from tessera.operators.hashing import fnv64_bulk
+from tessera.operators.literals import without_literals
 from tessera.operators.ranges import Saved, delete, numbered, prefix_sums
 from tessera.sources import store
 
@@ -36,10 +37,12 @@ def tokenized(files: DataFrame, config: EngineConfig, content: str = "content")
     hashed where they are read (unless files has hash64 already) and then shuffled once, as lines.
     """
     hashed = files if "hash64" in files.columns else fnv64_bulk(files.select("path", "mtime", "size", content), content)
-    lines = hashed.select("path", F.struct("mtime", "size", "hash64").alias("_f"), F.posexplode(split_lines(normalize_newlines(F.col(content)))).alias("_p", "text"))
-    lines = lines.select("path", (F.col("_p") + 1).alias("line"), "text", F.when(F.col("_p") == 0, F.col("_f")).alias("_f"))
-    per = chunked_lines(lines, config.chunk, "_f")
-    per = per.withColumn("_code", F.col("lines") if config.token.string_literals else split_lines(_keep_lines(F.array_join("lines", "\n"))))
+    lines = hashed.select("path", F.struct("mtime", "size", "hash64").alias("_file"), F.posexplode(split_lines(normalize_newlines(F.col(content)))).alias("_p", "text"))
+    lines = lines.select("path", (F.col("_p") + 1).alias("line"), "text", F.when(F.col("_p") == 0, F.col("_file")).alias("_file"))
+    if config.token.string_literals:
+        per = chunked_lines(lines, config.chunk, "_file").withColumn("_code", F.col("lines"))
+    else:
+        per = chunked_lines(without_literals(lines), config.chunk, "_file", each=("code",)).withColumnRenamed("code", "_code")
     per = per.withColumn("_own", path_tokens(F.col("path"), config.token))
 
     def described(c: Column) -> Column:
@@ -48,23 +51,13 @@ def tokenized(files: DataFrame, config: EngineConfig, content: str = "content")
         tokens = F.array_sort(F.array_union(text_tokens(text, _literal_free(config)), F.col("_own")))
         return F.struct(c["start"].alias("start_line"), c["end"].alias("end_line"), snippet(F.col("lines"), c["start"], c["end"], config.max_snippet_bytes).alias("snippet"), tokens.alias("tokens"))
 
-    return per.select("path", "_f.mtime", "_f.size", "_f.hash64", F.transform("chunks", described).alias("chunks"))
+    return per.select("path", "_file.mtime", "_file.size", "_file.hash64", F.transform("chunks", described).alias("chunks"))
 
 
 def _literal_free(config: EngineConfig):
     return replace(config.token, string_literals=True)  # literals are gone already where they must not count
 
 
-def _keep_lines(text: Column) -> Column:
-    """Text without string literals, with as many lines as before."""
-    parts = F.regexp_extract_all(text, F.lit(_TOKEN_OR_LITERAL), F.lit(0))
-    blanked = F.transform(parts, lambda p: F.when(p.rlike("^['\"`]"), F.concat(F.lit(" "), F.regexp_replace(p, "[^\n]", ""))).otherwise(p))
-    return F.array_join(blanked, "")
-
-
-_TOKEN_OR_LITERAL = "(?s)" + "|".join(f"{q}[^{q}\\\\]*+(?:\\\\.[^{q}\\\\]*+)*+(?:{q}|\\\\?\\z)" for q in ("'", '"', "`")) + "|[^'\"`]++"
-
-
 def assemble(tokens: DataFrame) -> Index:
     """Ids by path, chunks by path and ordinal, and postings. tokens is read twice: a saved table."""
     rows = tokens.select("path", "mtime", "size", "hash64", F.size("chunks").alias("_n"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import fixtures
-from tessera.config import ALLOW_SHORT, INCLUDE_EXT, INDEX_DIR, STOP_WORDS, STRIP_EXTS, STRIP_SUFFIXES, ChunkConfig, EngineConfig, TokenConfig, typescript_tokens
+from tessera.config import ALLOW_SHORT, INCLUDE_EXT, INDEX_DIR, STOP_WORDS, STRIP_EXTS, STRIP_SUFFIXES, ChunkConfig, EngineConfig, typescript_tokens
 from tessera.functions import text as T
 from tessera.operators import blocks as B
 from tessera.operators import chunk as C

@@ -2,6 +2,7 @@
 
 import json
 import os
+import re
 from random import Random
 
 import pytest
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from tessera.config import EngineConfig, TokenConfig
 from tessera.engine import Engine
 from tessera.operators import blocks as B
+from tessera.operators import chunk as C
 from tessera.operators import index as I
+from tessera.operators import literals as L
 from tessera.operators import ranges as R
 from tessera.operators import search as S
 from tessera.sources import scan, store
@@ -255,3 +258,21 @@ def test_stream(spark, tmp_path):
     index = I.load_index(spark, str(tmp_path / "index"))
     found = {r["term"] for r in index.terms.collect()}
     assert index.files.count() == 23 and {"fresh", "turn"} <= found and "ax" not in found
+
+
+def test_literals_line_by_line(spark, monkeypatch):
+    """Lines without literals equal the whole file's text without them, whatever spans lines; blocks of lines are crossed."""
+    monkeypatch.setattr(L, "BLOCK", 3)
+    random, files = Random(8), []
+    for i in range(60):
+        bits = ["'", '"', "`", "\\", "\n", "word", " ", "x\n", "\\\n"]
+        files.append((f"{i}.ts", "".join(random.choices(bits, (2, 2, 2, 2, 6, 8, 4, 4, 1), k=random.randint(0, 120)))))
+    df = spark.createDataFrame([*files, ("none.ts", "")], "path string, content string")
+    found = {}
+    for r in L.without_literals(C.lines_of(df)).collect():
+        found.setdefault(r["path"], {})[r["line"]] = r["code"]
+    literal = re.compile("(?s)" + "|".join(f"{q}(?:[^{q}\\\\]|\\\\.)*(?:{q}|\\\\?\\Z)" for q in "'\"`"))
+    for path, content in files:
+        wanted = literal.sub(lambda m: " " + re.sub("[^\n]", "", m.group()), content).split("\n")
+        assert [found[path][k + 1] for k in range(len(wanted))] == wanted, content
+    assert found["none.ts"] == {1: ""}
