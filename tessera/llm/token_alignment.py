@@ -9,7 +9,7 @@ number, punctuation or symbol), and each distinct segment is encoded and aligned
    tokens are the nearest that end there or later. No group's tokens are paired with each other.
 4. Links weigh as often as their segment occurs; counts of id pairs and their maximum by B id follow by grouping.
 
-Documents then gather their segments' figures. They are dealt to parts of some megabytes; a part's distinct segments meet
+Documents then gather their segments' figures. They are dealt to parts of some tens of megabytes; a part's distinct segments meet
 the table of segments, and its documents meet only their part's segments, so neither an occurrence nor a text is shuffled
 more than once, and no key holds many rows.
 
@@ -36,7 +36,7 @@ from tessera.llm.common import lookup, slices, stored, table
 from tessera.llm.tokens import default_path
 
 #: Bytes of text in a part, and parts at least.
-PART_BYTES, LEAST_PARTS = 32_000_000, 6
+PART_BYTES, LEAST_PARTS = 64_000_000, 6
 #: A token in an array is its id times this much, plus its size; a link is the id of A times 2^32, plus the id of B.
 SIZES = 1 << 14
 #: Distinct pairs of ids that are broadcast; more are joined by their key.
