@@ -109,7 +109,7 @@ def _round(nodes: DataFrame, level: int, depth: int, arity: int, carried: Sequen
 
 
 def grow(nodes: DataFrame, largest: int, arity: int = 2, carried: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, list[Stored]]:
-    """(nodes with path, roots, tables to drop): the trees over nodes (g, size, place from 0, digest), the largest of `largest` nodes.
+    """(nodes with path, roots, tables that both are read from): the trees over nodes (g, size, place from 0, digest), the largest of `largest` nodes.
 
     path holds for each level the siblings' digests before and after the node, joined; roots has g, size and root.
     """
@@ -143,14 +143,19 @@ def manifest(leaves: DataFrame, arity: int = 2) -> DataFrame:
     nodes = lookup(placed, sizes.rows, ["g"]).withColumnRenamed("leaf", "digest").withColumn("place", F.col("place").cast("long"))
     largest = sizes.rows.agg(F.coalesce(F.max("size"), F.lit(0))).head()[0]
     rows, roots, _ = grow(nodes, largest, arity, carried)
+    ranged.drop()
+    sizes.drop()
     ranked = roots.repartitionByRange("g").withColumn("_b", F.spark_partition_id())
     ranked = stored(ranked, "merkle-roots")
     groups = ranked.rows.count()
     tops = running(ranked.rows.withColumn("_all", F.lit("")), ["_all"], "_b", [F.col("g")], {"place": F.lit(1)})
     tops = tops.select(F.lit("").alias("g"), F.lit(groups).cast("long").alias("size"), F.col("place").cast("long").alias("place"), F.col("root").alias("digest"), F.col("g").alias("_g"), F.col("size").alias("n"))
-    above, root, _ = grow(tops, groups, arity, ["_g", "n"])
+    above, root, used = grow(tops, groups, arity, ["_g", "n"])
+    ranked.drop()
     above = above.select(F.col("_g").alias("g"), "n", F.col("digest").alias("subroot"), F.col("path").alias("_above"))
     above = stored(above.crossJoin(F.broadcast(root.select("root"))), "merkle-tops")  # one row
+    for t in used:
+        t.drop()
     out = lookup(rows.withColumnRenamed("digest", "leaf"), above.rows, ["g"])
     return out.select(*leaves.columns, "subroot", "root", F.concat("path", "_above").alias("path"))
 

@@ -240,3 +240,45 @@ def test_templates_are_no_work():
     wanted = {(i, j) for i in range(300) for j in range(i) if near(mixed[i], mixed[j])}
     found = {(max(i, m), min(i, m)) for i in range(300) for m in shingle_join._partners(mixed[i], shingle_join._bands(mixed, np.arange(300)), 75) if m != i}
     assert found == wanted and wanted
+
+
+def plain_statistics(text):
+    """The classifier's statistics of one text, one by one."""
+    raw = text.encode()
+    low = bytes(b + 32 if 65 <= b <= 90 else b for b in raw)
+    split = lambda data, marks: [w for w in bytes(32 if b in marks else b for b in data).split(b" ") if w]
+    words, own = split(low, b" \t\n\x0b\x0c\r"), split(raw, b" \t\n\x0b\x0c\r")
+    lines = [x for x in low.split(b"\n") if x]
+    n, some, at_least = len(words), max(len(raw), 1), max(len(words), 1)
+    letter = lambda b: 65 <= b <= 90 or 97 <= b <= 122 or b >= 128
+    sign = lambda b: not letter(b) and not 48 <= b <= 57
+    sizes = [len(w) for w in words]
+    mean = sum(sizes) / at_least
+    triples = [tuple(words[i : i + 3]) for i in range(n - 2)] or ([tuple(words)] if words else [])
+    shout = [sum(65 <= b <= 90 for b in w) for w in own]
+    signs = [sum(map(sign, w)) for w in own]
+    share = lambda marks: sum(marks) / at_least
+    count = lambda keep: sum(map(keep, raw)) / some
+    return [
+        np.log1p(len(raw)), np.log1p(n), np.log1p(len(lines)), mean,
+        max(sum(s * s for s in sizes) / at_least - mean * mean, 0) ** 0.5,
+        len(raw) / max(len(lines), 1), n / max(len(lines), 1),
+        count(lambda b: 65 <= b <= 90), count(lambda b: 97 <= b <= 122), count(lambda b: 48 <= b <= 57),
+        count(lambda b: b >= 128), count(lambda b: b in b" \t\n\x0b\x0c\r"), count(lambda b: b == 10),
+        len(set(words)) / at_least, len(set(triples)) / max(len(triples), 1), len(set(lines)) / max(len(lines), 1),
+        share(s <= 3 for s in sizes), share(s >= 12 for s in sizes), share(u >= max(s - 2, 1) for u, s in zip(shout, sizes, strict=True)),
+        share(k >= 2 for k in signs), share(k == s for k, s in zip(signs, sizes, strict=True)),
+        share(65 <= w[0] <= 90 for w in own), share(not letter(w[-1]) for w in own), 0.0,
+        sum(b in b".!?" for b in raw) / at_least, max(Counter(raw).values(), default=0) / some,
+        *[raw.count(bytes([c])) / some for c in b".,!?|*$%&#;:-_/()<>{}[]=+@~^\"'\\`"],
+    ]
+
+
+def test_statistics_against_plain_python():
+    from tessera.llm import quality
+
+    texts = ["", "   \n\n", "One", "one two", "The QUICK brown fox!! the quick\nbrown fox.\n\nThe quick brown", "été 12,5 % ÉTÉ\t$$$ <b> {x}", "a\x0bb\x0cc\r\nd", "$%& *** ... supercalifragilistic ABC-def", "x" * 500, *drawn(9, 60)]
+    coded = [t.encode() for t in texts]
+    found = quality.statistics(np.frombuffer(b"".join(coded), np.uint8), np.cumsum([0, *map(len, coded)]))
+    wanted = np.array([plain_statistics(t) for t in texts])
+    assert found.shape == wanted.shape and np.allclose(found, wanted)
