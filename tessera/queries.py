@@ -464,9 +464,18 @@ def file_tokens(spark, sf_dir):
     return rows.select("path", F.posexplode("chunks").alias("ordinal", "c")).select("path", "ordinal", F.array_join("c.tokens", " ").alias("tokens"))
 
 
-@_register("content_hashes")
+def _sql_fnv(text: str) -> str:
+    """FNV-1a of a text's bytes as a fold, as an unsigned number."""
+    steps = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::INT::HUGEINT)"
+    return f"list_reduce([14695981039346656037::HUGEINT] || {steps}, lambda h, b: xor(h, b) * 1099511628211::HUGEINT % 18446744073709551616::HUGEINT)"
+
+
+_SIGNED = "(CASE WHEN {0} > 9223372036854775807 THEN {0} - 18446744073709551616::HUGEINT ELSE {0} END)::BIGINT"
+
+
+@_register("content_hashes", f"WITH h AS (SELECT path, {_sql_fnv(_NL)} AS n, {_sql_fnv('content')} AS r FROM ({_CODE})) SELECT path, {_SIGNED.format('n')} AS normalised, {_SIGNED.format('r')} AS raw FROM h")
 def content_hashes(spark, sf_dir):
-    """FNV-1a of the contents, with normalised newlines and of the bytes as they are (SQL would take a step for each byte)."""
+    """FNV-1a of the contents, with normalised newlines and of the bytes as they are."""
     plain = fnv64_bulk(_code(spark, sf_dir).select("path", "content")).withColumnRenamed("hash64", "normalised")
     return fnv64_bulk(plain, normalize=False).select("path", "normalised", F.col("hash64").alias("raw"))
 
