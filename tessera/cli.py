@@ -51,25 +51,28 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
     from tessera.streaming.serve import serve
 
     root = git_top(args.root) if is_repo(args.root) else os.path.abspath(args.root)
-    engine = Engine(spark, root)
     command = args.index_command if args.command == "index" else args.command
-    if command == "init":
-        engine.init(args.force)
-    elif command == "status":
-        out = engine.status()
-        print(json.dumps(out) if args.json else "\n".join(f"{k}: {v}" for k, v in out.items()))
-    elif command == "sync":
-        print(json.dumps(engine.sync(args.full)))
-    elif command == "search":
-        q = args.q_flag or args.q
-        if not q or not q.strip():
-            print("search needs a query", file=sys.stderr)
-            return 2
-        print(json.dumps(engine.search(q, args.top_k)))
-    elif command == "fetch":
-        print(json.dumps(engine.fetch(args.ids, args.max_lines)))
-    else:
-        serve(engine, sys.stdin.buffer, sys.stdout.buffer)
+    engine = Engine(spark, root, served=command == "serve")
+    try:
+        if command == "init":
+            engine.init(args.force)
+        elif command == "status":
+            out = engine.status()
+            print(json.dumps(out) if args.json else "\n".join(f"{k}: {v}" for k, v in out.items()))
+        elif command == "sync":
+            print(json.dumps(engine.sync(args.full)))
+        elif command == "search":
+            q = args.q_flag or args.q
+            if not q or not q.strip():
+                print("search needs a query", file=sys.stderr)
+                return 2
+            print(json.dumps(engine.search(q, args.top_k)))
+        elif command == "fetch":
+            print(json.dumps(engine.fetch(args.ids, args.max_lines)))
+        else:
+            serve(engine, sys.stdin.buffer, sys.stdout.buffer)
+    finally:
+        engine.close()
     return 0
 
 

@@ -171,6 +171,10 @@ class Engine:
             raise FileNotFoundError("index not found; run sync")
         if self._index is None or self._index[0] != meta["version"]:
             lease = store.lease(self.spark, self.home, meta["version"])
+            while not store.exists(self.spark, meta["version"]):  # it went before the lease was there
+                store.release(self.spark, lease)
+                meta = self._meta()
+                lease = store.lease(self.spark, self.home, meta["version"])
             self.close()
             self._lease = lease
             self._index = (meta["version"], load_version(self.spark, meta["version"]), meta["chunk_count"])
