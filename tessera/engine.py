@@ -137,13 +137,13 @@ class Engine:
         unchanged = (F.col("mtime") == F.col("_m")) & (F.col("size") == F.col("_s"))
         doubtful = scan.paths_frame(self.spark, self._changed_paths(status))
         same = listing.join(known, "path").filter(unchanged).join(doubtful, "path", "left_anti").select("path")
-        read = fnv64_bulk(scan.decoded(scan.with_contents(listing.join(same, "path", "left_anti"), self.root), "_text"), "_text")
+        read = fnv64_bulk(scan.with_contents(listing.join(same, "path", "left_anti"), self.root))
         read = saved(read.join(known.select("path", "_h"), "path", "left"), "read")
         text = read.rows.filter(~looks_binary(F.col("content")))
         other = read.rows.filter(looks_binary(F.col("content"))).select("path", "mtime", "size", "hash64", F.lit(None).cast("string").alias("chunks"))
         hit = text.filter(F.col("hash64") == F.col("_h")).select("path", "mtime", "size", "hash64")
         kept = hit.join(entries.entries().select("path", "chunks"), "path")
-        fresh = tokenized(text.filter(~F.col("hash64").eqNullSafe(F.col("_h"))).select("path", "mtime", "size", "hash64", F.col("_text").alias("content")), replace(config, token=rules.token))
+        fresh = tokenized(text.filter(~F.col("hash64").eqNullSafe(F.col("_h"))).select("path", "mtime", "size", "hash64", F.col("content").cast("string").alias("content")), replace(config, token=rules.token))
         changed = kept.unionByName(fresh).unionByName(other.withColumn("chunks", F.lit(None).cast(kept.schema["chunks"].dataType)))
         written = entries.apply(changed, known.select("path").join(listing, "path", "left_anti"))
         read.drop()

@@ -39,10 +39,6 @@ def apply_filters(files: DataFrame, config: EngineConfig, rules: EffectiveRules,
     return kept.filter(~looks_binary(F.col("content"))) if sniff and "content" in files.columns else kept
 
 
-def decoded(files: DataFrame, name: str = "content") -> DataFrame:
-    return files.withColumn(name, F.col("content").cast("string"))
-
-
 def project_facts(paths: DataFrame) -> DataFrame:
     """has_package_json, is_typescript of a listing."""
     top = F.col("path").isin("tsconfig.json")

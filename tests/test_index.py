@@ -200,7 +200,7 @@ def test_incremental_sync(spark, tmp_path):
     for i in range(200):
         (root / f"d{i % 7}").mkdir(parents=True, exist_ok=True)
         (root / f"d{i % 7}/f{i}.ts").write_text(f"export const value{chr(97 + i % 26)}x = {i};\n")
-    (root / "binary.ts").write_bytes(b"a\0b")
+    (root / "binary.ts").write_bytes(b"\xff\xfea\0b")
     engine = Engine(spark, str(root))
     engine.init()
     assert engine.sync()["entries_written"] == 201
