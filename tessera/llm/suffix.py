@@ -27,14 +27,17 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import by_key, lookup, mix, random_words, table, text_slices
+from tessera.llm.common import by_key, lookup, mix, random_words, slices, table, text_slices
 
 GRAM = 32
 #: Bytes of a shard, and regions of an anchor beyond which its strings are counted by digest.
 SHARD_BYTES, MANY = 1_000_000, 1000
+#: Digests that a bucket of crowded anchors' strings aims at.
+STRINGS = 500_000
 #: Starts handled at once; a place must fit in 24 bits.
 PIECE = 8_000_000
 _BYTES = random_words(256, 5)
@@ -291,14 +294,71 @@ def _sharing_context(meet: DataFrame) -> DataFrame:
 
 
 def _crowded_spans(held: DataFrame, length: int) -> DataFrame:
-    """id, x, start, end of the strings that occur twice among regions (id, x, _t, start, end) of crowded anchors.
+    """id, x, start, end: spans of the strings that occur twice among regions (id, x, _t, start, end) of crowded anchors.
 
-    Strings are counted by their digests, so no task gets the bytes of an anchor's regions; sums are formed before the shuffle.
+    Strings are counted by 128-bit digests. A flock of regions sends each of its digests once to a bucket of the digest
+    space, the bucket tells the flocks which of theirs occur twice; neither gets the bytes of an anchor's regions.
     """
-    each = F.transform(F.sequence(F.col("start"), F.col("end") - length), lambda s: F.struct(s.alias("start"), F.unhex(F.md5(F.substring(F.col("_t"), s + 1, F.lit(length)))).alias("w")))
-    strings = table(held.select("id", "x", F.explode(each).alias("s")).select("id", "x", "s.*").distinct(), "crowded-strings")
-    several = table(strings.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1"), "crowded-repeats")
-    return lookup(strings, several, ["w"]).select("id", "x", "start", (F.col("start") + length).cast("int").alias("end"))
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flock, n = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            texts, start, end = batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            for i, j in slices([e - s for s, e in zip(start, end, strict=True)]):
+                found = [b"".join(xxhash.xxh3_128_digest(view[k : k + length]) for k in range(s, e - length + 1)) for view, s, e in zip(map(memoryview, texts[i:j]), start[i:j], end[i:j], strict=True)]
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([pa.array([flock + n] * (j - i), pa.int64()), part.column(0), part.column(1), part.column(3), pa.array(found, pa.binary())], ["f", "id", "x", "start", "w"])
+                n += 1
+
+    coded = table(held.select("id", "x", "_t", "start", "end").mapInArrow(code, "f long, id long, x long, start int, w binary"), "crowded-strings")
+    total = coded.agg(F.coalesce(F.sum(F.octet_length("w").cast("long")), F.lit(0)).alias("n")).head()["n"] // 16
+    buckets = max(16, int(total // STRINGS))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (flock,), rows in by_key(batches, 1):
+            w, n = np.unique(np.frombuffer(b"".join(rows.column("w").to_pylist()), "S16"), return_counts=True)
+            bucket = (w.view("<u8")[::2] % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            w, n, bucket = w[order], n[order], bucket[order]
+            cuts = [*np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist(), len(bucket)]
+            spans = list(zip(cuts, cuts[1:], strict=False))
+            yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a]) for a, _ in spans], pa.int32()), pa.array([flock] * len(spans), pa.int64()), pa.array([w[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([(n[a:b] > 1).tobytes() for a, b in spans], pa.binary())], ["bucket", "f", "w", "twice"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in by_key(batches, 1):
+            own = [np.frombuffer(v, "S16") for v in rows.column("w").to_pylist()]
+            every = np.concatenate(own)
+            _, place, n = np.unique(every, return_inverse=True, return_counts=True)
+            twice = np.frombuffer(b"".join(rows.column("twice").to_pylist()), bool)
+            again = (n > 1) | (np.bincount(place, twice, len(n)) > 0)
+            hit = np.split(again[place], np.cumsum([len(x) for x in own])[:-1])
+            yield pa.RecordBatch.from_arrays([rows.column("f").combine_chunks(), pa.array([x[h].tobytes() for x, h in zip(own, hit, strict=True)], pa.binary())], ["f", "w"])
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in by_key(batches, 1):
+            told = rows.column("x").is_null()
+            known = np.frombuffer(b"".join(rows.filter(told).column("w").to_pylist()), "S16")
+            regions = rows.filter(rows.column("x").is_valid())
+            own = [np.frombuffer(v, "S16") for v in regions.column("w").to_pylist()]
+            if not own or not len(known):
+                continue
+            hits = np.split(np.isin(np.concatenate(own), known), np.cumsum([len(x) for x in own])[:-1])
+            row, low, high = [], [], []
+            for k, (first, hit) in enumerate(zip(regions.column("start").to_pylist(), hits, strict=True)):
+                found = np.flatnonzero(hit)
+                if len(found):
+                    gap = np.flatnonzero(np.diff(found) > 1)
+                    row += [k] * (len(gap) + 1)
+                    low += (first + found[np.append(0, gap + 1)]).tolist()
+                    high += (first + found[np.append(gap, len(found) - 1)] + length).tolist()
+            take = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([regions.column("id").take(take).combine_chunks(), regions.column("x").take(take).combine_chunks(), pa.array(low, pa.int32()), pa.array(high, pa.int32())], ["id", "x", "start", "end"])
+
+    sent = coded.select("f", "w").mapInArrow(send, "bucket int, f long, w binary, twice binary")
+    told = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "f long, w binary")
+    told = told.select("f", F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("x"), F.lit(None).cast("int").alias("start"), "w")
+    both = coded.unionByName(told).repartition("f").sortWithinPartitions("f")
+    return both.mapInArrow(pick, "id long, x long, start int, end int")
 
 
 def repeated_spans(docs: DataFrame, length: int = 400, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
