@@ -8,8 +8,9 @@ adjacent pairs are checked at once. Words with a failing pair (and only they) ar
 Special tokens in a text are matched first, as the tokenizers library does. Texts are cut into words by the vocabulary's
 own pattern: plain Latin texts by an equal pattern here, others by the library's pre-tokenizer.
 
-A null text has no ids, like an empty one; its decoded text is empty. Long texts are handled in slices of words, nothing
-is cut off; repeated rows are encoded each; an empty table stays empty. Other columns are kept whatever their names.
+A null text has no ids, like an empty one; its decoded text is empty. Texts are handled in slices of rows, a very long one alone
+and whole; repeated rows are encoded each; an empty table stays empty. Other columns are kept whatever their names (one named
+like the column that takes the text's place is replaced).
 """
 
 from __future__ import annotations

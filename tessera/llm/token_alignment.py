@@ -10,8 +10,8 @@ number, punctuation or symbol), and each distinct segment is encoded and aligned
 4. Links weigh as often as their segment occurs; counts of id pairs and their maximum by B id follow by grouping.
 
 Documents then gather their segments' figures. They are dealt to parts of some tens of megabytes; a part's distinct segments meet
-the table of segments, and its documents meet only their part's segments, so neither an occurrence nor a text is shuffled
-more than once, and no key holds many rows.
+the table of segments, and its documents meet only their part's segments. So texts are shuffled twice, occurrences of segments
+never, and a segment that is everywhere is one row for each part.
 
 The first tokenizer is a byte-level BPE whose splitting pattern never has a space after a non-space inside a word, the second
 a sentencepiece model that adds a space in front; a model with a piece that has a space after another character is refused.
