@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -16,8 +17,10 @@ _LITERALS = "(?s)" + "|".join(f"{q}[^{q}\\\\]*+(?:\\\\.[^{q}\\\\]*+)*+(?:{q}|\\\
 #: Separators, and places inside a word where an identifier is cut: around digits and at camel-case humps.
 _INNER = "(?<=\\p{Nd})(?=\\p{L})|(?<=\\p{L})(?=\\p{Nd})|(?<=\\p{Ll})(?=\\p{Lu})|(?<=\\p{Lu})(?=\\p{Lu}\\p{Ll})"
 _CUTS = _SEPARATORS + "|" + _INNER
-#: A word without these has no cut.
-_HUMPS = "\\p{Nd}|.\\p{Lu}"
+#: What parts tokens of a text, whose digits are no tokens; the humps inside its words, and what a text without any does not have.
+_NO_LETTERS = "[^\\p{L}]+"
+_HUMPS = "(?<=\\p{Ll})(?=\\p{Lu})|(?<=\\p{Lu})(?=\\p{Lu}\\p{Ll})"
+_HUMPED = "\\p{L}\\p{Lu}"
 
 
 def normalize_newlines(text: Column) -> Column:
@@ -30,8 +33,14 @@ def split_lines(text: Column) -> Column:
 
 
 def trim_space(text: Column) -> Column:
-    """Both ends without Unicode white space."""
-    return F.trim(text, F.lit(_SPACE))
+    """Both ends without Unicode white space. Few texts have any there, and trimming walks over all of a text."""
+    edge = F.contains(F.lit(_SPACE), F.substring(text, 1, 1)) | F.contains(F.lit(_SPACE), F.substring(text, -1, 1))
+    return F.when(edge, F.trim(text, F.lit(_SPACE))).otherwise(text)
+
+
+def begins_with(line: Column, words: Sequence[str]) -> Column:
+    """Whether a line may begin with one of the words in any case, white space before it aside; true if it does when trimmed."""
+    return line.rlike(f"^[{_SPACE}]*(?i:" + "|".join(map(re.escape, words)) + ")")
 
 
 def drop_string_literals(text: Column) -> Column:
@@ -49,15 +58,18 @@ def identifiers(text: Column) -> Column:
     return F.filter(F.split(text, _CUTS), lambda x: x != "")
 
 
-def keep_token(token: Column, config: TokenConfig) -> Column:
+def keep_token(token: Column, config: TokenConfig, plain: bool = False) -> Column:
+    """plain: the token is no stop word, not empty and has no digit."""
     size = F.char_length(token)
     short = token.isin([w.lower() for w in config.allow_short]) if config.allow_short else F.lit(False)
-    keep = (size <= config.max_len) & ((size >= config.min_len) | short) & ~token.rlike("^\\p{Nd}+\\z")
-    if config.stop_words:
-        keep &= ~token.isin([w.lower() for w in config.stop_words])
+    keep = (size <= config.max_len) & ((size >= config.min_len) | short)
     if config.drop_hex_len > 0:
         keep &= (size < config.drop_hex_len) | ~token.rlike("^[0-9a-f]+\\z")
-    return keep & (token != "")
+    if plain:
+        return keep
+    if config.stop_words:
+        keep &= ~token.isin([w.lower() for w in config.stop_words])
+    return keep & ~token.rlike("^\\p{Nd}+\\z") & (token != "")
 
 
 def lower_each(text: Column) -> Column:
@@ -65,23 +77,30 @@ def lower_each(text: Column) -> Column:
     return F.lower(F.translate(text, "\u03a3\u0130", "\u03c3i"))
 
 
-def normalize_tokens(tokens: Column, config: TokenConfig, text: Column | None = None) -> Column:
-    """Lower-cased, filtered, distinct and sorted by bytes. text, if given, holds all the tokens: few texts need `lower_each`."""
-    kinds = F.array_distinct(tokens)
-    lowered = F.transform(kinds, lower_each)
-    if text is not None:
-        special = F.contains(text, F.lit("\u03a3")) | F.contains(text, F.lit("\u0130"))
-        lowered = F.when(special, lowered).otherwise(F.transform(kinds, lambda x: F.lower(x)))
-    lowered = F.array_distinct(lowered)
-    return F.array_sort(F.filter(lowered, lambda x: keep_token(x, config)))
+def normalize_tokens(tokens: Column, config: TokenConfig) -> Column:
+    """Lower-cased, filtered, distinct and sorted by bytes."""
+    lowered = F.array_distinct(F.transform(F.array_distinct(tokens), lower_each))
+    return F.sort_array(F.filter(lowered, lambda x: keep_token(x, config)))
+
 
+def _kept(text: Column, config: TokenConfig) -> Column:
+    """The distinct tokens of a text, in any order.
 
-def text_tokens(text: Column, config: TokenConfig) -> Column:
-    """The tokens of a text; identifiers are cut after words are made distinct, since only the set counts."""
+    Identifiers are cut at their humps in the text as a whole. Tokens end at digits and digits are no tokens, so what is
+    left are runs of letters. Few texts need `lower_each`.
+    """
     source = text if config.string_literals else drop_string_literals(text)
-    words = F.array_distinct(F.split(source, _SEPARATORS))
-    parts = F.transform(words, lambda w: F.when(w.rlike(_HUMPS), F.split(w, _INNER)).otherwise(F.array(w)))
-    return normalize_tokens(F.flatten(parts), config, source)
+    words = F.array_distinct(F.split(F.when(source.rlike(_HUMPED), F.regexp_replace(source, _HUMPS, " ")).otherwise(source), _NO_LETTERS))
+    special = F.contains(source, F.lit("\u03a3")) | F.contains(source, F.lit("\u0130"))
+    lowered = F.when(special, F.transform(words, lower_each)).otherwise(F.transform(words, lambda x: F.lower(x)))
+    named = F.array_except(lowered, F.lit(["", *(w.lower() for w in config.stop_words)]))
+    return F.filter(named, lambda x: keep_token(x, config, plain=True))
+
+
+def text_tokens(text: Column, config: TokenConfig, own: Column | None = None) -> Column:
+    """The tokens of a text (and those of the array `own`), distinct and sorted by bytes."""
+    found = _kept(text, config)
+    return F.sort_array(found if own is None else F.array_union(found, own))
 
 
 def to_slash(path: Column) -> Column:
@@ -118,7 +137,7 @@ def path_tokens(path: Column, config: TokenConfig) -> Column:
 
 
 def tokens_with_path(path: Column, text: Column, config: TokenConfig) -> Column:
-    return F.array_sort(F.array_union(text_tokens(text, config), path_tokens(path, config)))
+    return text_tokens(text, config, path_tokens(path, config))
 
 
 def cut_bytes(text: Column, most: int) -> Column:

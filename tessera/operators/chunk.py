@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.config import ChunkConfig
-from tessera.functions.text import normalize_newlines, snippet, split_lines, trim_space
+from tessera.functions.text import begins_with, normalize_newlines, snippet, split_lines, trim_space
 
 # Beginnings of top-level declarations (of lower-cased, trimmed lines).
 BOUNDARIES = (
@@ -43,7 +43,8 @@ def _starts(line: Column, prefixes: tuple[str, ...]) -> Column:
 def line_kind(line: Column) -> Column:
     """'import', 'constlet' or 'other' for a boundary line, null for any other line."""
     low = F.lower(F.substring(trim_space(line), 1, _LONGEST))
-    return F.when(F.startswith(low, F.lit("import ")), "import").when(_starts(low, CONST_LET), "constlet").when(_starts(low, BOUNDARIES), "other")
+    kind = F.when(F.startswith(low, F.lit("import ")), "import").when(_starts(low, CONST_LET), "constlet").when(_starts(low, BOUNDARIES), "other")
+    return F.when(begins_with(line, BOUNDARIES), kind)
 
 
 def lines_of(files: DataFrame, content: str = "content") -> DataFrame:
@@ -104,7 +105,7 @@ def declared(lines: DataFrame) -> DataFrame:
     """lines with begins: whether a declaration block of its file begins there; a file without any is one block."""
     state = line_state(lines)
     top = (F.col("brace_depth") == 0) & (F.col("paren_depth") == 0) & ~F.col("in_comment")
-    brace = F.startswith(trim_space(F.col("text")), F.lit("export {"))
+    brace = begins_with(F.col("text"), ("export {",)) & F.startswith(trim_space(F.col("text")), F.lit("export {"))
     facts = state.select(*lines.columns, F.when(top & brace, "export").when(top, line_kind(F.col("text"))).alias("_kind"))
     whole = Window.partitionBy("path")
     before = whole.orderBy("line").rowsBetween(Window.unboundedPreceding, -1)

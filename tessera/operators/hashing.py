@@ -11,8 +11,8 @@ from pyspark.sql.types import LongType, StructType
 
 #: Fixed values of FNV-1a with 64 bits.
 BASIS, PRIME = 0xCBF29CE484222325, 0x100000001B3
-#: Bytes hashed at once.
-SLICE = 4_000_000
+#: Bytes hashed at once, few enough for the arrays to stay in cache.
+SLICE = 250_000
 
 
 def fnv64_many(values: list[bytes]) -> np.ndarray:

@@ -10,13 +10,14 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.config import SCHEMA_VERSION, EngineConfig
-from tessera.functions.text import normalize_newlines, path_tokens, snippet, split_lines, text_tokens
-from tessera.operators.blocks import document_frequency, packed, unpacked
+from tessera.config import SCHEMA_VERSION, EngineConfig, TokenConfig
+from tessera.functions.text import normalize_newlines, path_tokens, snippet, split_lines
+from tessera.operators.blocks import document_frequency, listed, merged, unpacked
 from tessera.operators.chunk import chunked_lines
 from tessera.operators.hashing import fnv64_bulk
 from tessera.operators.literals import without_literals
-from tessera.operators.ranges import Saved, delete, numbered, prefix_sums
+from tessera.operators.ranges import Saved, delete, numbered, prefix_sums, saved
+from tessera.operators.words import with_tokens
 from tessera.sources import store
 
 
@@ -27,6 +28,7 @@ class Index:
     postings: DataFrame  # term, chunk_id
     terms: DataFrame | None  # term, df, offset; of a saved index
     blocks: DataFrame | None = None  # term, first_id, last_id, n, ids; of a saved index
+    tokens: DataFrame | None = None  # chunk_id, tokens, the postings by chunk; of an index that is not written yet
     scratch: tuple[Saved, ...] = ()  # tables that the others are read from, until they are written
 
 
@@ -43,18 +45,16 @@ def tokenized(files: DataFrame, config: EngineConfig, content: str = "content")
         per = chunked_lines(lines, config.chunk, "_file").withColumn("_code", F.col("lines"))
     else:
         per = chunked_lines(without_literals(lines), config.chunk, "_file", each=("code",)).withColumnRenamed("code", "_code")
-    per = per.withColumn("_own", path_tokens(F.col("path"), config.token))
 
     def described(c: Column) -> Column:
-        n = c["end"] - c["start"] + 1
-        text = F.array_join(F.slice("_code", c["start"], n), "\n")
-        tokens = F.array_sort(F.array_union(text_tokens(text, _literal_free(config)), F.col("_own")))
-        return F.struct(c["start"].alias("start_line"), c["end"].alias("end_line"), snippet(F.col("lines"), c["start"], c["end"], config.max_snippet_bytes).alias("snippet"), tokens.alias("tokens"))
+        return F.struct(c["start"].alias("start_line"), c["end"].alias("end_line"), snippet(F.col("lines"), c["start"], c["end"], config.max_snippet_bytes).alias("snippet"))
 
-    return per.select("path", "_file.mtime", "_file.size", "_file.hash64", F.transform("chunks", described).alias("chunks"))
+    texts = F.transform("chunks", lambda c: F.array_join(F.slice("_code", c["start"], c["end"] - c["start"] + 1), "\n"))
+    per = per.select("path", "_file.mtime", "_file.size", "_file.hash64", F.transform("chunks", described).alias("chunks"), texts.alias("_texts"), path_tokens(F.col("path"), config.token).alias("_own"))
+    return with_tokens(per, _literal_free(config), "chunks", "_texts", "_own")
 
 
-def _literal_free(config: EngineConfig):
+def _literal_free(config: EngineConfig) -> TokenConfig:
     return replace(config.token, string_literals=True)  # literals are gone already where they must not count
 
 
@@ -65,19 +65,24 @@ def assemble(tokens: DataFrame) -> Index:
     first = prefix_sums(files.rows.select("path", "file_id", "_n"), ["path"], F.col("_n"), "_first")
     cut = tokens.select("path", F.posexplode("chunks").alias("ordinal", "c")).join(first.rows.select("path", "file_id", "_first"), "path")
     chunks = cut.withColumn("chunk_id", F.col("_first") + F.col("ordinal") + 1)
-    postings = chunks.select("chunk_id", F.explode("c.tokens").alias("term")).select("term", "chunk_id")
+    own = chunks.select("chunk_id", F.col("c.tokens").alias("tokens"))
+    postings = own.select(F.explode("tokens").alias("term"), "chunk_id")
     return Index(
         files.rows.select("file_id", "path", "mtime", "size", "hash64"),
         chunks.select("chunk_id", "file_id", "path", F.col("c.start_line").alias("start_line"), F.col("c.end_line").alias("end_line"), F.col("c.snippet").alias("snippet")),
         postings,
         None,
+        tokens=own,
         scratch=(files, first),
     )
 
 
 def terms(blocks: DataFrame, folder: str | None = None) -> Saved:
     """term, df, offset: 4 bytes for each posting of the terms before, in byte order."""
-    return prefix_sums(document_frequency(blocks), ["term"], 4 * F.col("df"), "offset", folder)
+    df = saved(document_frequency(blocks), "term-counts", folder)  # counted, sampled and dealt from
+    out = prefix_sums(df.rows, ["term"], 4 * F.col("df"), "offset", folder)
+    df.drop()
+    return out
 
 
 def counts(index: Index) -> DataFrame:
@@ -102,8 +107,9 @@ def write_index(index: Index, root: str, config_hash: int = 0, repo_head: str =
     version = f"{root}/{uuid.uuid4().hex}"
     index.files.write.parquet(f"{version}/files")
     index.chunks.write.parquet(f"{version}/chunks")
-    packed(index.postings).write.parquet(f"{version}/blocks")  # in the order of terms, so row groups prune by term
-    for s in index.scratch:
+    lists = listed(index.postings if index.tokens is None else index.tokens)
+    merged(lists.rows).write.parquet(f"{version}/blocks")  # in the order of terms, so row groups prune by term
+    for s in (lists, *index.scratch):
         s.drop()
     ordered = terms(spark.read.parquet(f"{version}/blocks"))
     ordered.rows.select("term", "df", "offset").write.parquet(f"{version}/terms")

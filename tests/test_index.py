@@ -3,6 +3,7 @@
 import json
 import os
 import re
+from dataclasses import replace
 from random import Random
 
 import pytest
@@ -10,12 +11,14 @@ from pyspark.sql import functions as F
 
 from tessera.config import EngineConfig, TokenConfig
 from tessera.engine import Engine
+from tessera.functions.text import text_tokens
 from tessera.operators import blocks as B
 from tessera.operators import chunk as C
 from tessera.operators import index as I
 from tessera.operators import literals as L
 from tessera.operators import ranges as R
 from tessera.operators import search as S
+from tessera.operators import words
 from tessera.sources import scan, store
 from tessera.sources import tokens as K
 from tessera.sources.walk import walk
@@ -41,6 +44,42 @@ def test_blocks_split_a_term_in_every_chunk(spark, monkeypatch):
     assert B.packed(postings.limit(0)).count() == 0
 
 
+def test_lists_are_dealt_instead_of_postings(spark, monkeypatch):
+    """What is sorted and shuffled are lists: a row for each term, stretch and task, whatever the number of postings."""
+    monkeypatch.setattr(B, "STRETCH", 1000)
+    rows = spark.range(40_000).select(F.concat(F.lit("t"), (F.col("id") % 10).cast("string")).alias("term"), F.floor(F.col("id") / 10).alias("chunk_id")).repartition(4)
+    lists = B.listed(rows.unionByName(rows.limit(500)))
+    assert lists.rows.count() <= 10 * 4 * 8 and lists.rows.agg(F.max(F.size("ids"))).head()[0] <= 1000
+    whole = B.listed(rows.groupBy("chunk_id").agg(F.collect_list("term").alias("tokens")))
+    for found in (lists, whole):
+        back = B.merged(found.rows)
+        assert back.count() < 100 and back.agg(F.sum("n")).head()[0] == 40_000
+        assert sorted(map(tuple, B.unpacked(back).collect())) == sorted(map(tuple, rows.collect()))
+        found.drop()
+
+
+def test_tokens_in_batches(spark):
+    """The finder over Arrow batches gives what the column functions give; other scripts go to those."""
+    texts = ["heatThe2 HTTPServer eaux", "abcdef" * 3, "deadbeefdeadbeefdead ab", "", " \n", "caf\u00e9Gr\u00f6\u00dfe \u00c9t\u00e9 \u0178A\u00ffb \u00aa\u00ba\u00b2\u00bd x\u0130y", "\u039f\u03a3 \u03a3\u03a3", "a\u0301b \u2014 \u201cquoted\u201d 10\u20ac", "\u1e9e\u00df \u212ak", "ID id Id go js_api", "x" * 64 + " " + "y" * 65, "\u5b57abc\u0660def", "getURLFor3Ds", "THE The the"]
+    for config in (TOKENS, EngineConfig().token, TokenConfig(min_len=1, drop_hex_len=0, stop_words=())):
+        find = words.token_finder(config)
+        wanted = [r["t"] for r in spark.createDataFrame([(t,) for t in texts], "x string").select(text_tokens(F.col("x"), config, F.array(F.lit("own"))).alias("t")).collect()]
+        found = [find(t, ["own"]) for t in texts]
+        assert [f for f in found if f is not None] == [w for w, f in zip(wanted, found, strict=True) if f is not None]
+        assert sum(f is None for f in found) == 5
+        files = spark.createDataFrame([(f"{i}.ts", 0, 0, 0, t) for i, t in enumerate(texts)], "path string, mtime long, size long, hash64 long, content string")
+        rows = {r["path"]: [c["tokens"] for c in r["chunks"]] for r in I.tokenized(files, replace(EngineConfig(), token=config)).collect()}
+        assert rows == {f"{i}.ts": [[x for x in w if x != "own"]] for i, w in enumerate(wanted)}
+
+
+def test_kinds_of_lines(spark):
+    """Kinds are those of the lines trimmed and lower-cased."""
+    lines = ["import x", "\u00a0IMPORT x", "import ", "import\u00a0 ", "import  \u3000", "  const a", "let", "let ", "Export Const q", "export {a}", "\tclass A", "classA", "", " ", "\u0130mport x", "tYpe t", "x import "]
+    found = spark.createDataFrame([(x,) for x in lines], "x string").select(C.line_kind(F.col("x")).alias("k")).collect()
+    low = [x.strip("\t\n\x0b\x0c\r\x85 \xa0\u3000").lower() for x in lines]
+    assert [r["k"] for r in found] == ["import" if x.startswith("import ") else "constlet" if x.startswith(C.CONST_LET) else "other" if x.startswith(C.BOUNDARIES) else None for x in low]
+
+
 def test_prefix_sums_of_terms_with_one_beginning(spark, monkeypatch):
     """Ranges are bounded by rows, whatever the values begin with."""
     monkeypatch.setattr(R, "RANGE_ROWS", 300)
