@@ -477,6 +477,13 @@ def test_suffix_array():
         assert suffix.suffix_array(t, kinds).tolist() == sorted(range(n), key=lambda i: text[i:])
 
 
+def test_symbols_are_ordered_stably():
+    """Also where there are more kinds than 16 bits hold."""
+    for kinds in (257, 1 << 16, 1 << 17):
+        c = np.random.default_rng(kinds).integers(max(0, kinds - 40), kinds, 500)
+        assert suffix._by_symbol(c, kinds).tolist() == sorted(range(500), key=lambda i: (c[i], i))
+
+
 def test_suffix_edges(docs, none):
     assert ids(suffix.remove_repeats(docs)) == EVERY
     assert suffix.remove_repeats(none).count() == 0
