@@ -100,7 +100,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), total_share
 
 def _many_sources(per: DataFrame, weights: Sequence[float], total_share: float, most: int, slopes: Sequence[float]) -> DataFrame:
     """_s, source, n, source_size, target, _slope: `share_out` as rounds over a table of sources."""
-    named = numbered(per.filter("source is not null"), ["source"], "_s").withColumn("_s", F.col("_s") - 1)
+    named = numbered(per.filter("source is not null"), ["source"], "_s").rows.withColumn("_s", F.col("_s") - 1)
     last = named.count()
     every = named.unionByName(per.filter("source is null").withColumn("_s", F.lit(last).cast("long")))
     pick = lambda values: F.get(F.array(*[F.lit(float(v)) for v in values]), (F.col("_s") % len(values)).cast("int"))
