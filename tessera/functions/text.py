@@ -152,11 +152,12 @@ def cut_bytes(text: Column, most: int) -> Column:
     return F.when(F.octet_length(text) <= most, text).otherwise(out)
 
 
-def snippet(lines: Column, start: Column, end: Column, most: int) -> Column:
-    """The first three lines of a chunk that are not blank, trimmed, cut to `most` bytes."""
+def snippet(lines: Column, start: Column, end: Column, most: int, trimmed: bool = False) -> Column:
+    """The first three lines of a chunk that are not blank, trimmed (unless all lines are already), cut to `most` bytes."""
     s = F.greatest(start, F.lit(1))
     n = F.greatest(F.least(end, F.size(lines)) - s + 1, F.lit(0))
-    some = F.filter(F.transform(F.slice(lines, s, n), trim_space), lambda x: x != "")
+    own = F.slice(lines, s, n)
+    some = F.filter(own if trimmed else F.transform(own, trim_space), lambda x: x != "")
     return cut_bytes(F.array_join(F.slice(some, 1, 3), "\n"), most)
 
 

@@ -139,9 +139,12 @@ def _merged(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, chunk_id) of rows (tokens, chunk_id)."""
+    """(term, chunk_id) of rows (tokens, chunk_id), whose tokens are arrays or joined by a space."""
     for batch in batches:
         lists, ids = batch.columns
+        if not pa.types.is_list(lists.type):
+            some = pc.not_equal(lists, "")
+            lists, ids = pc.split_pattern(lists.filter(some).cast(pa.string()), " "), ids.filter(some)
         n = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
         yield pa.RecordBatch.from_arrays([lists.flatten(), pa.array(np.repeat(ids.to_numpy(), n))], ["term", "chunk_id"])
 

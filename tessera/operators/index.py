@@ -9,9 +9,10 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from tessera.config import SCHEMA_VERSION, EngineConfig, TokenConfig
-from tessera.functions.text import normalize_newlines, path_tokens, snippet, split_lines
+from tessera.functions.text import normalize_newlines, path_tokens, snippet, split_lines, trim_space
 from tessera.operators.blocks import document_frequency, listed, merged, unpacked
 from tessera.operators.chunk import chunked_lines
 from tessera.operators.hashing import fnv64_bulk
@@ -28,15 +29,16 @@ class Index:
     postings: DataFrame  # term, chunk_id
     terms: DataFrame | None  # term, df, offset; of a saved index
     blocks: DataFrame | None = None  # term, first_id, last_id, n, ids; of a saved index
-    tokens: DataFrame | None = None  # chunk_id, tokens, the postings by chunk; of an index that is not written yet
+    tokens: DataFrame | None = None  # chunk_id, tokens (an array, or joined by a space), the postings by chunk; of an index that is not written yet
     scratch: tuple[Saved, ...] = ()  # tables that the others are read from, until they are written
 
 
-def tokenized(files: DataFrame, config: EngineConfig, content: str = "content") -> DataFrame:
+def tokenized(files: DataFrame, config: EngineConfig, content: str = "content", joined: bool = False) -> DataFrame:
     """path, mtime, size, hash64, chunks: array of (start_line, end_line, snippet, tokens) per file.
 
     String literals are recognised over the whole file, tokens are those of a chunk's lines and of the path. Contents are
-    hashed where they are read (unless files has hash64 already) and then shuffled once, as lines.
+    hashed where they are read (unless files has hash64 already) and then shuffled once, as lines. joined: a chunk's tokens
+    are a text with a space between them, which is cheaper to write and to read again than an array.
     """
     hashed = files if "hash64" in files.columns else fnv64_bulk(files.select("path", "mtime", "size", content), content)
     lines = hashed.select("path", F.struct("mtime", "size", "hash64").alias("_file"), F.posexplode(split_lines(normalize_newlines(F.col(content)))).alias("_p", "text"))
@@ -47,11 +49,15 @@ def tokenized(files: DataFrame, config: EngineConfig, content: str = "content")
         per = chunked_lines(without_literals(lines), config.chunk, "_file", each=("code",)).withColumnRenamed("code", "_code")
 
     def described(c: Column) -> Column:
-        return F.struct(c["start"].alias("start_line"), c["end"].alias("end_line"), snippet(F.col("lines"), c["start"], c["end"], config.max_snippet_bytes).alias("snippet"))
+        return F.struct(c["start"].alias("start_line"), c["end"].alias("end_line"), snippet(F.col("_trimmed"), c["start"], c["end"], config.max_snippet_bytes, trimmed=True).alias("snippet"))
 
-    texts = F.transform("chunks", lambda c: F.array_join(F.slice("_code", c["start"], c["end"] - c["start"] + 1), "\n"))
-    per = per.select("path", "_file.mtime", "_file.size", "_file.hash64", F.transform("chunks", described).alias("chunks"), texts.alias("_texts"), path_tokens(F.col("path"), config.token).alias("_own"))
-    return with_tokens(per, _literal_free(config), "chunks", "_texts", "_own")
+    per = per.withColumn("_trimmed", F.transform("lines", trim_space))  # once, not for each chunk that holds a line
+    per = per.select("path", "_file.mtime", "_file.size", "_file.hash64", F.transform("chunks", described).alias("chunks"), "_code", path_tokens(F.col("path"), config.token).alias("_own"))
+    out = with_tokens(per, _literal_free(config), "chunks", "_code", "_own")
+    if joined:
+        return out
+    apart = lambda c: c.withField("tokens", F.filter(F.split(c["tokens"], " "), lambda x: x != ""))
+    return out.withColumn("chunks", F.transform("chunks", apart))
 
 
 def _literal_free(config: EngineConfig) -> TokenConfig:
@@ -59,14 +65,15 @@ def _literal_free(config: EngineConfig) -> TokenConfig:
 
 
 def assemble(tokens: DataFrame) -> Index:
-    """Ids by path, chunks by path and ordinal, and postings. tokens is read twice: a saved table."""
+    """Ids by path, chunks by path and ordinal, and postings. tokens is read twice: a saved table, with arrays or joined."""
     rows = tokens.select("path", "mtime", "size", "hash64", F.size("chunks").alias("_n"))
     files = numbered(rows, ["path"], "file_id")
     first = prefix_sums(files.rows.select("path", "file_id", "_n"), ["path"], F.col("_n"), "_first")
     cut = tokens.select("path", F.posexplode("chunks").alias("ordinal", "c")).join(first.rows.select("path", "file_id", "_first"), "path")
     chunks = cut.withColumn("chunk_id", F.col("_first") + F.col("ordinal") + 1)
     own = chunks.select("chunk_id", F.col("c.tokens").alias("tokens"))
-    postings = own.select(F.explode("tokens").alias("term"), "chunk_id")
+    each = F.explode("tokens") if isinstance(own.schema["tokens"].dataType, ArrayType) else F.explode(F.split("tokens", " "))
+    postings = own.select(each.alias("term"), "chunk_id").filter("term <> ''")
     return Index(
         files.rows.select("file_id", "path", "mtime", "size", "hash64"),
         chunks.select("chunk_id", "file_id", "path", F.col("c.start_line").alias("start_line"), F.col("c.end_line").alias("end_line"), F.col("c.snippet").alias("snippet")),

@@ -15,6 +15,7 @@ from tessera.engine import Engine
 from tessera.functions import text as T
 from tessera.operators import chunk as C
 from tessera.operators import fetch as fetching
+from tessera.operators import hashing
 from tessera.operators import index as I
 from tessera.operators import search as S
 from tessera.operators.hashing import fnv64_bulk, fnv64_many
@@ -136,6 +137,18 @@ def test_hash(spark):
     assert by_expression[0]["h"] % (1 << 64) == found[0]
 
 
+def test_hash_of_many(monkeypatch):
+    """Many values are hashed together; what only a few long ones have follows in steps."""
+    random = Random(1)
+    values = [random.randbytes(random.choice([0, 1, 80, random.randrange(400)])) for _ in range(200)] + [random.randbytes(n) for n in (9000, 4001)]
+    steps, advance = [], hashing._advance
+    monkeypatch.setattr(hashing, "STEP", 2000)
+    monkeypatch.setattr(hashing, "_advance", lambda state, raw, sizes: steps.append(len(raw)) or advance(state, raw, sizes))
+    for some in (values, values[-5:]):
+        assert fnv64_many(some).tolist() == [fnv64_bytes(v) for v in some]
+    assert max(steps) <= 2000 and sum(steps) < 40_000
+
+
 def index_of(spark, chunks, postings):
     return I.Index(None, spark.createDataFrame([(i, f, p, 1, 1, "") for i, f, p in chunks], "chunk_id long, file_id long, path string, start_line int, end_line int, snippet string"), spark.createDataFrame(postings, "term string, chunk_id long"), None)
 

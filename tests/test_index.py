@@ -6,10 +6,12 @@ import re
 from dataclasses import replace
 from random import Random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.config import EngineConfig, TokenConfig
+from tessera.config import ChunkConfig, EngineConfig, TokenConfig
 from tessera.engine import Engine
 from tessera.functions.text import text_tokens
 from tessera.operators import blocks as B
@@ -72,6 +74,34 @@ def test_tokens_in_batches(spark):
         assert rows == {f"{i}.ts": [[x for x in w if x != "own"]] for i, w in enumerate(wanted)}
 
 
+def test_joined_tokens(spark, tmp_path, monkeypatch):
+    """Tokens joined by a space give the index that arrays give, also where lines are cut in many runs; a line is cut once for all chunks."""
+    words_of = lambda i: f"alpha{'abcdefgh'[i % 8] * 3} getThing{'xyz'[i % 3] * 4} \u00c9t\u00e9" + (" \u03a3\u03b1\u03b2\u03b3" if i % 37 == 0 else "")
+    texts = ["\n".join(words_of(i * k) for i in range(40)) for k in range(1, 5)] + ["", "1 2 3"]
+    files = spark.createDataFrame([(f"{i}/1.ts", 0, 0, 0, t) for i, t in enumerate(texts)], "path string, mtime long, size long, hash64 long, content string")
+    config = replace(EngineConfig(), token=TOKENS, chunk=ChunkConfig(max_lines=8, overlap_lines=2, min_lines=3))
+    cut = []
+    run = words._cut
+    monkeypatch.setattr(words, "_cut", lambda lines: cut.append(len(lines)) or run(lines))
+    lines = [words_of(i) for i in range(40)]
+    first = np.arange(0, 34, 6)
+    tokens, known = words.tokens_of(lines, first, first + 8, pa.array([["own"]] * len(first), pa.list_(pa.string())), TOKENS)
+    assert cut == [40] and known.tolist() == [False, True, True, True, True, False]
+    assert tokens[1].as_py().split() == sorted({"own", *words.token_finder(TOKENS)("\n".join(lines[6:14]), [])})
+    monkeypatch.undo()
+    apart = {r["path"]: [c["tokens"] for c in r["chunks"]] for r in I.tokenized(files, config).collect()}
+    monkeypatch.setattr(words, "SLICE", 150)
+    joined = I.tokenized(files, config, joined=True)
+    assert {r["path"]: [c["tokens"].split() for c in r["chunks"]] for r in joined.collect()} == apart
+    assert apart["4/1.ts"] == [[]] and len(apart["0/1.ts"]) == 7
+    rows = R.saved(joined, "joined").rows
+    I.write_index(I.assemble(rows), str(tmp_path / "i"))
+    index = I.assemble(rows)
+    wanted = sorted(map(tuple, index.postings.collect()))
+    assert sorted(map(tuple, I.load_index(spark, str(tmp_path / "i")).postings.collect())) == wanted
+    assert len(wanted) == sum(len(t) for c in apart.values() for t in c)
+
+
 def test_kinds_of_lines(spark):
     """Kinds are those of the lines trimmed and lower-cased."""
     lines = ["import x", "\u00a0IMPORT x", "import ", "import\u00a0 ", "import  \u3000", "  const a", "let", "let ", "Export Const q", "export {a}", "\tclass A", "classA", "", " ", "\u0130mport x", "tYpe t", "x import "]
