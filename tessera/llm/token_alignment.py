@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import vocabulary
-from tessera.llm.common import lookup, slices, stored, table
+from tessera.llm.common import Stored, lookup, release, slices, stored, table
 from tessera.llm.tokens import default_path
 
 #: Bytes of text in a part, and parts at least.
@@ -150,23 +150,40 @@ def segment_figures(segs: DataFrame, aligned: DataFrame) -> DataFrame:
     return sizes.join(aligned.drop("links"), "sid").join(sums, "sid").drop("sid")
 
 
+def packed(figures: DataFrame) -> DataFrame:
+    """seg, n, packed: COUNTS and groups as one text, a half of what they take in a shuffle as columns."""
+    return figures.select("seg", "n", F.concat_ws(" ", *[F.col(c).cast("string") for c in COUNTS], "groups").alias("packed"))
+
+
+def unpacked(texts: pa.Array) -> list[pa.Array]:
+    """COUNTS and groups of packed figures, as texts."""
+    flat, width = pc.split_pattern(texts.cast(pa.string()), " ").flatten(), len(COUNTS) + 1
+    return [flat.take(pa.array(np.arange(c, len(flat), width))) for c in range(width)]
+
+
 def _bad_texts(rows: DataFrame, bad: DataFrame) -> DataFrame:
     """The digests of texts with a segment whose tokens do not join to it."""
     return rows.select(F.md5("_t").alias("_m"), F.explode(segments(F.col("_t"))).alias("seg")).join(bad.select("seg"), "seg", "left_semi").select("_m").distinct()
 
 
-def _gathered(docs: DataFrame, figures: DataFrame, kind: str) -> DataFrame:
-    """doc_id, COUNTS, groups of each document (doc_id, _t), from its segments' figures.
+def _gathered(docs: DataFrame, figures: Stored, kind: str) -> DataFrame:
+    """doc_id, COUNTS, groups of each document (doc_id, _t), from its segments' packed figures, which go.
 
-    The documents of a part follow its distinct segments in a task.
+    The documents of a part follow its distinct segments in a task. What the parts' segments are and what their figures are
+    is written, so that the shuffles before are gone from the disks when texts and figures meet.
     """
     size = docs.agg(F.coalesce(F.sum(F.octet_length("_t").cast("long")), F.lit(0)).alias("n")).head()["n"]
     parts = int(size // PART_BYTES) + LEAST_PARTS
     part = F.pmod(F.xxhash64("doc_id", "_t"), F.lit(parts)).cast("int").alias("part")
     own = docs.select(part, "_t").repartition(parts, "part").select("part", F.explode(segments(F.col("_t"))).alias("seg")).groupBy("part", "seg").agg(F.count("*").alias("_n"))
-    met = lookup(own.drop("_n"), figures.withColumn("n", F.least("n", F.lit(parts))), ["seg"])  # a segment is in a part once
-    first = met.select("part", F.lit(0).alias("_k"), "seg", *COUNTS, "groups", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("string").alias("_t"))
-    later = docs.select(part, F.lit(1).alias("_k"), F.lit(None).cast("string").alias("seg"), *[F.lit(None).cast("long").alias(c) for c in COUNTS], F.lit(None).cast("string").alias("groups"), "doc_id", "_t")
+    own = stored(own.drop("_n"), "part-segments")
+    release(docs.sparkSession)  # of the texts' first shuffle
+    met = stored(lookup(own.rows, figures.rows.withColumn("n", F.least("n", F.lit(parts))), ["seg"]), "part-figures")  # a segment is in a part once
+    for gone in (own, figures):
+        gone.drop()
+    release(docs.sparkSession)
+    first = met.rows.select("part", F.lit(0).alias("_k"), "seg", "packed", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("string").alias("_t"))
+    later = docs.select(part, F.lit(1).alias("_k"), F.lit(None).cast("string").alias("seg"), F.lit(None).cast("string").alias("packed"), "doc_id", "_t")
     both = first.unionByName(later).repartition(parts, "part").sortWithinPartitions("part", "_k").withColumn("segs", segments(F.col("_t"))).drop("_t")
     width = len(COUNTS)
 
@@ -183,8 +200,9 @@ def _gathered(docs: DataFrame, figures: DataFrame, kind: str) -> DataFrame:
                     now, place, texts, rows = at[i], {}, [], np.zeros((0, width), np.int64)
                 if not kind_of[i]:
                     place |= {s: k for k, s in enumerate(run.column("seg").to_pylist(), len(texts))}
-                    texts += run.column("groups").to_pylist()
-                    rows = np.concatenate([rows, np.column_stack([run.column(c).to_numpy() for c in COUNTS])])
+                    *numbers, groups = unpacked(run.column("packed"))
+                    texts += groups.to_pylist()
+                    rows = np.concatenate([rows, np.column_stack([x.cast(pa.int64()).to_numpy() for x in numbers])])
                     continue
                 for a, b in slices(pc.list_value_length(run.column("segs")).to_pylist(), GATHERED):
                     sums, groups = [], []
@@ -215,7 +233,8 @@ def align_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         good, without = some.join(gone, F.md5("_t") == F.col("_m"), "left_anti"), without.unionByName(out)
         fine = fine.join(less, "seg", "left").withColumn("n", F.col("n") - F.coalesce("_less", F.lit(0))).drop("_less").filter("n > 0")
     aligned = stored(by_segment(align_segments(fine.select("sid", "n", "a", "b"))), "segments-aligned")
-    figures = stored(segment_figures(fine, aligned.rows), "segment-figures")
+    figures = stored(packed(segment_figures(fine, aligned.rows)), "segment-figures")
     aligned.drop()
     segs.drop()
-    return _gathered(good, figures.rows, kind).unionByName(without.select("doc_id", *[F.lit(0).cast("long").alias(c) for c in COUNTS], F.lit("").alias("groups")))
+    release(docs.sparkSession)
+    return _gathered(good, figures, kind).unionByName(without.select("doc_id", *[F.lit(0).cast("long").alias(c) for c in COUNTS], F.lit("").alias("groups")))

@@ -1,11 +1,13 @@
 """Speculative BPE, tokenizer alignment and the Merkle manifest: brute force, properties and nasty rows."""
 
 import hashlib
+import os
 import random
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,6 +149,22 @@ def test_alignment_of_joined_counts(spark, monkeypatch):
     assert [rows[k] for k in range(len(texts))] == alignments(texts)
 
 
+def test_alignment_leaves_little_on_disk(spark, tmp_path, monkeypatch):
+    """Figures travel as one text; when texts meet them only the parts' figures are still on disk."""
+    texts = ["one two three", "two \u00e9t\u00e9 two", "x" * 3000, "three"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    folders = []
+    save = token_alignment.stored
+    monkeypatch.setattr(token_alignment, "stored", lambda rows, name: folders.append(save(rows, name)) or folders[-1])
+    out = token_alignment.align_documents(df)
+    left = [t for t in folders if os.path.exists(t.path)]
+    assert [t.path.rsplit("/", 1)[-1][:12] for t in left if "token-pairs" not in t.path] == ["part-figures"]
+    assert set(left[-1].rows.columns) == {"part", "seg", "packed"}
+    assert [tuple(r[c] for c in COLUMNS) for r in out.orderBy("doc_id").collect()] == alignments(texts)
+    *numbers, groups = token_alignment.unpacked(pa.array(["1 22 3 4 5 67890123456 1|2;3,4|5", "0 0 0 0 0 0 "]))
+    assert [x.to_pylist() for x in numbers] == [["1", "0"], ["22", "0"], ["3", "0"], ["4", "0"], ["5", "0"], ["67890123456", "0"]] and groups.to_pylist() == ["1|2;3,4|5", ""]
+
+
 def test_op12(spark, sf_dir):
     given = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     given = [r for r in given if not r["text"] or len(r["text"]) < 200_000]
