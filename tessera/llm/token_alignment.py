@@ -185,10 +185,10 @@ def _gathered(docs: DataFrame, figures: Stored, kind: str) -> DataFrame:
     first = met.rows.select("part", F.lit(0).alias("_k"), "seg", "packed", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("string").alias("_t"))
     later = docs.select(part, F.lit(1).alias("_k"), F.lit(None).cast("string").alias("seg"), F.lit(None).cast("string").alias("packed"), "doc_id", "_t")
     both = first.unionByName(later).repartition(parts, "part").sortWithinPartitions("part", "_k").withColumn("segs", segments(F.col("_t"))).drop("_t")
-    width = len(COUNTS)
+    width, no_texts = len(COUNTS), pa.array([], pa.string())
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, place, texts, rows = None, {}, [], np.zeros((0, width), np.int64)
+        now, place, texts, rows = None, {}, no_texts, np.zeros((0, width), np.int64)
         for batch in batches:
             at, kind_of = batch.column("part").to_numpy(), batch.column("_k").to_numpy()
             cuts = [0, *(np.flatnonzero((np.diff(at) != 0) | (np.diff(kind_of) != 0)) + 1).tolist(), batch.num_rows]
@@ -197,21 +197,20 @@ def _gathered(docs: DataFrame, figures: Stored, kind: str) -> DataFrame:
                     continue
                 run = batch.slice(i, j - i)
                 if at[i] != now:
-                    now, place, texts, rows = at[i], {}, [], np.zeros((0, width), np.int64)
+                    now, place, texts, rows = at[i], {}, no_texts, np.zeros((0, width), np.int64)
                 if not kind_of[i]:
                     place |= {s: k for k, s in enumerate(run.column("seg").to_pylist(), len(texts))}
                     *numbers, groups = unpacked(run.column("packed"))
-                    texts += groups.to_pylist()
+                    texts = pa.concat_arrays([texts, groups])
                     rows = np.concatenate([rows, np.column_stack([x.cast(pa.int64()).to_numpy() for x in numbers])])
                     continue
                 for a, b in slices(pc.list_value_length(run.column("segs")).to_pylist(), GATHERED):
-                    sums, groups = [], []
-                    for segs in run.column("segs").slice(a, b - a).to_pylist():
-                        found = [place[s] for s in segs]
-                        sums.append(rows[found].sum(axis=0))
-                        groups.append(";".join([texts[k] for k in found]))
-                    sums = np.array(sums).reshape(-1, width)
-                    yield pa.RecordBatch.from_arrays([run.column("doc_id").slice(a, b - a), *[pa.array(sums[:, c]) for c in range(width)], pa.array(groups, pa.string())], ["doc_id", *COUNTS, "groups"])
+                    segs = run.column("segs").slice(a, b - a)
+                    edges = np.append(0, np.cumsum(pc.list_value_length(segs).to_numpy()))
+                    found = np.fromiter(map(place.__getitem__, segs.flatten().to_pylist()), np.int64, edges[-1])
+                    sums = np.add.reduceat(rows[found], edges[:-1])  # a text has a segment at least
+                    groups = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(edges, pa.int64()), texts.take(pa.array(found))), ";")
+                    yield pa.RecordBatch.from_arrays([run.column("doc_id").slice(a, b - a), *[pa.array(sums[:, c]) for c in range(width)], groups.cast(pa.string())], ["doc_id", *COUNTS, "groups"])
 
     return both.mapInArrow(gather, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in COUNTS) + ", groups string")
 
