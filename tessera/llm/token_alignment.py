@@ -9,9 +9,10 @@ number, punctuation or symbol), and each distinct segment is encoded and aligned
    tokens are the nearest that end there or later. No group's tokens are paired with each other.
 4. Links weigh as often as their segment occurs; counts of id pairs and their maximum by B id follow by grouping.
 
-Documents then gather their segments' figures. They are dealt to parts of some tens of megabytes; a part's distinct segments meet
-the table of segments, and its documents meet only their part's segments. So texts are shuffled twice, occurrences of segments
-never, and a segment that is everywhere is one row for each part.
+Documents then gather their segments' figures. They are dealt to parts of some tens of megabytes, whose distinct segments are
+counted and written first: they sum up to the table of segments, later meet it again, and a part's documents meet only their
+part's segments. So texts are shuffled twice and cut twice, occurrences of segments are never shuffled, and a segment that is everywhere is one row for each part. There a segment is a number: a hash with the first seed by which
+no two segments of the table are equal, so a part holds no texts of segments.
 
 The first tokenizer is a byte-level BPE whose splitting pattern never has a space after a non-space inside a word, the second
 a sentencepiece model that adds a space in front; a model with a piece that has a space after another character is refused.
@@ -24,6 +25,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -102,6 +104,17 @@ def encode_segments(rows: DataFrame, a_path: str, b_path: str) -> DataFrame:
     return rows.select("seg", "n").mapInArrow(encode, "seg string, n long, a array<int>, b array<int>, ok boolean")
 
 
+def key(seg: Column, seed: int) -> Column:
+    """A segment's number."""
+    return F.xxhash64(F.lit(seed), seg)
+
+
+def telling(segs: DataFrame) -> int:
+    """The first seed by which no two segments (distinct seg) have the same number."""
+    numbers = lambda seed: segs.select(key(F.col("seg"), seed).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    return next(seed for seed in count() if not numbers(seed).filter("n > 1").head(1))
+
+
 def align_segments(segs: DataFrame) -> DataFrame:
     """A row for each link of each segment (sid, n, a, b): sid, n, end, a, b, group (from 0), and ends_a, ends_b, whether the tokens end here.
 
@@ -136,7 +149,7 @@ def by_segment(links: DataFrame) -> DataFrame:
 
 
 def segment_figures(segs: DataFrame, aligned: DataFrame) -> DataFrame:
-    """seg, n, n_a, n_b, n_groups, n_links, n_best, count_sum, groups of each segment; aligned: stored."""
+    """sid, n, n_a, n_b, n_groups, n_links, n_best, count_sum, groups of each segment; aligned: stored."""
     links = aligned.select("sid", "n", F.explode("links").alias("pair"))
     counts = stored(links.groupBy("pair").agg(F.sum("n").alias("pair_count"), F.count("*").alias("n")).withColumn("b", F.col("pair") % (1 << 32)), "token-pairs")
     best = counts.rows.groupBy("b").agg(F.max("pair_count").alias("_most"))  # a row per id of the second vocabulary
@@ -146,13 +159,13 @@ def segment_figures(segs: DataFrame, aligned: DataFrame) -> DataFrame:
     else:
         met = lookup(links.select("sid", "pair"), weighed, ["pair"])
     sums = met.groupBy("sid").agg(F.sum("_best").alias("n_best"), F.sum("pair_count").alias("count_sum"))
-    sizes = segs.select("sid", "seg", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"))
-    return sizes.join(aligned.drop("links"), "sid").join(sums, "sid").drop("sid")
+    sizes = segs.select("sid", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"))
+    return sizes.join(aligned.drop("links"), "sid").join(sums, "sid")
 
 
 def packed(figures: DataFrame) -> DataFrame:
-    """seg, n, packed: COUNTS and groups as one text, a half of what they take in a shuffle as columns."""
-    return figures.select("seg", "n", F.concat_ws(" ", *[F.col(c).cast("string") for c in COUNTS], "groups").alias("packed"))
+    """seg (its number), n, packed: COUNTS and groups as one text, a half of what they take in a shuffle as columns."""
+    return figures.select(F.col("sid").alias("seg"), "n", F.concat_ws(" ", *[F.col(c).cast("string") for c in COUNTS], "groups").alias("packed"))
 
 
 def unpacked(texts: pa.Array) -> list[pa.Array]:
@@ -166,53 +179,61 @@ def _bad_texts(rows: DataFrame, bad: DataFrame) -> DataFrame:
     return rows.select(F.md5("_t").alias("_m"), F.explode(segments(F.col("_t"))).alias("seg")).join(bad.select("seg"), "seg", "left_semi").select("_m").distinct()
 
 
-def _gathered(docs: DataFrame, figures: Stored, kind: str) -> DataFrame:
-    """doc_id, COUNTS, groups of each document (doc_id, _t), from its segments' packed figures, which go.
-
-    The documents of a part follow its distinct segments in a task. What the parts' segments are and what their figures are
-    is written, so that the shuffles before are gone from the disks when texts and figures meet.
-    """
+def _dealt(docs: DataFrame) -> tuple[int, Column]:
+    """(number of parts, part of a document) of documents (doc_id, _t)."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("_t").cast("long")), F.lit(0)).alias("n")).head()["n"]
     parts = int(size // PART_BYTES) + LEAST_PARTS
-    part = F.pmod(F.xxhash64("doc_id", "_t"), F.lit(parts)).cast("int").alias("part")
-    own = docs.select(part, "_t").repartition(parts, "part").select("part", F.explode(segments(F.col("_t"))).alias("seg")).groupBy("part", "seg").agg(F.count("*").alias("_n"))
-    own = stored(own.drop("_n"), "part-segments")
-    release(docs.sparkSession)  # of the texts' first shuffle
-    met = stored(lookup(own.rows, figures.rows.withColumn("n", F.least("n", F.lit(parts))), ["seg"]), "part-figures")  # a segment is in a part once
+    return parts, F.pmod(F.xxhash64("doc_id", "_t"), F.lit(parts)).cast("int").alias("part")
+
+
+def _gathered(docs: DataFrame, parts: int, part: Column, own: Stored, figures: Stored, seed: int, kind: str) -> DataFrame:
+    """doc_id, COUNTS, groups of each document (doc_id, _t), from the packed figures of its part's segments (own), which both go.
+
+    The documents of a part follow its distinct segments in a task. What their figures are is written, so that the shuffles
+    before are gone from the disks when texts and figures meet.
+    """
+    here = own.rows.select("part", key(F.col("seg"), seed).alias("seg"))
+    met = stored(lookup(here, figures.rows.withColumn("n", F.least("n", F.lit(parts))), ["seg"]), "part-figures")  # a segment is in a part once
     for gone in (own, figures):
         gone.drop()
     release(docs.sparkSession)
     first = met.rows.select("part", F.lit(0).alias("_k"), "seg", "packed", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("string").alias("_t"))
-    later = docs.select(part, F.lit(1).alias("_k"), F.lit(None).cast("string").alias("seg"), F.lit(None).cast("string").alias("packed"), "doc_id", "_t")
-    both = first.unionByName(later).repartition(parts, "part").sortWithinPartitions("part", "_k").withColumn("segs", segments(F.col("_t"))).drop("_t")
-    width, no_texts = len(COUNTS), pa.array([], pa.string())
+    later = docs.select(part, F.lit(1).alias("_k"), F.lit(None).cast("long").alias("seg"), F.lit(None).cast("string").alias("packed"), "doc_id", "_t")
+    both = first.unionByName(later).repartition(parts, "part").sortWithinPartitions("part", "_k", "seg")
+    both = both.withColumn("segs", F.transform(segments(F.col("_t")), lambda s: key(s, seed))).drop("_t")
+    return both.mapInArrow(gather, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in COUNTS) + ", groups string")
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, place, texts, rows = None, {}, no_texts, np.zeros((0, width), np.int64)
-        for batch in batches:
-            at, kind_of = batch.column("part").to_numpy(), batch.column("_k").to_numpy()
-            cuts = [0, *(np.flatnonzero((np.diff(at) != 0) | (np.diff(kind_of) != 0)) + 1).tolist(), batch.num_rows]
-            for i, j in zip(cuts, cuts[1:], strict=False):
-                if i == j:
-                    continue
-                run = batch.slice(i, j - i)
-                if at[i] != now:
-                    now, place, texts, rows = at[i], {}, no_texts, np.zeros((0, width), np.int64)
-                if not kind_of[i]:
-                    place |= {s: k for k, s in enumerate(run.column("seg").to_pylist(), len(texts))}
-                    *numbers, groups = unpacked(run.column("packed"))
-                    texts = pa.concat_arrays([texts, groups])
-                    rows = np.concatenate([rows, np.column_stack([x.cast(pa.int64()).to_numpy() for x in numbers])])
-                    continue
-                for a, b in slices(pc.list_value_length(run.column("segs")).to_pylist(), GATHERED):
-                    segs = run.column("segs").slice(a, b - a)
-                    edges = np.append(0, np.cumsum(pc.list_value_length(segs).to_numpy()))
-                    found = np.fromiter(map(place.__getitem__, segs.flatten().to_pylist()), np.int64, edges[-1])
-                    sums = np.add.reduceat(rows[found], edges[:-1])  # a text has a segment at least
-                    groups = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(edges, pa.int64()), texts.take(pa.array(found))), ";")
-                    yield pa.RecordBatch.from_arrays([run.column("doc_id").slice(a, b - a), *[pa.array(sums[:, c]) for c in range(width)], groups.cast(pa.string())], ["doc_id", *COUNTS, "groups"])
 
-    return both.mapInArrow(gather, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in COUNTS) + ", groups string")
+def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, COUNTS, groups of documents (segs: their segments' numbers), which follow their part's figures in the order of seg."""
+    width = len(COUNTS)
+    now, held, keys, rows, texts = None, [], np.zeros(0, np.int64), np.zeros((0, width), np.int64), pa.array([], pa.string())
+    for batch in batches:
+        at, kind_of = batch.column("part").to_numpy(), batch.column("_k").to_numpy()
+        cuts = [0, *(np.flatnonzero((np.diff(at) != 0) | (np.diff(kind_of) != 0)) + 1).tolist(), batch.num_rows]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if i == j:
+                continue
+            run = batch.slice(i, j - i)
+            if at[i] != now:
+                now, held = at[i], []
+            if not kind_of[i]:
+                *numbers, groups = unpacked(run.column("packed"))
+                held.append((run.column("seg").to_numpy(), np.column_stack([x.cast(pa.int64()).to_numpy() for x in numbers]), groups))
+                continue
+            if held:  # all figures of the part are there
+                keys, rows = (np.concatenate([h[c] for h in held]) for c in range(2))
+                texts, held = pa.concat_arrays([h[2] for h in held]), []
+            for a, b in slices(pc.list_value_length(run.column("segs")).to_pylist(), GATHERED):
+                segs = run.column("segs").slice(a, b - a)
+                edges = np.append(0, np.cumsum(pc.list_value_length(segs).to_numpy()))
+                asked = segs.flatten().to_numpy()
+                found = np.searchsorted(keys, asked)
+                if (keys.take(found, mode="clip") != asked).any():
+                    raise KeyError(f"part {now} has documents with segments without figures")
+                sums = np.add.reduceat(rows[found], edges[:-1])  # a text has a segment at least
+                groups = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(edges, pa.int64()), texts.take(pa.array(found))), ";")
+                yield pa.RecordBatch.from_arrays([run.column("doc_id").slice(a, b - a), *[pa.array(sums[:, c]) for c in range(width)], groups.cast(pa.string())], ["doc_id", *COUNTS, "groups"])
 
 
 def align_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", a_path: str | None = None, b_path: str | None = None) -> DataFrame:
@@ -220,9 +241,13 @@ def align_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     kind = dict(docs.select(F.col(doc_id)).dtypes)[doc_id]
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t"))
     some = rows.filter("_t <> ''")
-    found = some.select(F.explode(segments(F.col("_t"))).alias("seg")).groupBy("seg").agg(F.count("*").alias("n"))
-    encoded = encode_segments(found, a_path or default_path(), b_path or default_pieces()).withColumn("sid", F.monotonically_increasing_id())
-    segs = stored(encoded, "segments")
+    parts, part = _dealt(some)
+    own = some.select(part, "_t").repartition(parts, "part").select("part", F.explode(segments(F.col("_t"))).alias("seg"))
+    own = stored(own.groupBy("part", "seg").agg(F.count("*").alias("n")), "part-segments")
+    release(docs.sparkSession)  # of the texts' first shuffle
+    found = own.rows.groupBy("seg").agg(F.sum("n").alias("n"))
+    segs = stored(encode_segments(found, a_path or default_path(), b_path or default_pieces()), "segments")
+    seed = telling(segs.rows)
     bad = segs.rows.filter("not ok")
     good, fine, without = some, segs.rows.filter("ok"), rows.filter("_t is null or _t = ''")
     if bad.head(1):
@@ -231,9 +256,10 @@ def align_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         less = out.select(F.explode(segments(F.col("_t"))).alias("seg")).groupBy("seg").agg(F.count("*").alias("_less"))
         good, without = some.join(gone, F.md5("_t") == F.col("_m"), "left_anti"), without.unionByName(out)
         fine = fine.join(less, "seg", "left").withColumn("n", F.col("n") - F.coalesce("_less", F.lit(0))).drop("_less").filter("n > 0")
+    fine = fine.withColumn("sid", key(F.col("seg"), seed))
     aligned = stored(by_segment(align_segments(fine.select("sid", "n", "a", "b"))), "segments-aligned")
     figures = stored(packed(segment_figures(fine, aligned.rows)), "segment-figures")
     aligned.drop()
     segs.drop()
     release(docs.sparkSession)
-    return _gathered(good, figures, kind).unionByName(without.select("doc_id", *[F.lit(0).cast("long").alias(c) for c in COUNTS], F.lit("").alias("groups")))
+    return _gathered(good, parts, part, own, figures, seed, kind).unionByName(without.select("doc_id", *[F.lit(0).cast("long").alias(c) for c in COUNTS], F.lit("").alias("groups")))

@@ -165,6 +165,33 @@ def test_alignment_leaves_little_on_disk(spark, tmp_path, monkeypatch):
     assert [x.to_pylist() for x in numbers] == [["1", "0"], ["22", "0"], ["3", "0"], ["4", "0"], ["5", "0"], ["67890123456", "0"]] and groups.to_pylist() == ["1|2;3,4|5", ""]
 
 
+def test_alignment_gathers_by_numbers(spark, monkeypatch):
+    """Segments are numbers where documents gather them: another seed is taken when two are equal, and a part holds no texts of segments."""
+    import tracemalloc
+
+    texts = [*drawn(5, 40), "bad \u2581 one and good words", "good words and good words"]
+    texts = [t.replace("\x00", "") for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hashed, seeds = token_alignment.key, []
+    monkeypatch.setattr(token_alignment, "key", lambda seg, seed: seeds.append(seed) or (hashed(seg, seed) % 7 if seed < 2 else hashed(seg, seed)))
+    rows = {r["doc_id"]: tuple(r[c] for c in COLUMNS) for r in token_alignment.align_documents(df).collect()}
+    assert [rows[k] for k in range(len(texts))] == alignments(texts) and set(seeds) == {0, 1, 2}
+    n = 200_000
+    keys = np.sort(np.random.default_rng(1).integers(-(1 << 62), 1 << 62, n))
+    names = ["part", "_k", "seg", "packed", "doc_id", "segs"]
+    part = lambda size, k: [pa.array(np.zeros(size, np.int32)), pa.array(np.full(size, k, np.int32))]
+    figures = [pa.RecordBatch.from_arrays([*part(10_000, 0), pa.array(keys[i : i + 10_000]), pa.array([f"1 1 1 1 1 {k} {k}|7" for k in range(i, i + 10_000)]), pa.nulls(10_000, pa.int64()), pa.nulls(10_000, pa.list_(pa.int64()))], names) for i in range(0, n, 10_000)]
+    asked = pa.RecordBatch.from_arrays([*part(2, 1), pa.nulls(2, pa.int64()), pa.nulls(2, pa.string()), pa.array([4, None], pa.int64()), pa.array([[int(keys[5]), int(keys[-1]), int(keys[5])], [int(keys[0])]])], names)
+    tracemalloc.start()
+    out = pa.Table.from_batches(token_alignment.gather(iter([*figures, asked])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.column("count_sum").to_pylist() == [n + 9, 0] and out.column("groups").to_pylist() == ["5|7;199999|7;5|7", "0|7"] and out.column("n_a").to_pylist() == [3, 1]
+    assert peak < 150 * n  # a dictionary of texts takes more than that alone
+    with pytest.raises(KeyError):
+        list(token_alignment.gather(iter([figures[0], asked])))
+
+
 def test_op12(spark, sf_dir):
     given = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     given = [r for r in given if not r["text"] or len(r["text"]) < 200_000]
