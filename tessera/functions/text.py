@@ -24,7 +24,7 @@ _HUMPED = "\\p{L}\\p{Lu}"
 
 
 def normalize_newlines(text: Column) -> Column:
-    return F.regexp_replace(text, "\r\n?", "\n")
+    return F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, "\r\n?", "\n")).otherwise(text)
 
 
 def split_lines(text: Column) -> Column:
@@ -43,6 +43,12 @@ def begins_with(line: Column, words: Sequence[str]) -> Column:
     return line.rlike(f"^[{_SPACE}]*(?i:" + "|".join(map(re.escape, words)) + ")")
 
 
+def line_begins_with(text: Column, words: Sequence[str]) -> Column:
+    """Whether a line of a text may begin with one of the words: true if `begins_with` is for one of its lines."""
+    # a pattern that begins with a class of characters skips all others fast
+    return F.concat(F.lit("\n"), text).rlike(f"[\r\n][{_SPACE}]*+(?i:" + "|".join(map(re.escape, words)) + ")")
+
+
 def drop_string_literals(text: Column) -> Column:
     """Quoted literals (also unterminated ones) replaced by a separator; applied to a whole file."""
     return F.regexp_replace(text, _LITERALS, " ")

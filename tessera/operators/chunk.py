@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.config import ChunkConfig
-from tessera.functions.text import begins_with, normalize_newlines, snippet, split_lines, trim_space
+from tessera.functions.text import begins_with, line_begins_with, normalize_newlines, snippet, split_lines, trim_space
 
 # Beginnings of top-level declarations (of lower-cased, trimmed lines).
 BOUNDARIES = (
@@ -140,6 +140,17 @@ def chunked_lines(lines: DataFrame, config: ChunkConfig, *first: str, each: tupl
     return per.select("path", *first, "lines", F.flatten(F.transform("_b", lambda b: windows(b["start"], b["end"], config))).alias("chunks"))
 
 
+def undeclared(content: Column) -> Column:
+    """Whether no line of a text can begin a declaration, so that the file is one block."""
+    return ~line_begins_with(content, (*BOUNDARIES, "export {"))
+
+
+def whole_lines(files: DataFrame, config: ChunkConfig, *first: str, content: str = "content") -> DataFrame:
+    """What `chunked_lines` gives for files of one block (rows with distinct paths), each made from its own row."""
+    rows = files.select("path", *first, split_lines(normalize_newlines(F.col(content))).alias("lines"))
+    return rows.withColumn("chunks", windows(F.lit(1), F.size("lines"), config))
+
+
 def merge_short(found: Column, min_lines: int) -> Column:
     """Fold an ordered array of (start, end): a block absorbs the following ones until it has min_lines."""
     empty = F.slice(found, 1, 0)

@@ -14,9 +14,9 @@ from pyspark.sql.types import ArrayType
 from tessera.config import SCHEMA_VERSION, EngineConfig, TokenConfig
 from tessera.functions.text import normalize_newlines, path_tokens, snippet, split_lines, trim_space
 from tessera.operators.blocks import document_frequency, listed, merged, unpacked
-from tessera.operators.chunk import chunked_lines
+from tessera.operators.chunk import chunked_lines, undeclared, whole_lines
 from tessera.operators.hashing import fnv64_bulk
-from tessera.operators.literals import without_literals
+from tessera.operators.literals import quoteless, without_literals
 from tessera.operators.ranges import Saved, delete, numbered, prefix_sums, saved
 from tessera.operators.words import with_tokens
 from tessera.sources import store
@@ -33,20 +33,26 @@ class Index:
     scratch: tuple[Saved, ...] = ()  # tables that the others are read from, until they are written
 
 
-def tokenized(files: DataFrame, config: EngineConfig, content: str = "content", joined: bool = False) -> DataFrame:
+def tokenized(files: DataFrame, config: EngineConfig, content: str = "content", joined: bool = False, direct: bool = False) -> DataFrame:
     """path, mtime, size, hash64, chunks: array of (start_line, end_line, snippet, tokens) per file.
 
     String literals are recognised over the whole file, tokens are those of a chunk's lines and of the path. Contents are
     hashed where they are read (unless files has hash64 already) and then shuffled once, as lines. joined: a chunk's tokens
-    are a text with a space between them, which is cheaper to write and to read again than an array.
+    are a text with a space between them, which is cheaper to write and to read again than an array. direct: files that are one
+    block and whose literals need no other line's are cut where they are read, and only the others' lines are shuffled; files
+    is then read more than once, which pays for a table. Rows that share a path are always taken together, as lines.
     """
-    hashed = files if "hash64" in files.columns else fnv64_bulk(files.select("path", "mtime", "size", content), content)
-    lines = hashed.select("path", F.struct("mtime", "size", "hash64").alias("_file"), F.posexplode(split_lines(normalize_newlines(F.col(content)))).alias("_p", "text"))
-    lines = lines.select("path", (F.col("_p") + 1).alias("line"), "text", F.when(F.col("_p") == 0, F.col("_file")).alias("_file"))
-    if config.token.string_literals:
-        per = chunked_lines(lines, config.chunk, "_file").withColumn("_code", F.col("lines"))
+    if direct:
+        c = F.col(content)
+        alone = c.isNull() | (undeclared(c) if config.token.string_literals else quoteless(c) & undeclared(c))
+        again = files.groupBy("path").agg(F.count("*").alias("_n")).filter("_n > 1").select("path")
+        more = None
+        if again.head(1):
+            files, more = files.join(again, "path", "left_anti"), files.join(again, "path", "left_semi")
+        rest = files.filter(~alone)
+        per = _cut_whole(files.filter(alone), config, content).unionByName(_cut(rest if more is None else rest.unionByName(more), config, content))
     else:
-        per = chunked_lines(without_literals(lines), config.chunk, "_file", each=("code",)).withColumnRenamed("code", "_code")
+        per = _cut(files, config, content)
 
     def described(c: Column) -> Column:
         return F.struct(c["start"].alias("start_line"), c["end"].alias("end_line"), snippet(F.col("_trimmed"), c["start"], c["end"], config.max_snippet_bytes, trimmed=True).alias("snippet"))
@@ -60,6 +66,26 @@ def tokenized(files: DataFrame, config: EngineConfig, content: str = "content",
     return out.withColumn("chunks", F.transform("chunks", apart))
 
 
+def _hashed(files: DataFrame, content: str) -> DataFrame:
+    return files if "hash64" in files.columns else fnv64_bulk(files.select("path", "mtime", "size", content), content)
+
+
+def _cut_whole(files: DataFrame, config: EngineConfig, content: str) -> DataFrame:
+    """path, _file, lines, chunks, _code (lines without literals) of files that are one block without literals that count."""
+    rows = _hashed(files.filter(F.col(content).isNotNull()), content).withColumn("_file", F.struct("mtime", "size", "hash64"))
+    return whole_lines(rows, config.chunk, "_file", content=content).withColumn("_code", F.col("lines"))
+
+
+def _cut(files: DataFrame, config: EngineConfig, content: str) -> DataFrame:
+    """path, _file, lines, chunks, _code (lines without literals) of any files, whose lines are shuffled."""
+    hashed = _hashed(files, content)
+    lines = hashed.select("path", F.struct("mtime", "size", "hash64").alias("_file"), F.posexplode(split_lines(normalize_newlines(F.col(content)))).alias("_p", "text"))
+    lines = lines.select("path", (F.col("_p") + 1).alias("line"), "text", F.when(F.col("_p") == 0, F.col("_file")).alias("_file"))
+    if config.token.string_literals:
+        return chunked_lines(lines, config.chunk, "_file").withColumn("_code", F.col("lines"))
+    return chunked_lines(without_literals(lines), config.chunk, "_file", each=("code",)).withColumnRenamed("code", "_code")
+
+
 def _literal_free(config: EngineConfig) -> TokenConfig:
     return replace(config.token, string_literals=True)  # literals are gone already where they must not count
 

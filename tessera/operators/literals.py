@@ -30,6 +30,11 @@ def _after(text: Column, quote: str) -> Column:
     return F.when(text.rlike(end), F.regexp_replace(text, end, ""))
 
 
+def quoteless(text: Column) -> Column:
+    """Whether a text has no literals."""
+    return ~(F.contains(text, F.lit("'")) | F.contains(text, F.lit('"')) | F.contains(text, F.lit("`")))
+
+
 def line_map(text: Column) -> Column:
     """Where a line ends for each state that it can begin in, two bits each."""
     out = _open(text)

@@ -139,7 +139,7 @@ def _input(spark: SparkSession, sf_dir: str) -> tuple:
 
 def _tokens(spark: SparkSession, sf_dir: str) -> Saved:
     """Tokens of the documents and the code corpus, cut into chunks."""
-    return saved(I.tokenized(_code(spark, sf_dir), replace(EngineConfig(), token=TOKENS, chunk=SMALL), joined=True), "tokens")
+    return saved(I.tokenized(_code(spark, sf_dir), replace(EngineConfig(), token=TOKENS, chunk=SMALL), joined=True, direct=True), "tokens")
 
 
 def _written(spark: SparkSession, sf_dir: str) -> str:
@@ -460,7 +460,8 @@ per AS (SELECT c.path, c.ordinal, b.clean, array_to_string(b.code[c."start":c."e
 SELECT path, ordinal::INT AS ordinal, array_to_string(list_sort(list_distinct(list_concat({_sql_tokens(_sql_idents("content"))}, {_sql_tokens(_sql_idents("clean"))}))), ' ') AS tokens FROM per""")
 def file_tokens(spark, sf_dir):
     """Chunks' tokens as the index gets them: literals are recognised from the file's start, the path's tokens are added."""
-    rows = I.tokenized(_code(spark, sf_dir), replace(EngineConfig(), token=NO_STRINGS, chunk=SMALL), joined=True)
+    files = _code(spark, sf_dir).withColumn("hash64", F.lit(None).cast("long"))  # its hashes are not asked for
+    rows = I.tokenized(files, replace(EngineConfig(), token=NO_STRINGS, chunk=SMALL), joined=True, direct=True)
     return rows.select("path", F.posexplode("chunks").alias("ordinal", "c")).select("path", "ordinal", "c.tokens")
 
 

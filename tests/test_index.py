@@ -29,6 +29,27 @@ from tessera.streaming.serve import index_stream, publish
 TOKENS = TokenConfig(min_len=2)
 
 
+@pytest.mark.parametrize("literals", [True, False])
+def test_files_of_one_block_are_not_shuffled(spark, monkeypatch, literals):
+    """Only files that a declaration or a literal may cut send lines to be shuffled, and the rows are those of all files' lines."""
+    plain = [f"Some words of fileNumber{k},\n  importance or Classes ( {{ /* \n\nlast{k}" + "\nmore" * (k % 23) for k in range(40)] + ["", "\n", "\r\r\n", "x" * 3000, "an import in a line\nno_import x"]
+    cut = ["import a", "one\n\u00a0\t\u3000IMPORT b\nconst c = 1\ntwo", "x\rclass A {\r}\rlet b", "export {a}\nb\nc", "\n\n\x0b Function f", "a {\ntype T\n}\ntype U", "/* \nlet x\n*/\nlet y"]
+    quoted = ["it's\nimportant words", "a `\nconst b\n` c\nd", 'say "no\nmore']
+    texts = [*plain, *cut, *quoted, None, "first of a path", "let second = 1", "first of a path"]
+    paths = [*(f"p{i}.ts" for i in range(len(texts) - 3)), "same.ts", "same.ts", "same.ts"]
+    files = spark.createDataFrame([(p, 0, 1, x) for p, x in zip(paths, texts, strict=True)], "path string, mtime long, size long, content string").repartition(3)
+    config = replace(EngineConfig(), token=replace(TOKENS, string_literals=literals), chunk=ChunkConfig(max_lines=8, overlap_lines=2, min_lines=3))
+    every = sorted(I.tokenized(files, config, joined=True).collect())
+    seen = []
+    shuffled = I.chunked_lines
+    monkeypatch.setattr(I, "chunked_lines", lambda lines, *a, **k: seen.append({r[0] for r in lines.select("path").collect()}) or shuffled(lines, *a, **k))
+    assert sorted(I.tokenized(files, config, joined=True, direct=True).collect()) == every and len(every) == len(set(paths)) - 1
+    late = len(plain) + len(cut)
+    wanted = {f"p{i}.ts" for i in range(len(plain), late)} | {"same.ts"} | {f"p{late + i}.ts" for i in range(len(quoted)) if not literals or i == 1}
+    assert seen == [wanted]
+    assert I.tokenized(files.limit(0), config, direct=True).count() == 0
+
+
 def test_blocks_split_a_term_in_every_chunk(spark, monkeypatch):
     """One term in all chunks: no block holds more than its size, the lists come back whole, repeats fall away."""
     monkeypatch.setattr(B, "BLOCK", 50)
