@@ -12,7 +12,8 @@ number, punctuation or symbol), and each distinct segment is encoded and aligned
 Documents then gather their segments' figures. They are dealt to parts of some tens of megabytes, whose distinct segments are
 counted and written first: they sum up to the table of segments, later meet it again, and a part's documents meet only their
 part's segments. So texts are shuffled twice and cut twice, occurrences of segments are never shuffled, and a segment that is everywhere is one row for each part. There a segment is a number: a hash with the first seed by which
-no two segments of the table are equal, so a part holds no texts of segments.
+no two segments of the table are equal, so a part holds no texts of segments. A part's figures travel as compressed blocks,
+and its documents reach the gathering task in pieces, so that a batch holds no long documents.
 
 The first tokenizer is a byte-level BPE whose splitting pattern never has a space after a non-space inside a word, the second
 a sentencepiece model that adds a space in front; a model with a piece that has a space after another character is refused.
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import vocabulary
-from tessera.llm.common import Stored, lookup, release, slices, stored, table
+from tessera.llm.common import Stored, by_key, lookup, release, slices, stored, table
 from tessera.llm.tokens import default_path
 
 #: Bytes of text in a part, and parts at least.
@@ -43,8 +44,8 @@ PART_BYTES, LEAST_PARTS = 64_000_000, 6
 SIZES = 1 << 14
 #: Distinct pairs of ids that are broadcast; more are joined by their key.
 LISTED_PAIRS = 1_000_000
-#: Segments whose figures a task gathers at once.
-GATHERED = 200_000
+#: Segments whose figures a task gathers at once, whose figures are in a block at most, and of a document in a piece at most.
+GATHERED, BLOCK, PIECE = 200_000, 20_000, 50
 COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 #: A border between segments: a space after a character that is no space in any Unicode version.
 BORDER = "(?= )(?<=[\\p{L}\\p{M}\\p{N}\\p{P}\\p{S}])"
@@ -79,6 +80,12 @@ def _pieces(path: str) -> tuple[object, list[bytes], int]:
     return model, as_bytes, len(model.encode("x"))
 
 
+def returned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; Arrow's free memory goes back after the last one, as Python workers wait for other tasks with what they hold."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def segments(text: Column) -> Column:
     """The segments of a space and the text."""
     return F.split(F.concat(F.lit(" "), text), BORDER, -1)
@@ -101,7 +108,7 @@ def encode_segments(rows: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 sides.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, side)]), pa.int32()), pa.array(ids * np.int32(SIZES) + size[ids])))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *sides, pa.array(ok, pa.bool_())], ["seg", "n", "a", "b", "ok"])
 
-    return rows.select("seg", "n").mapInArrow(encode, "seg string, n long, a array<int>, b array<int>, ok boolean")
+    return rows.select("seg", "n").mapInArrow(lambda batches: returned(encode(batches)), "seg string, n long, a array<int>, b array<int>, ok boolean")
 
 
 def key(seg: Column, seed: int) -> Column:
@@ -138,17 +145,17 @@ def _ids(side: str) -> Column:
 
 
 def by_segment(links: DataFrame) -> DataFrame:
-    """sid, n, n_groups, n_links, groups (as text), links (array of both ids in one number) of each segment."""
+    """sid, n, n_a, n_b, n_groups, n_links, groups (as text), links (array of both ids in one number) of each segment."""
     here = F.array_sort(F.collect_list(F.struct("end", "a", "b", "ends_a", "ends_b")))
-    groups = links.groupBy("sid", "n", "group").agg(here.alias("_l"))
+    groups = links.groupBy("sid", "n", "group").agg(here.alias("_l"), *[F.count_if(f"ends_{c}").alias(f"n_{c}") for c in "ab"])
     pairs = F.transform("_l", lambda x: F.shiftleft(x["a"].cast("long"), 32) + x["b"])
-    groups = groups.select("sid", "n", F.struct("group", F.concat(_ids("a"), F.lit("|"), _ids("b")).alias("g"), pairs.alias("links")).alias("_g"))
-    per = groups.groupBy("sid", "n").agg(F.array_sort(F.collect_list("_g")).alias("_g"))
+    groups = groups.select("sid", "n", "n_a", "n_b", F.struct("group", F.concat(_ids("a"), F.lit("|"), _ids("b")).alias("g"), pairs.alias("links")).alias("_g"))
+    per = groups.groupBy("sid", "n").agg(F.array_sort(F.collect_list("_g")).alias("_g"), *[F.sum(f"n_{c}").alias(f"n_{c}") for c in "ab"])
     per = per.withColumn("links", F.flatten(F.transform("_g", lambda x: x["links"])))
-    return per.select("sid", "n", F.size("_g").cast("long").alias("n_groups"), F.size("links").cast("long").alias("n_links"), F.array_join(F.transform("_g", lambda x: x["g"]), ";").alias("groups"), "links")
+    return per.select("sid", "n", "n_a", "n_b", F.size("_g").cast("long").alias("n_groups"), F.size("links").cast("long").alias("n_links"), F.array_join(F.transform("_g", lambda x: x["g"]), ";").alias("groups"), "links")
 
 
-def segment_figures(segs: DataFrame, aligned: DataFrame) -> DataFrame:
+def segment_figures(aligned: DataFrame) -> DataFrame:
     """sid, n, n_a, n_b, n_groups, n_links, n_best, count_sum, groups of each segment; aligned: stored."""
     links = aligned.select("sid", "n", F.explode("links").alias("pair"))
     counts = stored(links.groupBy("pair").agg(F.sum("n").alias("pair_count"), F.count("*").alias("n")).withColumn("b", F.col("pair") % (1 << 32)), "token-pairs")
@@ -159,8 +166,7 @@ def segment_figures(segs: DataFrame, aligned: DataFrame) -> DataFrame:
     else:
         met = lookup(links.select("sid", "pair"), weighed, ["pair"])
     sums = met.groupBy("sid").agg(F.sum("_best").alias("n_best"), F.sum("pair_count").alias("count_sum"))
-    sizes = segs.select("sid", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"))
-    return sizes.join(aligned.drop("links"), "sid").join(sums, "sid")
+    return aligned.drop("links").join(sums, "sid")
 
 
 def packed(figures: DataFrame) -> DataFrame:
@@ -174,6 +180,60 @@ def unpacked(texts: pa.Array) -> list[pa.Array]:
     return [flat.take(pa.array(np.arange(c, len(flat), width))) for c in range(width)]
 
 
+def blocked(rows: DataFrame) -> DataFrame:
+    """part, seg (array), packed (compressed): the rows (part, seg, packed) of each task, up to BLOCK of a part in one."""
+    most = BLOCK
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd", use_threads=False)
+        for (part,), all_rows in by_key(batches, 1):
+            for at in range(0, all_rows.num_rows, most):
+                own = all_rows.slice(at, most).combine_chunks().sort_by("packed")  # like texts beside each other take less
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, pa.schema([("packed", pa.string())]), options=options) as out:
+                    out.write_table(pa.table([own["packed"].cast(pa.string())], ["packed"]))
+                segs = pa.ListArray.from_arrays(pa.array([0, own.num_rows], pa.int32()), own["seg"].combine_chunks())
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), segs, pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["part", "seg", "packed"])
+
+    return rows.select("part", "seg", "packed").sortWithinPartitions("part").mapInArrow(lambda batches: returned(pack(batches)), "part int, seg array<long>, packed binary")
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+    """(part, kind, rows) of each run of rows with the same part and kind."""
+    at, kind = batch.column("part").to_numpy(), batch.column("_k").to_numpy()
+    cuts = [0, *(np.flatnonzero((np.diff(at) != 0) | (np.diff(kind) != 0)) + 1).tolist(), batch.num_rows]
+    for i, j in zip(cuts, cuts[1:], strict=False):
+        if i < j:
+            yield int(at[i]), int(kind[i]), batch.slice(i, j - i)
+
+
+def unblocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What `gather` reads, of a part's blocks (_k 0: seg, packed) and then its documents' pieces (_k 1: doc_id, piece, last)."""
+    early: list[pa.RecordBatch] = []  # pieces of a document that goes on in the next batch
+    for batch in batches:
+        for part, kind, run in _runs(batch):
+            if not kind:
+                for segs, block in zip(run.column("seg"), run.column("packed"), strict=True):
+                    packed = pa.ipc.open_stream(block.as_buffer()).read_all()["packed"].combine_chunks()
+                    yield _asked(part, 0, len(packed), segs.values, packed, pa.nulls(len(packed), run.column("doc_id").type), pa.nulls(len(packed), pa.list_(pa.int64())))
+                continue
+            early.append(run.select(["doc_id", "piece", "last"]))
+            if not pc.any(run.column("last")).as_py():
+                continue
+            rows = pa.Table.from_batches(early).combine_chunks().to_batches()[0]
+            ends = np.flatnonzero(rows.column("last").to_numpy(zero_copy_only=False))
+            done = int(ends[-1]) + 1
+            early = [rows.slice(done)] if done < rows.num_rows else []
+            pieces = rows.column("piece").slice(0, done)
+            edges = np.append(0, np.cumsum(pc.list_value_length(pieces).to_numpy())[ends])
+            segs = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pieces.flatten())
+            yield _asked(part, 1, len(ends), pa.nulls(len(ends), pa.int64()), pa.nulls(len(ends), pa.string()), rows.column("doc_id").take(pa.array(ends)), segs)
+
+
+def _asked(part: int, kind: int, n: int, *columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, x, np.int32)) for x in (part, kind)] + list(columns), ["part", "_k", "seg", "packed", "doc_id", "segs"])
+
+
 def _bad_texts(rows: DataFrame, bad: DataFrame) -> DataFrame:
     """The digests of texts with a segment whose tokens do not join to it."""
     return rows.select(F.md5("_t").alias("_m"), F.explode(segments(F.col("_t"))).alias("seg")).join(bad.select("seg"), "seg", "left_semi").select("_m").distinct()
@@ -193,37 +253,40 @@ def _gathered(docs: DataFrame, parts: int, part: Column, own: Stored, figures: S
     before are gone from the disks when texts and figures meet.
     """
     here = own.rows.select("part", key(F.col("seg"), seed).alias("seg"))
-    met = stored(lookup(here, figures.rows.withColumn("n", F.least("n", F.lit(parts))), ["seg"]), "part-figures")  # a segment is in a part once
+    met = stored(blocked(lookup(here, figures.rows.withColumn("n", F.least("n", F.lit(parts))), ["seg"])), "part-figures")  # a segment is in a part once
     for gone in (own, figures):
         gone.drop()
     release(docs.sparkSession)
     first = met.rows.select("part", F.lit(0).alias("_k"), "seg", "packed", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("string").alias("_t"))
-    later = docs.select(part, F.lit(1).alias("_k"), F.lit(None).cast("long").alias("seg"), F.lit(None).cast("string").alias("packed"), "doc_id", "_t")
-    both = first.unionByName(later).repartition(parts, "part").sortWithinPartitions("part", "_k", "seg")
-    both = both.withColumn("segs", F.transform(segments(F.col("_t")), lambda s: key(s, seed))).drop("_t")
-    return both.mapInArrow(gather, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in COUNTS) + ", groups string")
+    later = docs.select(part, F.lit(1).alias("_k"), F.lit(None).cast("array<long>").alias("seg"), F.lit(None).cast("binary").alias("packed"), "doc_id", "_t")
+    both = first.unionByName(later).repartition(parts, "part").sortWithinPartitions("part", "_k")
+    both = both.withColumn("_s", F.transform(segments(F.col("_t")), lambda s: key(s, seed)))
+    most = F.floor((F.size("_s") - 1) / PIECE).cast("int")
+    cut = lambda i: F.struct(F.slice("_s", i * PIECE + 1, F.lit(PIECE)).alias("piece"), (i == most).alias("last"))
+    both = both.select("part", "_k", "seg", "packed", "doc_id", F.explode_outer(F.transform(F.sequence(F.lit(0), most), cut)).alias("_p"))
+    both = both.select("part", "_k", "seg", "packed", "doc_id", "_p.piece", "_p.last")
+    return both.mapInArrow(lambda batches: returned(gather(unblocked(batches))), f"doc_id {kind}, " + ", ".join(f"{c} long" for c in COUNTS) + ", groups string")
 
 
 def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, COUNTS, groups of documents (segs: their segments' numbers), which follow their part's figures in the order of seg."""
+    """doc_id, COUNTS, groups of documents (segs: their segments' numbers), which follow their part's figures (in any order)."""
     width = len(COUNTS)
-    now, held, keys, rows, texts = None, [], np.zeros(0, np.int64), np.zeros((0, width), np.int64), pa.array([], pa.string())
+    sizes = [np.int64 if c == "count_sum" else np.int32 for c in COUNTS]
+    now, held, keys, rows, texts = None, [], np.zeros(0, np.int64), [np.zeros(0, x) for x in sizes], pa.array([], pa.string())
     for batch in batches:
-        at, kind_of = batch.column("part").to_numpy(), batch.column("_k").to_numpy()
-        cuts = [0, *(np.flatnonzero((np.diff(at) != 0) | (np.diff(kind_of) != 0)) + 1).tolist(), batch.num_rows]
-        for i, j in zip(cuts, cuts[1:], strict=False):
-            if i == j:
-                continue
-            run = batch.slice(i, j - i)
-            if at[i] != now:
-                now, held = at[i], []
-            if not kind_of[i]:
+        for at, kind, run in _runs(batch):
+            if at != now:
+                now, held = at, []
+                keys, rows, texts = keys[:0].copy(), [x[:0].copy() for x in rows], pa.array([], pa.string())  # two parts are not held at once
+            if not kind:
                 *numbers, groups = unpacked(run.column("packed"))
-                held.append((run.column("seg").to_numpy(), np.column_stack([x.cast(pa.int64()).to_numpy() for x in numbers]), groups))
+                held.append((run.column("seg").to_numpy(), [x.cast(pa.int64()).to_numpy().astype(y) for x, y in zip(numbers, sizes, strict=True)], groups))
                 continue
             if held:  # all figures of the part are there
-                keys, rows = (np.concatenate([h[c] for h in held]) for c in range(2))
-                texts, held = pa.concat_arrays([h[2] for h in held]), []
+                keys = np.concatenate([h[0] for h in held])
+                order = np.argsort(keys)
+                keys, rows = keys[order], [np.concatenate([h[1][c] for h in held])[order] for c in range(width)]
+                texts, held = pa.concat_arrays([h[2] for h in held]).take(pa.array(order)), []
             for a, b in slices(pc.list_value_length(run.column("segs")).to_pylist(), GATHERED):
                 segs = run.column("segs").slice(a, b - a)
                 edges = np.append(0, np.cumsum(pc.list_value_length(segs).to_numpy()))
@@ -231,9 +294,9 @@ def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found = np.searchsorted(keys, asked)
                 if (keys.take(found, mode="clip") != asked).any():
                     raise KeyError(f"part {now} has documents with segments without figures")
-                sums = np.add.reduceat(rows[found], edges[:-1])  # a text has a segment at least
+                sums = [np.add.reduceat(x[found], edges[:-1], dtype=np.int64) for x in rows]  # a text has a segment at least
                 groups = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(edges, pa.int64()), texts.take(pa.array(found))), ";")
-                yield pa.RecordBatch.from_arrays([run.column("doc_id").slice(a, b - a), *[pa.array(sums[:, c]) for c in range(width)], groups.cast(pa.string())], ["doc_id", *COUNTS, "groups"])
+                yield pa.RecordBatch.from_arrays([run.column("doc_id").slice(a, b - a), *map(pa.array, sums), groups.cast(pa.string())], ["doc_id", *COUNTS, "groups"])
 
 
 def align_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", a_path: str | None = None, b_path: str | None = None) -> DataFrame:
@@ -258,8 +321,9 @@ def align_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         fine = fine.join(less, "seg", "left").withColumn("n", F.col("n") - F.coalesce("_less", F.lit(0))).drop("_less").filter("n > 0")
     fine = fine.withColumn("sid", key(F.col("seg"), seed))
     aligned = stored(by_segment(align_segments(fine.select("sid", "n", "a", "b"))), "segments-aligned")
-    figures = stored(packed(segment_figures(fine, aligned.rows)), "segment-figures")
-    aligned.drop()
     segs.drop()
     release(docs.sparkSession)
+    figures = stored(packed(segment_figures(aligned.rows)), "segment-figures")
+    aligned.drop()
+    release(docs.sparkSession)
     return _gathered(good, parts, part, own, figures, seed, kind).unionByName(without.select("doc_id", *[F.lit(0).cast("long").alias(c) for c in COUNTS], F.lit("").alias("groups")))

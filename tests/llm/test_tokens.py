@@ -192,6 +192,41 @@ def test_alignment_gathers_by_numbers(spark, monkeypatch):
         list(token_alignment.gather(iter([figures[0], asked])))
 
 
+def test_alignment_in_blocks(spark, monkeypatch):
+    """Figures travel as compressed blocks, documents reach the gathering task in pieces that go on over its batches."""
+    monkeypatch.setattr(token_alignment, "BLOCK", 7)
+    monkeypatch.setattr(token_alignment, "PIECE", 3)
+    texts = [*(" ".join(random.Random(k).choices([f"tide{i}" for i in range(90)], k=1 + 13 * (k % 4))) for k in range(40)), "x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    folders = []
+    save = token_alignment.stored
+    monkeypatch.setattr(token_alignment, "stored", lambda rows, name: folders.append(save(rows, name)) or folders[-1])
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    given = spark.conf.get(batch)
+    try:
+        spark.conf.set(batch, "2")
+        rows = {r["doc_id"]: tuple(r[c] for c in COLUMNS) for r in token_alignment.align_documents(df).collect()}
+    finally:
+        spark.conf.set(batch, given)
+    assert [rows[k] for k in range(len(texts))] == alignments(texts)
+    sizes = [len(r["seg"]) for r in folders[-1].rows.collect()]
+    assert max(sizes) == 7 and 3 * len(sizes) < sum(sizes)
+    before = pa.total_allocated_bytes()
+    names = ["part", "_k", "seg", "packed", "doc_id", "segs"]
+    part = lambda at, k, n, *columns: pa.RecordBatch.from_arrays([pa.array(np.full(n, x, np.int32)) for x in (at, k)] + list(columns), names)
+    wide = 100_000
+
+    def parts():
+        """Two parts with a text of figures each; when the second begins, what was held of the first is gone."""
+        for at in range(2):
+            yield part(at, 0, 1, pa.array([at]), pa.array([f"1 1 1 1 1 1 {'7' * wide}"]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())))
+            if at:
+                assert pa.total_allocated_bytes() - before < 4 * wide
+            yield part(at, 1, 1, pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.array([at]), pa.array([[at]]))
+
+    assert [len(b.column("groups")[0].as_py()) for b in token_alignment.returned(token_alignment.gather(parts()))] == [wide, wide]
+
+
 def test_op12(spark, sf_dir):
     given = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     given = [r for r in given if not r["text"] or len(r["text"]) < 200_000]
