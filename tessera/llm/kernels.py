@@ -14,6 +14,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 _PLACES = random_words(64, 1)
+#: The first bytes of a word of eight, by their number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _STEPS = random_words(64, 2) | np.uint64(1)
 
 
@@ -29,23 +31,30 @@ def runs(raw: np.ndarray, offsets: np.ndarray, breaks: np.ndarray) -> tuple[np.n
     after[firsts[firsts > 0] - 1] = False
     starts = np.flatnonzero(inside & ~before)
     ends = np.flatnonzero(inside & ~after) + 1
-    return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
+    return starts, ends, np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
 
 
 def hash_runs(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run: a random multilinear form of its bytes, finalised with its length."""
+    """A 64-bit hash of each run: the sum of its finalised words of eight bytes, each with a random word of its place,
+    finalised with its length."""
     global _PLACES
     lengths = ends - starts
     if not len(lengths):
         return np.zeros(0, np.uint64)
-    longest = int(lengths.max())
-    if longest > len(_PLACES):
-        _PLACES = random_words(2 * longest, 1)
-    heads = np.cumsum(lengths) - lengths
-    place = np.arange(int(lengths.sum())) - np.repeat(heads, lengths)
-    at = place + np.repeat(starts, lengths)
+    # the eight bytes from each place on
+    eights = np.ndarray(len(raw) + 1, "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), 0, (1,))
     with np.errstate(over="ignore"):
-        sums = np.add.reduceat((raw[at].astype(np.uint64) + np.uint64(1)) * _PLACES[place], heads)
+        sums = mix((eights[starts] & _FIRST[np.minimum(lengths, 8)]) ^ _PLACES[0])
+        long = np.flatnonzero(lengths > 8)
+        if len(long):
+            more = (lengths[long] - 1) // 8
+            if int(more.max()) >= len(_PLACES):
+                _PLACES = random_words(2 * int(more.max()), 1)
+            heads = np.cumsum(more) - more
+            place = np.arange(1, int(more.sum()) + 1) - np.repeat(heads, more)
+            at = np.repeat(starts[long], more) + 8 * place
+            rest = np.minimum(np.repeat(ends[long], more) - at, 8)
+            sums[long] += np.add.reduceat(mix((eights[at] & _FIRST[rest]) ^ _PLACES[place]), heads)
         return mix(sums + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -79,8 +88,15 @@ def grams(hashes: np.ndarray, doc: np.ndarray, n_docs: int, n: int) -> tuple[np.
 
 def distinct(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct (document, hash) pairs, ordered by document and hash, as (hash, document)."""
-    order = np.lexsort((hashes, doc))
-    h, d = hashes[order], doc[order]
+    if (doc[1:] < doc[:-1]).any():
+        order = np.argsort(doc, kind="stable")
+        h, d = hashes[order], doc[order]
+    else:
+        h, d = hashes.copy(), doc
+    start = 0
+    for end in np.cumsum(np.bincount(d)).tolist():
+        h[start:end].sort()
+        start = end
     keep = np.ones(len(h), bool)
     keep[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
     return h[keep], d[keep]

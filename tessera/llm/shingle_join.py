@@ -17,9 +17,11 @@ percent * union, so a set of size s needs at least T(s) = ceil(percent * s / 100
    component is complete, then for the next member; members found leave the index. The index is kept by bands of sizes, since
    a partner of about the same size needs a larger overlap T than the smallest partner. A query's lists are divided: the
    longest L = T / (0.0085 log2(longest) + 1) are set aside;
-   the short ones are merged by a heap that skips what cannot occur T - L times; the candidates are probed in the long
-   lists by binary search, and those that reach the exact overlap link. Members of large groups that are not in the
-   leader's component are searched in the group's other blocks too.
+   of the short ones all but the longest T - L - 1 are merged, and those skip to what the others hold; what occurs T - L times
+   is probed in the long lists, and what reaches the exact overlap links. Lists of a block are short, so where a binary search
+   costs more than to count a list whole, it is counted.
+5. The links of all blocks give components. In a group of several blocks only the members outside its largest component are
+   searched in its other blocks: all others are connected already.
 
 Blocks give a spanning tree of the links in them, never all pairs of a group. Null texts, empty texts and texts without words have no set and link with
 nothing; null ids likewise. Equal rows are members of one class each, and rows that share an id but no text are documents of
@@ -29,9 +31,7 @@ their own. An empty table gives no rows. Other columns are not read.
 from __future__ import annotations
 
 import math
-from bisect import bisect_left
-from collections.abc import Iterable, Iterator, Sequence
-from heapq import heapify, heappop, heappush
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -87,7 +87,7 @@ def _heads(values: np.ndarray) -> np.ndarray:
 
 
 def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, n = keys[order], n[order]
     heads = _heads(keys)
     return keys[heads], np.add.reduceat(n, heads) if len(heads) else n
@@ -98,25 +98,27 @@ def _place(h: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return (h & np.uint64(n_buckets - 1)).astype(np.int64), (h >> np.uint64(24)).astype("<u4")
 
 
-def _pack(h: np.ndarray, cls: np.ndarray, n_buckets: int) -> Iterator[tuple]:
-    """Rows (bucket, shingles by class, shingles of each class, classes) of one batch of postings; bucket -1: classes with counts instead."""
-    order = np.lexsort((cls, h))
-    h, cls = h[order], cls[order]
-    keep = np.ones(len(h), bool)
-    keep[1:] = (h[1:] != h[:-1]) | (cls[1:] != cls[:-1])
-    h, cls = h[keep], cls[keep]
+def _pack(h: np.ndarray, doc: np.ndarray, kinds: np.ndarray, n_buckets: int) -> Iterator[tuple]:
+    """Rows (bucket, shingles by class, shingles of each class, classes) of one batch of postings; bucket -1: classes with counts instead.
+
+    kinds has the class of each document doc, in which a shingle comes once.
+    """
+    kinds, first, doc_kind = np.unique(kinds, return_index=True, return_inverse=True)
+    once = first[doc_kind[doc]] == doc  # of documents of one class the first
+    h, doc = h[once], doc_kind[doc[once]]
+    order = np.argsort(h)
+    h, doc = h[order], doc[order]
     head = np.ones(len(h), bool)
     head[1:] = h[1:] != h[:-1]
-    group = np.cumsum(head) - 1
-    many = np.bincount(group)[group] > 1
+    many = ~head
+    many[:-1] |= ~head[1:]
     if many.any():
-        kinds, counts = np.unique(cls[many], return_counts=True)
-        yield -1, b"", counts.astype("<u4").tobytes(), kinds.astype("<i8").tobytes()
-    send = head | ~many
-    bucket, token = _place(h[send], n_buckets)
-    cls = np.where(many, 0, cls)[send]  # class 0: several of them
-    order = np.lexsort((cls, bucket))
-    bucket, token, cls = bucket[order], token[order], cls[order]
+        counts = np.bincount(doc[many], minlength=len(kinds))
+        yield -1, b"", counts[counts > 0].astype("<u4").tobytes(), kinds[counts > 0].astype("<i8").tobytes()
+    bucket, token = _place(h[head], n_buckets)
+    place = np.where(many, 0, doc + 1)[head]  # 0: several classes
+    order = np.argsort(bucket << 32 | place)
+    bucket, token, cls = bucket[order], token[order], np.append(0, kinds)[place[order]]
     cuts = [*_heads(bucket), len(bucket)]
     for a, b in zip(cuts, cuts[1:], strict=False):
         heads = _heads(cls[a:b])
@@ -128,10 +130,10 @@ def _meetings(docs: DataFrame, n: int, percent: int, n_buckets: int, text: str)
     """cls, n: prefix shingles of a class that occur in another one (at least)."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hs, cs, held = [], [], 0
+        hs, docs, kinds, held, known = [], [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            rows = list(zip(*_pack(np.concatenate(hs), np.concatenate(cs), n_buckets), strict=True))
+            rows = list(zip(*_pack(np.concatenate(hs), np.concatenate(docs), np.concatenate(kinds), n_buckets), strict=True))
             return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(c, pa.binary()) for c in rows[1:])], ["bucket", "toks", "counts", "cls"])
 
         for batch in batches:
@@ -142,11 +144,13 @@ def _meetings(docs: DataFrame, n: int, percent: int, n_buckets: int, text: str)
                 rank = np.arange(len(h)) - (np.cumsum(size) - size)[doc]
                 keep = rank < prefix[doc]
                 hs.append(h[keep])
-                cs.append(d1[doc[keep]])
+                docs.append(doc[keep] + known)
+                kinds.append(d1)
+                known += j - i
                 held += len(hs[-1])
                 if held >= FLUSH:
                     yield flush()
-                    hs, cs, held = [], [], 0
+                    hs, docs, kinds, held, known = [], [], [], 0, 0
         if held:
             yield flush()
 
@@ -168,15 +172,18 @@ def _meetings(docs: DataFrame, n: int, percent: int, n_buckets: int, text: str)
             cls = np.concatenate([np.frombuffer(k, "<i8") for _, _, k in parts])
             if bucket >= 0:
                 tok, cls = np.concatenate([np.frombuffer(t, "<u4") for t, _, _ in parts]), np.repeat(cls, each)
+                order = np.argsort(tok)
+                tok, cls = tok[order], cls[order]
+                heads = _heads(tok)
+                low, high = np.minimum.reduceat(cls, heads), np.maximum.reduceat(cls, heads)
+                shared = low != high  # 0, which stands for several classes, is another one too
+                mine = np.repeat(shared, np.diff(np.append(heads, len(tok)))) & (cls != 0)
+                tok, cls = tok[mine], cls[mine]
                 order = np.lexsort((cls, tok))
                 tok, cls = tok[order], cls[order]
-                head = np.ones(len(tok), bool)
-                head[1:] = tok[1:] != tok[:-1]
-                new = head.copy()
-                new[1:] |= cls[1:] != cls[:-1]
-                group = np.cumsum(head) - 1
-                shared = (np.bincount(group, new) > 1) | (np.bincount(group, cls == 0) > 0)
-                cls = cls[new & shared[group] & (cls != 0)]
+                new = np.ones(len(tok), bool)
+                new[1:] = (tok[1:] != tok[:-1]) | (cls[1:] != cls[:-1])
+                cls = cls[new]
                 each = np.ones(len(cls), np.int64)
             cls, each = _summed(cls, each)
             kinds.append(cls)
@@ -247,7 +254,9 @@ def _prefixes(arrays: DataFrame, percent: int, n_buckets: int) -> DataFrame:
             tok = [np.frombuffer(v, "<u4") for v in rows.column("tok").to_pylist()]
             known, df = _summed(np.concatenate(tok), np.concatenate([np.frombuffer(v, "<u4") for v in rows.column("n").to_pylist()]).astype(np.int64))
             known, df = known[df > 1], np.minimum(df[df > 1], 2**32 - 1).astype("<u4")
-            there = [np.flatnonzero(np.isin(known, t)) for t in tok]
+            # each flock's shingles are looked up: a pass over all of the bucket's for each flock would grow with the square
+            at = [np.searchsorted(known, t) for t in tok]
+            there = [np.unique(p[known[np.minimum(p, len(known) - 1)] == t]) if len(known) else p[:0] for p, t in zip(at, tok, strict=True)]
             yield pa.RecordBatch.from_arrays([rows.column("f").combine_chunks(), pa.array([bucket] * len(tok), pa.int32()), *(pa.array([v[at].tobytes() for at in there], pa.binary()) for v in (known, df))], ["f", "bucket", "tok", "df"])
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,37 +296,31 @@ def _prefixes(arrays: DataFrame, percent: int, n_buckets: int) -> DataFrame:
     return both.repartition("f").sortWithinPartitions("f").mapInArrow(pick, "c long, tok long")
 
 
-def merge_skip(lists: Sequence[Sequence[int]], least: int) -> tuple[list[int], list[int]]:
-    """(values, occurrences) of the values that occur in at least `least` of the sorted lists, by a heap of their heads.
+def _occurrences(values: np.ndarray, lists: Sequence[np.ndarray]) -> np.ndarray:
+    """In how many of the sorted lists (of numbers from 0) each of the sorted values is: each list skips to them by binary
+    search, or all are counted where that is less work (a search costs as much as some 3,000 + 60 * len(values) numbers)."""
+    if sum(map(len, lists)) > len(lists) * (3000 + 60 * len(values)):
+        hits = np.zeros(len(values), np.int64)
+        for x in lists:
+            hits += x[np.minimum(np.searchsorted(x, values), len(x) - 1)] == values
+        return hits
+    return np.bincount(np.concatenate(lists), minlength=int(values[-1]) + 1)[values] if len(lists) else np.zeros(len(values), np.int64)
+
+
+def merge_skip(lists: Sequence[Sequence[int]], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(values, occurrences) of the values, numbers from 0, that occur in at least `least` of the sorted lists.
 
-    A value at the top that does not occur often enough takes further heads with it, least - 1 in all: what lies before
-    the next head then occurs in those lists only, so they skip to it.
+    Such a value is in one of all but the longest least - 1 lists: those are merged, and the longest ones skip to what they hold.
     """
-    heap = [(x[0], k) for k, x in enumerate(lists) if len(x)]
-    heapify(heap)
-    at = [0] * len(lists)
-    found, hits = [], []
-    while len(heap) >= least and heap:
-        value, out = heap[0][0], []
-        while heap and heap[0][0] == value:
-            out.append(heappop(heap)[1])
-        if len(out) >= least:
-            found.append(value)
-            hits.append(len(out))
-            for k in out:
-                at[k] += 1
-        else:
-            while heap and len(out) < least - 1:
-                out.append(heappop(heap)[1])
-            if not heap:
-                break
-            following = heap[0][0]
-            for k in out:
-                at[k] = bisect_left(lists[k], following, at[k])
-        for k in out:
-            if at[k] < len(lists[k]):
-                heappush(heap, (lists[k][at[k]], k))
-    return found, hits
+    lists = sorted((np.asarray(x, np.int64) for x in lists if len(x)), key=len)
+    merged = len(lists) - max(least, 1) + 1
+    if merged < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    count = np.bincount(np.concatenate(lists[:merged]))
+    values = np.flatnonzero(count)
+    hits = count[values] + _occurrences(values, lists[merged:])
+    enough = hits >= least
+    return values[enough], hits[enough]
 
 
 def t_occurrence(query: np.ndarray, keys: np.ndarray, heads: np.ndarray, lists: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -333,14 +336,10 @@ def t_occurrence(query: np.ndarray, keys: np.ndarray, heads: np.ndarray, lists:
     order = np.argsort(length, kind="stable")
     at, length = at[order], length[order]
     aside = min(need - 1, int(need / (0.0085 * math.log2(max(2, int(length[-1]))) + 1)), len(at))
-    short, long = at[: len(at) - aside], at[len(at) - aside :]
-    found, hits = (np.array(v, np.int64) for v in merge_skip([lists[heads[k] : heads[k + 1]].tolist() for k in short], need - aside))
-    for k in long:
-        if not len(found):
-            break
-        one = lists[heads[k] : heads[k + 1]]
-        p = np.minimum(np.searchsorted(one, found), len(one) - 1)
-        hits = hits + (one[p] == found)
+    own = [lists[a:b] for a, b in zip(heads[at].tolist(), heads[at + 1].tolist(), strict=True)]
+    found, hits = merge_skip(own[: len(own) - aside], need - aside)
+    if len(found):
+        hits = hits + _occurrences(found, own[len(own) - aside :])
     return found[100 * hits >= percent * (len(query) + sizes[found] - hits)]
 
 
@@ -376,21 +375,21 @@ def _partners(query: np.ndarray, bands: list[tuple[np.ndarray, tuple]], percent:
     return out
 
 
-def _trees(n: int, pairs: Iterable[tuple[int, int]]) -> tuple[list[int], list[int]]:
-    """(roots, members) of the components of n things with more than one member: one link for each member but the root."""
-    parent = list(range(n))
+def _bridges(arrays: list[np.ndarray], own: np.ndarray, label: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links (k, m) that connect what the links between the sets k outside a block (not own) and the sets m of it connect.
 
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = k = parent[parent[k]]
-        return k
-
-    for a, b in pairs:
-        a, b = root(a), root(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    members = [k for k in range(n) if parent[k] != k]
-    return [root(k) for k in members], members
+    Sets of equal labels are connected already: no link of theirs is looked for.
+    """
+    label, there, links = np.unique(label, return_inverse=True)[1], np.flatnonzero(own), []
+    bands = _bands(arrays, there)
+    for k in np.flatnonzero(~own).tolist():
+        if (label[there] == label[k]).all():
+            continue
+        for m in _partners(arrays[k], bands, percent):
+            if label[m] != label[k]:
+                links.append((k, m))
+                label[label == label[m]] = label[k]
+    return links
 
 
 def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
@@ -438,42 +437,42 @@ def _group_links(members: DataFrame, percent: int, block: int) -> DataFrame:
     dealt = lookup(members, sizes, ["leader"], "n").withColumn("_b", F.when(F.col("c") == F.col("leader"), F.lit(None)).otherwise(F.pmod(F.xxhash64("c"), F.col("_g")).cast("int")))
     # the leader comes to every block of its group
     homes = F.when(F.col("_b").isNull(), F.sequence(F.lit(0), F.col("_g") - 1)).otherwise(F.array("_b"))
-    dealt = dealt.withColumn("_b", F.explode(homes)).select("leader", "_b", (F.col("c") != F.col("leader")).alias("_o"), "c", "toks", "_g")
-    blocks = dealt.repartition("leader", "_b").sortWithinPartitions("leader", "_b", "_o")
+    blocks = dealt.withColumn("_b", F.explode(homes)).select("leader", "_b", (F.col("c") != F.col("leader")).alias("_o"), "c", "toks")
+    blocks = blocks.repartition("leader", "_b").sortWithinPartitions("leader", "_b", "_o")
 
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (leader, b), rows in by_key(batches, 2):
-            c, arrays = rows.column("c").to_numpy(), _lists(rows.column("toks"))
-            if len(c) < 2:
-                continue
-            links, apart = _spanning(arrays, percent)
-            far = apart if rows.column("_g")[0].as_py() > 1 else []
-            ones, ends = [*c[np.array([k for k, _ in links], np.int64)], *([leader] * len(far))], [*c[np.array([m for _, m in links], np.int64)], *c[np.array(far, np.int64)]]
-            kinds = [*([-1] * len(links)), *([b] * len(far))]
-            yield pa.RecordBatch.from_arrays([pa.array(ones, pa.int64()), pa.array(ends, pa.int64()), pa.array(kinds, pa.int32())], ["a", "b", "block"])
-
-    found = table(blocks.mapInArrow(star, "a long, b long, block int"), "star-links")
-    links = found.filter("block < 0").select("a", "b")
-    lone = found.filter("block >= 0").select(F.col("a").alias("leader"), F.col("b").alias("c"), F.col("block").alias("_from"))
-    if not lone.head(1):
+        for _, rows in by_key(batches, 2):
+            links, _ = _spanning(_lists(rows.column("toks")), percent)
+            c = rows.column("c").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(c[[k for k, _ in links]] if links else c[:0]), pa.array(c[[m for _, m in links]] if links else c[:0])], ["a", "b"])
+
+    links = table(blocks.mapInArrow(star, "a long, b long"), "star-links")
+    if not sizes.filter("_g > 1").head(1):
         return links
-    # members of large groups that are not connected with the leader: searched in the other blocks of the group
-    asked = lone.join(members.select("leader", "c", "toks"), ["leader", "c"]).join(sizes.drop("n"), "leader")
-    asked = asked.withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_g") - 1))).filter("_b <> _from").select("leader", "_b", "_from", F.lit(False).alias("_o"), "c", "toks")
-    into = asked.select("leader", "_b", "_from").distinct().join(dealt.filter("_o").select("leader", "_b", "_o", "c", "toks"), ["leader", "_b"]).select("leader", "_b", "_from", "_o", "c", "toks")
-    cells = asked.unionByName(into).repartition("leader", "_b", "_from").sortWithinPartitions("leader", "_b", "_from", "_o")
+    # Blocks of one group: what the links of all blocks connect is known, so only members outside the largest component of their
+    # group are searched in its other blocks.
+    known = components(links).withColumnRenamed("id", "c")
+    placed = stored(dealt.filter("_g > 1 and _b is not null").select("leader", "c", "_b", "_g").join(known, "c", "left").withColumn("label", F.coalesce("component", "c")).drop("component"), "placed")
+    parts = placed.rows.groupBy("leader", "label").agg(F.count("*").alias("k")).groupBy("leader").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("k").alias("n"), F.max("k").alias("k"))
+    parts = parts.select("leader", "n", "main", F.ceil((F.col("n") - F.col("k")) / block).cast("int").alias("_q")).filter("_q > 0")
+    marked = lookup(placed.rows, parts, ["leader"], "n").join(members, ["leader", "c"])
+    asked = marked.filter("label <> main").withColumn("_q", F.pmod(F.xxhash64("c"), F.col("_q")).cast("int"))
+    asked = asked.withColumn("_o", F.lit(False)).withColumn("_in", F.explode(F.sequence(F.lit(0), F.col("_g") - 1))).filter("_in <> _b")
+    into = marked.withColumn("_o", F.lit(True)).withColumn("_in", F.col("_b")).withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_q") - 1)))
+    cells = asked.select("leader", "_in", "_q", "_o", "c", "label", "toks").unionByName(into.select("leader", "_in", "_q", "_o", "c", "label", "toks"))
+    cells = cells.repartition("leader", "_in", "_q").sortWithinPartitions("leader", "_in", "_q", "_o")
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_key(batches, 3):
-            c, own, arrays = rows.column("c").to_numpy(), rows.column("_o").to_numpy(zero_copy_only=False), _lists(rows.column("toks"))
-            there = np.flatnonzero(own)
-            if not len(there):
+            c, own = rows.column("c").to_numpy(), rows.column("_o").to_numpy(zero_copy_only=False)
+            if own.all() or not own.any():
                 continue
-            bands = _bands(arrays, there)
-            roots, members = _trees(len(c), ((k, m) for k in np.flatnonzero(~own).tolist() for m in _partners(arrays[k], bands, percent)))
-            yield pa.RecordBatch.from_arrays([pa.array(c[roots], pa.int64()), pa.array(c[members], pa.int64())], ["a", "b"])
+            found = _bridges(_lists(rows.column("toks")), own, rows.column("label").to_numpy(), percent)
+            yield pa.RecordBatch.from_arrays([pa.array(c[[k for k, _ in found]] if found else c[:0]), pa.array(c[[m for _, m in found]] if found else c[:0])], ["a", "b"])
 
-    return links.unionByName(cells.mapInArrow(across, "a long, b long"))
+    more = table(cells.mapInArrow(across, "a long, b long"), "block-links")
+    placed.drop()
+    return links.unionByName(more)
 
 
 def _buckets(shingles_sent: int) -> int:

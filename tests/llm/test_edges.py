@@ -603,3 +603,78 @@ def test_one_of_each_group_stays(spark, tmp_path):
     df = spark.createDataFrame([(d, t, "en", "a", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert ids(P.near_dedup(spark, df, str(tmp_path))) == Counter([1, 3, None, 4])
     assert df.select(F.lit(1)).count() == 6
+
+
+def chain(n, rng, size=240):
+    """Sets of which neighbours share most and far ones less: the first links with few, each with some."""
+    steps = np.concatenate([[0], np.cumsum(rng.integers(1, 4, n - 1))])
+    return [np.sort(np.concatenate([np.arange(size // 2), size + s % 300 + np.arange(size // 2)])) * 1_000_003 for s in steps]
+
+
+def test_large_groups_are_searched_once(monkeypatch):
+    """A set is searched in the other blocks of its group only when the links of all blocks leave it apart."""
+    rng = np.random.default_rng(5)
+    sets = chain(60, rng)
+    near = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b))
+    own = np.arange(60) % 2 == 0
+    label = np.where(np.arange(60) % 10 == 3, np.arange(60), 1000)  # six sets are apart, three at most of them linked by another
+    asked = []
+    partners = shingle_join._partners
+    monkeypatch.setattr(shingle_join, "_partners", lambda q, *rest: asked.append(1) or partners(q, *rest))
+    assert shingle_join._bridges(sets, own, np.full(60, 7), 75) == [] and not asked
+    links = shingle_join._bridges(sets, own, label, 75)
+    assert len(asked) == 30 - 24
+    assert links and all(near(sets[k], sets[m]) and label[k] != label[m] and own[m] and not own[k] for k, m in links)
+    linked = {k for k in np.flatnonzero(~own).tolist() if label[k] != 1000 and any(near(sets[k], sets[m]) for m in np.flatnonzero(own).tolist())}
+    assert {k for k, _ in links} == linked and len(links) == len(linked)
+
+
+def test_near_copies_apart_from_the_first():
+    """700 near copies of which the first links with none, each with some: a search for each of them (28 s before)."""
+    import time
+
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 60, 400)
+    sets = [np.unique(np.concatenate([base[rng.random(400) > rng.uniform(0.05, 0.3)], rng.integers(0, 1 << 60, 20)])) for _ in range(700)]
+    sets[0] = np.unique(np.concatenate([base[:280], rng.integers(0, 1 << 60, 90)]))
+    began = time.perf_counter()
+    links, apart = shingle_join._spanning(sets, 75)
+    assert time.perf_counter() - began < 5
+    assert len(apart) == 699
+    near = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b))
+    assert all(near(sets[a], sets[b]) for a, b in links)
+    roots = sorted(set(range(700)) - {m for _, m in links})
+    assert len(links) > 100 and not any(near(sets[a], sets[b]) for a in roots[:10] for b in roots if a != b)
+
+
+def test_blocks_of_one_group_are_bridged(spark):
+    """Chains of near copies in blocks of a few sets: what only links between blocks connect is one group."""
+    rows = []
+    for family in range(3):
+        words = prose(family + 20, 160).split()
+        for copy in range(14):
+            rows.append((len(rows) * 5 % 42, " ".join(words[copy * 3 : copy * 3 + 110])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    wanted = groups(shingle_sets(rows))
+    assert len({g for _, _, g in wanted}) < 42
+    assert {tuple(r) for r in shingle_join.ngram_groups(df, block=2).collect()} == wanted
+
+
+def test_run_hashes():
+    """Runs of any length hash as their own bytes, wherever they are; those that differ in a byte or in length differ."""
+    from tessera.llm.kernels import distinct, hash_runs
+
+    rng = np.random.default_rng(6)
+    words = [bytes(rng.integers(33, 127, n, dtype=np.uint8)) for n in (*range(1, 40), 700, 5000)]
+    words += [w[:-1] + bytes([w[-1] ^ 1]) for w in words] + [b"\x00" * n for n in range(1, 20)] + [b"a" * 8 + b"b" * 8, b"b" * 8 + b"a" * 8]
+    kinds = {}
+    for order in (words, words[::-1]):
+        raw = np.frombuffer(b" ".join(order), np.uint8)
+        ends = np.cumsum([len(w) + 1 for w in order]) - 1
+        for w, h in zip(order, hash_runs(raw, ends - [len(w) for w in order], ends).tolist(), strict=True):
+            assert kinds.setdefault(w, h) == h
+    assert len(set(kinds.values())) == len(set(words))
+    h, doc = rng.integers(0, 50, 400).astype(np.uint64), rng.permutation(np.repeat(np.arange(9), [0, 90, 10, 0, 100, 1, 99, 100, 0]))
+    for d in (doc, np.sort(doc)):
+        a, b = distinct(h, d)
+        assert list(zip(b.tolist(), a.tolist(), strict=True)) == sorted(set(zip(d.tolist(), h.tolist(), strict=True)))
